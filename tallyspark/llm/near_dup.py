@@ -31,7 +31,6 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,55 +57,96 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sets of shingle hashes of texts; hashes of words are remembered up to a bound."""
-
-    def __init__(self, words: int, most_known: int = 1 << 20):
-        self.words, self.most_known = words, most_known
-        self.known: dict[bytes, int] = {}
-
-    def of(self, text: str) -> np.ndarray:
-        """Sorted distinct hashes; ASCII letters count as lower case, ASCII white space separates words."""
-        words = text.encode().lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > self.most_known:
-            known.clear()
-        hashes = np.empty(len(words), np.uint64)
-        try:
-            hashes[:] = list(map(known.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            hashes[:] = list(map(known.__getitem__, words))
-        n = min(self.words, len(hashes))
-        out = np.full(len(hashes) - n + 1, n, np.uint64)
-        for k in range(n):
-            out = _mix(out + hashes[k : len(hashes) - n + 1 + k])
-        return np.unique(out)
-
-
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """16-bit symbols of the minima; ``shingles`` isn't empty."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingles), 4096):
-        part = shingles[start : start + 4096, None] * _odd + _add
-        np.minimum(least, part.min(axis=0), out=least)
-    return (_mix(least) >> np.uint64(48)).astype(np.uint16)
+#: A number for each byte, the same for both cases of a letter; 0 for blanks.
+_byte = _mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5EED)) | np.uint64(1) << np.uint64(63)
+_byte[65:91] = _byte[97:123]
+_byte[[9, 10, 11, 12, 13, 32]] = 0
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of some texts (bytes and their offsets), and each text's first place among them.
+
+    A word's hash is a sum over its bytes of a number of the byte times a number of the
+    place, mod 2^64, spread over all bits; a shingle's is a chain of its words' hashes.
+    """
+    values = _byte[data]
+    inside = values != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[heads] = inside[heads]
+    starts = np.flatnonzero(begins)
+    first = np.searchsorted(starts, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    place = np.arange(len(data))
+    place -= np.maximum.accumulate(np.where(begins, place, 0))
+    place[~inside] = 0
+    factor = _mix(np.arange(place.max() + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
+    lengths = np.add.reduceat(inside.astype(np.uint64), starts)
+    words = _mix(np.add.reduceat(values * factor[place], starts) + lengths * _GOLDEN)
+
+    def chained(parts: list[np.ndarray]) -> np.ndarray:
+        out = parts[0].copy()
+        for p in parts[1:]:
+            out *= _GOLDEN
+            out ^= out >> np.uint64(32)
+            out += p
+        return _mix(out + np.uint64(len(parts)))
+
+    n = np.diff(first)
+    many = max(0, len(words) - k + 1)
+    full = np.arange(many) + k <= np.repeat(first[1:], n)[:many]
+    out = chained([words[j : many + j] for j in range(k)])[full] if many else np.zeros(0, np.uint64)
+    counts = np.maximum(n - k + 1, 0)
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        own = [chained([words[i : i + 1] for i in range(first[d], first[d + 1])])[0] for d in short]
+        out = np.insert(out, (np.cumsum(counts) - counts)[short], own)
+        counts[short] = 1
+    return out, np.concatenate([[0], np.cumsum(counts)])
+
+
+def shingle_sets(texts: pa.Array, k: int, slice_bytes: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingles of slices of about ``slice_bytes``: hashes and each text's first place (one more at the end)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + slice_bytes, side="right")) - 1)
+        high = min(high, len(texts))
+        yield _shingle_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], k)
+        low = high
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    out = np.sort(hashes)
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
+
+
+def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, SYMBOLS) 16-bit symbols of the minima; only rows of texts with shingles mean something."""
+    out = np.zeros((len(first) - 1, SYMBOLS), np.uint16)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        for k in range(SYMBOLS):
+            least = np.minimum.reduceat(hashes * _odd[k] + _add[k], first[some])
+            out[some, k] = (_mix(least) >> np.uint64(48)).astype(np.uint16)
+    return out
 
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
         for batch in batches:
             sizes, digests, signs = [], [], []
-            for text in batch.column(1):
-                s = shingler.of(text.as_py())
-                sizes.append(len(s))
-                digests.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                signs.append(signature(s).tobytes() if len(s) else None)
+            for hashes, first in shingle_sets(batch.column(1), words):
+                own = signatures(hashes, first)
+                for i in range(len(own)):
+                    s = _distinct(hashes[first[i] : first[i + 1]])
+                    sizes.append(len(s))
+                    digests.append(blake2b(s, digest_size=16).digest() if len(s) else None)
+                    signs.append(own[i].tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
                 ["doc_id", "n_shingles", "digest", "sign"],
@@ -204,18 +244,21 @@ def _confirm(words: int, percent: int):
     """Rows (a, part, role, b, text), sorted: the centre's text (role 0), then its members'. Yields the links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, centres, key = Shingler(words), [], None
+        centres, key = [], None
         for batch in batches:
             a, part, role, b = (batch.column(k).to_pylist() for k in range(4))
             links: list[tuple[int, int]] = []
-            for i in range(batch.num_rows):
-                own = shingler.of(batch.column(4)[i].as_py())
-                if key != (a[i], part[i]):
-                    key, centres = (a[i], part[i]), []
-                if role[i] == 0:
-                    centres.append(own)
-                elif any(_linked(own, c, percent) for c in centres):
-                    links.append((a[i], b[i]))
+            i = 0
+            for hashes, first in shingle_sets(batch.column(4), words):
+                for k in range(len(first) - 1):
+                    own = _distinct(hashes[first[k] : first[k + 1]])
+                    if key != (a[i], part[i]):
+                        key, centres = (a[i], part[i]), []
+                    if role[i] == 0:
+                        centres.append(own)
+                    elif any(_linked(own, c, percent) for c in centres):
+                        links.append((a[i], b[i]))
+                    i += 1
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
     return run
