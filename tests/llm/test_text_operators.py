@@ -1,0 +1,254 @@
+"""Token counts, quality, PII, chat, HTML: small cases, brute force and round trips."""
+
+import zlib
+from datetime import date
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallyspark.llm import chat, html_text, pii, quality, token_counts, tokens
+
+ROW = "doc_id long, text string, n_tokens string, score string"
+TEXTS = ["", "one", "a b  c\n\nd ", " x\t\ty", "the 'end's of it  ", "é" * 50, "no" * 40000, "x <|endoftext|>  y", "word " * 20000, "  \n lead", "tail \n\n"]
+
+
+def frame(spark, texts, start=1):
+    return spark.createDataFrame([(start + i, t, "clash", "clash") for i, t in enumerate(texts)], ROW)
+
+
+def whole(text):
+    return tokens.library(tokens.default_vocabulary()).encode(text, add_special_tokens=False).ids
+
+
+def test_token_counts_equal_the_library_on_whole_texts(spark):
+    docs = frame(spark, [*TEXTS, None, "one"])
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, slice_bytes=1000).collect()}
+    expected = [t or "" for t in [*TEXTS, None, "one"]]
+    assert got == {i + 1: (len(t.encode()), len(whole(t)), len(whole(t)) > 512) for i, t in enumerate(expected)}
+
+
+def test_token_counts_of_nothing(spark):
+    assert token_counts.count_tokens(frame(spark, [])).collect() == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "Zü", " ", "  ", "\n", "\t", " ", " ", "12", "'s", "!?", "<|endoftext|>", "\x1c", "日本", "\r\n"]), max_size=25).map("".join))
+def test_pieces_and_rank_table_give_the_ids_of_the_whole_text(text):
+    counter = tokens.PieceCounter(tokens.default_vocabulary())
+    assert counter.count([text]) == [len(whole(text))]
+    assert tokens.encode_ids(text, tokens.default_ranks(), tokens.default_vocabulary()).tolist() == whole(text)
+
+
+def test_texts_are_cut_at_safe_places_only():
+    text = "some words here " * 9000
+    parts = tokens.cut(text, 1000)
+    assert "".join(parts) == text and len(parts) > 50
+    assert sum((whole(p) for p in parts), []) == whole(text)
+
+
+# Quality
+
+
+def test_quality_separates_junk_and_keeps_edge_cases(spark):
+    good = [f"the river {w} ran slowly over the old stones and {w} went home." for w in "abcdefghij"]
+    bad = [f"BUY!! {w.upper()}!! NOW!! CHEAP!! {w}### $$$ %%%" for w in "abcdefghij"]
+    labelled = spark.createDataFrame([(i, t, int(i < 10)) for i, t in enumerate(good + bad)] + [(99, None, 0), (98, "x", None)], "doc_id long, text string, label int")
+    model = quality.fit(labelled, sample=50, dimensions=8, neighbours=3)
+    docs = frame(spark, ["the river ran over the stones.", "NOW!! CHEAP!! $$$ ###", "", None, "the river ran over the stones."])
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    assert got[1].predicted == 1 and got[1].score > 0.9 and got[2].predicted == 0 and got[2].score < 0.1
+    assert got[3].score == got[4].score == pytest.approx(model.base) and got[5].score == got[1].score
+    assert quality.score(frame(spark, []), model).collect() == []
+
+
+def test_quality_votes_equal_brute_force(spark):
+    labelled = spark.createDataFrame([(i, f"{'good words here' if i % 3 else 'BAD!! ### XX!!'} {i * 7 % 11} {i}", int(i % 3 > 0)) for i in range(60)], "doc_id long, text string, label int")
+    model = quality.fit(labelled, sample=40, dimensions=6, neighbours=5)
+    assert len(model.labels) == 40
+    texts = ["good words 3", "BAD!! 9", "something else", "good BAD!!"]
+    z = np.stack([quality.features(t) for t in texts]) @ model.projection
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    for row, score in zip(z, model.scores(texts), strict=True):
+        cosine = model.vectors @ row
+        near = sorted(range(40), key=lambda i: -cosine[i])[:5]
+        weight = [max(cosine[i], 1e-6) ** 16 for i in near]
+        assert score == pytest.approx(sum(w * model.labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight), abs=1e-4)
+
+
+def test_quality_without_labels(spark):
+    model = quality.fit(spark.createDataFrame([], "doc_id long, text string, label int"))
+    assert [r.score for r in quality.score(frame(spark, ["a"]), model).collect()] == [0.5]
+
+
+def test_held_out_rows(spark):
+    rows = spark.range(50).select("id", quality.held_out("id").alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
+
+
+# PII
+
+
+FEISTEL = pii.Feistel(b"secret")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(2, 3000), st.data())
+def test_feistel_is_undone_by_its_key(size, data):
+    x = data.draw(st.integers(0, size - 1))
+    y = FEISTEL.permute(x, size, "t")
+    assert 0 <= y < size and FEISTEL.permute(y, size, "t", True) == x
+
+
+def test_feistel_is_a_permutation():
+    assert sorted(FEISTEL.permute(x, 997, "t") for x in range(997)) == list(range(997))
+    assert [FEISTEL.permute(x, 997, "t") for x in range(50)] != list(range(50))
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["4539578763621486", "4539 5787 6362 1486", "+1 (487) 555-7209", "144.137.247.239", "GB82 WEST 1234 5698 7654 32", "2024-02-29", "25/12/1999", "12/25/1999", "123-45-6789", "ann.lee34@mail7.example.com", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"],
+)
+def test_pseudonyms_keep_format_link_and_can_be_undone(value):
+    text, spans = pii.replace(f"see {value}, and {value}.", FEISTEL)
+    new = spans[0][3]
+    assert len(spans) == 2 and spans[1][3] == new != value
+    assert [c.isdigit() for c in new] == [c.isdigit() for c in value] or spans[0][0] in ("ip", "token", "iban")
+    assert text == f"see {new}, and {new}."
+    assert pii.replace(text, FEISTEL, back=True)[0] == f"see {value}, and {value}."
+    assert pii.replace(f"see {value}", pii.Feistel(b"other"))[0] != f"see {new}"
+
+
+@pytest.mark.parametrize("value", ["4539578763621487", "303.1.1.1", "2023-02-30", "GB82 WEST 1234 5698 7654 33", "000-12-3456", "version 3.1.2", "12345", "0000000000000000", "31/31/1999"])
+def test_values_that_do_not_validate_stay(value):
+    assert pii.replace(f"see {value} here", FEISTEL) == (f"see {value} here", [])
+
+
+def test_pii_cards_stay_valid():
+    new = pii.replace("4539578763621486", FEISTEL)[0]
+    assert pii.check_digit(new[:-1]) == new[-1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dates(date(1900, 1, 1), date(2099, 12, 31)), st.sampled_from(["%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y"]))
+def test_dates_move_to_dates_and_back(day, form):
+    value = day.strftime(form)
+    new, spans = pii.replace(value, FEISTEL)
+    assert len(spans) == 1 and pii.replace(new, FEISTEL, back=True)[0] == value
+
+
+def test_pii_frame(spark):
+    docs = frame(spark, ["mail a.b@c.example.com", "", None, "mail a.b@c.example.com", "x" * 100000 + " 10.0.0.1"])
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, b"k").collect()}
+    assert got[1].text == got[4].text != "mail a.b@c.example.com" and got[1].n_found == 1
+    assert (got[2].text, got[2].n_found, got[3].text, got[3].n_found) == ("", 0, None, 0)
+    assert got[5].found[0].kind == "ip" and got[5].found[0].start == 100001
+    assert pii.pseudonymise(frame(spark, [])).collect() == []
+
+
+# Chat
+
+
+def toy_model(spark):
+    rows = []
+    for c in range(40):
+        for t in range(4):
+            role = "user" if t % 2 == 0 else "assistant"
+            mark = f"{role.capitalize()}: " if c % 2 else "-- "
+            rows.append((c, t, role, mark + ("why is that?" if role == "user" else "because it is so.\nand more of it.")))
+    return chat.train(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+
+
+def test_chat_roles_text_and_edge_cases(spark):
+    model = toy_model(spark)
+    rows = [
+        (1, 0, "User: hi there?\nAssistant: hello.\nsecond line\n\nUser: bye?"), (2, 0, "-- what?\n-- this.\nmore of it.\n-- why?"),
+        (3, 0, ""), (4, None, None), (None, 0, "User: x?"), (5, 0, "User: same?"), (5, 0, "User: same?"),
+    ]
+    got = chat.parse(spark.createDataFrame(rows, "conv_id long, seq long, text string"), model).orderBy("conv_id", "turn").collect()
+    turns = [(r.conv_id, r.turn, r.role, r.text) for r in got]
+    assert [t for t in turns if t[0] == 1] == [(1, 0, "user", "hi there?"), (1, 1, "assistant", "hello.\nsecond line"), (1, 2, "user", "bye?")]
+    assert [t[2:] for t in turns if t[0] == 2] == [("user", "what?"), ("assistant", "this.\nmore of it."), ("user", "why?")]
+    assert not [t for t in turns if t[0] in (3, 4)]
+    assert [t for t in turns if t[0] is None] == [(None, 0, "user", "x?")]
+    assert [t[3] for t in turns if t[0] == 5] == ["same?", "same?"]
+    assert [r.rendered for r in got if r.conv_id == 1][0] == "<|user|>\nhi there?\n<|end|>"
+    assert chat.parse(spark.createDataFrame([], "conv_id long, seq long, text string"), model).collect() == []
+
+
+def test_chat_blocks_give_one_viterbi_pass(spark):
+    """A transcript over many blocks is decoded as by one pass over all its lines."""
+    model = toy_model(spark)
+    rng = np.random.default_rng(3)
+    lines = [str(rng.choice(["User: a?", "-- b", "-- c?", "plain", "Assistant: d.", "", "- item"])) for _ in range(300)]
+    seen = model.emissions([chat.read_line(x) for x in lines])
+    score, back = model.first + seen[0], []
+    for e in seen[1:]:
+        ways = score[:, None] + model.step
+        back.append(ways.argmax(axis=0))
+        score = ways.max(axis=0) + e
+    states = [int(score.argmax())]
+    for b in reversed(back):
+        states.append(int(b[states[-1]]))
+    states = states[::-1]
+    expected = [chat.ROLES[s % 3] for i, s in enumerate(states) if s < 3 or i == 0]
+    rows = [(7, i, x if x else " ") for i, x in enumerate(lines)]
+    got = chat.parse(spark.createDataFrame(rows, "conv_id long, seq long, text string"), model).orderBy("turn").collect()
+    assert [r.role for r in got] == expected and len(got) > 50
+
+
+# HTML
+
+
+@pytest.fixture(scope="module")
+def html_model(spark):
+    return html_text.train(spark, 400)
+
+
+def test_html_held_out_pages(html_model):
+    wrong = total = 0
+    for seed in range(50_000, 50_150):
+        page, wanted = html_text.made_page(seed)
+        nodes = html_text.parse(page)
+        for n, c in zip(nodes, html_model.marginals(nodes), strict=True):
+            total += n.leaf
+            wrong += n.leaf and (c > 0.5) != (n.text in wanted)
+    assert total > 2000 and wrong <= total * 0.01
+
+
+def test_html_marginals_equal_enumeration(html_model):
+    """Sum-product on a small page equals summing over all assignments of marks."""
+    from itertools import product
+    from math import exp
+
+    nodes = html_text.parse("<body><nav><p>a b</p></nav><article><p>c d e f</p></article></body>")
+    share = min(1.0, 6 / sum(n.leaf for n in nodes))
+    own = [sum(html_model.marks.get(m, 0.0) for m in html_text.marks_of(n)) * (share if n.leaf else 1.0) for n in nodes]
+    own[0] = 4.0
+    total, yes = 0.0, [0.0] * len(nodes)
+    for marks in product((0, 1), repeat=len(nodes)):
+        score = sum(o * m for o, m in zip(own, marks, strict=True))
+        for i in range(1, len(nodes)):
+            n, parent = nodes[i], nodes[nodes[i].parent]
+            table = html_model.edges.get(html_text.edge_of(n, parent), html_model.edges.get(n.tag, html_model.any_edge))
+            score += table[2 * marks[nodes[i].parent] + marks[i]]
+        total += exp(score)
+        for i, m in enumerate(marks):
+            yes[i] += m * exp(score)
+    assert html_model.marginals(nodes) == pytest.approx([y / total for y in yes], abs=1e-9)
+
+
+def test_html_cases(spark, html_model):
+    page = (
+        '<html><head><title>t</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>'
+        '<div class="ad">Buy this now.</div><article><h1>Head &amp; more</h1><p><b>First&nbsp;line<br>goes on<p>Second\n  one &eacute;.</p>'
+        '<!-- no --><p>Third <i>em</i>bedded.</article><form><p>Your mail</p></form><div class="comments"><p>Nice article.</p></div><footer>&copy; x</footer>'
+    )
+    rows = [(1, "u", page, "c"), (2, None, "", "c"), (3, "u", None, "c"), (1, "u", page, "c"), (4, "u", "<article>" + "<p>word word.</p>" * 3000 + "</article>", "c"), (5, "u", "a < b & c </", "c")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), html_model).collect()
+    by = {r.page_id: r for r in got}
+    assert by[1].text == "Head & more\n\nFirst line goes on\n\nSecond one é.\n\nThird embedded." and by[1].n_chars == len(by[1].text)
+    assert (by[2].text, by[2].n_chars, by[3].text, by[2].url) == ("", 0, "", None) and len(got) == 6
+    assert by[4].text.count("word word.") == 3000
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string"), html_model).collect() == []
