@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .money import let
+
 #: The Buddhist year less the Western one; day 0 of spreadsheet dates.
 BUDDHIST = 543
 SPREADSHEET_EPOCH = "1899-12-30"
@@ -79,33 +81,37 @@ def date_cell(c: Column, today: str = "2026-10-02") -> Column:
     Day first; a date that only makes sense month first is read so and noted; a date before 2000
     or beyond next year is noted as unlikely.  ``today`` is given, never the clock.
     """
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\A(?U:\s)+|(?U:\s)+\z", ""), r"(?U)\s+", " ")
-    serial = t.try_cast("double")
-    is_serial = t.rlike(r"^\d+(?:\.\d+)?\z") & (serial > 20000) & (serial < 80000)
-    iso, dmy, named = t.rlike(YEAR_MONTH_DAY), t.rlike(DAY_MONTH_YEAR), t.rlike(NAMED_MONTH)
-    a, b, y = part(t, DAY_MONTH_YEAR, 1), part(t, DAY_MONTH_YEAR, 2), full_year(part(t, DAY_MONTH_YEAR, 3))
-    day_first, month_first = real_date(y, b, a), real_date(y, a, b)
-    name = F.lower(F.regexp_extract(t, NAMED_MONTH, 2))
-    months = F.create_map(*[F.lit(x) for m, i in MONTHS.items() for x in (m, i)])
-    month = F.coalesce(F.try_element_at(months, name), F.try_element_at(months, F.concat(name, F.lit("."))))
-    value = (
-        F.when(is_serial, from_serial(serial))
-        .when(iso, real_date(full_year(part(t, YEAR_MONTH_DAY, 1)), part(t, YEAR_MONTH_DAY, 2), part(t, YEAR_MONTH_DAY, 3)))
-        .when(dmy, F.coalesce(day_first, month_first))
-        .when(named, real_date(full_year(part(t, NAMED_MONTH, 3)), month, part(t, NAMED_MONTH, 1)))
-    )
-    note = (
-        F.when(t == "", F.lit(None).cast("string"))
-        .when(dmy & day_first.isNull() & month_first.isNotNull(), "only makes sense month first")
-        .when(value.isNull() & (iso | dmy), "not a real date").when(value.isNull(), "could not be read as a date")
-        .when((F.year(value) < 2000) | (F.year(value) > int(today[:4]) + 1), "an unlikely year")
-    )
-    kind = F.when(is_serial, "number").when(dmy & day_first.isNotNull(), "text")
-    d, m = F.day(value), F.month(value)
-    return F.struct(
-        value.alias("date"), note.alias("note"), kind.alias("kind"), (kind.isNotNull() & (d > 12)).alias("day_over_12"),
-        (kind.isNotNull() & (d <= 12) & (m <= 12) & (d != m)).alias("either_way"),
-    )
+
+    def read(t: Column) -> Column:
+        serial = t.try_cast("double")
+        is_serial = t.rlike(r"^\d+(?:\.\d+)?\z") & (serial > 20000) & (serial < 80000)
+        iso, dmy, named = t.rlike(YEAR_MONTH_DAY), t.rlike(DAY_MONTH_YEAR), t.rlike(NAMED_MONTH)
+        a, b, y = part(t, DAY_MONTH_YEAR, 1), part(t, DAY_MONTH_YEAR, 2), full_year(part(t, DAY_MONTH_YEAR, 3))
+        name = F.lower(F.regexp_extract(t, NAMED_MONTH, 2))
+        months = F.create_map(*[F.lit(x) for m, i in MONTHS.items() for x in (m, i)])
+        month = F.coalesce(F.try_element_at(months, name), F.try_element_at(months, F.concat(name, F.lit("."))))
+        by_day, by_month = real_date(y, b, a), real_date(y, a, b)
+        value = (
+            F.when(is_serial, from_serial(serial))
+            .when(iso, real_date(full_year(part(t, YEAR_MONTH_DAY, 1)), part(t, YEAR_MONTH_DAY, 2), part(t, YEAR_MONTH_DAY, 3)))
+            .when(dmy, F.coalesce(by_day, by_month)).when(named, real_date(full_year(part(t, NAMED_MONTH, 3)), month, part(t, NAMED_MONTH, 1)))
+        )
+        shape = F.when(is_serial, "number").when(dmy & by_day.isNotNull(), "text").when(dmy & by_month.isNotNull(), "swapped").when(iso | dmy, "shaped").when(t == "", "blank").otherwise("other")
+        return let(F.struct(value.alias("date"), shape.alias("shape")), told)
+
+    def told(r: Column) -> Column:
+        value, shape = r["date"], r["shape"]
+        note = (
+            F.when(shape == "blank", F.lit(None).cast("string")).when(shape == "swapped", "only makes sense month first")
+            .when(value.isNull() & (shape == "shaped"), "not a real date").when(value.isNull(), "could not be read as a date")
+            .when((F.year(value) < 2000) | (F.year(value) > int(today[:4]) + 1), "an unlikely year")
+        )
+        ordered, d, m = shape.isin("number", "text"), F.day(value), F.month(value)
+        return F.struct(
+            value.alias("date"), note.alias("note"), F.when(ordered, shape).alias("kind"), (ordered & (d > 12)).alias("day_over_12"), (ordered & (d <= 12) & (m <= 12) & (d != m)).alias("either_way")
+        )
+
+    return let(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\A(?U:\s)+|(?U:\s)+\z", ""), r"(?U)\s+", " "), read)
 
 
 def month_of(d: Column) -> Column:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: an amount as statements print it, grouped or plain, with exactly two decimals.
 PRINTED = r"^(?:\d{1,3}(?:,\d{3})+|\d+)\.\d{2}\z"
-#: Fixed value: a cell's amount once signs and units are off.
-CELL = r"^(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{1,2})?\z"
+#: Fixed value: a cell's amount once units and brackets are off: sign, figure, trailing minus, side.
+SIGNED_CELL = r"(?i)^([+*-]?)((?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{1,2})?)(-?)(dr|cr|)\z"
 #: Thai digits, and the units that stand beside amounts.
 THAI_DIGITS, WESTERN_DIGITS = "๐๑๒๓๔๕๖๗๘๙", "0123456789"
 UNITS = "(?i)฿|thb|บาท"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it occurs there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, r"\A(?U:\s)+|(?U:\s)+\z", "")
@@ -68,25 +75,21 @@ def money_cell(c: Column) -> Column:
     Brackets, Dr and a minus at either end mean '-', Cr and a plus '+'; a star, units and Thai
     digits are taken off.  More than two decimals, or blanks between digits, make it ``bad``.
     """
-    plain = trim(F.regexp_replace(trim(F.coalesce(c, F.lit(""))), UNITS, ""))
-    inner = plain.rlike(r"\d(?U:\s)+\d")
-    t = F.regexp_replace(plain, r"(?U)\s+", "")
-    blank = t.isin("", "-", "–") & ~inner
-    bracket = t.rlike(r"^\(.*\)\z")
-    u = F.when(bracket, t.substr(F.lit(2), F.length(t) - 2)).otherwise(t)
-    side = F.lower(F.right(u, F.lit(2)))
-    v = F.when(side.isin("dr", "cr"), u.substr(F.lit(1), F.length(u) - 2)).otherwise(u)
-    head = v.substr(1, 1)
-    w = F.when(head.isin("+", "-", "*"), v.substr(F.lit(2), F.length(v))).otherwise(v)
-    tail = w.endswith("-")
-    x = F.translate(F.when(tail, w.substr(F.lit(1), F.length(w) - 1)).otherwise(w), THAI_DIGITS, WESTERN_DIGITS)
-    sign = F.when(tail, "-").when(head.isin("+", "-"), head).when(side == "dr", "-").when(side == "cr", "+").when(bracket, "-")
-    good = x.rlike(CELL) & ~inner & ~blank
-    parts = F.split(F.regexp_replace(x, ",", ""), r"\.")
-    cents = parts[0].try_cast("bigint") * 100 + F.rpad(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), 2, "0").try_cast("bigint")
-    return F.struct(
-        F.when(good, cents).alias("cents"), F.when(good, sign).alias("sign"), F.when(~good & ~blank, c).alias("bad"), blank.alias("blank")
-    )
+
+    def read(plain: Column) -> Column:
+        inner = plain.rlike(r"\d(?U:\s)+\d")
+        t = F.translate(F.regexp_replace(plain, r"(?U)\s+", ""), THAI_DIGITS, WESTERN_DIGITS)
+        blank = t.isin("", "-", "–") & ~inner
+        u = F.regexp_replace(t, r"^\((.*)\)\z", "$1")
+        part = lambda k: F.regexp_extract(u, SIGNED_CELL, k)
+        head, tail, side = part(1), part(3), F.lower(part(4))
+        sign = F.when(tail == "-", "-").when(head.isin("+", "-"), head).when(side == "dr", "-").when(side == "cr", "+").when(t.startswith("("), "-")
+        good = u.rlike(SIGNED_CELL) & ~inner & ~blank
+        amount = F.split(F.regexp_replace(part(2), ",", ""), r"\.")
+        cents = amount[0].try_cast("bigint") * 100 + F.rpad(F.coalesce(F.get(amount, F.lit(1)), F.lit("")), 2, "0").try_cast("bigint")
+        return F.struct(F.when(good, cents).alias("cents"), F.when(good, sign).alias("sign"), F.when(~good & ~blank, c).alias("bad"), blank.alias("blank"))
+
+    return let(trim(F.regexp_replace(trim(F.coalesce(c, F.lit(""))), UNITS, "")), read)
 
 
 def repair_money(c: Column) -> Column:

@@ -402,12 +402,12 @@ def date_texts(spark, sf_dir):
 
 
 DATE_SQL = f"""o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, day(o_orderdate) AS dd, month(o_orderdate) AS mm, year(o_orderdate) AS yy, strftime(o_orderdate, '%b') AS mon, date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS serial FROM orders),
-t AS (SELECT *, {CELLS.format(s='VARCHAR')} AS cell, CASE WHEN k % 9 = 4 AND mm > 12 THEN NULL WHEN k % 9 = 4 AND dd <= 12 THEN make_date(yy, dd, mm) WHEN k % 9 IN (5, 6, 7) THEN NULL ELSE day END AS date FROM o)"""
+t AS (SELECT *, {CELLS.format(s='VARCHAR')} AS cell, CASE WHEN k % 9 = 4 AND mm > 12 THEN NULL WHEN k % 9 = 4 AND dd <= 12 THEN make_date(yy, dd, mm) WHEN k % 9 IN (5, 6, 7) THEN NULL WHEN k % 9 = 8 THEN TRY_CAST((CASE WHEN (yy + 543) % 100 >= 60 THEN 1957 ELSE 2000 END + (yy + 543) % 100) || '-' || mm || '-' || dd AS DATE) ELSE day END AS date FROM o)"""
 
 
-@query(f"""WITH {DATE_SQL} SELECT k, cell, date, CASE WHEN k % 9 = 6 THEN NULL WHEN k % 9 = 4 AND dd > 12 THEN 'only makes sense month first' WHEN k % 9 = 5 THEN 'not a real date' WHEN k % 9 = 7 THEN 'could not be read as a date' WHEN year(date) < 2000 THEN 'an unlikely year' END AS note,
-  CASE WHEN k % 9 = 2 THEN 'number' WHEN k % 9 IN (0, 8) OR k % 9 = 4 AND dd <= 12 THEN 'text' END AS kind,
-  (k % 9 IN (0, 2, 8) OR k % 9 = 4 AND dd <= 12) AND day(date) > 12 AS day_over_12, (k % 9 IN (0, 2, 8) OR k % 9 = 4 AND dd <= 12) AND day(date) <= 12 AND day(date) <> month(date) AS either_way FROM t""")
+@query(f"""WITH {DATE_SQL} SELECT k, cell, date, CASE WHEN k % 9 = 6 THEN NULL WHEN k % 9 = 4 AND dd > 12 THEN 'only makes sense month first' WHEN k % 9 = 5 OR k % 9 = 8 AND date IS NULL THEN 'not a real date' WHEN k % 9 = 7 THEN 'could not be read as a date' WHEN year(date) < 2000 OR year(date) > 2027 THEN 'an unlikely year' END AS note,
+  CASE WHEN k % 9 = 2 THEN 'number' WHEN k % 9 = 0 OR k % 9 = 8 AND date IS NOT NULL OR k % 9 = 4 AND dd <= 12 THEN 'text' END AS kind,
+  COALESCE((k % 9 IN (0, 2, 8) OR k % 9 = 4 AND dd <= 12) AND day(date) > 12, false) AS day_over_12, COALESCE((k % 9 IN (0, 2, 8) OR k % 9 = 4 AND dd <= 12) AND day(date) <= 12 AND day(date) <> month(date), false) AS either_way FROM t""")
 def date_cell(spark, sf_dir):
     d = date_texts(spark, sf_dir).select("k", "cell", F.inline(F.array(dates.date_cell(F.col("cell")))))
     return d.select("k", "cell", "date", "note", "kind", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("day_over_12", "either_way")])
@@ -442,7 +442,7 @@ def short_dates(spark, sf_dir):
 TOKENS = "SELECT DISTINCT unnest(string_split_regex(text, '[ \n]+')) AS token FROM documents"
 
 
-@query(f"""WITH t AS ({TOKENS}), m AS (SELECT token, regexp_replace(token, '[\s-]', '', 'g') AS marks FROM t)
+@query(f"""WITH t AS ({TOKENS}), m AS (SELECT token, regexp_replace(token, '[ -]', '', 'g') AS marks FROM t)
 SELECT token, right(regexp_replace(token, '[^0-9xX*]', '', 'g'), 4) AS masked, regexp_full_match(marks, '[0-9xX*]{{10,12}}') AND CASE WHEN regexp_matches(marks, '[xX*]') THEN length(regexp_replace(marks, '[^0-9]', '', 'g')) >= 6 ELSE true END AS is_account
 FROM m WHERE regexp_matches(token, '[0-9]')""")
 def account_shape(spark, sf_dir):
@@ -456,7 +456,7 @@ def remark_cut(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.remark(first, F.col("role")).alias("remark"), text.xml_escape(F.left("text", F.lit(80))).alias("escaped"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '[^/\\]*$') AS base, lower(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[\s_]+', '', 'g')) AS squashed FROM pages""")
+@query("""SELECT page_id, regexp_extract(url, '[^/]*$') AS base, lower(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[[:space:]_]+', '', 'g')) AS squashed FROM pages""")
 def url_names(spark, sf_dir):
     title = F.regexp_extract("html", "<title>([^<]*)", 1)
     return table(spark, sf_dir, "pages").select("page_id", text.basename(F.col("url")).alias("base"), text.squash(title).alias("squashed"))
@@ -502,11 +502,11 @@ def best_heading(spark, sf_dir):
     return d.select("file", "header", said.alias("roles"))
 
 
-@query(f"""WITH {DATE_SQL}, r AS (SELECT k // 500 AS file, CASE WHEN k % 9 = 2 THEN 'number' ELSE 'text' END AS kind, date, day(date) > 12 AS over, k % 9 = 4 AND dd > 12 AS against FROM t WHERE k % 9 IN (0, 2, 8) OR k % 9 = 4 AND dd <= 12 AND k % 7 = 0),
+@query(f"""WITH {DATE_SQL}, r AS (SELECT k // 500 AS file, CASE WHEN k % 9 = 2 THEN 'number' ELSE 'text' END AS kind, date, day(date) > 12 AS over, k % 9 = 4 AND dd > 12 AS against FROM t WHERE date IS NOT NULL AND (k % 9 IN (0, 2, 8) OR k % 9 = 4 AND dd <= 12 AND k % 7 = 0)),
 g AS (SELECT file, kind, count(DISTINCT date) FILTER (over) AS proofs, date_diff('day', min(date) FILTER (over), max(date) FILTER (over)) AS span FROM r GROUP BY file, kind)
 SELECT file, kind, proofs, span, false AS against, proofs >= 2 AND COALESCE(span, 0) <= 45 AS proved FROM g""")
 def date_order_proof(spark, sf_dir):
-    d = date_texts(spark, sf_dir).where("k % 9 in (0, 2, 8) or k % 9 = 4 and dd <= 12 and k % 7 = 0").select("k", F.inline(F.array(dates.date_cell(F.col("cell")))))
+    d = date_texts(spark, sf_dir).where("k % 9 in (0, 2, 8) or k % 9 = 4 and dd <= 12 and k % 7 = 0").select("k", F.inline(F.array(dates.date_cell(F.col("cell"))))).where("date is not null")
     rows = d.select(F.floor(F.col("k") / 500).alias("file"), "kind", F.col("date").alias("day"), "day_over_12", (F.coalesce(F.col("note"), F.lit("")) == "only makes sense month first").alias("against"))
     return infer.date_order_proof(rows).withColumn("span", F.col("span").cast("bigint"))
 
