@@ -47,6 +47,9 @@ def located(docs: DataFrame) -> DataFrame:
 def _state_conf(spark: SparkSession) -> dict[str, str | None]:
     conf = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        # A store is closed after its task and its local files go; what lasts is in the shared folder.
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     }
