@@ -619,3 +619,84 @@ def oracle_diff(spark, sf_dir):
     both = d.join(r, d["doc_id"] == r["other"], "full")
     state = F.when(F.col("other").isNull(), "left only").when(F.col("doc_id").isNull(), "right only").when((F.col("n_chars") > 500) != (F.col("quality") == 1), "differs").otherwise("same")
     return both.select(F.coalesce("doc_id", "other").alias("doc_id"), state.alias("state"))
+
+
+# Files
+
+
+def statement_files(spark, sf_dir, kind: str) -> DataFrame:
+    """Each supplier's customers' orders as a table file's bytes, made by Spark: ``path, length, content``."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_nationkey as k", "c_custkey", "c_name", "cast(round(c_acctbal * 100) as bigint) as cents", "c_mktsegment as seg")
+    if kind == "csv":
+        line = F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit(';""'), "seg", F.lit('"""')), money.fmt_money(F.col("cents")))
+        head, sep, ext = F.lit("key;name;balance\r\n"), "\r\n", ".csv"
+    else:
+        cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+        line = F.concat(F.lit("<TR>"), cell(F.col("c_custkey").cast("string")), cell(F.concat(F.lit(" <b>"), "c_name", F.lit("</b>;<br/>&quot;"), "seg", F.lit("&quot;\n"))), cell(money.fmt_money(F.col("cents"))), F.lit("</TR>"))
+        head, sep, ext = F.lit("<table><tr><th>key<th>name<th>balance</tr>"), "", ".xls"
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("l")))), lambda x: x["l"]), sep)
+    body = c.groupBy(F.col("k"), F.pmod("c_custkey", F.lit(40)).alias("part")).agg(F.concat(head, lines).cast("binary").alias("content"))
+    return body.select(F.concat(F.col("k").cast("string"), F.lit("-"), F.col("part").cast("string"), F.lit(ext)).alias("path"), F.octet_length("content").cast("bigint").alias("length"), "content")
+
+
+def read_back(files: DataFrame) -> DataFrame:
+    from ..sources.tables import cells
+
+    found = cells(files).where("error is null and row > 0")
+    value = F.coalesce("s", F.regexp_replace(F.col("n").cast("decimal(20,2)").cast("string"), r"\.00\z", ""))
+    return found.groupBy("file", "row").agg(*[F.max(F.when(F.col("col") == i, value)).alias(name) for i, name in enumerate(("key", "name", "balance"))]).drop("row")
+
+
+FILES_SQL = """SELECT c_nationkey || '-' || c_custkey % 40 || '{0}' AS file, CAST(c_custkey AS VARCHAR) AS key, c_name || ';{1}"' || c_mktsegment || '"' AS name, {2} AS balance FROM (SELECT *, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer)"""
+
+
+@query(FILES_SQL.format(".csv", "", _m("cents")))
+def csv_tables(spark, sf_dir):
+    return read_back(statement_files(spark, sf_dir, "csv"))
+
+
+@query(FILES_SQL.format(".xls", " ", _m("cents")))
+def html_tables(spark, sf_dir):
+    return read_back(statement_files(spark, sf_dir, "html"))
+
+
+@query("""SELECT c_custkey % 64 || '.xlsx' AS file, CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS VARCHAR) AS balance FROM customer""")
+def workbook_round_trip(spark, sf_dir):
+    from ..sinks.workbooks import files
+
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey % 64 as part", "c_custkey as key", "c_name as name", "cast(round(c_acctbal * 100) as bigint) as balance")
+    return read_back(files(c, "part", ["key"], ["key", "name", "balance"]))
+
+
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[[:space:]]+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), ' +', ' ', 'g'), ' ') AS text FROM pages""")
+def html_entity_text(spark, sf_dir):
+    t = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[ \t\n\x0B\f\r]+", " ")
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(name), F.lit(char))
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(t, " +", " ")).alias("text"))
+
+
+# Streams
+
+
+@query("""SELECT user_id AS stmt_id, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL""")
+def stream_daily(spark, sf_dir):
+    from ..streaming.ledger_stream import daily_windows, latest, run
+
+    # A pattern, as the stream's source takes a single file only so.
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").select(F.col("user_id").alias("stmt_id"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    return latest(run(spark, daily_windows(events), "update", "stream-daily"), "stmt_id", "day")
+
+
+@query(f"""WITH l AS ({LEDGER}), k AS (SELECT stmt_id, seq, amount, balance, COALESCE(LAG(balance) OVER (PARTITION BY stmt_id ORDER BY seq), 0) AS before FROM l WHERE balance IS NOT NULL)
+SELECT stmt_id, seq, amount, balance, CASE WHEN abs(balance - before) = amount THEN 'proved' ELSE 'broken' END AS state FROM k""")
+def stream_chain(spark, sf_dir):
+    from ..scratch import scratch
+    from ..streaming.ledger_stream import chain_stream, run
+
+    rows = ledger(spark, sf_dir).where("balance is not null").select("stmt_id", "seq", "amount", "balance")
+    path = scratch(spark, "stream-ledger")
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    return run(spark, chain_stream(stream), "append", "stream-chain").drop("batch")
