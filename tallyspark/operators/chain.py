@@ -10,16 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
 from ..functions.money import fmt_money, sum_text
 
-STATEMENT = W.partitionBy("stmt_id").orderBy("seq")
-BEFORE = STATEMENT.rowsBetween(W.unboundedPreceding, -1)
+
+def statement() -> WindowSpec:
+    """A statement's rows in order."""
+    return W.partitionBy("stmt_id").orderBy("seq")
+
+
+def above() -> WindowSpec:
+    """The rows above in the statement."""
+    return statement().rowsBetween(W.unboundedPreceding, -1)
 
 
 def drop_zero_lines(rows: DataFrame) -> DataFrame:
     """``rows`` with ``moves_nothing``: amount 0, no tax, and the balance is the last known one."""
-    known = F.coalesce(F.last("balance", ignorenulls=True).over(BEFORE), F.col("opening"))
+    known = F.coalesce(F.last("balance", ignorenulls=True).over(above()), F.col("opening"))
     idle = (F.col("amount") == 0) & (F.coalesce("tax", F.lit(0)) == 0) & (F.col("balance") == known)
     return rows.withColumn("moves_nothing", F.coalesce(idle, F.lit(False)))
 
@@ -42,8 +50,8 @@ def verify_chain(rows: DataFrame, split: float | None = None, deposit_first: boo
     in_order = group.orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     known = F.max(F.when(signed.isNull(), F.col("seq"))).over(group).isNull()
     d = (
-        chained.withColumn("running", F.coalesce(F.last("balance", ignorenulls=True).over(BEFORE), F.col("opening")))
-        .withColumn("grp", F.count("balance").over(BEFORE))
+        chained.withColumn("running", F.coalesce(F.last("balance", ignorenulls=True).over(above()), F.col("opening")))
+        .withColumn("grp", F.count("balance").over(above()))
         .withColumn("grp_size", F.count(F.lit(1)).over(group)).withColumn("closing", F.max("balance").over(group))
         .withColumn("first_gap", F.min(F.when(signed.isNull(), F.col("seq"))).over(group))
         .withColumn("net", F.sum(signed).over(group)).withColumn("sides_known", known)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import fmt_money, sum_text
-from .chain import STATEMENT
+from .chain import statement
 
 #: Statuses, best first.
 STATUSES = ("green", "yellow", "partial", "red")
@@ -14,7 +14,7 @@ STATUSES = ("green", "yellow", "partial", "red")
 
 def totals(rows: DataFrame) -> DataFrame:
     """One row per statement: sums and counts by direction (tax apart), proved rows, dates out of order, closing."""
-    d = rows.withColumn("_above", F.lag("day").over(STATEMENT))
+    d = rows.withColumn("_above", F.lag("day").over(statement()))
     own = ~F.col("is_tax")
     n = lambda c: F.count(F.when(c, 1))
     return d.groupBy("stmt_id").agg(
