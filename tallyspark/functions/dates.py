@@ -120,3 +120,21 @@ def month_of(d: Column) -> Column:
 
 def printed(d: Column) -> Column:
     return F.date_format(d, "dd/MM/yyyy")
+
+
+def period(c: Column) -> Column:
+    """A printed period -> struct(period_from, period_to): two dates (either calendar), else month names with years.
+
+    Months stand for their first and last day.  Anything else than two dates or months is NULL.
+    """
+    found = F.regexp_extract_all(c, F.lit(r"(\d{1,2}/\d{1,2}/\d{4})"), F.lit(1))
+    named = F.regexp_extract_all(c, F.lit(r"(?i)\b([a-z]{3} \d{4})\b"), F.lit(1))
+    p = r"^(\d{1,2})/(\d{1,2})/(\d{4})\z"
+    day = lambda t: real_date(western(part(t, p, 3)), part(t, p, 2), part(t, p, 1))
+    months = F.create_map(*[F.lit(x) for m in list(MONTHS)[:12] for x in (m, MONTHS[m])])
+    month = lambda t: real_date(western(part(t, r"(\d{4})\z", 1)), F.try_element_at(months, F.lower(F.left(t, F.lit(3)))), F.lit(1))
+    by_day, by_month = F.size(found) == 2, (F.size(found) == 0) & (F.size(named) >= 1)
+    return F.struct(
+        F.when(by_day, day(F.get(found, F.lit(0)))).when(by_month, month(F.get(named, F.lit(0)))).alias("period_from"),
+        F.when(by_day, day(F.get(found, F.lit(1)))).when(by_month, F.last_day(month(F.try_element_at(named, F.lit(-1))))).alias("period_to"),
+    )

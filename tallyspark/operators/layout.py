@@ -15,21 +15,22 @@ def gap_clusters(points: DataFrame, key: str, value: str, gap: float, tie: str)
 
 
 def mean_clusters(points: DataFrame, key: str, value: str, reach: float) -> DataFrame:
-    """``key, cluster, n, mean``: values in order join the running cluster while within ``reach`` of its mean.
+    """``key, cluster, n, mean, low, high``: values in order join the running cluster while within ``reach`` of its mean.
 
     The mean moves with each value, so this is a fold over a key's sorted values (a page's lines).
     """
-    kind = "array<struct<n:bigint,total:double>>"
+    kind = "array<struct<n:bigint,total:double,low:double,high:double>>"
 
     def step(acc, v):
-        joins = (F.size(acc) > 0) & (F.abs(v - F.try_element_at(acc, F.lit(-1))["total"] / F.try_element_at(acc, F.lit(-1))["n"]) <= reach)
+        last = F.try_element_at(acc, F.lit(-1))
+        joins = (F.size(acc) > 0) & (F.abs(v - last["total"] / last["n"]) <= reach)
         head = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        grown = F.struct((F.try_element_at(acc, F.lit(-1))["n"] + 1).alias("n"), (F.try_element_at(acc, F.lit(-1))["total"] + v).alias("total"))
-        fresh = F.struct(F.lit(1).cast("bigint").alias("n"), v.cast("double").alias("total"))
+        grown = F.struct((last["n"] + 1).alias("n"), (last["total"] + v).alias("total"), last["low"].alias("low"), v.cast("double").alias("high"))
+        fresh = F.struct(F.lit(1).cast("bigint").alias("n"), v.cast("double").alias("total"), v.cast("double").alias("low"), v.cast("double").alias("high"))
         return F.when(joins, F.concat(head, F.array(grown))).otherwise(F.concat(acc, F.array(fresh))).cast(kind)
 
     folded = points.groupBy(key).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("v")).select(key, F.aggregate("v", F.array().cast(kind), step).alias("c"))
-    return folded.select(key, F.posexplode("c").alias("cluster", "x")).select(key, "cluster", F.col("x.n").alias("n"), (F.col("x.total") / F.col("x.n")).alias("mean"))
+    return folded.select(key, F.posexplode("c").alias("cluster", "x")).select(key, "cluster", F.col("x.n").alias("n"), (F.col("x.total") / F.col("x.n")).alias("mean"), F.col("x.low").alias("low"), F.col("x.high").alias("high"))
 
 
 def to_columns(words: DataFrame, columns: DataFrame) -> DataFrame:
