@@ -11,9 +11,15 @@ _local: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """A fresh path under the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset (a local session, as in tests) a temporary folder of this machine is
+    used, one for each application.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-ledger-")
-        _local[spark.sparkContext.applicationId] = base
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="spark-tally-")
+        base = _local[app]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
