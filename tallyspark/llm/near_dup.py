@@ -1,26 +1,25 @@
 """MinHash near-dedup: multi-index Hamming join of b-bit signatures, exact confirmation, components.
 
 A document's set holds the hashes (64 bits) of its distinct word shingles.  Its
-signature has ``SYMBOLS`` b-bit symbols (b = 16), each from one minimum over the
-set.  Signatures are split into ``CHUNKS`` chunks of ``WIDTH`` symbols; a pair
-that differs in at most ``CHUNKS * 2 - 1`` symbols has, by pigeonhole, a chunk
-with at most one differing symbol.  That error is enumerated: each chunk is
-indexed with each one of its symbols left out.  So every pair of signatures
-within that distance meets in the index (two texts at similarity 0.8 fail to
-with a chance of about 1e-6).
+signature has ``SYMBOLS`` symbols from as many minima over the set: 16 bits each of
+the first ``INDEXED``, 8 bits of the others.  The indexed ones are split into
+``CHUNKS`` chunks of ``WIDTH``; a pair that differs in at most ``CHUNKS * 2 - 1`` of
+them has, by pigeonhole, a chunk with at most one differing symbol.  That error is
+enumerated: each chunk is indexed with each one of its symbols left out.  So every
+pair within that distance meets in a cell of the index (two texts at similarity 0.8
+fail to with a chance of about 1e-6).
 
 Meetings of many are not expanded into pairs.  Documents with equal sets are one
-representative.  Each representative first tries the nearest of the smallest
-members of its index cells, and confirmed links give a forest.  Then only pairs
-from different trees that meet in a cell are compared: large cells are dealt in
-blocks, signatures are compared inside the tasks, and only near pairs leave them.
-Every link is confirmed on the full sets of both texts.
+representative.  In a few rounds, each representative tries the head it meets in most
+cells (heads are members of a cell's smallest tree), and confirmed links join trees.
+Then only pairs of different trees that still meet in a cell are compared, all of
+them: large cells are dealt in blocks, signatures are compared inside the tasks, and
+only near pairs leave them.  Every link is confirmed on the full sets of both texts.
 
 Nulls and texts without words: an empty set, linked with nothing.  A null id: the
 row takes part in nothing and is returned with itself as component (null).
-Repeated ids: rows of one id are one document if their sets are equal; otherwise
-each row has its own set, and all are one component by their common id.  Ties:
-the smallest id is the component's.  Empty tables: no rows.  Other columns are
+Repeated ids: all rows of one id are one document, linked where one of its texts is.
+Ties: the smallest id is the component's.  Empty tables: no rows.  Other columns are
 ignored.
 """
 
@@ -36,9 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import keep, text_or_empty
 
-SYMBOLS, CHUNKS, WIDTH = 32, 8, 4
-#: Pairs of signatures that differ in more symbols are no candidates (similarity 0.8: a chance of about 1e-6).
-FARTHEST = 18
+SYMBOLS, INDEXED, CHUNKS, WIDTH = 256, 32, 8, 4
+#: Pairs of signatures that differ in more symbols are no candidates (similarity 0.8: a chance of less than 1e-6).
+FARTHEST = 85
+#: Rounds in which trees are joined before all pairs of different trees are compared.
+ROUNDS = 4
+#: Requests for texts up to which they are broadcast (some 40 bytes each, 8 MB in all); more are joined by a shuffle.
+FEW = 200_000
 #: Members of an index cell that are compared in one block.
 BLOCK = 256
 #: Members of a star whose sets are compared with one copy of the centre's text.
@@ -126,16 +129,22 @@ def _distinct(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(texts, SYMBOLS) 16-bit symbols of the minima; only rows of texts with shingles mean something."""
-    out = np.zeros((len(first) - 1, SYMBOLS), np.uint16)
+    """A row of bytes for each text: its symbols; only rows of texts with shingles mean something."""
+    out = np.zeros((len(first) - 1, SYMBOLS + INDEXED), np.uint8)
     some = np.flatnonzero(np.diff(first))
     if len(some):
-        for k in range(SYMBOLS):
-            least = np.minimum.reduceat(hashes * _odd[k] + _add[k], first[some])
-            out[some, k] = (_mix(least) >> np.uint64(48)).astype(np.uint16)
+        least = np.stack([_mix(np.minimum.reduceat(hashes * _odd[k] + _add[k], first[some])) for k in range(SYMBOLS)], axis=1)
+        out[some, : 2 * INDEXED] = (least[:, :INDEXED] >> np.uint64(48)).astype("<u2").view(np.uint8)
+        out[some, 2 * INDEXED :] = (least[:, INDEXED:] >> np.uint64(56)).astype(np.uint8)
     return out
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexed symbols and the others of a column of signatures."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SYMBOLS + INDEXED)
+    return np.ascontiguousarray(rows[:, : 2 * INDEXED]).view("<u2"), rows[:, 2 * INDEXED :]
+
+
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,64 +164,54 @@ def _sketches(words: int):
     return run
 
 
-def _cell_keys(signs: np.ndarray) -> np.ndarray:
-    """(n, CHUNKS * WIDTH) keys: each chunk with one symbol left out, in a fixed order."""
-    keys = np.empty((len(signs), CHUNKS * WIDTH), np.uint64)
-    wide = signs.astype(np.uint64)
-    for c in range(CHUNKS):
-        for out in range(WIDTH):
-            k = np.full(len(signs), c * WIDTH + out, np.uint64)
-            for j in range(WIDTH):
-                if j != out:
-                    k = (k << np.uint64(16) | wide[:, c * WIDTH + j]) if j else wide[:, c * WIDTH] | k << np.uint64(16)
-            keys[:, c * WIDTH + out] = _mix(_mix(k) + np.uint64(c * WIDTH + out))
-    return keys
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-
-
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, tree, sign -> a row for each index cell: cell, doc_id, tree."""
+    """doc_id, sign -> a row for each index cell: cell, slot (chunk and symbol left out), doc_id."""
     for whole in batches:
         for start in range(0, whole.num_rows, 2000):
             batch = whole.slice(start, 2000)
-            keys = _cell_keys(_matrix(batch.column(2)))
-            take = pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], ["cell", "doc_id", "tree"])
-
-
-def _similar_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+            signs = _matrix(batch.column(1))[0].astype(np.uint64)
+            keys = np.empty((len(signs), INDEXED), np.uint64)
+            for slot in range(INDEXED):
+                c, out = divmod(slot, WIDTH)
+                key = np.full(len(signs), slot, np.uint64)
+                for j in range(WIDTH):
+                    if j != out:
+                        key = _mix(key * _GOLDEN + signs[:, c * WIDTH + j])
+                keys[:, slot] = key
+            slots = np.tile(np.arange(INDEXED, dtype=np.int32), len(signs))
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(signs)), INDEXED)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(slots), ids], ["cell", "slot", "doc_id"])
 
 
 def _compare_blocks(percent: int):
-    """Near pairs of different trees in each block: (cell, left, right) groups come sorted together."""
+    """Rows of blocks, sorted (cell, left_part, right_part, slot, part, doc_id, n_shingles, sign, tree) -> near pairs of different trees."""
 
     def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
-        left, block, ids, n, tree = (np.asarray(t[k]) for k in ("left_part", "part", "doc_id", "n_shingles", "tree"))
-        right = int(t["right_part"][0].as_py())
-        signs, cell = _matrix(t["sign"]), int(t["cell"][0].as_py())
-        own = _cell_keys(signs).view(np.int64)
-        which = int(np.flatnonzero((own == cell).all(axis=0))[0]) if len(own) else 0
-        a, b = np.flatnonzero(block == left[0]), np.flatnonzero(block == right)
-        same = left[0] == right
-        out: list[tuple[int, int]] = []
-        for i in a:
-            others = b[b > i] if same else b
-            others = others[(tree[others] != tree[i])]
-            others = others[_similar_sizes(n[others], n[i], percent)]
-            if not len(others):
-                continue
-            others = others[(signs[others] != signs[i]).sum(axis=1) <= FARTHEST]
-            if not len(others):
-                continue
-            first = (own[others] == own[i]).argmax(axis=1)  # the pair is told by the first cell it meets in
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in others[first == which]]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+        if len(t) < 2:
+            return
+        part, ids, n, tree = (np.asarray(t[k]) for k in ("part", "doc_id", "n_shingles", "tree"))
+        left, right, slot = (t[k][0].as_py() for k in ("left_part", "right_part", "slot"))
+        if left == right:
+            i, j = np.triu_indices(len(ids), 1)
+        else:
+            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(part == left), np.flatnonzero(part == right), indexing="ij"))
+        fit = (tree[i] != tree[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[fit], j[fit]
+        if not len(i):
+            return
+        signs, more = _matrix(t["sign"])
+        same = (signs[i] == signs[j]).reshape(-1, CHUNKS, WIDTH)
+        count = same.sum(axis=2)
+        far = INDEXED - count.sum(axis=1) + (more[i] != more[j]).sum(axis=1)
+        # A pair that meets in several cells is told by the first.
+        chunk = (count >= WIDTH - 1).argmax(axis=1)
+        at = np.arange(len(i))
+        out = np.where(count[at, chunk] == WIDTH, 0, (~same[at, chunk]).argmax(axis=1))
+        told = (far <= FARTHEST) & (chunk * WIDTH + out == slot)
+        if told.any():
+            x, y = ids[i[told]], ids[j[told]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -273,22 +272,13 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, words: int, percent: int, lab
     dealt = keep(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)).cast("int").alias("part")), f"{label}-dealt")
     members = dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role"), "b")
     centres = dealt.select("a", "part").distinct().select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("role"), F.col("a").alias("b"))
-    rows = members.unionByName(centres).join(texts, "doc_id").select("a", "part", "role", "b", "text")
+    wanted = keep(members.unionByName(centres), f"{label}-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    rows = texts.join(wanted, "doc_id").select("a", "part", "role", "b", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return keep(rows.mapInArrow(_confirm(words, percent), "a long, b long"), f"{label}-links")
 
 
-def _roots(forest: DataFrame, label: str) -> DataFrame:
-    """(b, a) with one smaller parent a for each b -> (doc_id, root): pointers are doubled until none moves."""
-    now = keep(forest.select(F.col("b").alias("doc_id"), F.col("a").alias("root")), f"{label}-roots")
-    while True:
-        above = now.select(F.col("doc_id").alias("root"), F.col("root").alias("above"))
-        step = keep(now.join(above, "root", "left").select("doc_id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), f"{label}-roots")
-        now = step.drop("moved")
-        if step.where("moved").isEmpty():
-            return now
-
-
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(a, b) links -> (node, root): smallest node reachable, for each node that has a link.
 
@@ -319,54 +309,67 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # Equal sets are one representative.
     named = sketches.where("digest is not null and doc_id is not null")
     least = keep(named.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sign")).alias("r")).select("digest", "r.*"), "near-least")
-    reps = least.select("doc_id", "n_shingles", "sign")
-
-    # Each representative tries the nearest of the smallest members of its cells.
-    cells = reps.select("doc_id", F.col("doc_id").alias("tree"), "sign").mapInArrow(_cells, "cell long, doc_id long, tree long").drop("tree")
-    heads = keep(cells.groupBy("cell").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "near-heads")
-    met = keep(cells.join(heads, "cell").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "near-met")
-    tries = (
-        met.join(reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("b_n"), F.col("sign").alias("b_sign")), "b")
-        .join(reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("a_n"), F.col("sign").alias("a_sign")), "a")
-        .where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-        .select("a", "b", "a_sign", "b_sign").mapInArrow(_distances, "a long, b long, far int")
-        .groupBy("b").agg(F.min(F.struct("far", "a")).alias("t")).select("t.a", "b")
-    )
-    links = _confirmed(texts, tries, words, percent, "near-star")
-    trees = _roots(links, "near-star")
-    planted = keep(reps.join(trees, "doc_id", "left").withColumn("tree", F.coalesce("root", "doc_id")).drop("root"), "near-trees")
-
-    # Pairs of different trees that meet in a cell, compared in blocks.
-    again = planted.select("doc_id", "tree", "sign").mapInArrow(_cells, "cell long, doc_id long, tree long")
-    mixed = again.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("tree").alias("low"), F.max("tree").alias("high")).where("low < high")
-    mixed = keep(mixed.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "near-mixed")
-    member = again.drop("tree").join(mixed, "cell").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    member = keep(member.join(planted, "doc_id"), "near-members")
+    signs = least.select("doc_id", "n_shingles", "sign")
+    trees = least.select("doc_id", F.col("doc_id").alias("tree")).distinct()
+
+    # Trees are joined by what is nearest: round by round, in the cells where different trees meet.
+    cells = signs.select("doc_id", "sign").mapInArrow(_cells, "cell long, slot int, doc_id long")
+    seen = cells.withColumn("tree", F.col("doc_id"))
+    for number in range(ROUNDS):
+        label = f"near-{number}"
+        heads = seen.groupBy("cell").agg(F.min(F.struct("tree", F.xxhash64("cell", "doc_id").alias("draw"), "doc_id")).alias("head"), F.max("tree").alias("high"))
+        heads = heads.where("head.tree < high").select("cell", F.col("head.doc_id").alias("a"), F.col("head.tree").alias("a_tree"))
+        mixed = keep(seen.join(keep(heads, f"{label}-heads"), "cell"), f"{label}-mixed")
+        # Of a document's heads, the one it meets in most cells; one pair each, whatever the size of a cell.
+        met = mixed.where("tree <> a_tree").groupBy(F.col("doc_id").alias("b"), "a").agg(F.count(F.lit(1)).alias("n"))
+        nearest = met.groupBy("b").agg(F.min(F.struct((-F.col("n")).alias("most"), "a"))["a"].alias("a"))
+        tries = (
+            nearest.join(signs.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("b_n"), F.col("sign").alias("b_sign")), "b")
+            .join(signs.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("a_n"), F.col("sign").alias("a_sign")), "a")
+            .where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+            .select("a", "b", "a_sign", "b_sign").mapInArrow(_near, "a long, b long")
+        )
+        tries = keep(tries, f"{label}-tries")
+        shared = mixed.select("cell", "slot", "doc_id")
+        if tries.isEmpty():
+            break
+        trees = _joined(trees, _confirmed(texts, tries, words, percent, label), label)
+        seen = shared.join(trees, "doc_id")
+
+    # All pairs of different trees that still meet, compared in blocks.
+    still = shared.join(trees, "doc_id").join(signs, "doc_id")
+    sizes = still.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("tree").alias("low"), F.max("tree").alias("high")).where("low < high")
+    sizes = keep(sizes.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "near-sizes")
+    member = keep(still.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")), "near-members")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     blocks = member.select("*", other).select(
-        "cell", F.least("part", "other").alias("left_part"), F.greatest("part", "other").alias("right_part"), "part", "doc_id", "n_shingles", "sign", "tree"
+        "cell", F.least("part", "other").alias("left_part"), F.greatest("part", "other").alias("right_part"), "slot", "part", "doc_id", "n_shingles", "sign", "tree"
     )
     sorted_blocks = blocks.repartition("cell", "left_part", "right_part").sortWithinPartitions("cell", "left_part", "right_part")
-    across = keep(sorted_blocks.mapInArrow(_compare_blocks(percent), "a long, b long").distinct(), "near-across")
-    more = _confirmed(texts, across, words, percent, "near-across")
-    root_of = planted.select("doc_id", "tree").distinct()
-    joined = (
-        more.join(root_of.select(F.col("doc_id").alias("a"), F.col("tree").alias("ra")), "a")
-        .join(root_of.select(F.col("doc_id").alias("b"), F.col("tree").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
-    )
-    merged = components(joined, "near-merged")
-    final = root_of.join(merged, root_of["tree"] == merged["node"], "left").select(F.col("doc_id").alias("rep"), F.coalesce("root", "tree").alias("component_id"))
-    by_set = keep(least.select("digest", F.col("doc_id").alias("rep")).join(final, "rep").select("digest", "component_id"), "near-by-set")
+    across = keep(sorted_blocks.mapInArrow(_compare_blocks(percent), "a long, b long"), "near-across")
+    trees = _joined(trees, _confirmed(texts, across, words, percent, "near-all"), "near-all")
+
+    by_set = keep(least.select("digest", "doc_id").join(trees, "doc_id").select("digest", F.col("tree").alias("component_id")), "near-by-set")
     out = sketches.join(by_set, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, sign, a_sign -> a, b and the number of differing symbols, where near enough."""
+def _joined(trees: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """(doc_id, tree) after the links' trees are one, named by its smallest document."""
+    edges = (
+        links.join(trees.select(F.col("doc_id").alias("a"), F.col("tree").alias("ra")), "a")
+        .join(trees.select(F.col("doc_id").alias("b"), F.col("tree").alias("rb")), "b")
+        .select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
+    )
+    merged = components(edges, label)
+    return keep(trees.join(merged, trees["tree"] == merged["node"], "left").select("doc_id", F.coalesce("root", "tree").alias("tree")), f"{label}-trees")
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, a_sign, b_sign -> a, b where the signatures differ in few symbols."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        far = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
-        near = pa.array(far <= FARTHEST)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near), pa.array(far[far <= FARTHEST].astype(np.int32))], ["a", "b", "far"])
+        if batch.num_rows:
+            (x, x_more), (y, y_more) = _matrix(batch.column(2)), _matrix(batch.column(3))
+            near = pa.array((x != y).sum(axis=1) + (x_more != y_more).sum(axis=1) <= FARTHEST)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
