@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     seen = cells.withColumn("tree", F.col("doc_id"))
     for number in range(ROUNDS):
         label = f"near-{number}"
-        heads = seen.groupBy("cell").agg(F.min(F.struct("tree", F.xxhash64("cell", "doc_id").alias("draw"), "doc_id")).alias("head"), F.max("tree").alias("high"))
+        heads = seen.groupBy("cell").agg(F.min(F.struct("tree", F.xxhash64(F.lit(number), "cell", "doc_id").alias("draw"), "doc_id")).alias("head"), F.max("tree").alias("high"))
         heads = heads.where("head.tree < high").select("cell", F.col("head.doc_id").alias("a"), F.col("head.tree").alias("a_tree"))
         mixed = keep(seen.join(keep(heads, f"{label}-heads"), "cell"), f"{label}-mixed")
         # Of a document's heads, the one it meets in most cells; one pair each, whatever the size of a cell.
