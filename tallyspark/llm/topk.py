@@ -7,8 +7,9 @@ the band's bounds - the quantised impact.  A query's product with a dimension is
 largest at one end of the bands, so its segments have an order by impact.
 
 A query reads a block's segments by descending impact over all dimensions, adding
-to each member's lower and upper bound.  Between times it tests for proof: only
-vectors whose upper bound reaches the k-th best lower bound can be members.  When
+to each member's lower bound; what a band leaves open is bounded by its width, and
+what is unread by the impact of the next segment.  Between times it tests for proof:
+only vectors whose upper bound reaches the k-th best lower bound can be members.  When
 few are left (or all segments are read), it stops and scores those exactly with
 their stored integers.  No member can be lost: a vector is dropped only when its
 upper bound is below k others' lower bounds, ties included.
@@ -37,7 +38,9 @@ from pyspark.sql.window import Window as W
 from .common import keep
 
 #: Vectors of an index block, queries of a batch, bands of a dimension.
-BLOCK, BATCH, LEVELS = 4096, 128, 16
+BLOCK, BATCH, LEVELS = 8192, 256, 128
+#: Shares of a block's postings after which proof is tried.
+TESTS = (0.78, 0.88, 1.0)
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -64,76 +67,87 @@ def _index(table: pa.Table) -> pa.Table:
     ids = np.asarray(table["vec_id"].combine_chunks())
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], _dense(table["v"])[order]
-    low, high = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(0), np.zeros(0))
-    band = ((x - low) * LEVELS // np.maximum(high - low + 1, 1)).astype(np.int32)
-    members = np.argsort(band, axis=0, kind="stable").astype(np.int32)  # by dimension, bands together
+    low, high = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    band = (x - low) * LEVELS // np.maximum(high - low + 1, 1)
+    members = np.argsort(band, axis=0, kind="stable").astype("<i4")  # by dimension, bands together
+    kind = "<i4" if not len(x) or not x.size or max(-int(low.min()), int(high.max())) < 1 << 31 else "<i8"
+    raw = lambda v, k: pa.array([np.ascontiguousarray(v).astype(k).tobytes()], pa.binary())
     return pa.table(
         {
-            "block": pa.array([table["block"][0].as_py()], pa.int64()), "n": pa.array([len(ids)], pa.int64()),
-            "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "x": pa.array([np.ascontiguousarray(x).astype("<i8").tobytes()], pa.binary()),
-            "band": pa.array([np.ascontiguousarray(band).astype("<i4").tobytes()], pa.binary()), "members": pa.array([np.ascontiguousarray(members.T).astype("<i4").tobytes()], pa.binary()),
+            "block": pa.array([table["block"][0].as_py()], pa.int64()), "n": pa.array([len(ids)], pa.int64()), "wide": pa.array([kind == "<i8"], pa.bool_()),
+            "ids": raw(ids, "<i8"), "x": raw(x, kind), "band": raw(band, "u1"), "members": raw(members.T, "<i4"),
         }
     )
 
 
 class Segments:
-    """An index block in memory, ready for queries."""
+    """An index block in memory, ready for queries; segments are numbered by dimension, then band."""
 
-    def __init__(self, n: int, ids: bytes, x: bytes, band: bytes, members: bytes):
+    def __init__(self, n: int, wide: bool, ids: bytes, x: bytes, band: bytes, members: bytes):
         self.ids = np.frombuffer(ids, "<i8")
-        self.x = np.frombuffer(x, "<i8").reshape(n, -1)
+        self.x = np.frombuffer(x, "<i8" if wide else "<i4").reshape(n, -1).astype(np.float64 if not wide else np.int64)
         self.width = self.x.shape[1]
-        band_of = np.frombuffer(band, "<i4").reshape(n, self.width)
-        self.members = np.frombuffer(members, "<i4").reshape(self.width, n)
-        self.starts = np.stack([np.searchsorted(band_of[self.members[d], d], np.arange(LEVELS + 1)) for d in range(self.width)]) if self.width else np.zeros((0, LEVELS + 1), int)
-        self.low = np.zeros((self.width, LEVELS), np.int64)
-        self.high = np.zeros((self.width, LEVELS), np.int64)
-        self.some = self.starts[:, 1:] > self.starts[:, :-1]
-        for d in range(self.width):
-            for b in np.flatnonzero(self.some[d]):
-                own = self.x[self.members[d, self.starts[d, b] : self.starts[d, b + 1]], d]
-                self.low[d, b], self.high[d, b] = own.min(), own.max()
-
-    def search(self, query: np.ndarray, own_id: int, k: int, few: int = 64, every: int = 96) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, ties to the smaller id."""
+        band_of = np.frombuffer(band, "u1").reshape(n, self.width)
+        self.members = np.frombuffer(members, "<i4").astype(np.int64)
+        self.segment = band_of.astype(np.int64) + np.arange(self.width) * LEVELS
+        self.size = np.bincount(self.segment.ravel(), minlength=self.width * LEVELS)
+        self.start = np.cumsum(self.size) - self.size
+        # Bounds of the values in each segment.
+        by_segment = np.sort(self.x, axis=0).T.ravel()
+        some = self.size > 0
+        self.low, self.high = np.zeros(len(self.size), self.x.dtype), np.zeros(len(self.size), self.x.dtype)
+        self.low[some] = by_segment[self.start[some]]
+        self.high[some] = by_segment[(self.start + self.size)[some] - 1]
+
+    def search(self, query: np.ndarray, own_id: int, k: int, few: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best, ties to the smaller id; segments are read until at most ``few`` rows are possible."""
         n = len(self.ids)
-        q = np.zeros(self.width, np.int64)
+        q = np.zeros(self.width, self.x.dtype)
         q[: min(self.width, len(query))] = query[: self.width]
         alive = self.ids != own_id
+        few = max(64, n // 16) if few is None else few
         if n > few and self.width:
-            alive = self._possible(q, alive, k, few, every)
+            alive = self._possible(q, alive, k, few)
         rows = np.flatnonzero(alive)
-        scores = self.x[rows] @ q
+        scores = (self.x[rows] @ q).astype(np.int64)
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows[best]], scores[best]
 
-    def _possible(self, q: np.ndarray, alive: np.ndarray, k: int, few: int, every: int) -> np.ndarray:
-        """Vectors that can be among the k best, found by reading segments until few are left."""
-        a, b = q[:, None] * self.low, q[:, None] * self.high
-        least, most = np.minimum(a, b), np.maximum(a, b)
-        floor = np.where(self.some, least, np.iinfo(np.int64).max).min(axis=1)
-        impact = np.where(self.some, most - floor[:, None], -1)
-        order = np.argsort(-impact, axis=None, kind="stable")[: int(self.some.sum())]
-        dims, bands = np.unravel_index(order, impact.shape)
-        # Impacts yet to come in each dimension after each read: the next unread segment's, 0 after the last.
-        lower = np.zeros(len(alive), np.int64)  # above the sum of floors
-        upper = np.zeros(len(alive), np.int64)  # of what is read
-        unread = np.ones((len(alive), self.width), bool)
-        for at, (d, band) in enumerate(zip(dims, bands, strict=True), 1):
-            rows = self.members[d, self.starts[d, band] : self.starts[d, band + 1]]
-            lower[rows] += least[d, band] - floor[d]
-            upper[rows] += most[d, band] - floor[d]
-            unread[rows, d] = False
-            if at % every == 0 or at == len(order):
-                rest = np.zeros(self.width, np.int64)
-                np.maximum.at(rest, dims[at:], impact[dims[at:], bands[at:]])
-                bound = upper + unread @ rest
-                sure = lower[alive]
-                if len(sure) <= k:
-                    return alive
-                alive = alive & (bound >= np.partition(sure, len(sure) - k)[len(sure) - k])
-                if alive.sum() <= max(few, k):
-                    return alive
+    def _possible(self, q: np.ndarray, alive: np.ndarray, k: int, few: int) -> np.ndarray:
+        """Rows that can be among the k best, found by reading segments of descending impact until few are left."""
+        weight = np.repeat(q, LEVELS)
+        least, most = np.minimum(weight * self.low, weight * self.high), np.maximum(weight * self.low, weight * self.high)
+        some = (self.size > 0).reshape(self.width, LEVELS)
+        floor = np.repeat(np.where(some, least.reshape(self.width, LEVELS), np.inf).min(axis=1), LEVELS)
+        impact = np.where(some.ravel(), most - floor, -1.0)
+        order = np.argsort(-impact, kind="stable")[: int(some.sum())]
+        read = np.cumsum(self.size[order])
+        gain = least - floor
+        # Bands are narrow, so what they leave open is bounded once for all rows.
+        open_ = np.where(some, (most - least).reshape(self.width, LEVELS), 0).max(axis=1).sum()
+        lower = np.zeros(len(alive))
+        done = np.zeros(len(impact), bool)
+        at = 0
+        for share in TESTS:
+            stop = int(np.searchsorted(read, share * read[-1])) + 1
+            chunk = order[at:stop]
+            at = stop
+            size = self.size[chunk]
+            place = np.arange(int(size.sum())) + np.repeat(self.start[chunk] - (np.cumsum(size) - size), size)
+            rows = self.members[place]
+            lower += np.bincount(rows, np.repeat(gain[chunk], size), len(alive))
+            done[chunk] = True
+            # What an unread dimension can still add is the impact of its next segment.
+            rest = np.where(done, 0.0, np.repeat(np.where(done, -1.0, impact).reshape(self.width, LEVELS).max(axis=1).clip(0), LEVELS))
+            left = np.flatnonzero(alive)
+            sure = lower[left]
+            bound = sure + open_ + (rest[self.segment[left]].sum(axis=1) if at < len(order) else 0.0)
+            if len(left) <= k:
+                return alive
+            alive = np.zeros(len(alive), bool)
+            alive[left[bound >= np.partition(sure, len(sure) - k)[len(sure) - k]]] = True
+            if int(alive.sum()) <= max(few, k):
+                return alive
         return alive
 
 
@@ -151,7 +165,7 @@ def top_k(
     blocks = max(1, -(-rows.count() // BLOCK))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("long"))
     index = keep(
-        dealt.groupBy("block").applyInArrow(_index, "block long, n long, ids binary, x binary, band binary, members binary"), "topk-index"
+        dealt.groupBy("block").applyInArrow(_index, "block long, n long, wide boolean, ids binary, x binary, band binary, members binary"), "topk-index"
     )
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     batches = max(1, -(-queries.count() // BATCH))
@@ -164,16 +178,15 @@ def top_k(
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for i in range(batch.num_rows):
-                n, ids, x, band, members = (batch.column(c)[i].as_py() for c in range(5))
-                block = Segments(n, ids, x, band, members)
+                block = Segments(*(batch.column(c)[i].as_py() for c in range(6)))
                 found: list[tuple[int, int, int]] = []
-                for q in batch.column(5)[i].as_py():
+                for q in batch.column(6)[i].as_py():
                     own, scores = block.search(np.array(q["v"], np.int64), q["vec_id"], k)
                     found += [(q["vec_id"], int(a), int(s)) for a, s in zip(own, scores, strict=True)]
                 columns = list(zip(*found, strict=True)) or [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    pairs = index.join(batched, "block").select("n", "ids", "x", "band", "members", "queries")
+    pairs = index.join(batched, "block").select("n", "wide", "ids", "x", "band", "members", "queries")
     near = pairs.repartition(min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), blocks * batches)).mapInArrow(search, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
