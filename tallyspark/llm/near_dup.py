@@ -268,8 +268,9 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, words: int, percent: int, lab
 
     A centre's text goes once to each part of its star, so that no task takes the whole of a large one.
     """
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = keep(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)).cast("int").alias("part")), f"{label}-dealt")
+    large = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
+    parts = F.coalesce(F.ceil(F.col("n") / PART), F.lit(1))
+    dealt = keep(pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part")), f"{label}-dealt")
     members = dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role"), "b")
     centres = dealt.select("a", "part").distinct().select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("role"), F.col("a").alias("b"))
     wanted = keep(members.unionByName(centres), f"{label}-wanted")

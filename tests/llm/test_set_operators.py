@@ -149,6 +149,7 @@ def test_near_dup_equals_all_pairs(spark, words):
 def test_near_dup_small_blocks_and_chains(spark, monkeypatch):
     """Chains of links, with cells dealt in many blocks."""
     monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(near_dup, "PART", 2)
     words = [f"v{i}" for i in range(400)]
     rows = [" ".join(words[2 * i : 2 * i + 60]) for i in range(40)][::-1]
     got = near_dup.near_duplicates(frame(spark, rows), words=5).collect()
