@@ -40,7 +40,7 @@ from .common import keep
 #: Vectors of an index block, queries of a batch, bands of a dimension.
 BLOCK, BATCH, LEVELS = 8192, 256, 128
 #: Shares of a block's postings after which proof is tried.
-TESTS = (0.78, 0.88, 1.0)
+TESTS = (0.75, 0.85, 1.0)
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -54,6 +54,10 @@ def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Da
 
 def _dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of integers, short ones filled with zeros."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.asarray(flat.value_lengths())
+    if len(lengths) and (lengths == lengths[0]).all():
+        return np.asarray(flat.flatten()).astype(np.int64).reshape(len(lengths), -1)
     rows = column.to_pylist()
     width = max(map(len, rows), default=0)
     out = np.zeros((len(rows), width), np.int64)
@@ -105,7 +109,7 @@ class Segments:
         q = np.zeros(self.width, self.x.dtype)
         q[: min(self.width, len(query))] = query[: self.width]
         alive = self.ids != own_id
-        few = max(64, n // 16) if few is None else few
+        few = max(64, n // 6) if few is None else few
         if n > few and self.width:
             alive = self._possible(q, alive, k, few)
         rows = np.flatnonzero(alive)
@@ -120,7 +124,7 @@ class Segments:
         some = (self.size > 0).reshape(self.width, LEVELS)
         floor = np.repeat(np.where(some, least.reshape(self.width, LEVELS), np.inf).min(axis=1), LEVELS)
         impact = np.where(some.ravel(), most - floor, -1.0)
-        order = np.argsort(-impact, kind="stable")[: int(some.sum())]
+        order = np.argsort(-impact)[: int(some.sum())]
         read = np.cumsum(self.size[order])
         gain = least - floor
         # Bands are narrow, so what they leave open is bounded once for all rows.
