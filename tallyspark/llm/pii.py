@@ -14,7 +14,9 @@ secret tokens keep their shape too (letters to letters, digits to digits).
 There is no shuffle; memory is bounded by one Arrow batch.  Nulls: a null text
 stays null, with no values found.  Empty texts stay empty.  Repeated rows: one
 result each.  Values that touch or overlap: the leftmost, then the kind named first
-in ``KINDS``.  Empty tables: no rows.  Other columns are ignored.
+in ``KINDS``, then the longest; a candidate that fails its check takes nothing from the values
+in it, and none may end within another value, nor a card hold whole dates or social
+security numbers.  Empty tables: no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,17 +34,23 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "token", "iban", "card", "phone", "ip", "ssn", "date")
 
-#: Shapes of the values looked for, in the order of KINDS.
-PATTERN = re.compile(
-    r"(?<![\w.+-])(?P<email>[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?<![\w])(?P<token>(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:sk|pk|ghp|xoxb|AKIA)[-_A-Za-z0-9]{16,}))(?![\w])"
-    r"|(?<![\w])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\w])"
-    r"|(?<![\w.+-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|[.-]\d)"
-    r"|(?<![\w])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w])"
-    r"|(?<![\w.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)"
-    r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w]|-\d)"
-    r"|(?<![\w./-])(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w]|[./-]\d)"
-)
+#: Shapes of the values looked for, in the order of KINDS: what may not stand before, the value, what may not follow.
+SHAPES = {
+    "email": (r"(?<![\w.+-])", r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", ""),
+    "token": (r"(?<![\w])", r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:sk|pk|ghp|xoxb|AKIA)[-_A-Za-z0-9]{16,})", r"(?![\w])"),
+    "iban": (r"(?<![\w])", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![\w])"),
+    "card": (r"(?<![\w.+-])", r"\d(?:[ -]?\d){12,18}", r"(?![\w]|[.-]\d)"),
+    "phone": (r"(?<![\w])", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4}", r"(?![\w])"),
+    "ip": (r"(?<![\w.])", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", r"(?![\w]|\.\d)"),
+    "ssn": (r"(?<![\w-])", r"\d{3}-\d{2}-\d{4}", r"(?![\w]|-\d)"),
+    "date": (r"(?<![\w./-])", r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}", r"(?![\w]|[./-]\d)"),
+}
+PATTERN = re.compile("|".join(f"{before}(?P<{kind}>{value}){after}" for kind, (before, value, after) in SHAPES.items()))
+ALONE = {kind: re.compile(f"{before}(?:{value}){after}") for kind, (before, value, after) in SHAPES.items()}
+#: Kinds of which a part may be a value too: the value by itself, and what may follow.
+PARTS = {kind: (re.compile(f"{SHAPES[kind][0]}(?:{SHAPES[kind][1]})"), re.compile(SHAPES[kind][2])) for kind in ("iban", "card", "phone")}
+#: A text without any of these holds no value.
+SIGNS = re.compile(r"[@\d]|sk|pk|ghp|xoxb|AKIA")
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 10
@@ -208,18 +216,52 @@ MAKERS: dict[str, Callable[[str, Feistel, bool], str | None]] = {
 }
 
 
+def _splits(text: str, kind: str, start: int, end: int, feistel: Feistel) -> bool:
+    """Whether text[start:end] ends within a value that begins in it, or is a card made of other values and the blanks between."""
+    for at in range(start, end):
+        for inner in ("email", "ip", "ssn", "date"):
+            m = ALONE[inner].match(text, at)
+            if not m or MAKERS[inner](m.group(), feistel, False) is None:
+                continue
+            if at > start and m.end() > end:
+                return True
+            if kind == "card" and m.end() <= end and (at == start or text[at - 1] == " ") and (m.end() == end or text[m.end()] == " "):
+                return True
+    return False
+
+
+def _value_at(text: str, start: int, feistel: Feistel, back: bool) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the value that begins at ``start``: the first kind that validates, its longest span first."""
+    for kind, alone in ALONE.items():
+        m = alone.match(text, start)
+        if not m:
+            continue
+        ends = [m.end()]
+        if kind in PARTS:
+            value, after = PARTS[kind]
+            ends += [e for e in range(m.end() - 1, start, -1) if after.match(text, e) and value.fullmatch(text, start, e)]
+        for end in ends:
+            new = MAKERS[kind](text[start:end], feistel, back)
+            if new is not None and not (kind in PARTS and _splits(text, kind, start, end, feistel)):
+                return kind, end, new
+    return None
+
+
 def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and (kind, start, end, pseudonym) of each value in code points of the input."""
-    if not any(c in text for c in "@0123456789") and "AKIA" not in text:
+    if not SIGNS.search(text):
         return text, []
-    out, spans, at = [], [], 0
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup
-        new = MAKERS[kind](m.group(), feistel, back)
-        if new is not None:
-            out += [text[at : m.start()], new]
-            spans.append((kind, m.start(), m.end(), new))
-            at = m.end()
+    out, spans, at, look = [], [], 0, 0
+    while m := PATTERN.search(text, look):
+        start = m.start()
+        found = _value_at(text, start, feistel, back)
+        if found is None:
+            look = start + 1
+            continue
+        kind, end, new = found
+        out += [text[at:start], new]
+        spans.append((kind, start, end, new))
+        at = look = end
     return "".join([*out, text[at:]]), spans
 
 

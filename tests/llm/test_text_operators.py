@@ -138,6 +138,28 @@ def test_dates_move_to_dates_and_back(day, form):
     assert len(spans) == 1 and pii.replace(new, FEISTEL, back=True)[0] == value
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("2024-01-15 2024-02-20", {"date": ["2024-01-15", "2024-02-20"]}),
+        ("2024-01-15 2024-02-22", {"date": ["2024-01-15", "2024-02-22"]}),  # as one number it passes the card's test
+        ("123-45-6789 2024-01-15", {"ssn": ["123-45-6789"], "date": ["2024-01-15"]}),
+        ("2024-01-15 4539 5787 6362 1486", {"date": ["2024-01-15"], "card": ["4539 5787 6362 1486"]}),
+        ("4539 5787 6362 1486 7", {"card": ["4539 5787 6362 1486"]}),
+        ("+1 555 123 4567 2024-01-15", {"phone": ["+1 555 123 4567"], "date": ["2024-01-15"]}),
+        ("AT61 1904 3002 3457 3201 EUR", {"iban": ["AT61 1904 3002 3457 3201"]}),
+        ("sk-abcdefghijklmnopqrst", {"token": ["sk-abcdefghijklmnopqrst"]}),
+    ],
+)
+def test_pii_values_within_a_failed_candidate_are_found(text, values):
+    new, spans = pii.replace(text, FEISTEL)
+    found = {}
+    for kind, start, end, _ in spans:
+        found.setdefault(kind, []).append(text[start:end])
+    assert found == values
+    assert pii.replace(new, FEISTEL, back=True)[0] == text
+
+
 def test_pii_frame(spark):
     docs = frame(spark, ["mail a.b@c.example.com", "", None, "mail a.b@c.example.com", "x" * 100000 + " 10.0.0.1"])
     got = {r.doc_id: r for r in pii.pseudonymise(docs, b"k").collect()}
