@@ -1,7 +1,9 @@
 """A corpus pipeline: quality, exact dedup, near dedup, mixing and packing, each stage an operator of ``tallyspark.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that ``run`` writes
-as Parquet and reads again as the next stage's documents.
+as Parquet and reads again as the next stage's documents.  Exact dedup and the mix
+decide on rows, told apart by their places in files: rows with a null id, or with the
+id of another text, keep their own decision.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest id."""
-    kept = exact_dedup.deduplicate(docs).where("kept").select("locator")
-    return exact_dedup.located(docs).join(kept, "locator", "left_semi").select(*docs.columns)
+    rows = exact_dedup.located(docs)
+    kept = exact_dedup.deduplicate(rows, locator_col="locator").where("kept").select("locator")
+    return rows.join(kept, "locator", "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +36,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: its words of a document by the document's size, to the nearest whole."""
-    taken = mixing.mix(docs).select("doc_id", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("copies")).where("copies > 0")
-    return docs.join(taken, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    rows = exact_dedup.located(docs)
+    taken = mixing.mix(rows, carry=["locator"]).select("locator", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("copies")).where("copies > 0")
+    return rows.join(taken, "locator").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

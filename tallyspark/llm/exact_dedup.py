@@ -103,6 +103,7 @@ def deduplicate(
     text_col: str = "text",
     state_dir: str | None = None,
     digest_bits: int = 256,
+    locator_col: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256, locator``.
 
@@ -110,10 +111,13 @@ def deduplicate(
     new one.  With earlier state, ``keep_id`` and ``group_size`` also count rows
     seen before (whose texts, which are elsewhere, are not compared again).
     ``digest_bits``: digest length of the key; tests shorten it to force collisions.
+    ``locator_col``: the locators of rows that ``located`` has been called on already.
     """
     spark = docs.sparkSession
     state_dir = state_dir or scratch(spark, "dedup-state")
-    rows = located(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).withColumn("text", normalise("text"))
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
+    rows = docs.select(*own, F.col(locator_col).alias("locator")) if locator_col else located(docs.select(*own))
+    rows = rows.withColumn("text", normalise("text"))
     hashed = rows.withColumn("sha", F.sha2("text", 256)).select("doc_id", "sha", F.substring("sha", 1, digest_bits // 4).alias("digest"), "locator")
     slim_path = f"{state_dir}/slim"
     if _any(spark, slim_path):

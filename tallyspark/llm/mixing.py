@@ -34,10 +34,10 @@ from pyspark.sql.window import Window as W
 from .common import WORDS, keep, text_or_empty
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size: number of words between ASCII white space."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size: number of words between ASCII white space; and the columns of ``carry``."""
     words = F.regexp_count(text_or_empty(text_col), F.lit(WORDS)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), *carry)
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -106,9 +106,13 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``, and ``source``, ``shard``."""
-    slim = keep(sized(docs, id_col, text_col, source_col), "mix-sizes")
+    """One row per document: ``doc_id, size, source_size, target, taken``, and ``source``, ``shard``.
+
+    ``carry``: columns of ``docs`` to return too, such as one that tells rows of one id apart; they come last in a shard's order.
+    """
+    slim = keep(sized(docs, id_col, text_col, source_col, carry), "mix-sizes")
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     seats = F.round(F.col("target") / block)
     goals = targets(per_source, weights, share, most).withColumn("group", F.lit(0))
@@ -119,20 +123,20 @@ def mix(
         ), "mix-goals",
     )
     placed = slim.join(goals, slim["source"].eqNullSafe(goals["source"])).select(
-        "doc_id", slim["source"], "size", "place", "source_size", "target", "blocks", (_unit(seed, "shard", "doc_id") % F.col("shards")).alias("shard")
+        "doc_id", slim["source"], "size", "place", "source_size", "target", "blocks", (_unit(seed, "shard", "doc_id") % F.col("shards")).alias("shard"), *carry
     )
     placed = keep(placed, "mix-placed")
     shards = placed.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     quotas = keep(apportion(shards, ["place"], "shard", "shard_size", "blocks").select("place", "shard", "shard_size", "quota"), "mix-quotas")
     ring = W.partitionBy("place", "shard")
     seated = placed.join(quotas, ["place", "shard"]).withColumn("order", _unit(seed, "order", "doc_id"))
-    end = F.sum("size").over(ring.orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    end = F.sum("size").over(ring.orderBy("order", "doc_id", "size", *carry).rowsBetween(W.unboundedPreceding, 0))
     wanted = F.least(F.col("quota") * block, (most * F.col("shard_size")).cast("long"))
     one = F.greatest("shard_size", F.lit(1))
     seated = seated.select(
         "doc_id", "source", "size", "source_size", "target", "shard", end.alias("end"), "shard_size",
         F.floor(wanted / one).alias("rounds"), (wanted % one).alias("rest"),
-        ((_unit(seed, "start", "place", "shard") % F.greatest(F.ceil(F.col("shard_size") / block), F.lit(1))) * block).alias("start"),
+        ((_unit(seed, "start", "place", "shard") % F.greatest(F.ceil(F.col("shard_size") / block), F.lit(1))) * block).alias("start"), *carry,
     )
 
     def covered(low, high):
@@ -141,4 +145,4 @@ def mix(
     stop = F.col("start") + F.col("rest")
     run = covered(F.col("start"), F.least(stop, F.col("shard_size"))) + covered(F.lit(0), stop - F.col("shard_size"))
     taken = F.col("rounds") * F.col("size") + run
-    return seated.select(F.col("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard")
+    return seated.select(F.col("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard", *carry)

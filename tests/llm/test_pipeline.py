@@ -84,6 +84,17 @@ def test_stages_take_an_empty_table(spark, corpus):
         assert stage(spark, docs, path).count() == 0
 
 
+def test_stages_decide_on_rows_not_ids(spark):
+    texts = [f"w{i} " * i for i in range(1, 60)]  # of different sizes
+    ids = [None if i % 5 == 0 else 7 if i % 7 == 0 else i for i in range(1, 60)]
+    docs = spark.createDataFrame([(d, t, "en", "ab"[k % 2], len(t)) for k, (d, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, lang string, source string, n_chars long")
+    copies = {(r.doc_id, r["size"]): int(r.taken / r["size"] + 0.5) for r in mixing.mix(docs).collect()}
+    got = Counter((r.doc_id, len(r.text.split())) for r in corpus_pipeline.mix_stage(spark, docs, "").collect())
+    assert got == +Counter(copies) and sum(d is None for d, _ in got) > 5 and sum(d == 7 for d, _ in got) > 3
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100).withColumn("text", F.concat("text", F.lit(" "))))
+    assert sorted(len(r.text.split()) for r in corpus_pipeline.exact_stage(spark, twice, "").collect()) == list(range(1, 60))
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 
