@@ -39,7 +39,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-UNSEEN = frozenset("script style noscript template title textarea iframe object svg math canvas audio video select datalist noframes noembed xmp".split())
+UNSEEN = frozenset("script style noscript template title textarea iframe object svg annotation annotation-xml canvas audio video select datalist noframes noembed xmp".split())
+#: Of those, the ones that reach to the page's end where they aren't closed.
+RAW = frozenset("script style noscript title textarea iframe noframes noembed xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 HOLDERS = frozenset("table ul ol dl menu dir body html".split())
@@ -47,7 +49,8 @@ HOLDERS = frozenset("table ul ol dl menu dir body html".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -61,6 +64,15 @@ class Node:
     marks: list[str] = field(default_factory=list)
 
 
+def is_hidden(attributes: str) -> bool:
+    """By the hidden attribute or the style; a class such as overflow-hidden doesn't count."""
+    for a in ATTRIBUTE.finditer(attributes):
+        name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+        if name == "hidden" and value.lower() != "until-found" or name == "style" and NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 def parse(page: str) -> list[Node]:
     """The page's block elements and texts; parents come before their children."""
     nodes = [Node(-1, "#root")]
@@ -92,7 +104,7 @@ def parse(page: str) -> list[Node]:
         if tag in UNSEEN:
             if not closing and not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else len(page) if tag in RAW else at
         elif tag == "br":
             raw.append(" ")
         elif tag == "a":
@@ -118,7 +130,7 @@ def parse(page: str) -> list[Node]:
                     elif open_tag in HOLDERS:
                         break
             words = tuple(dict.fromkeys(w.lower() for a in NAMES.finditer(m[3]) for w in WORD.findall(a[1] or a[2] or a[3] or "")))
-            if HIDDEN.search(m[3]):
+            if is_hidden(m[3]):
                 words += ("#hidden",)
             nodes.append(Node(stack[-1], tag, words))
             if tag not in VOID:
@@ -133,7 +145,7 @@ def marks_of(node: Node) -> list[str]:
         n = len(node.text)
         share = 4 * node.links // max(1, n)
         return [f"length {min(9, max(5, n.bit_length()))}", f"links {share}", f"sign {'©' in node.text}"]
-    return [f"word {w}" for w in node.words[:12]]
+    return [f"word {w}" for w in node.words]
 
 
 def edge_of(node: Node, parent: Node) -> str:
@@ -242,6 +254,11 @@ def made_page(seed: int) -> tuple[str, set[str]]:
         text = r.choice([f"&copy; {words(1, 4)} &middot; {words(2, 12)}", words(3, 20), f"<p>{words(3, 15)}</p><p><a href=x>{words(1, 3)}</a></p>"])
         return f"{named(tag, 'footer', 0.4 if tag == 'footer' else 1)}{text}</{tag}>"
 
+    def hidden() -> str:
+        tag = r.choice(["div", "div", "p", "section", "aside"])
+        how = r.choice(["hidden", 'hidden=""', 'style="display:none"', 'style="display: none"'])
+        return f"<{tag} {how}>{words(2, 60)}</{tag}>"
+
     wanted: list[str] = []
 
     def own(low: int, high: int) -> str:
@@ -271,8 +288,10 @@ def made_page(seed: int) -> tuple[str, set[str]]:
                 parts.append(f"<figure><img src=x><figcaption>{own(2, 15)}</figcaption></figure>")
             elif kind < 0.98:
                 parts.append(small("advert", ["div", "aside"], 2, 14))
-            else:
+            elif kind < 0.99:
                 parts.append(small("share", ["div", "ul"], 1, 4))
+            else:
+                parts.append(hidden())
         tag = r.choice(["article", "article", "article", "div", "main", "section"])
         return f"{named(tag, 'content', 0.4 if tag in ('article', 'main') else 1)}{''.join(parts)}</{tag}>"
 
@@ -286,6 +305,8 @@ def made_page(seed: int) -> tuple[str, set[str]]:
     if r.random() < 0.25:
         inner = f"<main>{inner}{comments() if r.random() < 0.3 else ''}</main>"
     foot = [footer()] if r.random() < 0.9 else []
+    before += [hidden()] if r.random() < 0.3 else []
+    after += [hidden()] if r.random() < 0.3 else []
     body = "".join([*before, inner, *after, *foot])
     return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title></head><body>{body}" + r.choice(["</body></html>", "", "</body></html>"]), {" ".join(w.split()) for w in wanted}
 

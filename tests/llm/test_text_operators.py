@@ -274,3 +274,19 @@ def test_html_cases(spark, html_model):
     assert (by[2].text, by[2].n_chars, by[3].text, by[2].url) == ("", 0, "", None) and len(got) == 6
     assert by[4].text.count("word word.") == 3000
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string"), html_model).collect() == []
+
+
+def test_html_long_class_lists_hidden_notices_math_and_unclosed_elements(html_model):
+    body = "the river ran slowly over the old stones and went home at last " * 4
+    page = "<body><article class='post'><p>%s</p>%s<p>%s</p></article></body>"
+    text = lambda inside: html_text.main_text(page % (body, inside, body), html_model)
+    utility = " ".join(f"{w}-x" for w in "wa wb wc wd we wf wg wh wi wj wk wl wm".split())
+    nodes = html_text.parse(f'<div class="{utility} comments" hidden>x</div>')
+    assert {"word comments", "word #hidden"} <= set(html_text.marks_of(nodes[1]))
+    assert html_model.marks["word #hidden"] < -2
+    assert "secret" not in text("<div hidden>a secret notice that nobody is shown</div>")
+    assert "shown" in text("<p class='overflow-hidden'>but this one is shown to all</p>")
+    assert "sum x + y done" in text("<p>sum <math><mi>x</mi> + <mi>y</mi><annotation>tex</annotation></math> done</p>")
+    for tag in ("svg", "object", "canvas", "select"):
+        assert "behind it" in text(f"<{tag}><p>all that stands behind it is read too</p>")
+    assert "behind it" not in text("<script><p>all that stands behind it is code</p>")
