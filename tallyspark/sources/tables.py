@@ -103,7 +103,10 @@ def workbook(content: bytes, limits: Limits = Limits()) -> dict[str, list[list]]
         raise Refused("dates counted from 1904")
     targets = {e.get("Id"): e.get("Target") for e in (tree("xl/_rels/workbook.xml.rels") or [])}
     out: dict[str, list[list]] = {}
-    for sheet in [e for e in book.iter() if local(e) == "sheet"][: limits.sheets]:
+    sheets = [e for e in book.iter() if local(e) == "sheet"]
+    if len(sheets) > limits.sheets:
+        raise Refused("too many sheets")
+    for sheet in sheets:
         target = next((targets[v] for k, v in sheet.attrib.items() if k.endswith("}id") and v in targets), "")
         body = tree(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
         rows: list[list] = []

@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import batch, daily, layout
@@ -90,3 +91,20 @@ def test_streams_go_on_from_their_state(spark, tmp_path):
     got = {(r.stmt_id, r.seq, r.batch): r.state for r in go([(1, 3, 1, 7), (1, 2, 9, 9), (2, 2, 1, 9)]).collect()}
     assert {k[:2]: v for k, v in got.items() if k[2] == 0} == {(1, 1): "proved", (1, 2): "proved", (2, 1): "proved"}
     assert {k[:2]: v for k, v in got.items() if k[2] == 1} == {(1, 3): "proved", (1, 2): "late", (2, 2): "broken"}
+
+
+def test_refusals_are_told(spark):
+    import io
+    import zipfile
+
+    from tallyspark.plans.queries import read_back
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", "<workbook><sheets>" + '<sheet name="s"/>' * 51 + "</sheets></workbook>")
+    with pytest.raises(tables.Refused, match="too many sheets"):
+        tables.workbook(data.getvalue())
+    files = spark.createDataFrame([("a.csv", 9, b"k;n;b\n1;x;2"), ("b.xlsx", 9, data.getvalue())], "path string, length long, content binary")
+    assert [tuple(r) for r in read_back(files.where("path = 'a.csv'")).collect()] == [("a.csv", "1", "x", "2")]
+    with pytest.raises(Exception, match="too many sheets"):
+        read_back(files).collect()
