@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,7 @@ def test_near_dup_equals_all_pairs(spark, words):
 def test_near_dup_small_blocks_and_chains(spark, monkeypatch):
     """Chains of links, with cells dealt in many blocks."""
     monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(near_dup, "ROUNDS", 1)
     monkeypatch.setattr(near_dup, "PART", 2)
     words = [f"v{i}" for i in range(400)]
     rows = [" ".join(words[2 * i : 2 * i + 60]) for i in range(40)][::-1]
@@ -156,6 +158,45 @@ def test_near_dup_small_blocks_and_chains(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(rows, 5)
 
 
+def test_near_dup_long_texts_and_words(spark, monkeypatch):
+    """Texts and words beyond a slice have the same shingles as in one piece."""
+    rng = np.random.default_rng(3)
+    long = " ".join(f"w{int(x)}" for x in rng.integers(0, 10**6, 3000))
+    rows = [long, long + " and more", "x" * 9000 + " " + long, "x" * 9000, "x" * 9000 + "\n", "y" * 5000 + " a b c d e", "", "z"]
+    whole = [near_dup.shingle_sets(pa.array([t]), 5) for t in rows]
+    whole = [np.concatenate([h for h, _ in w]) for w in whole]
+    monkeypatch.setattr(near_dup, "SLICE", 700)
+    for t, expected in zip(rows, whole, strict=True):
+        assert (np.concatenate([h for h, _ in near_dup.shingle_sets(pa.array([t]), 5)]) == expected).all()
+    got = near_dup.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(rows, 5)
+
+
+def test_bucket_counts_bound_the_intersection():
+    rng = np.random.default_rng(5)
+    for n, m in ((3, 4), (90, 100), (1000, 900), (5000, 6000)):
+        a, b = (np.unique(rng.integers(0, 2**63, k).astype(np.uint64)) for k in (n, m))
+        b = np.unique(np.concatenate([b, a[: n // 2]]))
+        bound = near_dup.most_common([near_dup.bucket_counts(a), near_dup.bucket_counts(b)], np.array([0]), np.array([1]))[0]
+        assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
+
+
+def test_near_dup_of_one_large_group(spark):
+    """20,000 near copies of one text, most in one tree by the rounds, and a cloud of texts below the threshold."""
+    base = [f"b{k}" for k in range(60)]
+    rows = [" ".join(base[: i % 60] + [f"n{i}"] + base[i % 60 + 1 :]) for i in range(20_000)]
+    cloud = [f"c{k}" for k in range(20)]
+    rows += [" ".join(cloud[: i % 20] + [f"m{i}"] + cloud[i % 20 + 1 :]) for i in range(2000)]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    # A word replaced touches five of 56 shingles: copies of the first text are linked by their neighbours' places.
+    assert {got[i] for i in range(1, 20_001)} == {1}
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(16)) for w in (r.split() for r in rows[20_000:])]
+    for i in range(20):
+        for j in range(i + 1, 2000):
+            linked = 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+            assert not linked or got[20_001 + i] == got[20_001 + j]
+
+
 def test_near_dup_repeated_ids_nulls_and_nothing(spark):
     text = " ".join(f"q{i}" for i in range(30))
     docs = spark.createDataFrame([(None, text), (5, text), (5, text), (3, text + " more"), (9, "other words are here now")], "doc_id long, text string")
