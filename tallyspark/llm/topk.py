@@ -1,28 +1,32 @@
 """Exact top-k search: an impact-ordered index that is read score-at-a-time.
 
 Vectors become integers (``scale`` times each component, rounded down).  They are
-dealt at random into index blocks of bounded size.  In a block each dimension has
-posting segments: the vectors whose value lies in one of ``levels`` bands, with
-the band's bounds - the quantised impact.  A query's product with a dimension is
-largest at one end of the bands, so its segments have an order by impact.
-
-A query reads a block's segments by descending impact over all dimensions, adding
-to each member's lower bound; what a band leaves open is bounded by its width, and
-what is unread by the impact of the next segment.  Between times it tests for proof:
-only vectors whose upper bound reaches the k-th best lower bound can be members.  When
-few are left (or all segments are read), it stops and scores those exactly with
-their stored integers.  No member can be lost: a vector is dropped only when its
-upper bound is below k others' lower bounds, ties included.
-
-Blocks meet query batches by an equi-join on the block; each pair gives k rows for
-a query, and a window over the query keeps the best.
+dealt at random into index blocks.  In a block each dimension's range is cut into
+posting segments of two layers: ``LEVELS[0]`` bands, and ``LEVELS[1]`` sub-bands of
+each band.  A segment's quantised impact on a query is the query's component times
+the segment's place in its layer times the layer's step, so all segments of the first
+layer have more impact than those of the second.  Segments of one layer and all
+dimensions are added to the scores of a batch of queries in one product.
+
+After each layer there are bounds: what a segment leaves open is the step of its
+layer.  A vector stays only if its upper bound reaches the k-th best lower bound of its
+block; those that remain after the last layer are scored exactly with the stored
+integers.  A vector is dropped on that proof only, so no member can be lost, ties
+included.  Rows with the same integers are one vector with many ids.
+
+A block stays in the task that holds it and query batches stream past it; each block
+gives k rows for a query, and a window over the query keeps the best.  Queries are
+rows of the table too, so the work is rows times queries; what is shuffled is each vector
+once and each query once for a block of up to ``BLOCK`` vectors.
 
 Nulls: vectors that are null, hold a null or a value that isn't finite, or have a
 null id, take part neither as query nor as candidate.  Empty vectors and vectors of
 another length than the query's score the product of the components both have (0
 if none).  Ties: the smaller id.  Repeated ids: each row is a candidate; a query id
 that repeats gives its result once, by its first vector in order, and no row of the
-query's own id is a candidate.  Empty tables: no rows.  Other columns are ignored.
+query's own id is a candidate.  Large components: scores are exact integers and ranked
+as such; one beyond 64 bits is returned as the nearest that 64 bits hold.  Empty
+tables: no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +41,13 @@ from pyspark.sql.window import Window as W
 
 from .common import keep
 
-#: Vectors of an index block, queries of a batch, bands of a dimension.
-BLOCK, BATCH, LEVELS = 8192, 256, 128
-#: Shares of a block's postings after which proof is tried.
-TESTS = (0.75, 0.85, 1.0)
+#: Most vectors of an index block, fewest where there would be fewer blocks than tasks, and queries of a batch.
+BLOCK, LEAST, BATCH = 65_536, 4096, 256
+#: Bands of a dimension, and sub-bands of a band.
+LEVELS = (32, 64)
+#: Vectors whose best score is taken together where a batch's k-th best is looked for.
+GROUP = 32
+SMALLEST, LARGEST = -(1 << 63), (1 << 63) - 1
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -52,107 +59,128 @@ def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Da
     )
 
 
-def _dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of integers, short ones filled with zeros."""
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = np.asarray(flat.value_lengths())
-    if len(lengths) and (lengths == lengths[0]).all():
-        return np.asarray(flat.flatten()).astype(np.int64).reshape(len(lengths), -1)
-    rows = column.to_pylist()
-    width = max(map(len, rows), default=0)
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
-
-
-def _index(table: pa.Table) -> pa.Table:
-    """One block's vectors -> its index: ids, vectors, and for each dimension and band its members and bounds."""
-    ids = np.asarray(table["vec_id"].combine_chunks())
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], _dense(table["v"])[order]
-    low, high = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    band = (x - low) * LEVELS // np.maximum(high - low + 1, 1)
-    members = np.argsort(band, axis=0, kind="stable").astype("<i4")  # by dimension, bands together
-    kind = "<i4" if not len(x) or not x.size or max(-int(low.min()), int(high.max())) < 1 << 31 else "<i8"
-    raw = lambda v, k: pa.array([np.ascontiguousarray(v).astype(k).tobytes()], pa.binary())
-    return pa.table(
-        {
-            "block": pa.array([table["block"][0].as_py()], pa.int64()), "n": pa.array([len(ids)], pa.int64()), "wide": pa.array([kind == "<i8"], pa.bool_()),
-            "ids": raw(ids, "<i8"), "x": raw(x, kind), "band": raw(band, "u1"), "members": raw(members.T, "<i4"),
-        }
-    )
-
-
-class Segments:
-    """An index block in memory, ready for queries; segments are numbered by dimension, then band."""
-
-    def __init__(self, n: int, wide: bool, ids: bytes, x: bytes, band: bytes, members: bytes):
-        self.ids = np.frombuffer(ids, "<i8")
-        self.x = np.frombuffer(x, "<i8" if wide else "<i4").reshape(n, -1).astype(np.float64 if not wide else np.int64)
-        self.width = self.x.shape[1]
-        band_of = np.frombuffer(band, "u1").reshape(n, self.width)
-        self.members = np.frombuffer(members, "<i4").astype(np.int64)
-        self.segment = band_of.astype(np.int64) + np.arange(self.width) * LEVELS
-        self.size = np.bincount(self.segment.ravel(), minlength=self.width * LEVELS)
-        self.start = np.cumsum(self.size) - self.size
-        # Bounds of the values in each segment.
-        by_segment = np.sort(self.x, axis=0).T.ravel()
-        some = self.size > 0
-        self.low, self.high = np.zeros(len(self.size), self.x.dtype), np.zeros(len(self.size), self.x.dtype)
-        self.low[some] = by_segment[self.start[some]]
-        self.high[some] = by_segment[(self.start + self.size)[some] - 1]
-
-    def search(self, query: np.ndarray, own_id: int, k: int, few: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, ties to the smaller id; segments are read until at most ``few`` rows are possible."""
-        n = len(self.ids)
-        q = np.zeros(self.width, self.x.dtype)
-        q[: min(self.width, len(query))] = query[: self.width]
-        alive = self.ids != own_id
-        few = max(64, n // 6) if few is None else few
-        if n > few and self.width:
-            alive = self._possible(q, alive, k, few)
-        rows = np.flatnonzero(alive)
-        scores = (self.x[rows] @ q).astype(np.int64)
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[best]], scores[best]
-
-    def _possible(self, q: np.ndarray, alive: np.ndarray, k: int, few: int) -> np.ndarray:
-        """Rows that can be among the k best, found by reading segments of descending impact until few are left."""
-        weight = np.repeat(q, LEVELS)
-        least, most = np.minimum(weight * self.low, weight * self.high), np.maximum(weight * self.low, weight * self.high)
-        some = (self.size > 0).reshape(self.width, LEVELS)
-        floor = np.repeat(np.where(some, least.reshape(self.width, LEVELS), np.inf).min(axis=1), LEVELS)
-        impact = np.where(some.ravel(), most - floor, -1.0)
-        order = np.argsort(-impact)[: int(some.sum())]
-        read = np.cumsum(self.size[order])
-        gain = least - floor
-        # Bands are narrow, so what they leave open is bounded once for all rows.
-        open_ = np.where(some, (most - least).reshape(self.width, LEVELS), 0).max(axis=1).sum()
-        lower = np.zeros(len(alive))
-        done = np.zeros(len(impact), bool)
-        at = 0
-        for share in TESTS:
-            stop = int(np.searchsorted(read, share * read[-1])) + 1
-            chunk = order[at:stop]
-            at = stop
-            size = self.size[chunk]
-            place = np.arange(int(size.sum())) + np.repeat(self.start[chunk] - (np.cumsum(size) - size), size)
-            rows = self.members[place]
-            lower += np.bincount(rows, np.repeat(gain[chunk], size), len(alive))
-            done[chunk] = True
-            # What an unread dimension can still add is the impact of its next segment.
-            rest = np.where(done, 0.0, np.repeat(np.where(done, -1.0, impact).reshape(self.width, LEVELS).max(axis=1).clip(0), LEVELS))
-            left = np.flatnonzero(alive)
-            sure = lower[left]
-            bound = sure + open_ + (rest[self.segment[left]].sum(axis=1) if at < len(order) else 0.0)
-            if len(left) <= k:
-                return alive
-            alive = np.zeros(len(alive), bool)
-            alive[left[bound >= np.partition(sure, len(sure) - k)[len(sure) - k]]] = True
-            if int(alive.sum()) <= max(few, k):
-                return alive
-        return alive
+def _dense(columns: list[pa.Array], width: int | None = None) -> np.ndarray:
+    """Rows of integers, short ones filled with zeros, long ones cut to ``width``."""
+    parts = []
+    width = max((max(c.value_lengths().to_pylist(), default=0) for c in columns), default=0) if width is None else width
+    for c in columns:
+        lengths = np.asarray(c.value_lengths()).astype(np.int64)
+        flat = np.asarray(c.flatten()).astype(np.int64)
+        if len(lengths) and (lengths == width).all():
+            parts.append(flat.reshape(len(lengths), width))
+            continue
+        out = np.zeros((len(lengths), width), np.int64)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        out[row[place < width], place[place < width]] = flat[place < width]
+        parts.append(out)
+    return np.concatenate(parts) if parts else np.zeros((0, width), np.int64)
+
+
+class Index:
+    """One block's vectors: distinct integers with their ids in order, and each component's segments in two layers."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        x = np.ascontiguousarray(x)
+        self.width = x.shape[1]
+        if self.width:
+            _, first, of = np.unique(x.view(np.dtype((np.void, 8 * self.width))).ravel(), return_index=True, return_inverse=True)
+        else:
+            first, of = np.zeros(min(1, len(x)), np.int64), np.zeros(len(x), np.int64)
+        order = np.lexsort((ids, of))
+        self.x, self.ids, self.vector = x[first], ids[order], of[order]
+        self.start = np.searchsorted(self.vector, np.arange(len(first) + 1))
+        self.largest = int(np.abs(self.x.astype(np.float64)).max(initial=0)) + 1
+        self.low = self.x.min(axis=0, initial=LARGEST).astype(np.float64)
+        span = (self.x.max(axis=0, initial=SMALLEST).astype(np.float64) - self.low) * (1 + 1e-9) + 1
+        place = (self.x - self.low) / span
+        self.steps = span / LEVELS[0], span / LEVELS[0] / LEVELS[1]
+        band = np.floor(place * LEVELS[0])
+        self.layers = band.astype(np.float32), np.floor((place * LEVELS[0] - band) * LEVELS[1]).clip(0, LEVELS[1] - 1).astype(np.float32)
+        # What arithmetic in floating point may be wrong by, for each unit of a query's component.
+        self.slack = (np.abs(self.low) + span) * (self.width + 8) * 1.2e-7
+
+    def exact(self, query: np.ndarray, rows: np.ndarray) -> list[int] | np.ndarray:
+        if float(np.abs(query.astype(np.float64)).sum()) * self.largest < 2.0**62:
+            return self.x[rows] @ query
+        return [sum(int(a) * int(b) for a, b in zip(self.x[r], query, strict=True)) for r in rows]
+
+    def search(self, own_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+        """(query id, id, score) of the k best of this block for each query."""
+        if not len(self.x):
+            return
+        q = queries[:, : self.width].astype(np.float64)
+        size = np.abs(q)
+        # Rows of the queries' own ids; a vector stays while another id has it.
+        more = np.searchsorted(np.sort(self.ids), own_ids, "right") - np.searchsorted(np.sort(self.ids), own_ids, "left")
+        wrong = size @ self.slack
+        base = q @ self.low + np.minimum(q, 0) @ self.steps[0] - wrong
+        lower = (q * self.steps[0]).astype(np.float32) @ self.layers[0].T
+        wanted = k + more
+        groups = -(-len(self.x) // GROUP)
+        best = np.full((len(q), groups * GROUP), -np.inf, np.float32)
+        best[:, : len(self.x)] = lower
+        best = np.sort(best.reshape(len(q), groups, GROUP).max(axis=2), axis=1)[:, ::-1]
+        # The k-th best group has a vector of that score at least, and so have those before it.
+        kth = np.where(wanted <= groups, best[np.arange(len(q)), np.minimum(wanted, groups) - 1], -np.inf)
+        open_ = size @ self.steps[0] + 2 * wrong
+        row, col = np.nonzero(lower >= (kth - open_)[:, None])
+        cuts = np.searchsorted(row, np.arange(len(q) + 1))
+        for i in range(len(q)):
+            rows = col[cuts[i] : cuts[i + 1]]
+            if len(rows) > wanted[i]:
+                sure = lower[i, rows].astype(np.float64) + base[i] - np.minimum(q[i], 0) @ self.steps[0] + self.layers[1][rows] @ (q[i] * self.steps[1]) + np.minimum(q[i], 0) @ self.steps[1]
+                least = np.partition(sure, len(sure) - wanted[i])[len(sure) - wanted[i]]
+                rows = rows[sure + size[i] @ self.steps[1] + 2 * wrong[i] >= least]
+            scores = self.exact(queries[i, : self.width], rows)
+            yield from self._first(int(own_ids[i]), rows, scores, k)
+
+    def _first(self, own: int, rows: np.ndarray, scores, k: int) -> Iterator[tuple[int, int, int]]:
+        found = []
+        for r, s in sorted(zip(rows.tolist(), map(int, scores), strict=True), key=lambda e: -e[1]):
+            if len(found) >= k and s < found[k - 1][0]:
+                break
+            ids = self.ids[self.start[r] : self.start[r + 1]]
+            ids = ids[:k] if own not in ids[:k] else ids[ids != own][:k]
+            found = sorted([*found, *((s, i) for i in ids.tolist())], key=lambda e: (-e[0], e[1]))[:k]
+        for s, i in found:
+            yield own, i, s
+
+
+def _search_blocks(k: int):
+    """Rows (block, batch, vec_id, v), sorted: a block's vectors (batch -1), then the query batches that stream past. -> query_id, vec_id, score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, index = None, None
+        held: list[pa.RecordBatch] = []
+
+        def answer(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([np.asarray(p.column(2)) for p in parts])
+            queries = _dense([p.column(3) for p in parts], index.width)
+            for at in range(0, len(ids), BATCH):
+                rows = [(q, i, min(max(s, SMALLEST), LARGEST), None if SMALLEST < s < LARGEST else str(s)) for q, i, s in index.search(ids[at : at + BATCH], queries[at : at + BATCH], k)]
+                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["query_id", "vec_id", "score", "exact"])
+
+        for batch in batches:
+            numbers, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(1)) >= 0
+            edges = np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for start, stop in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if start == stop:
+                    continue
+                part = batch.slice(start, stop - start)
+                if numbers[start] != block:
+                    block, index, held = numbers[start], None, []
+                if not kinds[start]:
+                    held.append(part)
+                    continue
+                if index is None:
+                    ids = np.concatenate([np.asarray(p.column(2)) for p in held]) if held else np.zeros(0, np.int64)
+                    index = Index(ids, _dense([p.column(3) for p in held]))
+                    held = []
+                yield from answer([part])
+
+    return run
 
 
 def top_k(
@@ -166,31 +194,14 @@ def top_k(
     """``query_id, rank, vec_id, score`` of each row that ``is_query`` (a condition on ``vec_id``) holds for."""
     spark = vectors.sparkSession
     rows = keep(integers(vectors, id_col, vector_col, scale), "topk-vectors")
-    blocks = max(1, -(-rows.count() // BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("long"))
-    index = keep(
-        dealt.groupBy("block").applyInArrow(_index, "block long, n long, wide boolean, ids binary, x binary, band binary, members binary"), "topk-index"
-    )
+    n = rows.count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n // BLOCK), min(tasks, n // LEAST))
+    candidates = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("block"), F.lit(-1).alias("batch"), "vec_id", "v")
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    batches = max(1, -(-queries.count() // BATCH))
-    batched = (
-        queries.withColumn("batch", F.pmod(F.xxhash64("vec_id"), F.lit(batches)))
-        .groupBy("batch").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))  # of bounded size
-        .select("batch", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    )
-
-    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for i in range(batch.num_rows):
-                block = Segments(*(batch.column(c)[i].as_py() for c in range(6)))
-                found: list[tuple[int, int, int]] = []
-                for q in batch.column(6)[i].as_py():
-                    own, scores = block.search(np.array(q["v"], np.int64), q["vec_id"], k)
-                    found += [(q["vec_id"], int(a), int(s)) for a, s in zip(own, scores, strict=True)]
-                columns = list(zip(*found, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    pairs = index.join(batched, "block").select("n", "wide", "ids", "x", "band", "members", "queries")
-    near = pairs.repartition(min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), blocks * batches)).mapInArrow(search, "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(0).alias("batch"), "vec_id", "v")
+    dealt = candidates.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "batch")
+    near = dealt.mapInArrow(_search_blocks(k), "query_id long, vec_id long, score long, exact string")
+    # Exact scores order those that 64 bits can't hold.
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("exact").cast("decimal(38,0)").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -278,15 +278,46 @@ def brute_top(vectors, is_query, k):
     return out
 
 
+def check_top(spark, vectors, kind="double", k=5):
+    frame_ = spark.createDataFrame([(i, v, "clash", "clash") for i, v in vectors], f"vec_id long, embedding array<{kind}>, score string, block string")
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame_, F.col("vec_id") % 50 == 0, k=k).collect()}
+    exact = vectors if kind == "double" else [(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors]
+    assert got == brute_top(exact, lambda i: i % 50 == 0, k)
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 150)
+    monkeypatch.setattr(topk, "LEAST", 200)
+    monkeypatch.setattr(topk, "BATCH", 7)
     rng = np.random.default_rng(6)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.13, 16)]) for i in range(900)]
     vectors += [(1000 + i, vectors[7][1]) for i in range(40)] + [(2000, None), (2001, [None] * 16), (2002, [float("nan")] * 16), (2050, [float("inf")] * 16), (None, vectors[0][1])]
-    frame_ = spark.createDataFrame([(i, v, "clash") for i, v in vectors], "vec_id long, embedding array<float>, score string")
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame_, F.col("vec_id") % 50 == 0).collect()}
-    exact = [(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors]
-    assert got == brute_top(exact, lambda i: i % 50 == 0, 5)
+    check_top(spark, vectors, "float")
+
+
+def test_top_k_large_components_and_clusters(spark, monkeypatch):
+    """Scores near and beyond what 53 bits hold, and vectors that differ little: exact integers."""
+    monkeypatch.setattr(topk, "LEAST", 100)
+    rng = np.random.default_rng(7)
+    check_top(spark, [(i, [float(int(x)) for x in rng.integers(-(2**20), 2**20, 12)]) for i in range(600)])
+    check_top(spark, [(i, [2.0**21 + float(int(x)) / 256 for x in rng.integers(0, 3, 8)]) for i in range(600)])
+    centres = rng.normal(0, 1, (5, 24))
+    check_top(spark, [(i, [float(x) for x in centres[i % 5] + rng.normal(0, 0.004, 24)]) for i in range(800)])
+    check_top(spark, [(i, [0.25 if k == i % 3 else 0.0 for k in range(4)]) for i in range(500)], k=9)
+    check_top(spark, [(i, [float(x) for x in rng.normal(0, 1, 700)]) for i in range(200)])
+
+
+def test_top_k_scores_beyond_64_bits_keep_their_order(spark):
+    large = [(0, [2.0**30] * 4), (1, [2.0**30] * 4), (2, [2.0**30, 2.0**30, 2.0**30, 2.0**29]), (3, [1.0, 0.0, 0.0, 0.0]), (4, [-(2.0**30)] * 4)]
+    frame_ = spark.createDataFrame(large, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(frame_, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, topk.LARGEST), (2, topk.LARGEST), (3, 2**38 * 256), (4, topk.SMALLEST)]
+
+
+def test_top_k_repeated_ids_and_lengths(spark):
+    rows = [(0, [1.0, 1.0]), (0, [2.0, 1.0]), (1, [3.0]), (1, [3.0]), (2, []), (3, [1.0, 1.0, 9.0])]
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(frame_, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 3 * 65536), (1, 3 * 65536), (3, 2 * 65536), (2, 0)]
 
 
 def test_top_k_few_rows_and_nothing(spark):
