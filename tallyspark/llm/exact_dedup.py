@@ -35,9 +35,9 @@ def normalise(text: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(text), BLANKS, " ")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``locator``: file and row of its content; what isn't read from files is written to some first."""
-    at = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index")).alias("locator")
+def located(docs: DataFrame, name: str = "locator") -> DataFrame:
+    """``docs`` with ``name``: file and row of its content; what isn't read from files is written to some first."""
+    at = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index")).alias(name)
     try:
         return docs.select("*", at)
     except AnalysisException:

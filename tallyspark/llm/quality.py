@@ -7,14 +7,17 @@ Counts are damped, scaled to length one and projected on the leading singular
 vectors of a bounded sample of labelled documents (``sample`` rows at most, those
 with the smallest digests of their ids).  The sample's vectors are broadcast - a
 few MB, whatever the input - and each task multiplies its documents with them in
-blocks, exactly.  The ``neighbours`` most similar vote with their similarity to the
-power ``sharpness``.
+blocks.  Features, projection and vectors are rounded to integers, so products are exact
+and a score doesn't depend on which documents share a block.  The ``neighbours`` most
+similar vote with their similarity to the power ``sharpness``.
 
 The whole text counts; label, lang, source and id are never inputs.  Nulls: a null
 text is empty; a text without any feature (empty) gets the sample's share of label
 1; a null id stays null.  Ties in similarity: the neighbours that come first in the
-sample.  Repeated rows: one result each.  No labelled rows: every score is 0.5.
-Empty tables: no rows.  Other columns are ignored.
+sample.  Repeated rows: one result each.  Sampled rows of one id and label count
+once.  Long texts: features of a whole text are counted in slices of 1 MB.  No labelled rows: every score is 0.5.
+Empty tables: no rows.  Other columns are carried along; one that has the name of a
+result column is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,23 +29,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import text_or_empty
 
 #: Hashed features of raw and of class trigrams, and bins of the two repetition measures.
 RAW, SHAPE, BINS = 2048, 2048, 16
 FEATURES = RAW + SHAPE + 2 * BINS
+#: Units of features and projection, and of vectors of length one.
+UNIT, LENGTH = 1 << 12, 1 << 14
+#: Bytes of a text whose trigrams are counted at once.
+SLICE = 1 << 20
 
 _byte = np.arange(256)
 _class = np.where((_byte >= 97) & (_byte <= 122) | (_byte >= 128), ord("a"), np.where((_byte >= 65) & (_byte <= 90), ord("A"), np.where((_byte >= 48) & (_byte <= 57), ord("0"), np.where((_byte == 32) | (_byte >= 9) & (_byte <= 13), 32, _byte)))).astype(np.uint8)
 
 
-def _hashed(b: np.ndarray, size: int) -> np.ndarray:
-    """Counts of hashed trigrams of bytes."""
-    w = b.astype(np.uint32)
-    h = (w[:-2] << np.uint32(16) | w[1:-1] << np.uint32(8) | w[2:]) * np.uint32(2654435761)
-    return np.bincount(h >> np.uint32(32 - size.bit_length() + 1), minlength=size).astype(np.float32)
+def _hashed(b: np.ndarray, size: int, kinds: np.ndarray | None = None) -> np.ndarray:
+    """Counts of hashed trigrams of bytes, or of their kinds."""
+    out = np.zeros(size, np.int64)
+    for start in range(0, max(1, len(b) - 2), SLICE):
+        w = b[start : start + SLICE + 2]
+        w = (w if kinds is None else kinds[w]).astype(np.uint32)
+        h = (w[:-2] << np.uint32(16) | w[1:-1] << np.uint32(8) | w[2:]) * np.uint32(2654435761)
+        out += np.bincount(h >> np.uint32(32 - size.bit_length() + 1), minlength=size)
+    return out.astype(np.float32)
 
 
 def features(text: str) -> np.ndarray:
@@ -54,7 +65,7 @@ def features(text: str) -> np.ndarray:
         return out
     b = np.frombuffer(b" " + data + b" ", np.uint8)
     out[:RAW] = np.log1p(_hashed(b, RAW))
-    out[RAW : RAW + SHAPE] = np.log1p(_hashed(_class[b], SHAPE))
+    out[RAW : RAW + SHAPE] = np.log1p(_hashed(b, SHAPE, _class))
     for at in (out[:RAW], out[RAW : RAW + SHAPE]):
         at /= max(float(np.linalg.norm(at)), 1e-9)
     again = sum(x == y for x, y in zip(words, words[1:], strict=False)) / max(1, len(words) - 1)
@@ -67,7 +78,7 @@ def features(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Projection (features x dimensions), the sample's unit vectors and labels, and the share of label 1."""
+    """Projection (features x dimensions) and the sample's vectors, both in whole units, its labels, and the share of label 1."""
 
     projection: np.ndarray
     vectors: np.ndarray
@@ -78,22 +89,31 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), self.base)
-        if not len(self.labels):
+        if not len(self.labels) or not texts:
             return out
-        x = np.stack([features(t) for t in texts]) if texts else np.zeros((0, FEATURES), np.float32)
-        z = x @ self.projection
-        norm = np.linalg.norm(z, axis=1)
-        some = np.flatnonzero(norm > 1e-9)
-        k = min(self.neighbours, len(self.labels))
+        x = np.rint(np.stack([features(t) for t in texts]) * UNIT).astype(np.float64)
+        z = units(x @ self.projection)
+        some = np.flatnonzero(z.any(axis=1))
+        many = len(self.labels)
+        k = min(self.neighbours, many)
         for start in range(0, len(some), 256):
             rows = some[start : start + 256]
-            cosine = (z[rows] / norm[rows, None]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(np.float64) ** self.sharpness
+            # One number for similarity and place in the sample; all are whole and below 2^53.
+            key = (z[rows] @ self.vectors.T) * many + np.arange(many)[::-1]
+            near = np.argpartition(-key, k - 1, axis=1)[:, :k]
+            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(key, near, 1), axis=1), 1)
+            cosine = np.floor(np.take_along_axis(key, near, 1) / many) / LENGTH**2
+            weight = np.maximum(cosine, 1e-6) ** self.sharpness
             out[rows] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return out
 
 
+def units(z: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, in whole units; rows of zeros stay."""
+    norm = np.sqrt((z * z).sum(axis=1))
+    return np.rint(z / np.where(norm > 0, norm, 1.0)[:, None] * LENGTH)
+
+
 def leading(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """The leading right singular vectors of ``x`` by subspace iteration from a fixed start."""
     start = np.random.default_rng(5).standard_normal((x.shape[1], min(x.shape[1], k + 16))).astype(np.float32)
@@ -108,23 +128,24 @@ def fit(labelled: DataFrame, sample: int = 4096, dimensions: int = 64, neighbour
     """Fit on at most ``sample`` rows (doc_id, text, label) - a documented bound; the fit takes seconds on the driver."""
     known = labelled.where("label is not null").select("doc_id", text_or_empty("text").alias("text"), F.col("label").cast("int").alias("label"))
     chosen = known.select("doc_id", "label", F.xxhash64("doc_id", "label").alias("draw")).orderBy("draw", "doc_id", "label").limit(sample)
-    texts = known.join(F.broadcast(chosen.select(F.col("doc_id").alias("id"), F.col("label").alias("is"), "draw")), (F.col("id") == F.col("doc_id")) & (F.col("is") == F.col("label")))
+    texts = known.join(F.broadcast(chosen.select(F.col("doc_id").alias("_id"), F.col("label").alias("is"), "draw")), (F.col("_id") == F.col("doc_id")) & (F.col("is") == F.col("label")))
+    texts = texts.withColumn("id", F.col("doc_id").cast("string"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["draw", "label", "vector"])
-
-    rows = texts.select("draw", "label", "text").mapInArrow(vectors, "draw long, label int, vector binary").collect()
-    rows = sorted({(r["draw"], r["label"], bytes(r["vector"])) for r in rows})[:sample]
-    x = np.stack([np.frombuffer(v, np.float16).astype(np.float32) for _, _, v in rows]) if rows else np.zeros((0, FEATURES), np.float32)
-    y = np.array([label for _, label, _ in rows], np.float64)
+            rows = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.binary())], ["draw", "id", "label", "vector"])
+
+    # A row for each sampled id and label, however many texts they stand on.
+    drawn = texts.select("draw", "id", "label", "text").mapInArrow(vectors, "draw long, id string, label int, vector binary")
+    rows = drawn.groupBy("draw", "id", "label").agg(F.min("vector").alias("vector")).collect()  # ``sample`` rows at most
+    rows = sorted((r["draw"], r["id"] or "", r["label"], bytes(r["vector"])) for r in rows)
+    x = np.stack([np.frombuffer(r[-1], np.float16).astype(np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
+    y = np.array([r[2] for r in rows], np.float64)
     if not len(y):
-        return Model(np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5, neighbours, sharpness)
-    basis = leading(x, min(dimensions, *x.shape))
-    z = x @ basis
-    norm = np.linalg.norm(z, axis=1)
-    return Model(basis.astype(np.float32), (z / np.maximum(norm, 1e-9)[:, None]).astype(np.float32), y, float(y.mean()), neighbours, sharpness)
+        return Model(np.zeros((FEATURES, 1)), np.zeros((0, 1)), y, 0.5, neighbours, sharpness)
+    basis = np.rint(leading(x, min(dimensions, *x.shape)) * UNIT).astype(np.float64)
+    return Model(basis, units(np.rint(x * UNIT).astype(np.float64) @ basis), y, float(y.mean()), neighbours, sharpness)
 
 
 def held_out(id_column: str | Column = "doc_id") -> Column:
@@ -133,19 +154,19 @@ def held_out(id_column: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 where the score is at least ``least``)."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 where the score is at least ``least``), or what ``names`` calls them."""
     carried = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                texts = [t or "" for t in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(carried.value.scores(texts), 0.0, 1.0))], [*batch.schema.names, "_score"])
+                scores = np.clip(carried.value.scores([t or "" for t in batch.column(at).to_pylist()]), 0.0, 1.0)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in others), pa.array(scores), pa.array((scores >= least).astype(np.int32))], result)
 
     at = docs.columns.index(text_col)
-    kind = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
-    scored = docs.mapInArrow(run, kind)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    return scored.select(*names, F.col("_score").alias("score"), (F.col("_score") >= least).cast("int").alias("predicted"))
+    others = [k for k, c in enumerate(docs.columns) if c.lower() not in [n.lower() for n in names]]
+    kind = StructType([*(docs.schema.fields[k] for k in others), StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
+    result = kind.names
+    return docs.mapInArrow(run, kind)

@@ -95,6 +95,40 @@ def test_stages_decide_on_rows_not_ids(spark):
     assert sorted(len(r.text.split()) for r in corpus_pipeline.exact_stage(spark, twice, "").collect()) == list(range(1, 60))
 
 
+CLASHES = ["locator", "copies", "copy", "score", "predicted", "_score", "_locator", "_copies", "_copy", "_row_number", "taken", "size", "shard", "place", "kept", "component_id"]
+
+
+def test_stages_carry_columns_of_any_name(spark, corpus):
+    path, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    clash = docs.select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in CLASHES])
+    for _name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = Counter(r.doc_id for r in stage(spark, docs, path).collect())
+        got = stage(spark, clash, path).collect()
+        assert Counter(r.doc_id for r in got) == plain and got
+        assert all(r[c] == f"{c} {r.doc_id}" for r in got for c in CLASHES)
+
+
+def test_near_stage_decides_on_rows(spark):
+    word = lambda i: " ".join(f"t{i}w{k}" for k in range(40))
+    rows = [(7, word(1)), (7, word(2)), (3, word(1) + " end"), (None, word(3)), (None, word(3) + " end"), (None, word(4)), (9, word(4)), (5, ""), (6, None), (8, "z " * 300_000)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, (r.text or "")[:3]) for r in corpus_pipeline.near_stage(spark, docs, "").collect())
+    assert got == Counter([(7, "t2w"), (3, "t1w"), (None, "t3w"), (9, "t4w"), (5, ""), (6, ""), (8, "z z")])
+
+
+def test_long_texts_pass_all_stages(spark, corpus):
+    path, texts = corpus
+    long = " ".join(f"{texts[i]}" for i in range(40)) * 40
+    docs = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, long + " ", "en", "a", 0), (3, "x" * 100_000, "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert {len(r.text) for r in docs.collect()} <= {len(long), len(long) + 1, 100_000}
+    pieces = corpus_pipeline.pack_stage(spark, docs, path).collect()
+    n = len(tokens.encode_ids(long + " ", tokens.default_ranks(), tokens.default_vocabulary())) + 1
+    assert sum(r.length for r in pieces if r.doc_id in (1, 2)) % n in (0, n - 1)
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 
