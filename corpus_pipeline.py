@@ -1,9 +1,11 @@
 """A corpus pipeline: quality, exact dedup, near dedup, mixing and packing, each stage an operator of ``tallyspark.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that ``run`` writes
-as Parquet and reads again as the next stage's documents.  Exact dedup and the mix
-decide on rows, told apart by their places in files: rows with a null id, or with the
-id of another text, keep their own decision.
+as Parquet and reads again as the next stage's documents.  What holds for all stages:
+decisions are made on rows, never on ids, so a row with a null id, or with the id of
+another text, keeps its own decision; repeated rows are rows of their own; a null text counts as
+empty; long texts are read whole; extra columns are carried through all but the
+last stage, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,37 +14,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import exact_dedup, mixing, near_dup, packing, quality
-from tallyspark.llm.common import keep
+from tallyspark.llm.common import free_name, keep, numbered
 from tallyspark.llm.queries import quality_model
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    return quality.score(docs, quality_model(spark, sf_dir)).where("predicted = 1").select(*docs.columns)
+    """Documents that the classifier accepts (a score of 0.3 or more).
+
+    Empty and null texts score the sample's share of label 1.  Equal texts score alike, so ties and
+    repeated rows go the same way.
+    """
+    names = free_name(docs, "_score"), free_name(docs, "_predicted")
+    return quality.score(docs, quality_model(spark, sf_dir), names=names).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest id."""
-    rows = exact_dedup.located(docs)
-    kept = exact_dedup.deduplicate(rows, locator_col="locator").where("kept").select("locator")
-    return rows.join(kept, "locator", "left_semi").select(*docs.columns)
+    """Of equal texts (runs of white space counting as one blank), the row with the smallest id.
+
+    Null and empty texts are equal.  A row without id stays only where no row of its text has one; among rows of
+    one id and text, the first by place in its file stays.
+    """
+    at = free_name(docs, "_locator")
+    rows = exact_dedup.located(docs, at)
+    kept = exact_dedup.deduplicate(rows, locator_col=at).where("kept").select(F.col("locator").alias(at))
+    return rows.join(kept, at, "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8), one document."""
-    dropped = near_dup.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates (five words, similarity 0.8), the row with the smallest id.
+
+    Texts without words are linked with nothing and stay.  A row without id stays only where no row of its group has
+    one; ties go to the first row.
+    """
+    rows, row = numbered(docs, "near-rows")
+    groups = near_dup.near_duplicates(rows, words=5, percent=80, id_col=row).select(F.col("doc_id").alias("place"), "component_id")
+    ids = rows.select(F.col(row).alias("place"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("rank"))
+    stays = groups.join(ids, "place").groupBy("component_id").agg(F.min(F.struct("rank", "place"))["place"].alias(row)).select(row)
+    return rows.join(stays, row, "left_semi").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: its words of a document by the document's size, to the nearest whole."""
-    rows = exact_dedup.located(docs)
-    taken = mixing.mix(rows, carry=["locator"]).select("locator", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("copies")).where("copies > 0")
-    return rows.join(taken, "locator").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    """Documents as often as the mix takes them: its words of a document by the document's size, to the nearest whole.
+
+    Texts without words are taken no time.  Null sources are a source.
+    """
+    at, n, each = free_name(docs, "_locator"), free_name(docs, "_copies"), free_name(docs, "_copy")
+    rows = exact_dedup.located(docs, at)
+    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias(n)
+    taken = mixing.mix(rows, carry=[at]).select(at, copies).where(F.col(n) > 0)
+    return rows.join(taken, at).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(each)).select(*docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences."""
+    """Pieces of the documents with their places in sequences.
+
+    A null or empty text is one piece that holds the end id; long texts are cut into pieces of a sequence's length.
+    """
     return packing.pack(docs)
 
 
