@@ -75,7 +75,7 @@ def from_serial(n: Column) -> Column:
     return F.date_add(F.lit(SPREADSHEET_EPOCH).cast("date"), F.floor(n).cast("int"))
 
 
-def date_cell(c: Column, today: str = "2026-10-02") -> Column:
+def date_cell(c: Column, today: str) -> Column:
     """A cell's text -> struct(date, note, kind, day_over_12, either_way).
 
     Day first; a date that only makes sense month first is read so and noted; a date before 2000

@@ -51,9 +51,15 @@ def batch_checks(links: DataFrame) -> DataFrame:
 
 
 def lifted(links: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Yellow statements whose closing the next one's opening confirms turn green; left-out ones are told."""
+    """Yellow statements whose closing the next one's opening confirms turn green; left-out ones are told.
+
+    The next statement is the next by period that isn't left out.  Statuses: ``account, name, period_from, status``.
+    """
     from pyspark.sql.window import Window as W
 
-    following = F.lead("state").over(W.partitionBy("account").orderBy("name"))
-    d = links.withColumn("next_state", following).join(statuses, ["account", "name"])
+    d = links.join(statuses, ["account", "name"])
+    start = F.coalesce("period_from", F.lit("9999-12-31").cast("date"))
+    out = F.col("state") == "overlap"
+    following = F.lead("state").over(W.partitionBy("account", out).orderBy(start, "name"))
+    d = d.withColumn("next_state", F.when(~out, following))
     return d.select("account", "name", "state", (F.col("state") == "overlap").alias("left_out"), F.when((F.col("status") == "yellow") & (F.col("next_state") == "linked"), "green").otherwise(F.col("status")).alias("status"))

@@ -14,6 +14,10 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions.money import fmt_money, sum_text
 
+#: Notes that name no figure, as the reports print them.
+NO_BALANCE = "no balance was printed after this row, so it could not be checked against one"
+SIDE = "the balance says this is a {}, but it is printed in the {} column - the balance was believed"
+
 
 def statement() -> WindowSpec:
     """A statement's rows in order."""
@@ -64,18 +68,18 @@ def verify_chain(rows: DataFrame, split: float | None = None, deposit_first: boo
     proved = single & ended & (moved != 0) & (F.abs(moved) == F.col("amount"))
     grouped = ~single & ended & F.col("sides_known") & (F.col("net") == delta)
     note = (
-        F.when(~ended, "no balance was printed after this row")
+        F.when(~ended, NO_BALANCE)
         .when(proved | grouped, F.lit(None).cast("string"))
-        .when(single & (delta == 0), F.concat(F.lit("the balance did not change: "), fmt_money(F.col("amount"))))
-        .when(single, F.concat(F.lit("balance chain broken: "), fmt_money(F.col("running")), F.lit(" -> "), fmt_money(F.col("closing")), F.lit(" is a change of "), fmt_money(delta), F.lit(", printed "), fmt_money(F.col("amount")), F.coalesce(F.concat(F.lit(", tax "), fmt_money(F.nullif("tax", F.lit(0)))), F.lit(""))))
-        .otherwise(F.concat(F.col("grp_size").cast("string"), F.lit(" rows share one balance: "), fmt_money(F.col("running")), F.lit(" -> "), fmt_money(F.col("closing")), F.lit(" is a change of "), fmt_money(delta), F.lit(", the rows net "), sum_text(F.col("net_told"), F.col("terms"))))
+        .when(single & (delta == 0), F.concat(F.lit("the balance did not change, so whether "), fmt_money(F.col("amount")), F.lit(" went in or out cannot be determined - check this row by hand")))
+        .when(single, F.concat(F.lit("balance chain broken: "), fmt_money(F.col("running")), F.lit(" -> "), fmt_money(F.col("closing")), F.lit(" is a change of "), fmt_money(delta), F.lit(", but the amount printed is "), fmt_money(F.col("amount")), F.coalesce(F.concat(F.lit(" (tax "), fmt_money(F.nullif("tax", F.lit(0))), F.lit(")")), F.lit(""))))
+        .otherwise(F.concat(F.lit("these "), F.col("grp_size").cast("string"), F.lit(" rows share one printed balance, and they do not add up to it: "), fmt_money(F.col("running")), F.lit(" -> "), fmt_money(F.col("closing")), F.lit(" is a change of "), fmt_money(delta), F.lit(", the rows net "), sum_text(F.col("net_told"), F.col("terms"))))
     )
     withdrawal = F.when((proved & (moved < 0)) | (grouped & side), F.col("amount"))
     deposit = F.when((proved & (moved > 0)) | (grouped & ~side), F.col("amount"))
     d = d.withColumn("verified", F.coalesce(proved | grouped, F.lit(False))).withColumn("withdrawal", withdrawal).withColumn("deposit", deposit).withColumn("note", note)
     actual_out = F.coalesce("withdrawal", F.lit(0)) != 0
     told = single & ended & side.isNotNull() & (actual_out | (F.coalesce("deposit", F.lit(0)) != 0)) & (actual_out != side)
-    said = F.when(actual_out, "a withdrawal by the balance, printed as a deposit").otherwise("a deposit by the balance, printed as a withdrawal")
+    said = F.when(actual_out, SIDE.format("withdrawal", "deposit")).otherwise(SIDE.format("deposit", "withdrawal"))
     return d.withColumn("side_note", F.when(told, said)).drop("first_gap", "net_told", "terms", "sides_known")
 
 

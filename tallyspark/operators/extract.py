@@ -24,7 +24,7 @@ def lines_of(words: DataFrame, reach: float = 4.0) -> DataFrame:
     return paged.join(lines, "_page").where("y between low and high").drop("_page", "low", "high")
 
 
-def cells_of(lines: DataFrame, columns: DataFrame) -> DataFrame:
+def cells_of(lines: DataFrame, columns: list[layout.Range]) -> DataFrame:
     """One row per line: ``doc, page, line, y``, the columns' texts (words left to right), right edge of the amount."""
     placed = layout.to_columns(lines.withColumn("_x0", F.col("x0")), columns)
 
@@ -37,14 +37,14 @@ def cells_of(lines: DataFrame, columns: DataFrame) -> DataFrame:
     )
 
 
-def transactions(cells: DataFrame, footer: str, reach: float) -> DataFrame:
+def transactions(cells: DataFrame, footer: str, reach: float, today: str) -> DataFrame:
     """``doc, seq, page, day, description, amount, x1, balance, opening``: rows with a date and a balance or amount.
 
     A page ends at its first line that matches ``footer`` and isn't a row; other lines are text wrapped from the nearest
     row within ``reach``; the first line that brings a balance forward gives the opening.
     """
     value = cells.select(
-        "*", money.parse_amount(F.col("amount")).alias("_amount"), money.parse_signed(F.col("balance")).alias("_balance"), dates.date_cell(F.col("date"))["date"].alias("day")
+        "*", money.parse_amount(F.col("amount")).alias("_amount"), money.parse_signed(F.col("balance")).alias("_balance"), dates.date_cell(F.col("date"), today)["date"].alias("day")
     )
     said = F.concat_ws(" ", "date", "description", "amount", "balance")
     typed = value.withColumn("brought", F.coalesce(F.col("description").rlike(BROUGHT_FORWARD), F.lit(False)))

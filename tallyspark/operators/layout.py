@@ -17,31 +17,40 @@ def gap_clusters(points: DataFrame, key: str, value: str, gap: float, tie: str)
 def mean_clusters(points: DataFrame, key: str, value: str, reach: float) -> DataFrame:
     """``key, cluster, n, mean, low, high``: values in order join the running cluster while within ``reach`` of its mean.
 
-    The mean moves with each value, so this is a fold over a key's sorted values (a page's lines).
+    The mean moves with each value, so this is a fold.  Equal values join together and are counted first; no cluster
+    reaches over a step of more than ``reach``, so each stretch between such steps is folded by itself.
     """
     kind = "array<struct<n:bigint,total:double,low:double,high:double>>"
 
-    def step(acc, v):
-        last = F.try_element_at(acc, F.lit(-1))
+    def step(acc, x):
+        last, v, n = F.try_element_at(acc, F.lit(-1)), x["v"], x["n"]
         joins = (F.size(acc) > 0) & (F.abs(v - last["total"] / last["n"]) <= reach)
         head = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        grown = F.struct((last["n"] + 1).alias("n"), (last["total"] + v).alias("total"), last["low"].alias("low"), v.cast("double").alias("high"))
-        fresh = F.struct(F.lit(1).cast("bigint").alias("n"), v.cast("double").alias("total"), v.cast("double").alias("low"), v.cast("double").alias("high"))
+        grown = F.struct((last["n"] + n).alias("n"), (last["total"] + v * n).alias("total"), last["low"].alias("low"), v.alias("high"))
+        fresh = F.struct(n.alias("n"), (v * n).alias("total"), v.alias("low"), v.alias("high"))
         return F.when(joins, F.concat(head, F.array(grown))).otherwise(F.concat(acc, F.array(fresh))).cast(kind)
 
-    folded = points.groupBy(key).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("v")).select(key, F.aggregate("v", F.array().cast(kind), step).alias("c"))
-    return folded.select(key, F.posexplode("c").alias("cluster", "x")).select(key, "cluster", F.col("x.n").alias("n"), (F.col("x.total") / F.col("x.n")).alias("mean"), F.col("x.low").alias("low"), F.col("x.high").alias("high"))
+    own = W.partitionBy(key).orderBy("v")
+    values = points.groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    stretch = F.sum("_new").over(own).alias("stretch")
+    cut = values.withColumn("_new", F.when(F.col("v") - F.lag("v").over(own) > reach, 1).otherwise(0)).select(key, "v", "n", stretch)
+    folded = cut.groupBy(key, "stretch").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("x")).select(key, "stretch", F.posexplode(F.aggregate("x", F.array().cast(kind), step)).alias("at", "c"))
+    number = (F.row_number().over(W.partitionBy(key).orderBy("stretch", "at")) - 1).alias("cluster")
+    return folded.select(key, number, F.col("c.n").alias("n"), (F.col("c.total") / F.col("c.n")).alias("mean"), F.col("c.low").alias("low"), F.col("c.high").alias("high"))
 
 
-def to_columns(words: DataFrame, columns: DataFrame) -> DataFrame:
-    """Words to the column whose range holds their centre (lower end in, upper end out); ``columns``: name, lo, hi, ord - tens of rows, broadcast.
+#: A column's name, lower end, upper end and place among overlapping ones.
+Range = tuple[str, float, float, int]
 
-    Of overlapping ranges the first by ``ord`` counts.
+
+def to_columns(words: DataFrame, columns: list[Range]) -> DataFrame:
+    """Adds ``column``: that whose range holds a word's centre (lower end in, upper end out), NULL outside every range.
+
+    Of overlapping ranges the first by place counts.  A projection: no join, and no word is lost or merged.
     """
     centre = (F.col("x0") + F.col("x1")) / 2
-    met = words.join(F.broadcast(columns), (columns["lo"] <= centre) & (centre < columns["hi"]))
-    keys = words.columns
-    return met.groupBy(*keys).agg(F.min_by("name", "ord").alias("column"))
+    found = [F.when((centre >= lo) & (centre < hi), name) for name, lo, hi, _ in sorted(columns, key=lambda c: c[3])]
+    return words.withColumn("column", F.coalesce(*found))
 
 
 def settle_wrapped(lines: DataFrame, reach: float) -> DataFrame:
@@ -83,10 +92,9 @@ def deskew(points: DataFrame, key: str, most_deg: float = 5.0, steps: int = 201,
     return counted.withColumn("top", F.max("score").over(best)).where("score = top").groupBy(key).agg(F.round((F.min("angle") + F.max("angle")) / 2, 6).alias("angle"), F.max("score").alias("score"))
 
 
-def upper_median(c: Column) -> Column:
-    """The upper middle of the values, as an aggregate."""
-    v = F.array_sort(F.collect_list(c))
-    return F.element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
+def upper_median(name: str) -> Column:
+    """The upper middle of a column's values, as an aggregate over counts of equal values."""
+    return F.expr(f"percentile_disc(0.500000000001) WITHIN GROUP (ORDER BY `{name}`)")
 
 
 def correlation(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import dates, money, text
 from ..operators import chain, extract
 from .ledger import CHAIN, LEDGER, SPLIT, ledger
-from .queries import _m, query, table
+from .queries import TODAY, _m, query, table
 
 COLUMNS = [("date", 0.0, 60.0, 0), ("description", 60.0, 180.0, 1), ("amount", 180.0, 320.0, 2), ("balance", 320.0, 500.0, 3)]
 
@@ -41,8 +41,8 @@ def printed_words(spark, sf_dir) -> DataFrame:
 
 
 def extracted(spark, sf_dir) -> DataFrame:
-    cells = extract.cells_of(extract.lines_of(printed_words(spark, sf_dir)), spark.createDataFrame(COLUMNS, "name string, lo double, hi double, ord int"))
-    return extract.transactions(cells, "Page total", 9.0)
+    cells = extract.cells_of(extract.lines_of(printed_words(spark, sf_dir)), COLUMNS)
+    return extract.transactions(cells, "Page total", 9.0, TODAY)
 
 
 @query(f"""WITH l AS ({LEDGER}) SELECT stmt_id AS doc, row_number() OVER (PARTITION BY stmt_id ORDER BY seq) AS seq, CAST(day AS DATE) AS day, 'order ' || row_id || CASE WHEN row_id % 4 = 0 THEN ' wrapped' ELSE '' END AS description,
@@ -55,7 +55,7 @@ def words_to_rows(spark, sf_dir):
 SELECT stmt_id AS doc, count(*) AS rows, count(*) FILTER (verified) AS verified, CAST(COALESCE(sum(withdrawal), 0) AS BIGINT) AS withdrawn, CAST(COALESCE(sum(deposit), 0) AS BIGINT) AS deposited FROM c GROUP BY stmt_id""")
 def words_to_proof(spark, sf_dir):
     """From words on pages to proved totals in one plan; rows without an amount take no part, tax isn't printed."""
-    rows = extracted(spark, sf_dir).where("amount is not null").withColumnRenamed("doc", "stmt_id").withColumn("tax", F.lit(None).cast("bigint"))
+    rows = extracted(spark, sf_dir).withColumnRenamed("doc", "stmt_id").withColumn("tax", F.lit(None).cast("bigint"))
     d = chain.verify_chain(rows, SPLIT)
     return d.groupBy(F.col("stmt_id").alias("doc")).agg(
         F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("verified"), 1)).alias("verified"), F.coalesce(F.sum("withdrawal"), F.lit(0)).alias("withdrawn"), F.coalesce(F.sum("deposit"), F.lit(0)).alias("deposited")
@@ -71,17 +71,17 @@ def period_texts(spark, sf_dir):
     return d.select("k", F.inline(F.array(dates.period(said))))
 
 
-@query(f"""WITH q AS (SELECT s_suppkey AS k, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS c, s_suppkey % 4 AS how FROM supplier WHERE abs(s_acctbal) >= 1000)
+@query(f"""WITH q AS (SELECT s_suppkey AS k, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS c, s_suppkey % 4 AS how FROM supplier)
 SELECT k, CASE WHEN how = 3 THEN 'x1' ELSE format('{{:,}}', c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') END AS repaired FROM q""")
 def money_repair(spark, sf_dir):
     c = F.round(F.abs("s_acctbal") * 100).cast("bigint")
-    d = table(spark, sf_dir, "supplier").where(F.abs("s_acctbal") >= 1000).select(F.col("s_suppkey").alias("k"), money.fmt_comma(c).alias("m"))
+    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), money.fmt_comma(c).alias("m"))
     read = F.when(F.col("k") % 4 == 0, F.replace("m", F.lit(","), F.lit("."))).when(F.col("k") % 4 == 1, F.replace("m", F.lit("."), F.lit(","))).when(F.col("k") % 4 == 3, "x1").otherwise(F.col("m"))
     return d.select("k", money.repair_money(read).alias("repaired"))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, string_split(regexp_replace(text, '[[:space:]]+', ' ', 'g'), ' ')[1:4] AS p FROM conversations)
+@query("""WITH w AS (SELECT conv_id, turn, string_split(regexp_replace(text, '[[:space:]]+', ' ', 'g'), ' ') AS p FROM conversations)
 SELECT conv_id, turn, array_to_string(p, ' ') AS glued FROM w""")
 def wrapped_glue(spark, sf_dir):
-    parts = F.slice(F.split(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " "), " "), 1, 4)
+    parts = F.split(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " "), " ")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.glue(parts).alias("glued"))

@@ -13,6 +13,8 @@ from ..operators import batch, chain, checks, daily, infer, layout, trust
 from .ledger import CHAIN, LEDGER, SPLIT, ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The day by which dates of these queries are judged unlikely.
+TODAY = "2026-10-02"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,15 +52,17 @@ def _m(x: str) -> str:
     return MONEY_SQL.format(f"({x})")
 
 
-@query(f"""WITH {CHAIN} SELECT stmt_id, seq,
-  CASE WHEN closing IS NULL THEN 'no balance was printed after this row' WHEN verified THEN NULL
-       WHEN grp_size = 1 AND closing = running THEN 'the balance did not change: ' || {_m('amount')}
-       WHEN grp_size = 1 THEN 'balance chain broken: ' || {_m('running')} || ' -> ' || {_m('closing')} || ' is a change of ' || {_m('closing - running')} || ', printed ' || {_m('amount')} || CASE WHEN tax <> 0 THEN ', tax ' || {_m('tax')} ELSE '' END
-       ELSE 'group' END AS note,
-  CASE WHEN single_ok AND amount <> 0 AND x1 IS NOT NULL AND (moved < 0) <> (x1 < 250) THEN CASE WHEN moved < 0 THEN 'a withdrawal by the balance, printed as a deposit' ELSE 'a deposit by the balance, printed as a withdrawal' END END AS side_note
-FROM c WHERE grp_size = 1 OR closing IS NULL""")
+@query(f"""WITH {CHAIN}, fg AS (SELECT *, min(CASE WHEN signed IS NULL THEN seq END) OVER (PARTITION BY stmt_id, grp) AS gap FROM c),
+nt AS (SELECT *, CAST(COALESCE(sum(CASE WHEN gap IS NULL OR seq < gap THEN signed END) OVER (PARTITION BY stmt_id, grp), 0) AS BIGINT) AS told, count(CASE WHEN gap IS NULL OR seq < gap THEN signed END) OVER (PARTITION BY stmt_id, grp) AS terms FROM fg)
+SELECT stmt_id, seq,
+  CASE WHEN closing IS NULL THEN '{chain.NO_BALANCE}' WHEN verified THEN NULL
+       WHEN grp_size = 1 AND closing = running THEN 'the balance did not change, so whether ' || {_m('amount')} || ' went in or out cannot be determined - check this row by hand'
+       WHEN grp_size = 1 THEN 'balance chain broken: ' || {_m('running')} || ' -> ' || {_m('closing')} || ' is a change of ' || {_m('closing - running')} || ', but the amount printed is ' || {_m('amount')} || CASE WHEN tax <> 0 THEN ' (tax ' || {_m('tax')} || ')' ELSE '' END
+       ELSE 'these ' || grp_size || ' rows share one printed balance, and they do not add up to it: ' || {_m('running')} || ' -> ' || {_m('closing')} || ' is a change of ' || {_m('closing - running')} || ', the rows net ' || CASE WHEN terms = 0 THEN '0' ELSE {_m('told')} END END AS note,
+  CASE WHEN single_ok AND amount <> 0 AND x1 IS NOT NULL AND (moved < 0) <> (x1 < 250) THEN CASE WHEN moved < 0 THEN '{chain.SIDE.format("withdrawal", "deposit")}' ELSE '{chain.SIDE.format("deposit", "withdrawal")}' END END AS side_note
+FROM nt""")
 def chain_notes(spark, sf_dir):
-    return proved(spark, sf_dir).where("grp_size = 1 or closing is null").select("stmt_id", "seq", "note", "side_note")
+    return proved(spark, sf_dir).select("stmt_id", "seq", "note", "side_note")
 
 
 @query(f"""WITH {CHAIN} SELECT stmt_id, grp, grp_size, running, closing, bool_and(verified) AS verified,
@@ -344,11 +348,12 @@ def batch_checks(spark, sf_dir):
     return batch.batch_checks(batch.batch_links(year_statements(spark, sf_dir)))
 
 
-@query(f"""{BATCH} SELECT account, name, state, state = 'overlap' AS left_out,
-  CASE WHEN LEAD(state) OVER (PARTITION BY account ORDER BY name) = 'linked' AND length(name) % 2 = 0 THEN 'green' WHEN length(name) % 2 = 0 THEN 'yellow' ELSE 'red' END AS status FROM links""")
+@query(f"""{BATCH}, nx AS (SELECT links.account, links.name, LEAD(state) OVER (PARTITION BY links.account ORDER BY COALESCE(y.period_from, DATE '9999-12-31'), links.name) AS next_state FROM links JOIN y ON links.account = y.account AND links.name = y.name WHERE state <> 'overlap')
+SELECT l.account, l.name, state, state = 'overlap' AS left_out,
+  CASE WHEN next_state = 'linked' AND length(l.name) % 2 = 0 THEN 'green' WHEN length(l.name) % 2 = 0 THEN 'yellow' ELSE 'red' END AS status FROM links l LEFT JOIN nx ON l.account = nx.account AND l.name = nx.name""")
 def batch_left_out(spark, sf_dir):
     st = year_statements(spark, sf_dir)
-    return batch.lifted(batch.batch_links(st), st.select("account", "name", F.when(F.length("name") % 2 == 0, "yellow").otherwise("red").alias("status")))
+    return batch.lifted(batch.batch_links(st), st.select("account", "name", "period_from", F.when(F.length("name") % 2 == 0, "yellow").otherwise("red").alias("status")))
 
 
 # Money, dates, text
@@ -409,7 +414,7 @@ t AS (SELECT *, {CELLS.format(s='VARCHAR')} AS cell, CASE WHEN k % 9 = 4 AND mm
   CASE WHEN k % 9 = 2 THEN 'number' WHEN k % 9 = 0 OR k % 9 = 8 AND date IS NOT NULL OR k % 9 = 4 AND dd <= 12 THEN 'text' END AS kind,
   COALESCE((k % 9 IN (0, 2, 8) OR k % 9 = 4 AND dd <= 12) AND day(date) > 12, false) AS day_over_12, COALESCE((k % 9 IN (0, 2, 8) OR k % 9 = 4 AND dd <= 12) AND day(date) <= 12 AND day(date) <> month(date), false) AS either_way FROM t""")
 def date_cell(spark, sf_dir):
-    d = date_texts(spark, sf_dir).select("k", "cell", F.inline(F.array(dates.date_cell(F.col("cell")))))
+    d = date_texts(spark, sf_dir).select("k", "cell", F.inline(F.array(dates.date_cell(F.col("cell"), TODAY))))
     return d.select("k", "cell", "date", "note", "kind", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("day_over_12", "either_way")])
 
 
@@ -450,10 +455,10 @@ def account_shape(spark, sf_dir):
     return t.select("token", text.mask_account(F.col("token")).alias("masked"), text.looks_like_account(F.col("token")).alias("is_account"))
 
 
-@query("""SELECT conv_id, turn, left(CASE WHEN turn % 2 = 0 AND trim(text, ' ') <> '' THEN text ELSE role END, 50) AS remark, replace(replace(replace(left(text, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM conversations""")
+@query("""SELECT conv_id, turn, left(CASE WHEN turn % 2 = 0 AND trim(text, ' ') <> '' THEN text ELSE role END, 50) AS remark, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM conversations""")
 def remark_cut(spark, sf_dir):
     first = F.when(F.col("turn") % 2 == 0, F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.remark(first, F.col("role")).alias("remark"), text.xml_escape(F.left("text", F.lit(80))).alias("escaped"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.remark(first, F.col("role")).alias("remark"), text.xml_escape(F.col("text")).alias("escaped"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '[^/]*$') AS base, lower(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[[:space:]_]+', '', 'g')) AS squashed FROM pages""")
@@ -502,12 +507,15 @@ def best_heading(spark, sf_dir):
     return d.select("file", "header", said.alias("roles"))
 
 
-@query(f"""WITH {DATE_SQL}, r AS (SELECT k // 500 AS file, CASE WHEN k % 9 = 2 THEN 'number' ELSE 'text' END AS kind, date, day(date) > 12 AS over, k % 9 = 4 AND dd > 12 AS against FROM t WHERE date IS NOT NULL AND (k % 9 IN (0, 2, 8) OR k % 9 = 4 AND dd <= 12 AND k % 7 = 0)),
-g AS (SELECT file, kind, count(DISTINCT date) FILTER (over) AS proofs, date_diff('day', min(date) FILTER (over), max(date) FILTER (over)) AS span FROM r GROUP BY file, kind)
-SELECT file, kind, proofs, span, false AS against, proofs >= 2 AND COALESCE(span, 0) <= 45 AS proved FROM g""")
+@query(f"""WITH {DATE_SQL}, r AS (SELECT k // 500 AS file, CASE WHEN k % 9 = 2 THEN 'number' WHEN k % 9 IN (0, 4, 8) THEN 'text' ELSE 'sure' END AS kind, date, k % 9 IN (0, 2, 8) AND day(date) > 12 AS over, k % 9 = 4 AND dd > 12 AS against FROM t WHERE date IS NOT NULL),
+g AS (SELECT file, kind, count(DISTINCT date) FILTER (over) AS proofs, date_diff('day', min(date) FILTER (over), max(date) FILTER (over)) AS span, bool_or(against) AS against FROM r GROUP BY file, kind)
+SELECT file, kind, proofs, span, against, proofs >= 2 AND COALESCE(span, 0) <= 45 AND NOT against AS proved FROM g""")
 def date_order_proof(spark, sf_dir):
-    d = date_texts(spark, sf_dir).where("k % 9 in (0, 2, 8) or k % 9 = 4 and dd <= 12 and k % 7 = 0").select("k", F.inline(F.array(dates.date_cell(F.col("cell"))))).where("date is not null")
-    rows = d.select(F.floor(F.col("k") / 500).alias("file"), "kind", F.col("date").alias("day"), "day_over_12", (F.coalesce(F.col("note"), F.lit("")) == "only makes sense month first").alias("against"))
+    """Every readable date of a file; what only makes sense month first speaks against the texts' order."""
+    d = date_texts(spark, sf_dir).select("k", F.inline(F.array(dates.date_cell(F.col("cell"), TODAY)))).where("date is not null")
+    against = F.coalesce(F.col("note") == "only makes sense month first", F.lit(False))
+    kind = F.when(against, "text").otherwise(F.coalesce("kind", F.lit("sure")))
+    rows = d.select(F.floor(F.col("k") / 500).alias("file"), kind.alias("kind"), F.col("date").alias("day"), "day_over_12", against.alias("against"))
     return infer.date_order_proof(rows).withColumn("span", F.col("span").cast("bigint"))
 
 
@@ -518,8 +526,7 @@ MARKS = [("licence", 1, ["License"]), ("secret", 2, ["token", "="]), ("french",
 @query("""SELECT doc_id, CASE WHEN contains(text, 'License') THEN 'licence' WHEN contains(text, 'token') AND contains(text, '=') THEN 'secret' WHEN contains(text, ' le ') AND contains(text, ' la ') THEN 'french' WHEN contains(text, ' der ') AND contains(text, ' die ') THEN 'german' ELSE 'english' END AS profile
 FROM documents WHERE contains(text, 'License') OR contains(text, 'token') AND contains(text, '=') OR contains(text, ' le ') AND contains(text, ' la ') OR contains(text, ' der ') AND contains(text, ' die ') OR contains(text, ' the ')""")
 def profile_identify(spark, sf_dir):
-    marks = spark.createDataFrame(MARKS, "profile string, priority int, words array<string>")
-    return infer.identify(table(spark, sf_dir, "documents").select("doc_id", "text"), marks)
+    return infer.identify(table(spark, sf_dir, "documents").select("doc_id", "text"), MARKS)
 
 
 @query("""WITH s AS (SELECT l_suppkey AS supplier, l_returnflag || l_linestatus AS candidate, count(*) AS score FROM lineitem GROUP BY ALL), t AS (SELECT *, max(score) OVER (PARTITION BY supplier) AS top FROM s)
@@ -536,10 +543,10 @@ COLUMNS = [("date", 0.0, 20000.0, 0), ("amount", 15000.0, 50000.0, 1), ("balance
 
 
 @query("""SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_extendedprice AS x0, l_extendedprice + l_quantity AS x1,
-  CASE WHEN c < 20000 THEN 'date' WHEN c < 50000 THEN 'amount' WHEN c < 80000 THEN 'balance' ELSE 'amount' END AS "column" FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, (l_extendedprice + (l_extendedprice + l_quantity)) / 2 AS c FROM lineitem) WHERE c < 90000""")
+  CASE WHEN c < 20000 THEN 'date' WHEN c < 50000 THEN 'amount' WHEN c < 80000 THEN 'balance' WHEN c < 90000 THEN 'amount' END AS "column" FROM (SELECT *, (l_extendedprice + (l_extendedprice + l_quantity)) / 2 AS c FROM lineitem)""")
 def column_range_join(spark, sf_dir):
-    words = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as k", "l_linenumber as n", "l_partkey as p", "l_extendedprice as x0", "l_extendedprice + l_quantity as x1").distinct()
-    return layout.to_columns(words, spark.createDataFrame(COLUMNS, "name string, lo double, hi double, ord int"))
+    words = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as k", "l_linenumber as n", "l_partkey as p", "l_extendedprice as x0", "l_extendedprice + l_quantity as x1")
+    return layout.to_columns(words, COLUMNS)
 
 
 def event_page(spark, sf_dir):
@@ -594,7 +601,7 @@ def deskew(spark, sf_dir):
 
 @query("""SELECT l_suppkey AS supplier, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS median FROM lineitem GROUP BY l_suppkey""")
 def upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(layout.upper_median(F.col("l_quantity")).alias("median"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(layout.upper_median("l_quantity").alias("median"))
 
 
 @query("""WITH p AS (SELECT label AS candidate, list(x ORDER BY i) AS pattern FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, generate_series(1, 64) t(i) GROUP BY label, i) GROUP BY label),
@@ -635,7 +642,7 @@ def statement_files(spark, sf_dir, kind: str) -> DataFrame:
         line = F.concat(F.lit("<TR>"), cell(F.col("c_custkey").cast("string")), cell(F.concat(F.lit(" <b>"), "c_name", F.lit("</b>;<br/>&quot;"), "seg", F.lit("&quot;\n"))), cell(money.fmt_money(F.col("cents"))), F.lit("</TR>"))
         head, sep, ext = F.lit("<table><tr><th>key<th>name<th>balance</tr>"), "", ".xls"
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("l")))), lambda x: x["l"]), sep)
-    body = c.groupBy(F.col("k"), F.pmod("c_custkey", F.lit(40)).alias("part")).agg(F.concat(head, lines).cast("binary").alias("content"))
+    body = c.groupBy(F.col("k"), F.floor(F.col("c_custkey") / 2000).alias("part")).agg(F.concat(head, lines).cast("binary").alias("content"))
     return body.select(F.concat(F.col("k").cast("string"), F.lit("-"), F.col("part").cast("string"), F.lit(ext)).alias("path"), F.octet_length("content").cast("bigint").alias("length"), "content")
 
 
@@ -649,7 +656,7 @@ def read_back(files: DataFrame) -> DataFrame:
     return found.groupBy("file", "row").agg(*[F.max(F.when(F.col("col") == i, value)).alias(name) for i, name in enumerate(("key", "name", "balance"))]).drop("row")
 
 
-FILES_SQL = """SELECT c_nationkey || '-' || c_custkey % 40 || '{0}' AS file, CAST(c_custkey AS VARCHAR) AS key, c_name || ';{1}"' || c_mktsegment || '"' AS name, {2} AS balance FROM (SELECT *, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer)"""
+FILES_SQL = """SELECT c_nationkey || '-' || c_custkey // 2000 || '{0}' AS file, CAST(c_custkey AS VARCHAR) AS key, c_name || ';{1}"' || c_mktsegment || '"' AS name, {2} AS balance FROM (SELECT *, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer)"""
 
 
 @query(FILES_SQL.format(".csv", "", _m("cents")))
@@ -662,11 +669,11 @@ def html_tables(spark, sf_dir):
     return read_back(statement_files(spark, sf_dir, "html"))
 
 
-@query("""SELECT c_custkey % 64 || '.xlsx' AS file, CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS VARCHAR) AS balance FROM customer""")
+@query("""SELECT c_custkey // 500 || '.xlsx' AS file, CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS VARCHAR) AS balance FROM customer""")
 def workbook_round_trip(spark, sf_dir):
     from ..sinks.workbooks import files
 
-    c = table(spark, sf_dir, "customer").selectExpr("c_custkey % 64 as part", "c_custkey as key", "c_name as name", "cast(round(c_acctbal * 100) as bigint) as balance")
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey div 500 as part", "c_custkey as key", "c_name as name", "cast(round(c_acctbal * 100) as bigint) as balance")
     return read_back(files(c, "part", ["key"], ["key", "name", "balance"]))
 
 
@@ -691,14 +698,13 @@ def stream_daily(spark, sf_dir):
     return latest(run(spark, daily_windows(events), "update", "stream-daily"), "stmt_id", "day")
 
 
-@query(f"""WITH l AS ({LEDGER}), k AS (SELECT stmt_id, seq, amount, balance, COALESCE(LAG(balance) OVER (PARTITION BY stmt_id ORDER BY seq), 0) AS before FROM l WHERE balance IS NOT NULL)
-SELECT stmt_id, seq, amount, balance, CASE WHEN abs(balance - before) = amount THEN 'proved' ELSE 'broken' END AS state FROM k""")
+@query(f"""WITH l AS ({LEDGER}), k AS (SELECT stmt_id, seq, amount, balance, COALESCE(last_value(balance IGNORE NULLS) OVER (PARTITION BY stmt_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+SELECT stmt_id, seq, amount, balance, CASE WHEN balance IS NULL THEN 'open' WHEN abs(balance - before) = amount THEN 'proved' ELSE 'broken' END AS state FROM k""")
 def stream_chain(spark, sf_dir):
     from ..scratch import scratch
-    from ..streaming.ledger_stream import chain_stream, run
+    from ..streaming.ledger_stream import chain_stream
 
-    rows = ledger(spark, sf_dir).where("balance is not null").select("stmt_id", "seq", "amount", "balance")
+    rows = ledger(spark, sf_dir).select("stmt_id", "seq", "amount", "balance")
     path = scratch(spark, "stream-ledger")
     rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
-    return run(spark, chain_stream(stream), "append", "stream-chain").drop("batch")
+    return chain_stream(spark.readStream.schema(rows.schema).parquet(path), "stream-chain").drop("batch")

@@ -17,12 +17,11 @@ PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 
 
 def column_name(i: int) -> str:
-    out = ""
-    i += 1
-    while i:
-        i, r = divmod(i - 1, 26)
-        out = chr(65 + r) + out
-    return out
+    """0 -> A, 25 -> Z, 26 -> AA: shorter names come first, so what they use up is taken off."""
+    width, names = 1, 26
+    while i >= names:
+        i, width, names = i - names, width + 1, names * 26
+    return "".join(chr(65 + i // 26**k % 26) for k in reversed(range(width)))
 
 
 def _cell(ref: str, v) -> str:

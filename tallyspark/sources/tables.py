@@ -2,7 +2,7 @@
 
 Input rows are those of Spark's ``binaryFile`` source (``path, length, content``); size and kind are
 filtered on before content is touched.  Output: ``file, sheet, row, col, s`` (text) and ``n`` (number), one row
-per cell that isn't blank.  A file that can't be read is a row of ``refusals``, never a failed job.
+per cell that isn't blank.  A file that can't be read, for whatever reason, is a row of ``refusals``, never a failed job.
 A file is bounded by ``Limits``, so each is one task's small work.
 """
 
@@ -30,6 +30,7 @@ class Limits:
     """What a table file may hold."""
 
     file_bytes: int = 20 << 20
+    part_bytes: int = 50 << 20
     unpacked_bytes: int = 100 << 20
     sheets: int = 50
     columns: int = 256
@@ -56,6 +57,7 @@ def separator(line: str) -> str:
 
 def delimited(content: bytes) -> dict[str, list[list[str]]]:
     text = decode(content).replace("\r\n", "\n").replace("\r", "\n")
+    csv.field_size_limit(1 << 30)  # a file's own limit is the bound
     return {"text": list(csv.reader(io.StringIO(text), delimiter=separator(text.split("\n", 1)[0])))}
 
 
@@ -86,11 +88,21 @@ def workbook(content: bytes, limits: Limits = Limits()) -> dict[str, list[list]]
         parts = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as e:
         raise Refused("not a workbook") from e
-    if sum(i.file_size for i in parts.infolist()) > limits.unpacked_bytes:
-        raise Refused("unpacks to too much")
+    names, unpacked = set(parts.namelist()), 0
 
     def tree(name: str):
-        return ElementTree.fromstring(parts.read(name)) if name in parts.namelist() else None
+        """A part's XML; what it unpacks to is counted, whatever the archive says, and it may define no entities."""
+        nonlocal unpacked
+        if name not in names:
+            return None
+        with parts.open(name) as f:
+            data = f.read(limits.part_bytes + 1)
+        unpacked += len(data)
+        if len(data) > limits.part_bytes or unpacked > limits.unpacked_bytes:
+            raise Refused("unpacks to too much")
+        if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
+            raise Refused("defines entities")
+        return ElementTree.fromstring(data)
 
     local = lambda e: e.tag.rsplit("}", 1)[-1]
     texts = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
@@ -149,10 +161,10 @@ def cells(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     sheets = read_one(path, bytes(content), limits)
-                    if any(len(rows) > limits.rows or max(map(len, rows), default=0) > limits.columns for rows in sheets.values()):
+                    if sum(map(len, sheets.values())) > limits.rows or any(len(r) > limits.columns for rows in sheets.values() for r in rows):
                         raise Refused("too many rows or columns")
-                except (Refused, KeyError, IndexError, ValueError, ElementTree.ParseError, zipfile.BadZipFile) as e:
-                    yield pd.DataFrame([(path, None, None, None, None, None, str(e))], columns=NAMES)
+                except Exception as e:  # a reader's errors are many kinds: each is this file's refusal
+                    yield pd.DataFrame([(path, None, None, None, None, None, str(e) or type(e).__name__)], columns=NAMES)
                     continue
                 found = [
                     (path, name, i, j, None if isinstance(v, float) else v, v if isinstance(v, float) else None, None)
@@ -165,7 +177,8 @@ def cells(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     read = small.mapInPandas(run, CELLS)
     large = files.where(F.col("length") > limits.file_bytes)
     gap = [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in CELLS.split(", ")[1:-1])]
-    return read.unionByName(large.select(F.col("path").alias("file"), *gap, F.lit("too large").alias("error")))
+    too_large = F.when(F.col("length") > limits.file_bytes, "too large").alias("error")
+    return read.unionByName(large.select(F.col("path").alias("file"), *gap, too_large))
 
 
 def read_tables(spark: SparkSession, path: str, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ def test_clean_chain(spark):
 
 def test_broken_link_is_told_and_the_printed_balance_is_the_next_start(spark):
     a, b = prove(spark, 3123456, [(1000000, 2999999, None, None), (6543, 3006542, None, None)])
-    assert a.note == "balance chain broken: 31234.56 -> 29999.99 is a change of -1234.57, printed 10000.00" and not a.verified
+    assert a.note == "balance chain broken: 31234.56 -> 29999.99 is a change of -1234.57, but the amount printed is 10000.00" and not a.verified
     assert b.deposit == 6543 and b.verified
 
 
@@ -37,7 +37,7 @@ def test_no_movement(spark):
 
 def test_the_balance_is_believed_over_the_column(spark):
     (a,) = prove(spark, 3123456, [(500000, 3623456, None, 200.0)])
-    assert a.deposit == 500000 and a.verified and a.side_note == "a deposit by the balance, printed as a withdrawal"
+    assert a.deposit == 500000 and a.verified and a.side_note == "the balance says this is a deposit, but it is printed in the withdrawal column - the balance was believed"
     (b,) = prove(spark, 3123456, [(500000, 3623456, None, 200.0)], deposit_first=True)
     assert b.side_note is None
 
@@ -50,8 +50,8 @@ def test_rows_that_share_a_balance(spark):
 
 def test_rows_that_do_not_add_up_and_rows_after_the_last_balance(spark):
     got = prove(spark, 2011111, [(432100, None, None, 300.0), (43210, 2400000, None, 200.0), (500, None, None, 300.0)])
-    assert got[0].note == got[1].note == "2 rows share one balance: 20111.11 -> 24000.00 is a change of 3888.89, the rows net 3888.90"
-    assert got[2].note == "no balance was printed after this row" and not any(r.verified for r in got)
+    assert got[0].note == got[1].note == "these 2 rows share one printed balance, and they do not add up to it: 20111.11 -> 24000.00 is a change of 3888.89, the rows net 3888.90"
+    assert got[2].note == chain.NO_BALANCE and not any(r.verified for r in got)
 
 
 def test_a_group_with_an_unknown_side_is_flagged(spark):

@@ -74,25 +74,71 @@ def test_layout(spark):
     assert [r.cluster for r in layout.gap_clusters(points, "k", "v", 4.0, "i").orderBy("i").collect()] == [0, 0, 0, 0, 1, 1]
     got = layout.mean_clusters(points, "k", "v", 4.0).orderBy("cluster").collect()
     assert [(r.n, round(r["mean"], 3)) for r in got] == [(3, 3.333), (1, 10.0), (2, 31.5)]
-    words = spark.createDataFrame([(0.0, 10.0, "a"), (10.0, 30.0, "b"), (90.0, 110.0, "c")], "x0 double, x1 double, w string")
-    columns = spark.createDataFrame([("one", 0.0, 20.0, 0), ("two", 20.0, 100.0, 1)], "name string, lo double, hi double, ord int")
-    assert {r.w: r["column"] for r in layout.to_columns(words, columns).collect()} == {"a": "one", "b": "two"}
+    words = spark.createDataFrame([(0.0, 10.0, "a"), (10.0, 30.0, "b"), (90.0, 111.0, "c")], "x0 double, x1 double, w string")
+    columns = [("one", 0.0, 20.0, 0), ("two", 20.0, 100.0, 1), ("three", 0.0, 100.0, 2)]
+    got = [(r.w, r["column"]) for r in layout.to_columns(words.union(words), columns).collect()]
+    assert sorted(got, key=str) == sorted([("a", "one"), ("b", "two"), ("c", None)] * 2, key=str)
     lines = spark.createDataFrame([(1, 1, 0.0, True), (1, 2, 5.0, False), (1, 3, 10.0, True), (1, 4, 30.0, False)], "page int, line int, y double, is_row boolean")
     assert [r.row_line for r in layout.settle_wrapped(lines, 6.0).orderBy("line").collect()] == [1, 1, 3, None]
 
 
 def test_streams_go_on_from_their_state(spark, tmp_path):
-    from tallyspark.streaming.ledger_stream import chain_stream, run
+    from tallyspark.streaming.ledger_stream import chain_stream
 
     kind = "stmt_id long, seq long, amount long, balance long"
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
-    go = lambda rows: (spark.createDataFrame(rows, kind).write.mode("append").parquet(source), run(spark, chain_stream(spark.readStream.schema(kind).parquet(source)), "append", "t", state))[1]
+    go = lambda rows: (spark.createDataFrame(rows, kind).write.mode("append").parquet(source), chain_stream(spark.readStream.schema(kind).parquet(source), "t", state))[1]
     go([(1, 1, 10, 10), (1, 2, 4, 6), (2, 1, 5, 5)])
     got = {(r.stmt_id, r.seq, r.batch): r.state for r in go([(1, 3, 1, 7), (1, 2, 9, 9), (2, 2, 1, 9)]).collect()}
     assert {k[:2]: v for k, v in got.items() if k[2] == 0} == {(1, 1): "proved", (1, 2): "proved", (2, 1): "proved"}
     assert {k[:2]: v for k, v in got.items() if k[2] == 1} == {(1, 3): "proved", (1, 2): "late", (2, 2): "broken"}
 
 
+def test_stream_of_one_large_account_in_any_order(spark, tmp_path):
+    """More rows of a key than an Arrow batch holds, shuffled: the chain is proved in order of its rows."""
+    from tallyspark.streaming.ledger_stream import chain_stream
+
+    n = 30_000
+    rows = spark.range(1, n + 1).selectExpr("1L as stmt_id", "id as seq", "10L as amount", "id * 10 as balance").orderBy(F.xxhash64("seq"))
+    rows.repartition(7).write.parquet(str(tmp_path / "in"))
+    got = chain_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "t", str(tmp_path / "state"))
+    assert [(r.state, r["count"]) for r in got.groupBy("state").count().collect()] == [("proved", n)]
+
+
+def test_reader_errors_are_refusals(spark):
+    import io
+    import zipfile
+
+    def zipped(sheet, **more):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", '<w xmlns:r="r"><sheets><sheet name="s" r:id="1"/><sheet name="t" r:id="2"/></sheets></w>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<r><x Id="1" Target="worksheets/a.xml"/><x Id="2" Target="worksheets/b.xml"/></r>')
+            z.writestr("xl/sharedStrings.xml", "<sst><si><t>one</t></si><si><r><t>t</t></r><r><t>wo</t></r></si></sst>")
+            z.writestr("xl/worksheets/a.xml", sheet)
+            z.writestr("xl/worksheets/b.xml", '<s><row><c t="b"><v>1</v></c><c t="inlineStr"><is><t>x</t></is></c></row></s>')
+        return data.getvalue()
+
+    good = zipped('<s><row r="1"><c r="A1" t="s"><v>1</v></c><c r="C1" t="s"><v>0</v></c></row><row r="2"><c r="B2"><v>2.5</v></c></row></s>')
+    broken = bytearray(good)
+    broken[good.index(b"xl/worksheets/a.xml") + 25 :][:0] = b""
+    at = good.index(b"xl/worksheets/a.xml") + len(b"xl/worksheets/a.xml")
+    broken[at : at + 12] = b"\xff" * 12
+    locked = bytearray(good)
+    for k in range(len(locked) - 4):
+        if locked[k : k + 4] == b"PK\x01\x02":
+            locked[k + 8] |= 1
+    bomb = zipped('<!DOCTYPE x [<!ENTITY a "b">]><s/>')
+    wide = ("k\n" + "v" * 200_000 + "\n").encode()
+    d = tables.cells(files(spark, ("good.xlsx", good), ("broken.xlsx", bytes(broken)), ("locked.xlsx", bytes(locked)), ("bomb.xlsx", bomb), ("wide.csv", wide), ("none.xlsx", b"")))
+    got = d.collect()
+    assert {r.file for r in got if r.error} == {"broken.xlsx", "locked.xlsx", "bomb.xlsx", "none.xlsx"}
+    assert {(r.sheet, r.row, r.col): r.s or r.n for r in got if r.file == "good.xlsx"} == {("s", 0, 0): "two", ("s", 0, 2): "one", ("s", 1, 1): 2.5, ("t", 0, 0): "TRUE", ("t", 0, 1): "x"}
+    assert {len(r.s) for r in got if r.file == "wide.csv"} == {1, 200_000}
+    over = tables.cells(files(spark, ("good.xlsx", good)), tables.Limits(rows=2)).collect()
+    assert [r.error for r in over] == ["too many rows or columns"]
+
+
 def test_refusals_are_told(spark):
     import io
     import zipfile

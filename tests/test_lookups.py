@@ -61,8 +61,8 @@ def test_words_to_a_proved_statement(spark):
     ]
     words = [("d", 0, float(x0), float(x1), y + (0.9 if k % 2 else 0.0), t) for y, line in said for k, (x0, x1, t) in enumerate(line)]
     d = spark.createDataFrame([(*w[:2], i, *w[2:]) for i, w in enumerate(words)], "doc string, page int, word int, x0 double, x1 double, y double, text string")
-    columns = spark.createDataFrame([("date", 0.0, 60.0, 0), ("description", 60.0, 160.0, 1), ("amount", 160.0, 320.0, 2), ("balance", 320.0, 500.0, 3)], "name string, lo double, hi double, ord int")
-    rows = extract.transactions(extract.cells_of(extract.lines_of(d), columns), "TOTALS", 10.0)
+    columns = [("date", 0.0, 60.0, 0), ("description", 60.0, 160.0, 1), ("amount", 160.0, 320.0, 2), ("balance", 320.0, 500.0, 3)]
+    rows = extract.transactions(extract.cells_of(extract.lines_of(d), columns), "TOTALS", 10.0, "2026-10-02")
     got = rows.orderBy("seq").collect()
     assert [(r.seq, str(r.day), r.description, r.amount, r.balance, r.opening) for r in got] == [(1, "2026-06-09", "paid rent", 3000, 7000, 10000), (2, "2026-06-10", "in", 100050, 107050, 10000)]
     proved = chain.verify_chain(rows.withColumnRenamed("doc", "stmt_id").withColumn("tax", F.lit(None).cast("bigint")), 250.0).orderBy("seq").collect()
