@@ -192,7 +192,7 @@ FACTS = """SELECT o_custkey AS stmt_id,
   CASE WHEN o_custkey % 4 <> 0 THEN CAST(sum(CASE WHEN o_orderstatus <> 'F' AND o_orderkey % 53 <> 0 THEN round(o_totalprice * 100) ELSE 0 END) AS BIGINT) END AS deposit_total,
   CASE WHEN o_custkey % 5 = 0 THEN count(CASE WHEN o_orderstatus = 'F' THEN 1 END) END AS withdraw_count,
   CASE WHEN o_custkey % 5 = 0 THEN count(CASE WHEN o_orderstatus <> 'F' THEN 1 END) END AS deposit_count,
-  CAST(NULL AS BIGINT) AS closing_stated, o_custkey % 6 = 0 AS from_photo, o_custkey % 10 = 0 AS untested FROM orders GROUP BY o_custkey"""
+  CASE WHEN o_custkey % 7 = 0 THEN CAST(0 AS BIGINT) END AS closing_stated, o_custkey % 8 = 0 AS opening_derived, CAST(0 AS BIGINT) AS opening, CAST(CASE WHEN o_custkey % 2 = 0 THEN count(CASE WHEN o_orderkey % 53 = 0 THEN 1 END) END AS INT) AS zero_lines, o_custkey % 6 = 0 AS from_photo, o_custkey % 10 = 0 AS untested FROM orders GROUP BY o_custkey"""
 
 
 def facts(spark, sf_dir):
@@ -201,6 +201,8 @@ def facts(spark, sf_dir):
 
 def statement_totals(spark, sf_dir):
     d = proved(spark, sf_dir).withColumn("has_notes", F.col("side_note").isNotNull()).withColumn("is_tax", F.lit(False))
+    for name, day in (("period_from", "1995-06-01"), ("period_to", "2001-03-31")):
+        d = d.withColumn(name, F.when(F.col("stmt_id") % 9 == 0, F.lit(day).cast("date")))
     return checks.totals(d)
 
 
@@ -208,7 +210,10 @@ TOTALS = f"""{CHAIN}, o AS (SELECT *, LAG(day) OVER (PARTITION BY stmt_id ORDER
 tot AS (SELECT stmt_id, count(*) AS rows, count(*) FILTER (verified) AS verified_rows, count(*) FILTER (day < above) AS backwards,
   CAST(COALESCE(sum(withdrawal), 0) AS BIGINT) AS withdrawn, count(withdrawal) AS withdrawals, CAST(COALESCE(sum(deposit), 0) AS BIGINT) AS deposited, count(deposit) AS deposits,
   arg_max(balance, seq) FILTER (balance IS NOT NULL) AS closing,
-  count(*) FILTER (single_ok AND amount <> 0 AND x1 IS NOT NULL AND (moved < 0) <> (x1 < 250)) AS anomalies, MIN(day) AS first_day, MAX(day) AS last_day FROM o GROUP BY stmt_id), facts AS ({FACTS})"""
+  count(*) FILTER (single_ok AND amount <> 0 AND x1 IS NOT NULL AND (moved < 0) <> (x1 < 250)) AS anomalies, MIN(day) AS first_day, MAX(day) AS last_day,
+  string_agg(strftime(day, '%Y-%m-%d') || ' comes after ' || strftime(above, '%Y-%m-%d'), '; ' ORDER BY seq) FILTER (day < above) AS backwards_said,
+  string_agg(strftime(day, '%Y-%m-%d') || ' ' || {_m('COALESCE(nullif(withdrawal, 0), nullif(deposit, 0), amount)')}, '; ' ORDER BY seq) FILTER (stmt_id % 9 = 0 AND NOT (day BETWEEN DATE '1995-06-01' AND DATE '2001-03-31')) AS outside_said,
+  CASE WHEN stmt_id % 9 = 0 THEN DATE '1995-06-01' END AS period_from, CASE WHEN stmt_id % 9 = 0 THEN DATE '2001-03-31' END AS period_to FROM o GROUP BY stmt_id), facts AS ({FACTS})"""
 
 
 @query(f"WITH {TOTALS} SELECT * FROM tot")
@@ -216,14 +221,19 @@ def control_totals(spark, sf_dir):
     return statement_totals(spark, sf_dir).drop("tax", "tax_rows")
 
 
-CHECK_ROWS = f"""{TOTALS}, j AS (SELECT tot.*, f.* EXCLUDE (stmt_id) FROM tot LEFT JOIN facts f USING (stmt_id)), ch AS (
-  SELECT stmt_id, 1 AS ord, 'rows agree' AS label, rows = verified_rows AS passed, verified_rows || ' of ' || rows || ' rows verified' AS detail FROM j
-  UNION ALL SELECT stmt_id, 2, 'dates in order', backwards = 0, backwards || ' backwards' FROM j
-  UNION ALL SELECT stmt_id, 4, 'total withdrawals', withdrawn = withdraw_total, 'computed ' || CASE WHEN withdrawals = 0 THEN '0' ELSE {_m('withdrawn')} END || ' vs printed ' || {_m('withdraw_total')} FROM j WHERE withdraw_total IS NOT NULL
-  UNION ALL SELECT stmt_id, 5, 'count withdrawals', withdrawals = withdraw_count, 'found ' || withdrawals || ' vs printed ' || withdraw_count FROM j WHERE withdraw_count IS NOT NULL
-  UNION ALL SELECT stmt_id, 6, 'total deposits', deposited = deposit_total, 'computed ' || CASE WHEN deposits = 0 THEN '0' ELSE {_m('deposited')} END || ' vs printed ' || {_m('deposit_total')} FROM j WHERE deposit_total IS NOT NULL
-  UNION ALL SELECT stmt_id, 7, 'count deposits', deposits = deposit_count, 'found ' || deposits || ' vs printed ' || deposit_count FROM j WHERE deposit_count IS NOT NULL
-  UNION ALL SELECT stmt_id, 9, 'no other anomalies', anomalies = 0, anomalies || ' rows carry a warning' FROM j)"""
+CHECK_ROWS = f"""{TOTALS}, j AS (SELECT tot.*, f.* EXCLUDE (stmt_id), COALESCE(zero_lines, 0) AS z, CASE WHEN first_day - period_from >= 28 THEN 'no lines ' || period_from || ' to ' || (first_day - 1) END AS head, CASE WHEN period_to - last_day >= 28 THEN 'no lines ' || (last_day + 1) || ' to ' || period_to END AS tail FROM tot LEFT JOIN facts f USING (stmt_id)), ch AS (
+  SELECT stmt_id, 1 AS ord, 'Every row agrees with the running balance' AS label, rows = verified_rows AS passed, verified_rows || ' of ' || rows || ' rows verified' || CASE WHEN rows > verified_rows THEN '; ' || (rows - verified_rows) || ' could not be' ELSE '' END AS detail FROM j
+  UNION ALL SELECT stmt_id, 2, 'Dates never go backwards', backwards = 0, COALESCE(backwards_said, 'in order') FROM j
+  UNION ALL SELECT stmt_id, 3, 'Final balance matches the closing balance the bank printed', COALESCE(closing = closing_stated, false), 'computed ' || COALESCE({_m('closing')}, 'none') || ' vs printed ' || {_m('closing_stated')} FROM j WHERE closing_stated IS NOT NULL
+  UNION ALL SELECT stmt_id, 4, 'Total withdrawals matches the bank''s own total', withdrawn = withdraw_total, 'computed ' || CASE WHEN withdrawals = 0 THEN '0' ELSE {_m('withdrawn')} END || ' vs printed ' || {_m('withdraw_total')} FROM j WHERE withdraw_total IS NOT NULL
+  UNION ALL SELECT stmt_id, 6, 'Total deposits matches the bank''s own total', deposited = deposit_total, 'computed ' || CASE WHEN deposits = 0 THEN '0' ELSE {_m('deposited')} END || ' vs printed ' || {_m('deposit_total')} FROM j WHERE deposit_total IS NOT NULL
+  UNION ALL SELECT stmt_id, 5, 'Number of withdrawals matches the bank''s own count', withdrawals IN (withdraw_count, withdraw_count - z), 'found ' || withdrawals || CASE WHEN z > 0 AND withdrawals + z = withdraw_count THEN ' + ' || z || ' line(s) of 0.00' ELSE '' END || ' vs printed ' || withdraw_count FROM j WHERE withdraw_count IS NOT NULL
+  UNION ALL SELECT stmt_id, 7, 'Number of deposits matches the bank''s own count', deposits IN (deposit_count, deposit_count - z), 'found ' || deposits || CASE WHEN z > 0 AND deposits + z = deposit_count THEN ' + ' || z || ' line(s) of 0.00' ELSE '' END || ' vs printed ' || deposit_count FROM j WHERE deposit_count IS NOT NULL
+  UNION ALL SELECT stmt_id, 9, 'Opening balance (not printed by the bank) worked back from row 1', true, '0.00; ' || CASE WHEN withdraw_total IS NULL AND deposit_total IS NULL THEN 'the bank printed no totals to confirm it - the balance chain proves every line after the first' ELSE 'confirmed only through the totals checks above' END FROM j WHERE opening_derived
+  UNION ALL SELECT stmt_id, 10, 'Rows dated outside the statement period (allowed, listed)', true, outside_said FROM j WHERE outside_said IS NOT NULL
+  UNION ALL SELECT stmt_id, 11, 'A month or more of the statement period has no lines (allowed, listed)', true, concat_ws('; ', head, tail) || ' - if the account was used then, this file may be cut short' FROM j WHERE head IS NOT NULL OR tail IS NOT NULL
+  UNION ALL SELECT stmt_id, 12, 'Lines of 0.00 left out - nothing to post (allowed, listed)', true, z || ' line(s)' FROM j WHERE z > 0
+  UNION ALL SELECT stmt_id, 13, 'No other anomalies on any row', anomalies = 0, CASE WHEN anomalies > 0 THEN anomalies || ' row(s) carry a warning' ELSE 'clean' END FROM j)"""
 
 
 @query(f"WITH {CHECK_ROWS} SELECT * FROM ch")
@@ -232,7 +242,7 @@ def statement_checks(spark, sf_dir):
 
 
 STATUS = f"""{CHECK_ROWS}, st AS (SELECT ch.stmt_id, bool_and(passed) AS ok,
-  CASE WHEN NOT bool_and(passed) THEN 'red' WHEN any_value(from_photo) OR any_value(untested) THEN 'yellow' WHEN COALESCE(any_value(withdraw_total), any_value(deposit_total), any_value(withdraw_count), any_value(deposit_count)) IS NOT NULL THEN 'green' ELSE 'yellow' END AS status
+  CASE WHEN NOT bool_and(passed) THEN 'red' WHEN any_value(from_photo) OR any_value(untested) THEN 'yellow' WHEN COALESCE(any_value(closing_stated), any_value(withdraw_total), any_value(deposit_total), any_value(withdraw_count), any_value(deposit_count)) IS NOT NULL THEN 'green' ELSE 'yellow' END AS status
   FROM ch LEFT JOIN facts USING (stmt_id) GROUP BY ch.stmt_id)"""
 
 
