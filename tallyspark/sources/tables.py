@@ -113,7 +113,8 @@ def workbook(content: bytes, limits: Limits = Limits()) -> dict[str, list[list]]
         raise Refused("no workbook part")
     if any(local(e) == "workbookPr" and e.get("date1904") in ("1", "true") for e in book.iter()):
         raise Refused("dates counted from 1904")
-    targets = {e.get("Id"): e.get("Target") for e in (tree("xl/_rels/workbook.xml.rels") or [])}
+    rels = tree("xl/_rels/workbook.xml.rels")
+    targets = {e.get("Id"): e.get("Target") for e in (rels if rels is not None else [])}
     out: dict[str, list[list]] = {}
     sheets = [e for e in book.iter() if local(e) == "sheet"]
     if len(sheets) > limits.sheets:

@@ -195,7 +195,7 @@ def test_checks_and_status(spark):
     d = chain.verify_chain(rows(spark, 100, [(10, 90, None, None), (5, 95, None, None)])).selectExpr("*", "date '2026-01-01' as day", "false as is_tax", "false as has_notes")
     facts = spark.createDataFrame([(1, 10, 5, 1, None, 95, False, False)], "stmt_id long, withdraw_total long, deposit_total long, withdraw_count long, deposit_count long, closing_stated long, from_photo boolean, untested boolean")
     got = checks.checks(checks.totals(d), facts).orderBy("ord").collect()
-    assert [(r.ord, r.passed) for r in got] == [(1, True), (2, True), (3, True), (4, True), (5, True), (6, True), (9, True)]
+    assert [(r.ord, r.passed) for r in got] == [(1, True), (2, True), (3, True), (4, True), (5, True), (6, True), (13, True)]
     assert got[2].detail == "computed 0.95 vs printed 0.95"
     listed = checks.checks(checks.totals(d), facts)
     assert checks.status(listed, facts).collect()[0].status == "green"
