@@ -234,8 +234,14 @@ def parse(chunks: DataFrame, model: Model) -> DataFrame:
         settled.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "before", "at_end"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
     ).select("conv_id", "block", "text", "before", "at_end")
     parts = keep(joined.mapInArrow(decode, f"conv_id {kind}, block long, k long, begins boolean, role string, text string"), "chat-parts")
-    turn = F.sum(F.col("begins").cast("long")).over(W.partitionBy("conv_id").orderBy("block", "k").rowsBetween(W.unboundedPreceding, 0)) - 1
-    turns = parts.withColumn("turn", turn).groupBy("conv_id", "turn").agg(
+    # Turns are counted by block first, so that no task holds a transcript's text.
+    begins = F.col("begins").cast("long")
+    counted = parts.groupBy(F.col("conv_id").alias("c"), F.col("block").alias("b")).agg(F.sum(begins).alias("n"))
+    base = F.coalesce(F.sum("n").over(W.partitionBy("c").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    firsts = counted.select("c", "b", base.alias("base"))
+    turn = F.col("base") + F.sum(begins).over(W.partitionBy("conv_id", "block").orderBy("k").rowsBetween(W.unboundedPreceding, 0)) - 1
+    placed = parts.join(firsts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
+    turns = placed.withColumn("turn", turn).groupBy("conv_id", "turn").agg(
         F.min(F.struct("block", "k", "role"))["role"].alias("role"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "k", "text"))), lambda x: x["text"]), "\n").alias("text"),
     )

@@ -8,15 +8,17 @@ a key before the shuffle, so a digest that holds a third of all rows costs each
 task one row.  A later run with the same ``state_dir`` goes on from that state.
 
 On a hit (a digest with more than one row) the full normalised bytes of each
-member are compared with those of the row that stays; members that differ (a
-digest collision) are grouped again by their full text.  Keepers of large groups
+member are compared with those of the row that stays, which are read at its locator
+where it came in an earlier run; members that differ (a digest collision) are grouped
+again by their full text, with the earlier rows of the digest.  Keepers of large groups
 are sent to each of several salted parts, so no task takes a whole group.
 
 Nulls: a null text counts as empty; all empty texts are equal to one another.
 A row with a null id takes part, and never stays while a row of the same text has
 an id.  Repeated rows (same id and text): the copies count in ``group_size``; one
-row of them stays, each output row carries ``kept`` by that rule.  Empty tables:
-no rows.  Other columns are ignored.
+row of them stays, each output row carries ``kept`` by that rule.  Long texts: only
+digests and locators are kept in the state; texts are shuffled on hits alone.  Empty
+tables: no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,19 +46,24 @@ def located(docs: DataFrame, name: str = "locator") -> DataFrame:
         return keep(docs, "dedup-content").select("*", at)
 
 
-def _state_conf(spark: SparkSession) -> dict[str, str | None]:
-    conf = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        # A store is closed after its task and its local files go; what lasts is in the shared folder.
-        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    }
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    return before
+#: The stream's own settings: a store is closed after its task and its local files go; what lasts is in the shared folder.
+STREAM = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
+def _stream_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the stream's settings, so that other queries of ``spark`` don't see them."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    for key, value in STREAM.items():
+        own.conf.set(key, value)
+    return own
 
 
 def update_state(
@@ -67,23 +74,18 @@ def update_state(
     The changed entries of each micro-batch are written under its number, so a
     batch that is repeated after a failure replaces its own output.
     """
-    before = _state_conf(spark)
-    try:
-        rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(slim_path)
-        order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")
-        entries = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-
-        def write(batch: DataFrame, number: int) -> None:
-            batch.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.locator").alias("first_at"), "n").write.mode("overwrite").parquet(f"{state_dir}/entries/batch={number}")
-
-        query = (
-            entries.writeStream.outputMode("update").trigger(availableNow=True)
-            .option("checkpointLocation", f"{state_dir}/checkpoint").foreachBatch(write).start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    rows = _stream_session(spark).readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(slim_path)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")
+    entries = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.locator").alias("first_at"), "n").write.mode("overwrite").parquet(f"{state_dir}/entries/batch={number}")
+
+    query = (
+        entries.writeStream.outputMode("update").trigger(availableNow=True)
+        .option("checkpointLocation", f"{state_dir}/checkpoint").foreachBatch(write).start()
+    )
+    query.awaitTermination()
     kinds = {f.name: f.dataType.simpleString() for f in schema}
     entry = f"digest string, first_id {kinds['doc_id']}, first_at {kinds['locator']}, n long, batch int"
     found = spark.read.schema(entry).parquet(f"{state_dir}/entries") if _any(spark, f"{state_dir}/entries") else spark.createDataFrame([], entry)
@@ -109,7 +111,7 @@ def deduplicate(
 
     ``state_dir``: a shared folder with the state of earlier runs; by default a
     new one.  With earlier state, ``keep_id`` and ``group_size`` also count rows
-    seen before (whose texts, which are elsewhere, are not compared again).
+    seen before; the files of earlier runs must still be there.
     ``digest_bits``: digest length of the key; tests shorten it to force collisions.
     ``locator_col``: the locators of rows that ``located`` has been called on already.
     """
@@ -120,17 +122,22 @@ def deduplicate(
     rows = rows.withColumn("text", normalise("text"))
     hashed = rows.withColumn("sha", F.sha2("text", 256)).select("doc_id", "sha", F.substring("sha", 1, digest_bits // 4).alias("digest"), "locator")
     slim_path = f"{state_dir}/slim"
-    if _any(spark, slim_path):
-        slim_new = scratch(spark, "dedup-slim")
-        hashed.write.parquet(slim_new)
-        slim = spark.read.schema(hashed.schema).parquet(slim_new)
+    earlier = spark.read.schema(hashed.schema).parquet(slim_path) if _any(spark, slim_path) else None
+    if earlier is not None:
+        earlier = keep(earlier, "dedup-earlier")
+        slim = keep(hashed, "dedup-slim")
         slim.write.mode("append").parquet(slim_path)
     else:
         hashed.write.parquet(slim_path)
         slim = spark.read.schema(hashed.schema).parquet(slim_path)
     entries = update_state(spark, slim_path, slim.schema, state_dir)
     members = slim.join(entries, "digest", "left")
-    differing = _differing(rows, members)
+    texts = rows.select("text", "locator")
+    if earlier is not None:
+        firsts = members.where("n > 1").select(F.col("first_at").alias("locator")).distinct()
+        before = firsts.join(earlier, "locator", "left_semi")
+        texts = texts.unionByName(texts_at(spark, before, text_col))
+    differing = _differing(texts, members)
     out = members.select(
         "doc_id", F.col("first_id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("locator") == F.col("first_at")).alias("kept"), F.col("sha").alias("text_sha256"), "locator", "digest",
@@ -138,19 +145,32 @@ def deduplicate(
     if differing is None:
         return out.drop("digest")
     split = differing.select("digest").distinct()
-    regrouped = _by_full_text(rows, slim, split)
-    return out.join(split, "digest", "left_anti").drop("digest").unionByName(regrouped)
+    fresh = slim.join(split, "digest", "left_semi").withColumn("_new", F.lit(True))
+    texts = rows.select("text", "locator")
+    if earlier is not None:
+        old = keep(earlier.join(split, "digest", "left_semi"), "dedup-again")
+        texts = texts.unionByName(texts_at(spark, old.select("locator"), text_col))
+        fresh = fresh.unionByName(old.withColumn("_new", F.lit(False)))
+    return out.join(split, "digest", "left_anti").drop("digest").unionByName(_by_full_text(texts, fresh))
+
 
+def texts_at(spark: SparkSession, wanted: DataFrame, text_col: str) -> DataFrame:
+    """The normalised texts at some locators, read from the files they name (whose names alone come to the driver)."""
+    wanted = keep(wanted.select("locator"), "dedup-wanted")
+    files = [r["f"] for r in wanted.select(F.substring_index("locator", "#", 1).alias("f")).distinct().collect()]
+    if not files:
+        return wanted.select(F.lit("").alias("text"), "locator")
+    return located(spark.read.parquet(*files).select(F.col(text_col).alias("text"))).select(normalise("text").alias("text"), "locator").join(wanted, "locator", "left_semi")
 
-def _differing(rows: DataFrame, members: DataFrame) -> DataFrame | None:
+
+def _differing(texts: DataFrame, members: DataFrame) -> DataFrame | None:
     """Members whose full bytes differ from those of the row that stays; None if there are none, as nearly always."""
     hits = members.where("n > 1").select("doc_id", "locator", "digest", "first_at", "n")
-    texts = rows.select("text", "locator")
     parts = F.ceil(F.col("n") / PART).cast("int")
     checked = hits.where(F.col("locator") != F.col("first_at")).select(
         "digest", "locator", F.pmod(F.xxhash64("locator"), parts).cast("int").alias("part")
     ).join(texts, "locator").select("digest", "part", F.col("text").alias("own"))
-    keepers = hits.where(F.col("locator") == F.col("first_at")).select(
+    keepers = hits.groupBy("digest").agg(F.first("first_at").alias("locator"), F.first("n").alias("n")).select(
         "digest", "locator", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
     )
     kept = keepers.join(texts, "locator").select("digest", "part", F.col("text").alias("stays"))
@@ -158,12 +178,11 @@ def _differing(rows: DataFrame, members: DataFrame) -> DataFrame | None:
     return None if differing.isEmpty() else differing
 
 
-def _by_full_text(rows: DataFrame, slim: DataFrame, split: DataFrame) -> DataFrame:
-    """Rows of the colliding digests, grouped by the full normalised text."""
-    texts = rows.select("text", "locator")
-    own = slim.join(split, "digest", "left_semi").join(texts, "locator")
+def _by_full_text(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of the colliding digests, grouped by the full normalised text; those of earlier runs count and aren't returned."""
+    own = members.join(texts, "locator")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")
     groups = own.groupBy("text").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    return own.join(groups, "text").select(
+    return own.join(groups, "text").where("_new").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("first.locator")).alias("kept"), F.col("sha").alias("text_sha256"), "locator"
     )

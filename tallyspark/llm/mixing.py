@@ -18,7 +18,8 @@ document is taken as often as its words are covered.  A shard holds about
 
 Nulls: a null text has size 0; a null source is a source of its own, last in
 order; a null id takes part.  Empty texts and sources of size 0 take nothing.
-Ties in quotients: the source earlier in order, the smaller shard.  Repeated rows:
+Long texts: only their sizes
+go on.  Ties in quotients: the source earlier in order, the smaller shard.  Repeated rows:
 each is a document of its own with its own place (rows that are alike in id and
 size may exchange theirs).  Empty tables: no rows.  Other columns are ignored.
 """
@@ -123,7 +124,7 @@ def mix(
         ), "mix-goals",
     )
     placed = slim.join(goals, slim["source"].eqNullSafe(goals["source"])).select(
-        "doc_id", slim["source"], "size", "place", "source_size", "target", "blocks", (_unit(seed, "shard", "doc_id") % F.col("shards")).alias("shard"), *carry
+        "doc_id", slim["source"], "size", "place", "source_size", "target", "blocks", (_unit(seed, "shard", "doc_id", "size") % F.col("shards")).alias("shard"), *carry
     )
     placed = keep(placed, "mix-placed")
     shards = placed.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
@@ -131,7 +132,9 @@ def mix(
     ring = W.partitionBy("place", "shard")
     seated = placed.join(quotas, ["place", "shard"]).withColumn("order", _unit(seed, "order", "doc_id"))
     end = F.sum("size").over(ring.orderBy("order", "doc_id", "size", *carry).rowsBetween(W.unboundedPreceding, 0))
-    wanted = F.least(F.col("quota") * block, (most * F.col("shard_size")).cast("long"))
+    cap = (most * F.col("shard_size")).cast("long")
+    # A source that takes all it may takes that of each shard, so no seat over a shard's cap is lost.
+    wanted = F.when(F.col("target") >= most * F.col("source_size"), cap).otherwise(F.least(F.col("quota") * block, cap))
     one = F.greatest("shard_size", F.lit(1))
     seated = seated.select(
         "doc_id", "source", "size", "source_size", "target", "shard", end.alias("end"), "shard_size",

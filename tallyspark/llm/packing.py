@@ -3,17 +3,22 @@
 1. Tasks tokenise whole texts, cut only what is longer than a sequence, and write a
    small row for each piece.
 2. The histogram of lengths (at most ``capacity`` rows, whatever the input) comes to
-   the driver.  The configuration program - how often to use each multiset of lengths
-   that fits a sequence - is solved by multiplicative weights: lengths not yet covered
-   weigh more, and the best configuration under the weights is found by knapsack
-   dynamic programming over the capacity.
-3. The solution is rounded; lengths that remain go by best fit into the gaps and new
-   sequences, still as counts.  Scaled-down solutions are rounded too; the fewest
+   the driver.  Lengths are grouped in ``CLASSES`` of about equal total, named by their
+   longest (each is its own where there are no more).  The configuration program - how
+   often to use each multiset of classes that fits a sequence - is solved by
+   multiplicative weights: classes not yet covered weigh more.  Under the weights a
+   knapsack dynamic program over the capacity prices every configuration, and the best
+   ones through the classes that lag are used.  Its value also bounds the program from
+   below, so rounds end when solution and bound are within ``GAP``.
+3. The solution is rounded and its places are given to actual lengths; lengths that
+   remain go by best fit into the gaps and new sequences, still as counts.  Scaled-down
+   solutions are rounded too, to nothing at last, which is plain best fit; the fewest
    sequences win.
 4. Spark numbers the pieces of each length (in salted parts of bounded size) and each
    task looks its pieces' places up in the plan, whose size doesn't grow with the input.
 
-Nulls: a null text is empty: one piece that holds only the end id.  A null id stays
+Long texts: encoded in parts of 64 KB, cut where ids don't reach across.  Nulls: a null
+text is empty: one piece that holds only the end id.  A null id stays
 null.  Repeated rows: each is packed by itself.  Empty tables: no rows.  Ties between
 pieces of one length are broken by id, piece and checksum; pieces alike in these may
 exchange places.  Other columns are ignored.
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +39,10 @@ from pyspark.sql.window import Window as W
 from .common import keep, text_or_empty
 from .tokens import default_ranks, default_vocabulary, encode_ids
 
-#: Pieces of one length that one salted part holds, about.
-PART = 128
+#: Pieces of one length that one salted part holds, about, and parts that are numbered together.
+PART, PARTS = 128, 4096
+#: Classes of lengths in the program, the gap to its bound that ends the rounds, and what a use covers of a class.
+CLASSES, GAP, STEP = 64, 0.01, 0.1
 
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, ranks: str, id_col: str, text_col: str) -> DataFrame:
@@ -58,8 +66,8 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, ranks:
     return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of most value that fits ``capacity``; value[l] is that of length l, 0 if it isn't wanted."""
+def priced(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most value of a multiset of lengths that fits each capacity, and the length chosen last (0: none); value[l] is that of length l."""
     best = np.zeros(capacity + 1)
     choice = np.zeros(capacity + 1, int)
     for c in range(1, capacity + 1):
@@ -69,35 +77,105 @@ def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
             best[c], choice[c] = sums[k], k + 1
         else:
             best[c] = best[c - 1]
+    return best, choice
+
+
+def chosen(choice: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths behind ``priced``."""
     found: dict[int, int] = {}
-    c = capacity
-    while c:
-        if choice[c]:
-            found[int(choice[c])] = found.get(int(choice[c]), 0) + 1
-            c -= choice[c]
-        else:
-            c -= 1
+    while capacity > 0:
+        length = int(choice[capacity])
+        if length:
+            found[length] = found.get(length, 0) + 1
+        capacity -= length or 1
     return found
 
 
-def fractional(counts: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[dict[int, int], float]]:
-    """Configurations and their amounts: multiplicative weights on the covering constraints of the lengths."""
+def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths of most value that fits ``capacity``."""
+    return chosen(priced(value, capacity)[1], capacity)
+
+
+@dataclass
+class Program:
+    """The program's classes (longest lengths and the lengths' class numbers), its solution, value and lower bound."""
+
+    longest: np.ndarray
+    class_of: np.ndarray
+    amounts: list[tuple[dict[int, int], float]]
+    value: float
+    bound: float
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: int = 400, rate: float = 0.3) -> Program:
+    """The configuration program by multiplicative weights; its classes' counts are covered by configurations of their longest lengths."""
     wanted = np.flatnonzero(counts)
-    covered = np.zeros(capacity + 1)
-    size = np.arange(capacity + 1) / capacity
+    if len(wanted) <= CLASSES:
+        last = np.arange(len(wanted))
+    else:
+        total = np.cumsum(wanted * counts[wanted])
+        last = np.unique(np.minimum(np.searchsorted(total, total[-1] * np.arange(1, CLASSES + 1) / CLASSES), len(wanted) - 1))
+    longest = wanted[last]
+    class_of = np.full(capacity + 1, -1)
+    class_of[wanted] = np.searchsorted(longest, wanted)
+    need = np.bincount(class_of[wanted], counts[wanted], len(longest))
+    place = {int(length): k for k, length in enumerate(longest)}
+    covered = np.zeros(len(longest))
     amounts: dict[tuple, float] = {}
+    used, value, bound = 0.0, np.inf, 0.0
     for _ in range(rounds):
-        value = np.zeros(capacity + 1)
-        value[wanted] = size[wanted] * np.exp(-rate * (covered[wanted] - covered[wanted].min()))
-        found = best_configuration(value, capacity)
-        step = min(counts[length] / n for length, n in found.items())
-        for length, n in found.items():
-            covered[length] += step * n / counts[length]
-        key = tuple(sorted(found.items(), reverse=True))
-        amounts[key] = amounts.get(key, 0.0) + step
-        if covered[wanted].min() >= 1:
+        price = longest / capacity * np.exp(-rate * (covered - covered.min()))
+        prices = np.zeros(capacity + 1)
+        prices[longest] = price
+        best, choice = priced(prices, capacity)
+        bound = max(bound, float(need @ price) / best[capacity])
+        near_best = price + best[capacity - longest] >= 0.98 * best[capacity]
+        for k in np.argsort(covered, kind="stable"):
+            if near_best[k] and covered[k] <= covered.min() + 2:
+                found = chosen(choice, capacity - int(longest[k]))
+                found[int(longest[k])] = found.get(int(longest[k]), 0) + 1
+                x = STEP * min(need[place[length]] / n for length, n in found.items())
+                for length, n in found.items():
+                    covered[place[length]] += x * n / need[place[length]]
+                key = tuple(sorted(found.items(), reverse=True))
+                amounts[key] = amounts.get(key, 0.0) + x
+                used += x
+        if covered.min() > 0:
+            value = used / float(covered.min())
+        if value <= bound * (1 + GAP):
             break
-    return [(dict(k), x / max(1.0, float(np.median(covered[wanted])))) for k, x in amounts.items()]
+    least = max(float(covered.min()), 1e-9)
+    return Program(longest, class_of, [(dict(k), x / least) for k, x in amounts.items()], value, bound)
+
+
+def rounded(program: Program, counts: np.ndarray, scale: float) -> tuple[np.ndarray, list[tuple[tuple[int, ...], int]]]:
+    """What is left of the counts, and the groups of sequences, after the solution times ``scale`` is rounded and places go to actual lengths."""
+    left, groups = counts.copy(), []
+    members = [list(np.flatnonzero(program.class_of == k)[::-1]) for k in range(len(program.longest))]
+    order = sorted(program.amounts, key=lambda s: (-s[1], sorted(s[0].items())))
+    for found, x in order if scale else ():
+        n = int(x * scale + 0.5)
+        while n:
+            # The longest that each class still has, as often as all of them last.
+            take: dict[int, int] = {}
+            for length, m in found.items():
+                own = members[int(program.class_of[length])]
+                while own and left[own[0]] == 0:
+                    own.pop(0)
+                at = 0
+                for _ in range(m):
+                    while at < len(own) and take.get(int(own[at]), 0) >= left[own[at]]:
+                        at += 1
+                    if at < len(own):
+                        take[int(own[at])] = take.get(int(own[at]), 0) + 1
+            if not take:
+                break
+            times = min([n, *(int(left[length]) // m for length, m in take.items())])
+            groups.append((tuple(length for length, m in sorted(take.items(), reverse=True) for _ in range(m)), times))
+            for length, m in take.items():
+                left[length] -= times * m
+            n -= times
+    return left, groups
 
 
 def best_fit(counts: np.ndarray, capacity: int, groups: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
@@ -132,27 +210,16 @@ def best_fit(counts: np.ndarray, capacity: int, groups: list[tuple[tuple[int, ..
     return [g for gs in room.values() for g in gs]
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 600, rate: float = 3.0) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
     """Groups (lengths of a sequence, number of such sequences) that hold every piece of the histogram."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     if not counts.any():
         return []
-    solution = fractional(counts, capacity, rounds, rate)
-    fewest: list[tuple[tuple[int, ...], int]] | None = None
-    for scale in (1.0, 0.9, 0.7, 0.4):
-        left, groups = counts.copy(), []
-        for found, x in sorted(solution, key=lambda s: (-s[1], sorted(s[0].items()))):
-            n = min([int(x * scale + 0.5), *(int(left[length]) // m for length, m in found.items())])
-            if n:
-                groups.append((tuple(length for length, m in found.items() for _ in range(m)), n))
-                for length, m in found.items():
-                    left[length] -= n * m
-        done = best_fit(left, capacity, groups)
-        if fewest is None or sum(n for _, n in done) < sum(n for _, n in fewest):
-            fewest = done
-    return sorted(fewest, key=lambda g: (-len(g[0]), g))
+    program = solve(counts, capacity, rounds)
+    tries = [best_fit(*rounded_groups) for rounded_groups in ((left, capacity, groups) for left, groups in (rounded(program, counts, s) for s in (1.0, 0.97, 0.9, 0.7, 0.4, 0.0)))]
+    return sorted(min(tries, key=lambda done: sum(n for _, n in done)), key=lambda g: (-len(g[0]), g))
 
 
 def places(groups: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +248,7 @@ def pack(
     ranks: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rounds: int = 600,
+    rounds: int = 400,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     spark = docs.sparkSession
@@ -190,10 +257,14 @@ def pack(
     where = spark.sparkContext.broadcast(places(plan(histogram, capacity, rounds)))
 
     sizes = spark.createDataFrame([(length, -(-n // PART)) for length, n in histogram.items()], "length long, parts long")
-    salted = cut.join(F.broadcast(sizes), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")).cast("long"))
-    held = salted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    firsts = held.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    salted = cut.join(F.broadcast(sizes), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")).cast("long"))
+    # Parts are numbered in two levels, so that no window takes all parts of a length.
+    held = salted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.floor(F.col("part") / PARTS))
+    before = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    ranges = held.groupBy("length", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("length", "range", F.coalesce(F.sum("n").over(before("length").orderBy("range")), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("n").over(before("length", "range").orderBy("part")), F.lit(0))
+    firsts = held.withColumn("within", within).join(ranges, ["length", "range"]).select("length", "part", (F.col("base") + F.col("within")).alias("first"))
     own = W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
     numbered = salted.join(firsts, ["length", "part"]).withColumn("number", F.col("first") + F.row_number().over(own) - 1)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +57,13 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles and turns recovered from the transcripts' text; learned from at most 2,000 conversations that aren't held out."""
+    """Roles and turns recovered from the transcripts' text.
+
+    Learned from at most 2,000 conversations of at most 1,000 turns each that aren't held out.
+    """
     rows = transcripts(spark, sf_dir)
-    drawn = rows.where(~quality.held_out("conv_id")).select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(2000)
+    lengths = rows.where(~quality.held_out("conv_id")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+    drawn = lengths.where("turns <= 1000").select("conv_id").orderBy(F.xxhash64("conv_id"), "conv_id").limit(2000)
     labelled = rows.join(F.broadcast(drawn), "conv_id")
     return chat.parse(rows.select("conv_id", "seq", "text"), chat.train(labelled))
 
@@ -67,7 +73,9 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymise(table(spark, sf_dir, "documents"))
+    """The key is the session's ``spark.tally.pii.key``; without it a new one for each run, so that none is written down."""
+    key = spark.conf.get("spark.tally.pii.key", None)
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), key.encode() if key else secrets.token_bytes(32))
     return found.select("doc_id", "text", "n_found", F.to_json("found").alias("found"))
 
 
@@ -122,7 +130,7 @@ WITH sizes AS (
   SELECT place, count(*) AS blocks FROM quotients WHERE r <= (SELECT round(sum(target) / 16) FROM goals) GROUP BY place
 ), placed AS (
   SELECT s.doc_id, s.size, g.place, g.source_size, g.target, coalesce(b.blocks, 0) AS blocks,
-         ('0x' || substr(md5('17shard|' || s.doc_id), 1, 8))::BIGINT % ceil(g.n / 128.0)::BIGINT AS shard
+         ('0x' || substr(md5('17shard|' || s.doc_id || '|' || s.size), 1, 8))::BIGINT % ceil(g.n / 128.0)::BIGINT AS shard
   FROM sizes s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source LEFT JOIN blocks b USING (place)
 ), shards AS (
   SELECT place, shard, sum(size)::BIGINT AS shard_size, any_value(blocks) AS blocks FROM placed GROUP BY place, shard
@@ -132,7 +140,7 @@ WITH sizes AS (
 ), quotas AS (
   SELECT place, shard, count(*) AS quota FROM shard_quotients WHERE r <= blocks GROUP BY place, shard
 ), seated AS (
-  SELECT p.*, s.shard_size, least(coalesce(q.quota, 0) * 16, 2 * s.shard_size) AS wanted,
+  SELECT p.*, s.shard_size, CASE WHEN target >= 2.0::DOUBLE * source_size THEN 2 * s.shard_size ELSE least(coalesce(q.quota, 0) * 16, 2 * s.shard_size) END AS wanted,
          sum(size) OVER (PARTITION BY p.place, p.shard ORDER BY ('0x' || substr(md5('17order|' || doc_id), 1, 8))::BIGINT, doc_id, size
                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop,
          ('0x' || substr(md5('17start|' || p.place || '|' || p.shard), 1, 8))::BIGINT % greatest(ceil(s.shard_size / 16.0)::BIGINT, 1) * 16 AS low

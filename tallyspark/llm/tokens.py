@@ -17,10 +17,16 @@ END_OF_TEXT_ID = 50256
 #: Words with the white-space character before them, and what remains of longer runs of white space.
 #: Byte-level BPE with the usual pre-tokenisation never joins bytes across these pieces.
 PIECES = re.compile(f"[{WHITE}]?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
+#: A run of white space that the rank table's encoder isn't given.
+LONG_BLANK = re.compile(f"[{WHITE}]{{1000}}")
 #: A single white-space character between others: a place where a text can be cut.
 SAFE_CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}][^{WHITE}])")
 
 
+#: Characters of a piece that is worth keeping.
+LONG_PIECE = 64
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -80,11 +86,12 @@ class PieceCounter:
         batch: list[str] = []
         size = 0
         for part in parts:
-            if batch and size + len(part) > self.batch_bytes:
+            n = len(part.encode()) + 16
+            if batch and size + n > self.batch_bytes:
                 out += map(len, library(self.path).encode_batch_fast(batch, add_special_tokens=False))
                 batch, size = [], 0
             batch.append(part)
-            size += len(part) + 16
+            size += n
         if batch:
             out += map(len, library(self.path).encode_batch_fast(batch, add_special_tokens=False))
         return out
@@ -92,34 +99,35 @@ class PieceCounter:
     def count(self, texts: list[str]) -> list[int]:
         if len(self.known) > self.most_known:
             self.known.clear()
-        whole = [i for i, t in enumerate(texts) if END_OF_TEXT in t]
+        added = [t.content for t in library(self.path).get_added_tokens_decoder().values()]
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in added)]
         special = dict(zip(whole, self.lengths([texts[i] for i in whole]), strict=True))
         split = [[] if i in special else PIECES.findall(t) for i, t in enumerate(texts)]
         new = {p for pieces in split for p in pieces}
         new = [p for p in new if p not in self.known]
         self.known.update(zip(new, self.lengths(new), strict=True))
         look = self.known.__getitem__
-        return [special[i] if i in special else sum(map(look, pieces)) for i, pieces in enumerate(split)]
+        out = [special[i] if i in special else sum(map(look, pieces)) for i, pieces in enumerate(split)]
+        for p in new:
+            if len(p) > LONG_PIECE:  # long pieces seldom come again, and would fill the table
+                del self.known[p]
+        return out
 
 
 def encode_ids(text: str, ranks: str, vocabulary: str) -> np.ndarray:
     """Ids of a whole text as unsigned 32-bit integers.
 
     The rank table holds the same merges as ``vocabulary``; its encoder is some
-    six times faster.  Where it gives up (a run of white space beyond its regex
-    engine's stack), the vocabulary's own library encodes the part.
+    six times faster.  It gives up on long runs of white space (its regex engine's
+    stack is bounded), so the vocabulary's own library encodes parts with such a run.
     """
     parts = []
     for i, segment in enumerate(text.split(END_OF_TEXT)):
         if i:
             parts.append(np.array([END_OF_TEXT_ID], "<u4"))
         for part in cut(segment):
-            if part:
-                try:
-                    ids = np.array(rank_encoder(ranks).encode_ordinary(part), "<u4")
-                except BaseException as e:  # the Rust side panics with a BaseException
-                    if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
-                        raise
-                    ids = np.array(library(vocabulary).encode(part, add_special_tokens=False).ids, "<u4")
-                parts.append(ids)
+            if LONG_BLANK.search(part):
+                parts.append(np.array(library(vocabulary).encode(part, add_special_tokens=False).ids, "<u4"))
+            elif part:
+                parts.append(np.array(rank_encoder(ranks).encode_ordinary(part), "<u4"))
     return np.concatenate(parts) if parts else np.zeros(0, "<u4")

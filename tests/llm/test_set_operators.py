@@ -105,6 +105,19 @@ def test_exact_dedup_keeps_state_between_runs(spark, tmp_path):
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in second} == {10: (2, 2, False), 11: (11, 1, True), 12: (1, 3, False)}
 
 
+@pytest.mark.parametrize("bits", [256, 4])
+def test_exact_dedup_compares_bytes_with_earlier_runs(spark, tmp_path, bits):
+    """A digest that a text of an earlier run also has is a hit only if their bytes are equal."""
+    first, second = [f"old {i % 30}" for i in range(60)], [f"old {i}" for i in range(20, 40)] + [f"new {i % 7}" for i in range(30)]
+    state = str(tmp_path / "state")
+    exact_dedup.deduplicate(frame(spark, first), state_dir=state, digest_bits=bits).collect()
+    got = exact_dedup.deduplicate(frame(spark, second, start=1000), state_dir=state, digest_bits=bits).collect()
+    both = brute_exact(first + second)
+    move = lambda i: i if i <= 60 else i + 939
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == {move(i): (move(k), *rest) for i, (k, *rest) in both.items() if i > 60}
+    assert spark.conf.get("spark.sql.streaming.stateStore.unloadOnCommit", None) != "true"
+
+
 # Near dedup
 
 
@@ -257,6 +270,30 @@ def test_plan_holds_the_histogram_and_is_near_the_bound():
     assert bound <= sum(n for _, n in groups) <= min(sum(n for _, n in plain), bound * 1.05)
 
 
+def test_program_is_solved_and_beats_best_fit():
+    """Where best fit isn't at the bound: the program's value is near its own bound, and rounding it saves sequences."""
+    counts = np.zeros(1001, np.int64)
+    counts[[341, 318, 340, 501, 249, 250]] = [400, 300, 200, 300, 600, 100]
+    program = packing.solve(counts, 1000)
+    assert program.bound <= program.value <= 1.02 * program.bound
+    covered = defaultdict(float)
+    for found, x in program.amounts:
+        assert sum(length * n for length, n in found.items()) <= 1000
+        for length, n in found.items():
+            covered[length] += n * x
+    assert all(covered[int(k)] >= counts[k] - 1e-6 for k in np.flatnonzero(counts))
+    fewest = sum(n for _, n in packing.plan({int(k): int(counts[k]) for k in np.flatnonzero(counts)}, 1000))
+    plain = sum(n for _, n in packing.best_fit(counts, 1000, []))
+    assert program.bound <= fewest < 0.95 * plain
+    rng = np.random.default_rng(1)
+    hard = np.zeros(1001, np.int64)
+    for k in rng.integers(260, 520, 60):
+        hard[k] += int(rng.integers(50, 400))
+    program = packing.solve(hard, 1000)
+    assert program.value <= 1.08 * program.bound
+    assert sum(n for _, n in packing.plan({int(k): int(hard[k]) for k in np.flatnonzero(hard)}, 1000)) < sum(n for _, n in packing.best_fit(hard, 1000, []))
+
+
 def test_best_configuration_is_optimal():
     value = np.zeros(31)
     value[[3, 5, 7, 11]] = [0.4, 0.8, 1.15, 1.7]
