@@ -14,7 +14,7 @@ and footers, whose blocks' origin is known.
 There is no shuffle in extraction; memory is bounded by one Arrow batch.  Nulls: a
 null page is empty: text '' and 0 characters; null ids and urls stay null.  Pages
 without main text: ''.  Broken markup: unclosed and stray tags are tolerated as
-browsers do.  Repeated rows: one result each.  Ties (a marginal of exactly one
+browsers do.  Long pages: read whole, in time that grows with their length.  Repeated rows: one result each.  Ties (a marginal of exactly one
 half): not main text.  Empty tables: no rows.  Other columns are ignored.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, log
@@ -46,7 +47,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 HOLDERS = frozenset("table ul ol dl menu dir body html".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A tag's name, and its attributes up to the end of the tag, quotes closed.
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+TAG_REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -73,68 +76,116 @@ def is_hidden(attributes: str) -> bool:
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """Texts and tags in order: (text, '', ''), or ('' or '/', name, attributes); comments and declarations give nothing.
+
+    Each character is looked at a bounded number of times.  A quote that never closes ends tags at the next '>' from there on.
+    Elements that aren't shown are skipped with what they hold.
+    """
+    at = begin = 0
+    quotes = True
+    unclosed: set[str] = set()
+    last = page.rfind(">")
+    while True:
+        start = page.find("<", at)
+        if start < 0 or (start > last and not page.startswith("<!--", start)):
+            break
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            stop, found = len(page) if end < 0 else end + 3, None
+        elif name := TAG_NAME.match(page, start + 1):
+            rest = TAG_REST.match(page, name.end()) if quotes else None
+            quotes = rest is not None
+            stop = rest.end() if rest else page.find(">", name.end()) + 1
+            if not stop:
+                break
+            found = name[1], name[2].lower(), page[name.end() : stop - 1]
+        elif page[start + 1 : start + 2] in ("!", "?", "/"):
+            stop, found = page.find(">", start) + 1, None
+        else:
+            at = start + 1
+            continue
+        if begin < start:
+            yield page[begin:start], "", ""
+        begin = at = stop
+        if not found:
+            continue
+        closing, tag, attributes = found
+        if tag not in UNSEEN:
+            yield closing, tag, attributes
+        elif not closing and not attributes.endswith("/") and tag not in unclosed:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            if end:
+                begin = at = page.find(">", end.end()) + 1 or len(page)
+            elif tag in RAW:
+                begin = at = len(page)
+            else:
+                unclosed.add(tag)
+    if begin < len(page):
+        yield page[begin:], "", ""
+
+
 def parse(page: str) -> list[Node]:
     """The page's block elements and texts; parents come before their children."""
     nodes = [Node(-1, "#root")]
     stack = [0]
+    open_ = Counter()
     raw: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link = 0, 0
 
     def flush() -> None:
         nonlocal raw, linked
-        text = " ".join(html.unescape("".join(raw)).split()) if raw else ""
+        text = " ".join("".join(raw).split()) if raw else ""
         if text:
             nodes.append(Node(stack[-1], "#text", text=text, links=min(linked, len(text)), leaf=True))
         raw, linked = [], 0
 
-    while True:
-        m = TAG.search(page, at)
-        chunk = page[at : m.start()] if m else page[at:]
-        if chunk:
-            raw.append(chunk)
-            if in_link:
-                linked += len(chunk)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+    def close(k: int) -> None:
+        """Close the elements of the stack from place k on."""
+        for i in stack[k:]:
+            open_[nodes[i].tag] -= 1
+        del stack[k:]
+
+    for kind, tag, attributes in tokens(page):
         if not tag:
-            continue
-        closing = bool(m[1])
-        if tag in UNSEEN:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page) if tag in RAW else at
+            # A reference is one in the page's source: what tags stand between isn't joined to one.
+            text = html.unescape(kind)
+            raw.append(text)
+            linked += len(text) * in_link
         elif tag == "br":
             raw.append(" ")
         elif tag == "a":
-            in_link = 0 if closing else 1
+            in_link = 0 if kind else 1
         elif tag in BLOCKS:
             flush()
-            if closing:
-                if tag in (nodes[i].tag for i in stack[1:]):
-                    while nodes[stack.pop()].tag != tag:
-                        pass
+            if kind:
+                if open_[tag]:
+                    k = len(stack) - 1
+                    while nodes[stack[k]].tag != tag:
+                        k -= 1
+                    close(k)
                 continue
             in_link = 0
             if nodes[stack[-1]].tag == "p":
-                stack.pop()
-            closes = CLOSED_BY.get(tag)
-            if closes:
-                for k in range(len(stack) - 1, 0, -1):
-                    open_tag = nodes[stack[k]].tag
-                    if open_tag in closes:
-                        del stack[k:]
-                        if open_tag == tag or tag in ("dt", "dd", "td", "th"):
-                            break
-                    elif open_tag in HOLDERS:
+                close(len(stack) - 1)
+            closes = CLOSED_BY.get(tag, ())
+            k = len(stack) - 1
+            while k > 0 and any(open_[t] for t in closes):
+                open_tag = nodes[stack[k]].tag
+                if open_tag in closes:
+                    close(k)
+                    if open_tag == tag or tag in ("dt", "dd", "td", "th"):
                         break
-            words = tuple(dict.fromkeys(w.lower() for a in NAMES.finditer(m[3]) for w in WORD.findall(a[1] or a[2] or a[3] or "")))
-            if is_hidden(m[3]):
+                elif open_tag in HOLDERS:
+                    break
+                k -= 1
+            words = tuple(dict.fromkeys(w.lower() for a in NAMES.finditer(attributes) for w in WORD.findall(a[1] or a[2] or a[3] or "")))
+            if is_hidden(attributes):
                 words += ("#hidden",)
             nodes.append(Node(stack[-1], tag, words))
             if tag not in VOID:
                 stack.append(len(nodes) - 1)
+                open_[tag] += 1
     flush()
     return nodes
 

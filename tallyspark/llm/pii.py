@@ -11,7 +11,9 @@ anew, dates move to another day of 1900 to 2099 (one without leading zeros may g
 them), and mail addresses and
 secret tokens keep their shape too (letters to letters, digits to digits).
 
-There is no shuffle; memory is bounded by one Arrow batch.  Nulls: a null text
+Values are written in ASCII digits: those of other scripts are no values, are left as they
+are and aren't reported.  There is no shuffle; memory is bounded by one Arrow batch, and long
+texts are read whole.  Nulls: a null text
 stays null, with no values found.  Empty texts stay empty.  Repeated rows: one
 result each.  Values that touch or overlap: the leftmost, then the kind named first
 in ``KINDS``, then the longest; a candidate that fails its check takes nothing from the values
@@ -38,19 +40,19 @@ KINDS = ("email", "token", "iban", "card", "phone", "ip", "ssn", "date")
 SHAPES = {
     "email": (r"(?<![\w.+-])", r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", ""),
     "token": (r"(?<![\w])", r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:sk|pk|ghp|xoxb|AKIA)[-_A-Za-z0-9]{16,})", r"(?![\w])"),
-    "iban": (r"(?<![\w])", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![\w])"),
-    "card": (r"(?<![\w.+-])", r"\d(?:[ -]?\d){12,18}", r"(?![\w]|[.-]\d)"),
-    "phone": (r"(?<![\w])", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4}", r"(?![\w])"),
-    "ip": (r"(?<![\w.])", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", r"(?![\w]|\.\d)"),
-    "ssn": (r"(?<![\w-])", r"\d{3}-\d{2}-\d{4}", r"(?![\w]|-\d)"),
-    "date": (r"(?<![\w./-])", r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}", r"(?![\w]|[./-]\d)"),
+    "iban": (r"(?<![\w])", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![\w])"),
+    "card": (r"(?<![\w.+-])", r"[0-9](?:[ -]?[0-9]){12,18}", r"(?![\w]|[.-][0-9])"),
+    "phone": (r"(?<![\w])", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}", r"(?![\w])"),
+    "ip": (r"(?<![\w.])", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"(?![\w]|\.[0-9])"),
+    "ssn": (r"(?<![\w-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![\w]|-[0-9])"),
+    "date": (r"(?<![\w./-])", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", r"(?![\w]|[./-][0-9])"),
 }
 PATTERN = re.compile("|".join(f"{before}(?P<{kind}>{value}){after}" for kind, (before, value, after) in SHAPES.items()))
 ALONE = {kind: re.compile(f"{before}(?:{value}){after}") for kind, (before, value, after) in SHAPES.items()}
 #: Kinds of which a part may be a value too: the value by itself, and what may follow.
 PARTS = {kind: (re.compile(f"{SHAPES[kind][0]}(?:{SHAPES[kind][1]})"), re.compile(SHAPES[kind][2])) for kind in ("iban", "card", "phone")}
 #: A text without any of these holds no value.
-SIGNS = re.compile(r"[@\d]|sk|pk|ghp|xoxb|AKIA")
+SIGNS = re.compile(r"[@0-9]|sk|pk|ghp|xoxb|AKIA")
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 10
@@ -112,24 +114,40 @@ def check_digit(digits: str) -> str:
 
 def _refill(shape: str, digits: str) -> str:
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in shape)
+    return "".join(next(it) if c in DIGITS else c for c in shape)
 
 
 def _card(value: str, f: Feistel, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", value)
+    digits = re.sub("[^0-9]", "", value)
     if check_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
         return None
     body = f.text(digits[:-1], "card", back)
     return _refill(value, body + check_digit(body))
 
 
+#: Country calling codes of one and of two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+
+
+def country_code(value: str) -> str:
+    """The plus and calling code that a number begins with, '' where it has none; a mark behind the code ends it."""
+    if not value.startswith("+"):
+        return ""
+    marked = re.match(r"\+[0-9]{1,3}(?=[ .(-])", value)
+    return marked.group() if marked else value[: 1 + (1 if value[1] in ONE_DIGIT else 2 if value[1:3] in TWO_DIGITS else 3)]
+
+
 def _phone(value: str, f: Feistel, back: bool) -> str | None:
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-    rest = value[head.end() :] if head else value
-    digits = re.sub(r"\D", "", rest)
+    head = country_code(value)
+    rest = value[len(head) :]
+    digits = re.sub("[^0-9]", "", rest)
     if not 7 <= len(digits) <= 14:
         return None
-    return value[: len(value) - len(rest)] + _refill(rest, f.text(digits, "phone", back))
+    return head + _refill(rest, f.text(digits, "phone", back))
 
 
 def _ip(value: str, f: Feistel, back: bool) -> str | None:
@@ -265,11 +283,13 @@ def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[
     return "".join([*out, text[at:]]), spans
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"tally", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``text`` with pseudonyms, ``n_found`` and ``found`` (kind, start, end, pseudonym).
 
-    ``key``: at most 64 secret bytes; whoever has it can undo the permutation.
+    ``key``: 1 to 64 secret bytes; whoever has it can undo the permutation.
     """
+    if not 1 <= len(key) <= 64:
+        raise ValueError("a key of 1 to 64 bytes is needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feistel = Feistel(key)

@@ -1,5 +1,9 @@
 """Token counts, quality, PII, chat, HTML: small cases, brute force and round trips."""
 
+import html
+import os
+import random
+import re
 import zlib
 from datetime import date
 
@@ -160,13 +164,59 @@ def test_pii_values_within_a_failed_candidate_are_found(text, values):
     assert pii.replace(new, FEISTEL, back=True)[0] == text
 
 
+def test_pii_country_codes_and_other_digits():
+    for value, head in (("+66812345678", "+66"), ("+12125550123", "+1"), ("+3581234567", "+358"), ("+44 20 7946 0958", "+44"), ("+1-212-555-0123", "+1")):
+        new, spans = pii.replace(value, FEISTEL)
+        assert new != value and new.startswith(head) and len(spans) == 1 and pii.replace(new, FEISTEL, back=True)[0] == value
+    for value in ("+๖๖ ๘๑ ๒๓๔ ๕๖๗๘", "๐๑/๐๖/๒๕๖๙", "٢٠٢٤-٠١-١٥"):
+        assert pii.replace(f"see {value} here", FEISTEL) == (f"see {value} here", [])
+    assert pii.replace("๒ 2024-01-15", FEISTEL)[1][0][:3] == ("date", 2, 12)
+
+
+def test_pii_detection_equals_what_was_planted():
+    """Labelled texts: values of every kind among numbers and words that are none; all found at their places, nothing else."""
+    r = random.Random(3)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = r.choice("45") + digits(14)
+        return body + pii.check_digit(body)
+
+    def iban():
+        body = digits(18)
+        return f"DE{98 - pii.iban_remainder('DE00' + body):02d}{body}"
+
+    makers = {
+        "card": card, "iban": iban, "email": lambda: f"u{digits(3)}@mail{digits(1)}.example.org", "ip": lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)),
+        "ssn": lambda: f"{r.randint(100, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}", "date": lambda: f"{r.randint(1950, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
+        "phone": lambda: f"({r.randint(200, 999)}) {r.randint(200, 999)}-{digits(4)}", "token": lambda: "ghp_" + "".join(r.choice("abcdefXYZ0123456789") for _ in range(24)),
+    }
+    noise = ["word", "3.14", "12,345.67", "no. 7", "2024", "v1.2.3", "13/13/2024", "2024-13-45", "000-12-3456", "300.1.2.3", "room 12", "x@y", "4539578763621487"]
+    for _ in range(300):
+        text, truth = "", []
+        for _ in range(r.randint(1, 12)):
+            if r.random() < 0.5:
+                kind = r.choice(list(makers))
+                value = makers[kind]()
+                truth.append((kind, len(text), len(text) + len(value)))
+            else:
+                value = r.choice(noise)
+            text += value + r.choice([", ", "; ", " and "])
+        assert [s[:3] for s in pii.replace(text, FEISTEL)[1]] == truth, text
+
+
+def test_pii_needs_a_key(spark):
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymise(frame(spark, ["x"]), b"")
+
+
 def test_pii_frame(spark):
     docs = frame(spark, ["mail a.b@c.example.com", "", None, "mail a.b@c.example.com", "x" * 100000 + " 10.0.0.1"])
     got = {r.doc_id: r for r in pii.pseudonymise(docs, b"k").collect()}
     assert got[1].text == got[4].text != "mail a.b@c.example.com" and got[1].n_found == 1
     assert (got[2].text, got[2].n_found, got[3].text, got[3].n_found) == ("", 0, None, 0)
     assert got[5].found[0].kind == "ip" and got[5].found[0].start == 100001
-    assert pii.pseudonymise(frame(spark, [])).collect() == []
+    assert pii.pseudonymise(frame(spark, []), b"k").collect() == []
 
 
 # Chat
@@ -276,6 +326,51 @@ def test_html_cases(spark, html_model):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string"), html_model).collect() == []
 
 
+def test_html_parser_is_linear_and_keeps_references_apart():
+    import time
+
+    def took(page):
+        start = time.perf_counter()
+        html_text.parse(page)
+        return time.perf_counter() - start
+
+    for piece in ('<a "', "<p class='x", "<div><li></b>", "<svg>", "<td><tr>", "<!-", "</x ", "<div></span></p>", "<" * 3, "&amp", '<i ">"'):
+        small, large = (min(took(piece * n) for _ in range(2)) for n in (4000, 32_000))
+        assert large < 0.1 + 24 * small, piece
+    texts = lambda page: [n.text for n in html_text.parse(page) if n.leaf]
+    assert texts("<p>a &am<b>p; b &lt;c&gt; <!-- > -->d</p>") == ["a &amp; b <c> d"]
+    assert texts("<p>&am<b>p;</p>") == ["&amp;"] and texts("<p>&amp;amp;</p>") == ["&amp;"]
+    assert texts("a < b > c <p title=\"x>y\">d</p><p class='open>e</p><p>f") == ["a < b > c", "d", "e", "f"]
+    assert texts("<p>a<script>b</p></SCRIPT >c<p>d<style>e") == ["ac", "d"]
+    assert texts("x <") == ["x <"] and texts("<p") == ["<p"] and texts("") == []
+
+
+GIVEN = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(GIVEN), reason="the given tables aren't here")
+def test_html_on_every_given_page(spark, html_model):
+    """Each text's blocks stand in its page in this order, outside of scripts and of elements that can't be the article; none repeats the menu."""
+    rows = spark.read.parquet(GIVEN)
+    source = {r.page_id: r.html or "" for r in rows.collect()}
+    got = {r.page_id: r for r in html_text.extract(rows, html_model).collect()}
+    assert set(got) == set(source)
+    some = 0
+    for i, page in source.items():
+        text = got[i].text
+        assert got[i].n_chars == len(text)
+        for tag in ("script", "style", "nav", "footer", "form", "aside"):
+            page = re.sub(rf"(?is)<{tag}\b.*?</{tag}\s*>", "\x00", page)
+        plain = " ".join(html.unescape(re.sub(r"(?s)<!--.*?-->|<[^>]*>", " ", page)).split())
+        plain, at = re.sub(r"\s+", "", plain), 0
+        for block in filter(None, text.split("\n\n")):
+            found = plain.find(re.sub(r"\s+", "", block), at)
+            assert found >= 0, (i, block[:80])
+            at = found + 1
+            some += 1
+    assert some > len(source)
+
+
 def test_html_long_class_lists_hidden_notices_math_and_unclosed_elements(html_model):
     body = "the river ran slowly over the old stones and went home at last " * 4
     page = "<body><article class='post'><p>%s</p>%s<p>%s</p></article></body>"
