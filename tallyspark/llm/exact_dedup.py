@@ -137,7 +137,7 @@ def deduplicate(
         firsts = members.where("n > 1").select(F.col("first_at").alias("locator")).distinct()
         before = firsts.join(earlier, "locator", "left_semi")
         texts = texts.unionByName(texts_at(spark, before, text_col))
-    differing = _differing(texts, members)
+    differing = _differing(texts, members, entries)
     out = members.select(
         "doc_id", F.col("first_id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("locator") == F.col("first_at")).alias("kept"), F.col("sha").alias("text_sha256"), "locator", "digest",
@@ -163,16 +163,14 @@ def texts_at(spark: SparkSession, wanted: DataFrame, text_col: str) -> DataFrame
     return located(spark.read.parquet(*files).select(F.col(text_col).alias("text"))).select(normalise("text").alias("text"), "locator").join(wanted, "locator", "left_semi")
 
 
-def _differing(texts: DataFrame, members: DataFrame) -> DataFrame | None:
+def _differing(texts: DataFrame, members: DataFrame, entries: DataFrame) -> DataFrame | None:
     """Members whose full bytes differ from those of the row that stays; None if there are none, as nearly always."""
     hits = members.where("n > 1").select("doc_id", "locator", "digest", "first_at", "n")
     parts = F.ceil(F.col("n") / PART).cast("int")
     checked = hits.where(F.col("locator") != F.col("first_at")).select(
         "digest", "locator", F.pmod(F.xxhash64("locator"), parts).cast("int").alias("part")
     ).join(texts, "locator").select("digest", "part", F.col("text").alias("own"))
-    keepers = hits.groupBy("digest").agg(F.first("first_at").alias("locator"), F.first("n").alias("n")).select(
-        "digest", "locator", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-    )
+    keepers = entries.where("n > 1").select("digest", F.col("first_at").alias("locator"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     kept = keepers.join(texts, "locator").select("digest", "part", F.col("text").alias("stays"))
     differing = keep(checked.join(kept, ["digest", "part"]).where(~F.col("own").eqNullSafe(F.col("stays"))).select("digest"), "dedup-differing")
     return None if differing.isEmpty() else differing
