@@ -17,6 +17,9 @@ def scratch(spark: SparkSession, label: str) -> str:
     used, one for each application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _local:
