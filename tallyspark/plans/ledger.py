@@ -2,7 +2,8 @@
 
 ``orders`` becomes account statements: a customer's orders in order of date, paid out (status F) or in,
 with a running balance.  Some lines are damaged by rule - no printed balance, a wrong digit, an amount
-of 0, tax withheld, an amount in the wrong column - so that every branch of the proof is reached.
+of 0, tax withheld, an amount in the wrong column - so that every branch of the proof is reached.  The account is named
+before the first window, so that all windows over an account share one exchange.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ SELECT stmt_id, seq, row_id, day, CAST(0 AS BIGINT) AS opening, amount, tax, x1,
 FROM (
   SELECT *, CAST(SUM(CASE WHEN paid_out THEN -amount ELSE amount END - COALESCE(tax, 0)) OVER (PARTITION BY stmt_id ORDER BY seq) AS BIGINT) AS true_balance
   FROM (
-    SELECT o_custkey AS stmt_id, o_orderkey AS row_id, CAST(o_orderdate AS DATE) AS day, o_orderstatus = 'F' AS paid_out,
-           CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq,
+    SELECT stmt_id, o_orderkey AS row_id, CAST(o_orderdate AS DATE) AS day, o_orderstatus = 'F' AS paid_out,
+           CAST(ROW_NUMBER() OVER (PARTITION BY stmt_id ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq,
            CASE WHEN o_orderkey % 53 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(ROUND(o_totalprice * 100) AS BIGINT) END AS amount,
            CASE WHEN o_orderkey % 11 = 0 AND o_orderstatus <> 'F' AND o_orderkey % 53 <> 0 THEN CAST(125 AS BIGINT) END AS tax,
            CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN (o_orderstatus = 'F') <> (o_orderkey % 31 = 0) THEN CAST(200 AS DOUBLE) ELSE CAST(300 AS DOUBLE) END AS x1
-    FROM orders
+    FROM (SELECT o_custkey AS stmt_id, o_orderkey, o_orderdate, o_orderstatus, o_totalprice FROM orders) AS o
   ) AS a
 ) AS b
 """
