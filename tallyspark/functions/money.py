@@ -96,4 +96,4 @@ def repair_money(c: Column) -> Column:
     """An optical reading's money with its separators put right: dots for commas, or punctuation lost before two decimals."""
     digits = F.regexp_replace(c, "[.,]", "")
     grouped = F.concat(F.format_number(digits.substr(F.lit(1), F.length(digits) - 2).try_cast("bigint"), 0), F.lit("."), F.right(digits, F.lit(2)))
-    return F.when(c.rlike(r"^\d{1,3}(?:[.,]\d{3})*[.,]\d{2}\z"), grouped).otherwise(c)
+    return F.when(c.rlike(r"^\d{1,3}(?:[.,]\d{3})*[.,]\d{2}\z|^\d{3,12}\z"), grouped).otherwise(c)
