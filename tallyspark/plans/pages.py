@@ -144,7 +144,7 @@ def content_roles(spark, sf_dir):
 CENTS = "CAST(CAST({0} / 100.0 AS DECIMAL(18,2)) AS STRING)"
 BOOK = f"""SELECT stmt_id AS book, CAST(FLOOR((seq - 1) / 20) AS BIGINT) AS page, seq AS line, row_id, CASE WHEN row_id % 5 <> 0 THEN substr(d, 9, 2) || '/' || substr(d, 6, 2) || '/' || CAST(year(day) + 543 - 2500 AS STRING) END AS date,
   CASE WHEN seq > 1 OR row_id % 2 = 0 THEN CASE WHEN row_id % 13 <> 0 THEN CASE WHEN x1 < 250 THEN '-' ELSE '+' END || {CENTS.format('amount')} END END AS amount, CASE WHEN balance > 0 THEN '*' || {CENTS.format('balance')} END AS balance,
-  CASE WHEN row_id % 6 = 0 THEN CAST(0.01 AS DOUBLE) WHEN row_id % 6 < 4 THEN CAST(0.4 AS DOUBLE) END AS margin FROM (SELECT *, CAST(CAST(date_trunc('month', day) AS DATE) AS STRING) AS d FROM ({LEDGER}) AS l) AS m"""
+  CASE WHEN row_id % 6 = 0 THEN CAST(0.01 AS DOUBLE) WHEN row_id % 6 < 4 THEN CAST(0.4 AS DOUBLE) END AS margin FROM (SELECT *, CAST(CAST(date_trunc('year', day) AS DATE) AS STRING) AS d FROM ({LEDGER}) AS l) AS m"""
 
 
 @query(f"""WITH b AS (SELECT *, COALESCE(margin >= 0.05, true) AS sure FROM ({BOOK}) AS x WHERE date IS NOT NULL OR amount IS NOT NULL OR balance IS NOT NULL),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import tables
 from .ledger import LEDGER, ledger
-from .queries import TODAY, query, table
+from .queries import ORACLES, TODAY, query, table
+from .statements import LINES
 
 CENTS = "CAST(CAST({0} / 100.0 AS DECIMAL(18,2)) AS STRING)"
 
@@ -83,3 +84,16 @@ def carried_order(spark, sf_dir):
     page = F.year("day") * 100 + F.month("day")
     shown = F.when(F.bool_or(F.col("row_id") % 29 == 0), "month").when(F.max(F.day("day")) > 12, "day")
     return tables.carried_order(ledger(spark, sf_dir).groupBy(F.col("stmt_id").alias("set_id"), page.alias("page")).agg(shown.alias("evidence")))
+
+
+#: The lines of all of an account's files in SQL: without totals at a foot and lines that move nothing.
+JOINED = f"""WITH {KINDS}, ft AS ({ORACLES["foot_totals"]}), bf AS (SELECT set_id, arg_min(balance, file_no * 1000000 + row) AS ob FROM v WHERE kind = 'brought_forward' GROUP BY set_id),
+q AS (SELECT v.set_id AS stmt_id, row_number() OVER (PARTITION BY v.set_id ORDER BY v.file_no, v.row) AS seq, v.day, v.amount, v.balance, v.sign, ob AS stated_opening
+  FROM v LEFT JOIN bf ON bf.set_id = v.set_id LEFT JOIN ft ON ft.set_id = v.set_id AND ft.file_no = v.file_no AND ft.row = v.row WHERE v.kind = 'line' AND ft.row IS NULL),
+z AS (SELECT *, COALESCE(last_value(balance IGNORE NULLS) OVER (PARTITION BY stmt_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), stated_opening) AS known FROM q)
+SELECT stmt_id, seq, day, amount, balance, sign, stated_opening FROM z WHERE NOT COALESCE(amount = 0 AND balance = known AND day IS NOT NULL, false)"""
+
+
+@query(ORACLES["lines_statement"].replace(LINES, JOINED))
+def table_statement(spark, sf_dir):
+    return tables.table_statement(printed_rows(spark, sf_dir), TODAY).select("stmt_id", "seq", "verified", "withdrawal", "deposit", "reading", "sign_note")

@@ -64,3 +64,17 @@ def test_date_order_is_carried_until_a_page_speaks_against_it(spark):
     pages = [(1, 1, None), (1, 2, "day"), (1, 3, None), (1, 4, "month"), (1, 5, None), (2, 1, None)]
     got = tables.carried_order(spark.createDataFrame(pages, "set_id long, page long, evidence string")).orderBy("set_id", "page").collect()
     assert [r.day_first for r in got] == [False, True, True, False, False, False]
+
+
+def test_files_of_one_account_become_one_proved_statement_also_newest_first(spark):
+    head = ["Date", "Description", "Withdrawal", "Deposit", "Balance"]
+    first = [head, ["", "Brought forward", "", "", "100.00"], ["2026-01-01", "a", "", "20.00", "120.00"], ["2026-01-02", "idle", "", "0.00", "120.00"], ["2026-01-03", "b", "50.00", "", "70.00"], ["", "Total", "50.00", "20.00", ""]]
+    second = [head, ["2026-02-01", "c", "", "5.00", "75.00"], ["2026-02-02", "d", "10.00", "", "65.00"]]
+    turned = [head, *reversed(second[1:]), *reversed(first[2:5])]
+    rows = [("fwd", 1, k, c) for k, c in enumerate(first)] + [("fwd", 2, k, c) for k, c in enumerate(second)] + [("rev", 1, k, c) for k, c in enumerate(turned)]
+    d = spark.createDataFrame(rows, "set_id string, file_no int, row long, cells array<string>")
+    names = ["date", "description", "withdrawal", "deposit", "balance"]
+    d = d.withColumns({n: F.get("cells", F.lit(k)) for k, n in enumerate(names)} | {"header": F.lit(0), "opening": F.lit(None).cast("long"), "amount": F.lit(None).cast("string"), "amount2": F.lit(None).cast("string")})
+    got = tables.table_statement(d, "2026-10-02").orderBy("stmt_id", "seq").collect()
+    assert [(r.description, r.verified) for r in got if r.stmt_id == "fwd"] == [("a", True), ("b", True), ("c", True), ("d", True)]
+    assert [(r.description, r.verified) for r in got if r.stmt_id == "rev"] == [("a", False), ("b", True), ("c", True), ("d", True)]
