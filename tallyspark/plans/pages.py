@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import words
 from ..operators import pages, statements
 from .ledger import LEDGER
-from .queries import query, table
+from .queries import ORACLES, query, table
+from .statements import LINES
 
 
 def given(spark, sf_dir, sql: str, name: str):
@@ -168,11 +169,11 @@ def passbook_lines(spark, sf_dir):
     return pages.passbook_lines(given(spark, sf_dir, BOOK, "orders"))
 
 
-@query()
+@query(ORACLES["lines_statement"].replace(LINES, ORACLES["passbook_lines"]))
 def passbook_statement(spark, sf_dir):
-    """The whole way from printed lines to proved rows; its parts have SQL of their own (passbook_lines, lines_statement)."""
+    """The whole way from printed lines to proved rows."""
     d = statements.lines_statement(pages.passbook_lines(given(spark, sf_dir, BOOK, "orders")))
-    return d.select("stmt_id", "seq", "day", "verified", "withdrawal", "deposit", "reading", "sign_note", "date_note")
+    return d.select("stmt_id", "seq", "verified", "withdrawal", "deposit", "reading", "sign_note")
 
 
 # Hints and labels
