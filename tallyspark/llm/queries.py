@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, mixing, near_dup, packing, pii, quality, token_counts, topk
+from . import chat, exact_dedup, html_text, mixing, near_dup, packing, pii, quality, spelling, suffix_dedup, token_counts, topk, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,11 +95,24 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_quality_votes, op3_token_counts, op4_chat_format, op5_exact_dedup,
         op6_pii_feistel, op7_pack_sequences, op8_topk_search, op9_html_main_text, op10_near_dup,
+        op11_spelling_variants, op12_embedding_whitening, op13_suffix_dedup,
     )
 }
 

@@ -40,7 +40,7 @@ from .common import keep, text_or_empty
 GRAM = 32
 PIECE = 1 << 20
 #: Contexts that a task refines together.
-BLOCK = 6000
+BLOCK = 1000
 RUN = "k1 long, k2 long, start long, length int, gram long, d1 long, d2 long"
 _LETTERS = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _FACTOR, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -74,52 +74,60 @@ def digest(piece: bytes) -> tuple[int, int]:
     return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
 
 
+def text_key(raw: bytes) -> tuple[int, int]:
+    key = hashlib.sha256(raw).digest()
+    return int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:16], "big", signed=True)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Each text's compressed bytes under two longs of its SHA-256, for texts of any length."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            k1, k2, packed = [], [], []
-            for text in batch.column(0):
-                raw = text.as_py().encode()
-                key = hashlib.sha256(raw).digest()
-                k1.append(int.from_bytes(key[:8], "big", signed=True))
-                k2.append(int.from_bytes(key[8:16], "big", signed=True))
+            keys, packed = [], []
+            for value in batch.column(0):
+                raw = value.as_py()
+                keys.append(text_key(raw))
                 packed.append(packer.compress(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(packed, pa.binary())], ["k1", "k2", "packed"])
+            columns = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], ["k1", "k2", "packed"])
 
-    return docs.select("text").mapInArrow(pack, "k1 long, k2 long, packed binary")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(pack, "k1 long, k2 long, packed binary")
 
 
 def text_runs(docs: DataFrame, width: int) -> DataFrame:
     """``RUN`` rows of all strings: text, first start, number of starts, initial bucket, digest of the bytes they cover."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(rows: list[list]) -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], [c.split()[0] for c in RUN.split(", ")])
+        names = [c.split()[0] for c in RUN.split(", ")]
+
+        def batch_of(parts: list[tuple]) -> pa.RecordBatch:
+            keys = np.repeat(np.array([p[0] for p in parts], np.int64).reshape(-1, 2), [len(p[1]) for p in parts], axis=0)
+            pairs = np.frombuffer(b"".join(p[4] for p in parts), np.int64).reshape(-1, 2)
+            columns = [keys[:, 0], keys[:, 1], *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)), pairs[:, 0], pairs[:, 1]]
+            columns[3] = columns[3].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
 
-        out: list[list] = [[] for _ in range(7)]
+        parts: list[tuple] = []
+        held = 0
         for batch in batches:
-            for text in batch.column(0):
-                raw = text.as_py().encode()
-                key = hashlib.sha256(raw).digest()
-                k1, k2 = int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:16], "big", signed=True)
+            for value in batch.column(0):
+                raw = value.as_py()
                 for base in range(0, len(raw) - width + 1, PIECE):
                     piece = raw[base : base + PIECE + width - 1]
                     first, count, gram = window_runs(np.frombuffer(piece, np.uint8), width)
-                    pairs = [digest(piece[a : a + n + width - 1]) for a, n in zip(first.tolist(), count.tolist())]
-                    m = len(pairs)
-                    columns = ([k1] * m, [k2] * m, (first + base).tolist(), count.tolist(), gram.tolist(), [p[0] for p in pairs], [p[1] for p in pairs])
-                    for column, values in zip(out, columns):
-                        column.extend(values)
-                    if len(out[0]) > 20000:
-                        yield batch_of(out)
-                        out = [[] for _ in range(7)]
-        yield batch_of(out)
+                    ends = (first + count + width - 1).tolist()
+                    digests = b"".join([hashlib.blake2b(piece[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), ends)])
+                    parts.append((text_key(raw), first + base, count, gram, digests))
+                    held += len(first)
+                    if held > 20000:
+                        yield batch_of(parts)
+                        parts, held = [], 0
+        if parts:
+            yield batch_of(parts)
 
-    return docs.select("text").where(F.octet_length("text") >= width).mapInArrow(runs, RUN)
+    return docs.where(F.octet_length("text") >= width).select(F.col("text").cast("binary").alias("text")).mapInArrow(runs, RUN)
 
 
 def refine(contexts: list[bytes], width: int) -> list[np.ndarray]:
@@ -151,8 +159,9 @@ def refine(contexts: list[bytes], width: int) -> list[np.ndarray]:
         _, first, bucket = np.unique(pointer[starts], return_index=True, return_inverse=True)
         lead = starts[first][bucket]
         same = np.ones(len(starts), bool)
-        for i in range(width):
-            same &= data[starts + i] == data[lead + i]
+        eights = np.ndarray(size - 7, np.uint64, data, strides=(1,))  # the eight bytes from each position on
+        for i in [*range(0, width - 8, 8), width - 8]:
+            same &= eights[starts + i] == eights[lead + i]
         flags[starts] = True
         if not same.all():  # a bucket of unequal strings, by a hash that collides: its members are counted as they are
             mixed = np.isin(bucket, bucket[~same])
@@ -258,7 +267,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 200, crowd: int = 20000) ->
         raise ValueError(f"width must be {GRAM} bytes or more")
     key = ["k1", "k2"]
     texts = docs.select("doc_id", text_or_empty("text").alias("text"))
-    runs = text_runs(texts, width)
+    runs = keep(text_runs(texts, width), "strings")
     # A bucket's runs: one, several that are equal, or several of which some differ.
     least = [F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2")]
     buckets = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), *least).where("times > 1")
