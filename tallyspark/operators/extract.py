@@ -6,6 +6,8 @@ one task's small work; a document's rows follow by page and height.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -24,40 +26,50 @@ def lines_of(words: DataFrame, reach: float = 4.0) -> DataFrame:
     return paged.join(lines, "_page").where("y between low and high").drop("_page", "low", "high")
 
 
-def cells_of(lines: DataFrame, columns: list[layout.Range]) -> DataFrame:
-    """One row per line: ``doc, page, line, y``, the columns' texts (words left to right), right edge of the amount."""
-    placed = layout.to_columns(lines.withColumn("_x0", F.col("x0")), columns)
+FIELDS = ("date", "description", "amount", "balance")
+
+
+def cells_of(lines: DataFrame, columns: list[layout.Range] | None, fields: tuple[str, ...] = FIELDS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per line: ``doc, page, line, y``, the columns' texts (words left to right), right edge of the amount.
+
+    Without ``columns`` the words name their ``column`` themselves; ``carried`` are columns that a document has once.
+    """
+    placed = lines if columns is None else layout.to_columns(lines.withColumn("_x0", F.col("x0")), columns)
 
     def joined(name: str):
         own = F.collect_list(F.when(F.col("column") == name, F.struct("x0", "word", "text")))
         return F.nullif(F.array_join(F.transform(F.sort_array(own), lambda w: w["text"]), " "), F.lit("")).alias(name)
 
     return placed.groupBy("doc", "page", "line").agg(
-        F.avg("y").alias("y"), *[joined(n) for n in ("date", "description", "amount", "balance")], F.max(F.when(F.col("column") == "amount", F.col("x1"))).alias("x1")
+        F.avg("y").alias("y"), *[joined(n) for n in fields], F.max(F.when(F.col("column") == "amount", F.col("x1"))).alias("x1"), *[F.first(c).alias(c) for c in carried]
     )
 
 
-def transactions(cells: DataFrame, footer: str, reach: float, today: str) -> DataFrame:
+def transactions(
+    cells: DataFrame, footer: str | None, reach: float, today: str, settle: Callable[[DataFrame], DataFrame] | None = None, brought: str = BROUGHT_FORWARD, more: tuple[str, ...] = ()
+) -> DataFrame:
     """``doc, seq, page, day, description, amount, x1, balance, opening``: rows with a date and a balance or amount.
 
     A page ends at its first line that matches ``footer`` and isn't a row; other lines are text wrapped from the nearest
-    row within ``reach``; the first line that brings a balance forward gives the opening.
+    row within ``reach``, or from that which ``settle`` names; the first line that brings a balance forward (its text has ``brought``) gives
+    the opening.  ``more`` are further texts of a row's own line that are kept.
     """
     value = cells.select(
         "*", money.parse_amount(F.col("amount")).alias("_amount"), money.parse_signed(F.col("balance")).alias("_balance"), dates.date_cell(F.col("date"), today)["date"].alias("day")
     )
     said = F.concat_ws(" ", "date", "description", "amount", "balance")
-    typed = value.withColumn("brought", F.coalesce(F.col("description").rlike(BROUGHT_FORWARD), F.lit(False)))
+    typed = value.withColumn("brought", F.coalesce(F.col("description").rlike(brought), F.lit(False)))
     typed = typed.withColumn("is_row", F.col("day").isNotNull() & ~F.col("brought") & (F.col("_balance").isNotNull() | F.col("_amount").isNotNull()))
-    paged = typed.withColumn("is_footer", said.rlike(footer)).withColumn("_doc_page", F.struct("doc", "page"))
-    kept = layout.stop_at_footer(paged.withColumnRenamed("page", "page_no").withColumnRenamed("_doc_page", "page"))
-    settled = layout.settle_wrapped(kept, reach)
+    paged = typed.withColumn("is_footer", said.rlike(footer) if footer else F.lit(False)).withColumn("_doc_page", F.struct("doc", "page"))
+    paged = paged.withColumnRenamed("page", "page_no").withColumnRenamed("_doc_page", "page")
+    kept = layout.stop_at_footer(paged) if footer else paged
+    settled = settle(kept) if settle else layout.settle_wrapped(kept, reach)
     order = F.struct("y", "line")
     whole = settled.where("row_line is not null and not brought").groupBy("page", "row_line").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("description").isNotNull(), F.struct("y", "line", "description")))), lambda d: d["description"]), " ").alias("description")
     )
-    rows = settled.where("is_row").select("doc", "page", F.col("page_no"), "line", "y", "day", F.col("_amount").alias("amount"), "x1", F.col("_balance").alias("balance"))
+    rows = settled.where("is_row").select("doc", "page", F.col("page_no"), "line", "y", "day", F.col("_amount").alias("amount"), "x1", F.col("_balance").alias("balance"), *more)
     rows = rows.join(whole.withColumnRenamed("row_line", "line"), ["page", "line"])
     opening = settled.where("brought").groupBy("doc").agg(F.min_by("_balance", F.struct("page_no", order)).alias("opening"))
     seq = F.row_number().over(W.partitionBy("doc").orderBy("page_no", "y", "line")).cast("bigint")
-    return rows.join(opening, "doc", "left").select("doc", seq.alias("seq"), F.col("page_no").alias("page"), "day", "description", "amount", "x1", "balance", F.coalesce("opening", F.lit(0)).alias("opening"))
+    return rows.join(opening, "doc", "left").select("doc", seq.alias("seq"), F.col("page_no").alias("page"), "day", "description", "amount", "x1", "balance", F.coalesce("opening", F.lit(0)).alias("opening"), *more)

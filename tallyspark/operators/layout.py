@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 
@@ -17,26 +21,35 @@ def gap_clusters(points: DataFrame, key: str, value: str, gap: float, tie: str)
 def mean_clusters(points: DataFrame, key: str, value: str, reach: float) -> DataFrame:
     """``key, cluster, n, mean, low, high``: values in order join the running cluster while within ``reach`` of its mean.
 
-    The mean moves with each value, so this is a fold.  Equal values join together and are counted first; no cluster
-    reaches over a step of more than ``reach``, so each stretch between such steps is folded by itself.
+    The mean moves with each value, so this is a fold.  Equal values join together and are counted first.  Values stream
+    past in order, and a task holds the open cluster only, so a dense key costs no more than its values.
     """
-    kind = "array<struct<n:bigint,total:double,low:double,high:double>>"
+    values = points.groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    names = [key, "cluster", "n", "mean", "low", "high"]
 
-    def step(acc, x):
-        last, v, n = F.try_element_at(acc, F.lit(-1)), x["v"], x["n"]
-        joins = (F.size(acc) > 0) & (F.abs(v - last["total"] / last["n"]) <= reach)
-        head = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        grown = F.struct((last["n"] + n).alias("n"), (last["total"] + v * n).alias("total"), last["low"].alias("low"), v.alias("high"))
-        fresh = F.struct(n.alias("n"), (v * n).alias("total"), v.alias("low"), v.alias("high"))
-        return F.when(joins, F.concat(head, F.array(grown))).otherwise(F.concat(acc, F.array(fresh))).cast(kind)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cluster, n, total, low, high, begun = None, 0, 0, 0.0, 0.0, 0.0, False
 
-    own = W.partitionBy(key).orderBy("v")
-    values = points.groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    stretch = F.sum("_new").over(own).alias("stretch")
-    cut = values.withColumn("_new", F.when(F.col("v") - F.lag("v").over(own) > reach, 1).otherwise(0)).select(key, "v", "n", stretch)
-    folded = cut.groupBy(key, "stretch").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("x")).select(key, "stretch", F.posexplode(F.aggregate("x", F.array().cast(kind), step)).alias("at", "c"))
-    number = (F.row_number().over(W.partitionBy(key).orderBy("stretch", "at")) - 1).alias("cluster")
-    return folded.select(key, number, F.col("c.n").alias("n"), (F.col("c.total") / F.col("c.n")).alias("mean"), F.col("c.low").alias("low"), F.col("c.high").alias("high"))
+        def rows_of(closed: list[tuple], keys: pa.DataType) -> pa.RecordBatch:
+            kinds = [keys, pa.int64(), pa.int64(), *[pa.float64()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array([c[i] for c in closed], t) for i, t in enumerate(kinds)], names)
+
+        for batch in batches:
+            closed, keys = [], batch.schema.field(0).type
+            for k, v, m in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if begun and k == at and abs(v - total / n) <= reach:
+                    n, total, high = n + m, total + v * m, v
+                    continue
+                if begun:
+                    closed.append((at, cluster, n, total / n, low, high))
+                at, cluster, begun = k, cluster + 1 if begun and k == at else 0, True
+                n, total, low, high = m, v * m, v, v
+            yield rows_of(closed, keys)
+        if begun:
+            yield rows_of([(at, cluster, n, total / n, low, high)], keys)
+
+    schema = StructType([values.schema[key], *StructType.fromDDL("cluster bigint, n bigint, mean double, low double, high double")])
+    return values.where("v is not null").repartition(key).sortWithinPartitions(key, "v").mapInArrow(fold, schema)
 
 
 #: A column's name, lower end, upper end and place among overlapping ones.
@@ -53,6 +66,27 @@ def to_columns(words: DataFrame, columns: list[Range]) -> DataFrame:
     return words.withColumn("column", F.coalesce(*found))
 
 
+def to_own_columns(words: DataFrame, layouts: DataFrame, key: str) -> DataFrame:
+    """The same with a layout for each ``key`` as rows: ``columns``, an array of ``name, lo, hi`` by place.  Keys without one are left out."""
+    centre = (F.col("x0") + F.col("x1")) / 2
+    own = F.filter("columns", lambda c: (centre >= c["lo"]) & (centre < c["hi"]))
+    return words.join(layouts, key).withColumn("column", F.get(own, F.lit(0))["name"]).drop("columns")
+
+
+def wrap_within(lines: DataFrame, reach: str | float, ends: Column | None = None) -> DataFrame:
+    """Lines that aren't rows -> the row above them on their page, while each line is within ``reach`` of the line before.
+
+    ``reach`` is a number or a column; a NULL reach bounds nothing.  Lines for which ``ends`` holds are no text of the row above.  Adds ``row_line``.
+    """
+    own = W.partitionBy("page").orderBy("y", "line")
+    limit = F.col(reach) if isinstance(reach, str) else F.lit(reach)
+    apart = F.coalesce(F.col("y") - F.lag("y").over(own) > limit, F.lit(False))
+    ended = F.lit(False) if ends is None else F.coalesce(ends, F.lit(False))
+    d = lines.withColumn("_run", F.sum((F.col("is_row") | apart | ended).cast("int")).over(own))
+    first = F.first(F.when(F.col("is_row"), F.col("line"))).over(W.partitionBy("page", "_run").orderBy("y", "line"))
+    return d.withColumn("row_line", first).drop("_run")
+
+
 def settle_wrapped(lines: DataFrame, reach: float) -> DataFrame:
     """Lines that aren't rows -> the nearest row above or below within ``reach``, the upper one on a tie.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
@@ -26,3 +26,10 @@ def scratch(spark: SparkSession, label: str) -> str:
             _local[app] = tempfile.mkdtemp(prefix="spark-tally-")
         base = _local[app]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, for what several aggregates read."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
