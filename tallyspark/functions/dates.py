@@ -122,19 +122,66 @@ def printed(d: Column) -> Column:
     return F.date_format(d, "dd/MM/yyyy")
 
 
-def period(c: Column) -> Column:
-    """A printed period -> struct(period_from, period_to): two dates (either calendar), else month names with years.
+#: How many years before today a period with two-digit years may lie (and one after it); a numeric date,
+#: a date with a month's name, and a whole month, as periods print them.
+PERIOD_YEARS_BACK = 20
+NUMERIC_DATE = r"\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})\b"
+SPELLED_DATE = r"\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w* \d{4}"
+WHOLE_MONTH = r"(?<![\d/])\d{1,2}/\d{4}(?![\d/])"
+NAMED_YEAR_MONTH = r"(?i)(?<!\d )\b[a-z]{3} \d{4}\b"
 
-    Months stand for their first and last day.  Anything else than two dates or months is NULL.
+
+def _short_year(y: Column, now: int) -> Column:
+    """A two-digit year as the one Western or Buddhist reading near enough to ``now``; NULL if both or neither are."""
+    near = lambda full: full.between(now - PERIOD_YEARS_BACK, now + 1)
+    west, east = y + 2000, y + 2500 - BUDDHIST
+    return F.when(near(west) & ~near(east), west).when(near(east) & ~near(west), east)
+
+
+def period_dates(c: Column, today: str) -> Column:
+    """Every date of a period's text -> struct(days, refused): numeric dates in order, then those with a month's name.
+
+    Days are structs of year, month and day as printed, but for two-digit years, which are read only where one calendar fits; else
+    the whole text is refused.  Without any date, a list of whole months gives the first one's first day and the last one's last.
     """
-    found = F.regexp_extract_all(c, F.lit(r"(\d{1,2}/\d{1,2}/\d{4})"), F.lit(1))
-    named = F.regexp_extract_all(c, F.lit(r"(?i)\b([a-z]{3} \d{4})\b"), F.lit(1))
-    p = r"^(\d{1,2})/(\d{1,2})/(\d{4})\z"
-    day = lambda t: real_date(western(part(t, p, 3)), part(t, p, 2), part(t, p, 1))
+    now = int(today[:4])
     months = F.create_map(*[F.lit(x) for m in list(MONTHS)[:12] for x in (m, MONTHS[m])])
-    month = lambda t: real_date(western(part(t, r"(\d{4})\z", 1)), F.try_element_at(months, F.lower(F.left(t, F.lit(3)))), F.lit(1))
-    by_day, by_month = F.size(found) == 2, (F.size(found) == 0) & (F.size(named) >= 1)
-    return F.struct(
-        F.when(by_day, day(F.get(found, F.lit(0)))).when(by_month, month(F.get(named, F.lit(0)))).alias("period_from"),
-        F.when(by_day, day(F.get(found, F.lit(1)))).when(by_month, F.last_day(month(F.try_element_at(named, F.lit(-1))))).alias("period_to"),
-    )
+    all_of = lambda p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
+    day = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+
+    def numeric(t: Column) -> Column:
+        p = r"^(\d+)/(\d+)/(\d+)\z"
+        year = F.when(F.length(F.regexp_extract(t, p, 3)) == 2, _short_year(part(t, p, 3), now)).otherwise(part(t, p, 3))
+        return day(year, part(t, p, 2), part(t, p, 1))
+
+    def spelled(t: Column) -> Column:
+        p = r"^(\d+) (\w{3})\w* (\d{4})\z"
+        return day(part(t, p, 3), F.try_element_at(months, F.lower(F.regexp_extract(t, p, 2))), part(t, p, 1))
+
+    def ends(found: Column, year, month) -> Column:
+        a, b = F.get(found, F.lit(0)), F.try_element_at(found, F.lit(-1))
+        last = F.day(F.last_day(real_date(western(year(b)), month(b), F.lit(1))))
+        return F.array(day(year(a), month(a), F.lit(1)), day(year(b), month(b), last))
+
+    listed, named = all_of(WHOLE_MONTH), all_of(NAMED_YEAR_MONTH)
+    of_list, of_name = lambda t: part(t, r"^(\d+)/", 1), lambda t: F.try_element_at(months, F.lower(F.left(t, F.lit(3))))
+    year_of = lambda t: part(t, r"(\d{4})\z", 1)
+    dated = F.concat(F.transform(all_of(NUMERIC_DATE), numeric), F.transform(all_of(SPELLED_DATE), spelled))
+    whole = (F.size(listed) > 0) & F.forall(listed, lambda t: of_list(t).between(1, 12))
+    known = F.forall(named, lambda t: of_name(t).isNotNull()) & (F.size(named) > 0)
+    days = F.when(F.size(dated) > 0, dated).when(whole, ends(listed, year_of, of_list)).when(known, ends(named, year_of, of_name)).otherwise(F.slice(dated, 1, 0))
+    refused = F.exists(dated, lambda x: x["y"].isNull())
+    return F.struct(F.when(~refused, days).alias("days"), refused.alias("refused"))
+
+
+def period(c: Column, today: str) -> Column:
+    """A printed period -> struct(period_from, period_to, refused): its first two dates, both NULL unless both are in the calendar."""
+
+    def bounds(found: Column) -> Column:
+        at = lambda i: F.get(found["days"], F.lit(i))
+        one = lambda x: real_date(western(x["y"]), x["m"], x["d"])
+        a, b = one(at(0)), one(at(1))
+        both = a.isNotNull() & b.isNotNull()
+        return F.struct(F.when(both, a).alias("period_from"), F.when(both, b).alias("period_to"), found["refused"].alias("refused"))
+
+    return let(period_dates(c, today), bounds)

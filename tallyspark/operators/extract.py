@@ -26,6 +26,17 @@ def lines_of(words: DataFrame, reach: float = 4.0) -> DataFrame:
     return paged.join(lines, "_page").where("y between low and high").drop("_page", "low", "high")
 
 
+def without_summaries(words: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Words of pages that may hold rows: ``summaries`` (``doc, page``) are read for the header alone."""
+    return words.join(summaries.select("doc", "page").distinct(), ["doc", "page"], "left_anti")
+
+
+def line_texts(words: DataFrame, reach: float = 4.0) -> DataFrame:
+    """``doc, page, line, text``: each line's words from left to right."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "word", "text"))), lambda w: w["text"]), " ")
+    return lines_of(words, reach).groupBy("doc", "page", "line").agg(text.alias("text"))
+
+
 FIELDS = ("date", "description", "amount", "balance")
 
 

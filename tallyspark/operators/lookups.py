@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.money import let
+from ..functions.words import bare
+
 
 def legend(texts: DataFrame, pattern: str, *keys: str) -> DataFrame:
     """Code-name pairs printed in a text: ``keys, code, name``; the first definition of a code counts.
@@ -33,6 +36,39 @@ def after_mark(words: DataFrame, is_mark: Column, most_gap: float = 40.0) -> Dat
     return d.groupBy("page", "line").agg(F.array_join(ordered, " ").alias("value"))
 
 
+def heading_runs(words: DataFrame, most: int = 4) -> DataFrame:
+    """``page, word, n, text, x0``: every word, and runs of up to ``most`` touching words on its line, as bare text at the first word's place.
+
+    Words: ``page, word`` (reading order), ``x0, y0, x1, y1, text``.  The next word's centre is less than 0.3 and its gap more than -0.2
+    and less than 0.5 of the taller one's height away; of several the leftmost.  Neighbours are found by
+    cells of the page's tallest word, so that only near words meet.
+    """
+    w = words.withColumn("_h", F.col("y1") - F.col("y0")).withColumn("_yc", (F.col("y0") + F.col("y1")) / 2)
+    own = W.partitionBy("page")
+    w = w.withColumn("_cell", F.greatest(F.max("_h").over(own), F.lit(1.0))).withColumn("_i", F.row_number().over(own.orderBy("word")) - 1)
+    at = lambda c: F.floor(c / F.col("_cell"))
+    across = F.explode(F.sequence(at(F.col("x1") - 0.2 * F.col("_cell")), at(F.col("x1") + 0.5 * F.col("_cell"))))
+    down = F.explode(F.sequence(at(F.col("_yc") - 0.3 * F.col("_cell")), at(F.col("_yc") + 0.3 * F.col("_cell"))))
+    asked = w.select("page", "_i", "x1", "_yc", "_h", "_cell", across.alias("_x")).select("*", down.alias("_y"))
+    held = w.select("page", F.col("_i").alias("j"), F.col("x0").alias("nx"), F.col("_yc").alias("ny"), F.col("_h").alias("nh"), at(F.col("x0")).alias("_x"), at(F.col("_yc")).alias("_y"))
+    h, gap = F.greatest("_h", "nh"), F.col("nx") - F.col("x1")
+    touching = asked.join(held, ["page", "_x", "_y"]).where((F.col("_i") != F.col("j")) & (F.abs(F.col("ny") - F.col("_yc")) < 0.3 * h) & (gap > -0.2 * h) & (gap < 0.5 * h))
+    onward = touching.groupBy("page", "_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("nx", "j"))), lambda c: c["j"]).alias("next"))
+    each = w.join(onward, ["page", "_i"], "left").select("page", "_i", "word", "x0", bare(F.col("text")).alias("text"), F.coalesce("next", F.array().cast("array<int>")).alias("next"))
+    paged = each.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("_i", "word", "x0", "text", "next"))).alias("w"))
+
+    def grown(run: Column) -> Column:
+        free = F.filter(F.get("w", F.try_element_at(run, F.lit(-1)))["next"], lambda j: ~F.array_contains(run, j))
+        return let(free, lambda f: F.when(F.size(f) > 0, F.concat(run, F.slice(f, 1, 1))))
+
+    def runs(found: list[Column]) -> Column:
+        return let(grown(found[-1]), lambda longer: runs([*found, longer])) if len(found) < most else F.array_compact(F.array(*found))
+
+    text = lambda run: F.array_join(F.transform(run, lambda i: F.get("w", i)["text"]), "")
+    made = F.flatten(F.transform("w", lambda f: F.transform(runs([F.array(f["_i"])]), lambda r: F.struct(f["word"].alias("word"), F.size(r).alias("n"), text(r).alias("text"), f["x0"].alias("x0")))))
+    return paged.select("page", F.inline(made))
+
+
 def fit_anchors(found: DataFrame, anchors: DataFrame, near: float, least: int = 3) -> DataFrame:
     """``doc_id, scale, shift, n``: each pair of found headings proposes a scale and shift; the one that most headings agree with.
 

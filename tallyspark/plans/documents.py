@@ -62,13 +62,33 @@ def words_to_proof(spark, sf_dir):
     )
 
 
-@query("""SELECT o_orderkey AS k, make_date(year(o_orderdate), month(o_orderdate), 1) AS period_from, last_day(CAST(o_orderdate AS DATE) + 40) AS period_to FROM orders""")
+@query("""WITH d AS (SELECT o_orderkey AS k, o_orderkey % 7 AS how, CAST(o_orderdate AS DATE) + INTERVAL 20 YEAR AS a FROM orders), e AS (SELECT k, how, CAST(a AS DATE) AS a, last_day(CAST(a AS DATE) + 40) AS b FROM d)
+SELECT k, CASE WHEN how = 5 THEN NULL WHEN how = 6 AND day(a) > 28 THEN NULL WHEN how IN (1, 4) THEN make_date(year(a), month(a), 1) WHEN how = 6 THEN make_date(year(a), 2, day(a)) ELSE a END AS period_from,
+  CASE WHEN how = 5 THEN NULL WHEN how = 6 AND day(a) > 28 THEN NULL ELSE b END AS period_to, how = 5 AS refused FROM e""")
 def period_texts(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "to_date(o_orderdate) as a", "last_day(date_add(to_date(o_orderdate), 40)) as b")
-    said = F.when(
-        F.col("k") % 2 == 0, F.concat(F.lit("from "), F.date_format(F.trunc("a", "month"), "dd/MM/"), (F.year("a") + 543).cast("string"), F.lit(" to "), F.date_format("b", "dd/MM/yyyy"))
-    ).otherwise(F.concat(F.date_format("a", "MMM yyyy"), F.lit(" - "), F.date_format("b", "MMM yyyy")))
-    return d.select("k", F.inline(F.array(dates.period(said))))
+    """Numeric dates of both calendars, month names, two-digit years of both calendars, lists of months, years that nothing places, days that February lacks."""
+    said = F.expr("""element_at(array(
+      concat('from ', date_format(a, 'dd/MM/'), year(a) + 543, ' to ', date_format(b, 'd/M/yyyy')), concat(date_format(a, 'MMM yyyy'), ' - ', date_format(b, 'MMM yyyy')),
+      concat(date_format(a, 'dd/MM/yy'), ' - ', date_format(b, 'dd/MM/'), right(string(year(b) + 543), 2)), concat(date_format(a, 'd MMMM yyyy'), ' to ', date_format(b, 'dd MMM yyyy')),
+      concat(date_format(a, 'MM/yyyy'), ',', date_format(b, 'MM/yyyy')), concat(date_format(a, 'dd/MM/yyyy'), ' - ', date_format(b, 'dd/MM/'), '90'),
+      concat(day(a), '/2/', if(day(a) > 28, 2015, year(a)), ' - ', date_format(b, 'dd/MM/yyyy'))), int(k % 7 + 1))""")
+    d = table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "add_months(to_date(o_orderdate), 240) as a").withColumn("b", F.last_day(F.date_add("a", 40)))
+    return d.select("k", F.inline(F.array(dates.period(said, TODAY))))
+
+
+@query(f"""WITH l AS ({LEDGER}) SELECT stmt_id AS doc, row_number() OVER (PARTITION BY stmt_id ORDER BY seq) AS seq, CAST(day AS DATE) AS day, balance, DATE '2026-06-01' AS period_from, DATE '2026-06-30' AS period_to
+FROM l WHERE x1 IS NOT NULL OR balance IS NOT NULL""")
+def summary_pages(spark, sf_dir):
+    """Accounts with an overview page in front: its figures look like rows and give none, its period counts."""
+    words = printed_words(spark, sf_dir)
+    said = [(10, 50, 100, "05/06/2026"), (70, 95, 100, "total"), (380, 420, 100, "9.99"), (10, 30, 60, "Period"), (70, 95, 60, "01/06/2026"), (100, 140, 60, "30/06/2026")]
+    w = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("x0"), F.lit(float(b)).alias("x1"), F.lit(float(y)).alias("y"), F.lit(t).alias("text"), F.lit(i).alias("word")) for i, (a, b, y, t) in enumerate(said)]))
+    overview = words.select("doc").distinct().select("doc", F.lit(-1).cast("bigint").alias("page"), w.alias("w")).select("doc", "page", "w.*")
+    pages = words.unionByName(overview)
+    cells = extract.cells_of(extract.lines_of(extract.without_summaries(pages, overview.select("doc", "page").distinct())), COLUMNS)
+    rows = extract.transactions(cells, "Page total", 9.0, TODAY)
+    head = extract.line_texts(pages, 4.0).where("text like 'Period%'").select("doc", dates.period(F.col("text"), TODAY).alias("p"))
+    return rows.join(head, "doc").select("doc", "seq", "day", "balance", "p.period_from", "p.period_to")
 
 
 @query(f"""WITH q AS (SELECT s_suppkey AS k, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS c, s_suppkey % 4 AS how FROM supplier)

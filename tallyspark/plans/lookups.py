@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..operators import lookups
+from .. import scratch
+from ..functions.words import bare
+from ..operators import lookups, selection
+from ..sources import tables
 from .ledger import CHAIN, LEDGER, ledger
 from .queries import EVENTS, TRUST, _m, event_lines, proved, query, table, trusted  # noqa: F401
 
@@ -142,3 +146,94 @@ def check_reasons(spark, sf_dir):
 def import_rows(spark, sf_dir):
     d = lookups.import_rows(proved(spark, sf_dir).where("verified"))
     return d.withColumn("serial", F.col("serial").cast("bigint"))
+
+
+# Headings from runs of words, and the most different items
+
+PRINTED = """SELECT p_partkey // 20 AS page, p_partkey * 8 + j AS word, j, p_partkey, string_split(p_name, ' ')[j] AS text FROM part, UNNEST(range(1, 8)) AS t(j) WHERE j <= len(string_split(p_name, ' '))"""
+#: Gaps of 1 and 3.5 touch at a height of 8, those of 9 don't; every fifth part has words too low, others are of half the height.
+PLACED = f"""t AS ({PRINTED}), g AS (SELECT *, CASE (p_partkey + j) % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 3.5 ELSE 9.0 END AS gap, CASE WHEN (p_partkey + j) % 4 = 0 THEN 4.0 ELSE 8.0 END AS h,
+  20.0 * (p_partkey % 20) + CASE WHEN j % 2 = 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 3.0 ELSE 2.0 END ELSE 0.0 END AS yc FROM t),
+w AS (SELECT *, CAST(sum(5 * length(text) + gap) OVER (PARTITION BY p_partkey ORDER BY j) - 5 * length(text) - gap AS DOUBLE) AS x0,
+  CAST(sum(5 * length(text) + gap) OVER (PARTITION BY p_partkey ORDER BY j) - gap AS DOUBLE) AS x1 FROM g)"""
+NEXT = """n AS (SELECT a.page, a.word, b.word AS next, b.text AS more, row_number() OVER (PARTITION BY a.page, a.word ORDER BY b.x0, b.word) AS r FROM w a JOIN w b ON a.page = b.page AND a.word <> b.word
+  AND abs(b.yc - a.yc) < 0.3 * greatest(a.h, b.h) AND b.x0 - a.x1 > -0.2 * greatest(a.h, b.h) AND b.x0 - a.x1 < 0.5 * greatest(a.h, b.h)),
+r1 AS (SELECT page, word, word AS last, text, x0 FROM w), """ + ", ".join(
+    f"r{k} AS (SELECT r.page, r.word, n.next AS last, r.text || n.more AS text, r.x0 FROM r{k - 1} r JOIN n ON n.page = r.page AND n.word = r.last AND n.r = 1)" for k in (2, 3, 4)
+)
+
+
+@query(f"WITH {PLACED}, {NEXT} " + " UNION ALL ".join(f"SELECT page, word, {k} AS n, text, x0 FROM r{k}" for k in (1, 2, 3, 4)))
+def heading_runs(spark, sf_dir):
+    return lookups.heading_runs(placed_words(spark, sf_dir)).select("page", "word", "n", "text", "x0")
+
+
+def placed_words(spark, sf_dir):
+    """Names of parts as lines of words whose gaps, heights and places decide which of them touch."""
+    words = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("j", "text")).withColumn("j", F.col("j") + 1)
+    t = (F.col("p_partkey") + F.col("j")) % 3
+    g = words.withColumn("gap", F.when(t == 0, 1.0).when(t == 1, 3.5).otherwise(9.0)).withColumn("h", F.when((F.col("p_partkey") + F.col("j")) % 4 == 0, 4.0).otherwise(8.0))
+    low = F.when(F.col("j") % 2 == 0, F.when(F.col("p_partkey") % 5 == 0, 3.0).otherwise(2.0)).otherwise(0.0)
+    end = F.sum(5 * F.length("text") + F.col("gap")).over(W.partitionBy("p_partkey").orderBy("j")) - F.col("gap")
+    yc = 20.0 * (F.col("p_partkey") % 20) + low
+    return g.select(
+        F.floor(F.col("p_partkey") / 20).alias("page"), (F.col("p_partkey") * 8 + F.col("j")).alias("word"), (end - 5 * F.length("text")).alias("x0"), (yc - F.col("h") / 2).alias("y0"), end.alias("x1"),
+        (yc + F.col("h") / 2).alias("y1"), "text",
+    )
+
+
+@query("""WITH h AS (SELECT o_orderkey AS doc_id, 100.0 AS a FROM orders) SELECT doc_id, round(CAST(1 / (1 + doc_id % 5 * 0.1) AS DOUBLE), 6) AS scale, round(CAST(-(doc_id % 50) / (1 + doc_id % 5 * 0.1) AS DOUBLE), 6) AS shift, CAST(3 AS BIGINT) AS n FROM h WHERE doc_id % 3 <> 0""")
+def heading_fit_from_runs(spark, sf_dir):
+    """Headings that a reader has cut into pieces, put together from runs of words and fitted to their places; a third of the pages lacks a piece."""
+    names = {"วันที่": (100.0, ("วัน", "ที่")), "Withdrawal": (200.0, ("With", "drawal")), "Balance": (400.0, ("Ba", "lan", "ce"))}
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"))
+    scale, word = 1 + F.col("page") % 5 * 0.1, 0
+    pieces = []
+    for at, parts in names.values():
+        for i, part in enumerate(parts):
+            x0 = at * scale + F.col("page") % 50 + 12.0 * i
+            kept = F.lit(True) if part != "lan" else F.col("page") % 3 != 0
+            pieces.append(F.when(kept, F.struct(F.lit(word).alias("word"), x0.alias("x0"), F.lit(10.0).alias("y0"), (x0 + 11).alias("x1"), F.lit(18.0).alias("y1"), F.lit(part).alias("text"))))
+            word += 1
+    words = o.select("page", F.explode(F.filter(F.array(*pieces), lambda w: w.isNotNull())).alias("w")).select("page", "w.*")
+    anchors = spark.createDataFrame([(k, at) for k, (at, _) in names.items()], "name string, at double").select(bare(F.col("name")).alias("name"), "at")
+    found = lookups.heading_runs(words).select(F.col("page").alias("doc_id"), F.col("text").alias("name"), F.col("x0").alias("x"))
+    return lookups.fit_anchors(found, anchors, 1.5).select("doc_id", F.round("scale", 6).alias("scale"), F.round("shift", 6).alias("shift"), "n")
+
+
+def _rounds(most: int) -> str:
+    """The rounds of the selection, one table of chosen and one of remaining items each."""
+    out = ["c0 AS (SELECT label, min(vec_id) AS vec_id FROM u GROUP BY label)", "s0 AS (SELECT u.*, CAST(-2 AS DOUBLE) AS near FROM u)"]
+    for k in range(1, most):
+        out.append(f"s{k} AS (SELECT s.label, s.vec_id, s.e, greatest(s.near, list_inner_product(s.e, p.e)) AS near FROM s{k - 1} s JOIN c{k - 1} c ON s.label = c.label JOIN u p ON p.label = c.label AND p.vec_id = c.vec_id WHERE s.vec_id <> c.vec_id)")
+        out.append(f"c{k} AS (SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY near, vec_id) AS r FROM s{k}) WHERE r = 1)")
+    return ", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in out)
+
+
+@query(
+    f"""WITH m AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+d AS (SELECT label, vec_id, list_transform(v, lambda x: x - list_avg(v)) AS v FROM m), u AS MATERIALIZED (SELECT label, vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS e FROM d WHERE list_inner_product(v, v) > 0), {_rounds(12)} """
+    + " UNION ALL ".join(f"SELECT label, {k} AS rank, vec_id FROM c{k}" for k in range(12))
+)
+def most_different(spark, sf_dir):
+    """The twelve vectors of each label that are most unlike, over all their components."""
+    return selection.farthest_first(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 12)
+
+
+OWN = """SELECT s_suppkey AS k, 'f' || s_suppkey || '.csv' AS file, CASE s_suppkey % 5 WHEN 0 THEN 'Date,Withdrawal,Deposit,Balance,Check' || chr(10) || '01/06/2026,1.00,,' || s_acctbal || ',OK'
+  WHEN 1 THEN 'Cheque,Date,Deposit,Balance,Check' || chr(10) || '7,01/06/2026,1.00,2.00,' || s_suppkey WHEN 2 THEN s_name || chr(10) || 'The rule every row is tested against' WHEN 3 THEN 'รูป,สถานะ,เหตุผล' || chr(10) || '1,x,' || s_name
+  ELSE 'Date,Balance' || chr(10) || '01/06/2026,' || s_acctbal END AS said FROM supplier"""
+
+
+@query(f"""WITH f AS ({OWN}) SELECT CASE WHEN k % 7 = 0 THEN replace(file, '.csv', '.xlsx') ELSE file END AS file, CASE WHEN k % 14 = 0 THEN 'locked with a password' WHEN k % 7 = 0 THEN 'the old binary spreadsheet kind isn''t read' WHEN k % 5 IN (0, 2) THEN 'this tool''s own file: own-review-file' WHEN k % 5 = 3 THEN 'this tool''s own file: own-picture-file' END AS error,
+  CASE WHEN k % 7 = 0 OR k % 5 IN (0, 2, 3) THEN 0 ELSE len(string_split(replace(said, chr(10), ','), ',')) END AS cells FROM f""")
+def refused_files(spark, sf_dir):
+    """Files as they come: a bank's own tables are read, while locked and old workbooks and this tool's own outputs are refused with the reason."""
+    f = spark.sql(OWN.replace("FROM supplier", "FROM {supplier}").replace("chr(10)", "char(10)"), supplier=table(spark, sf_dir, "supplier"))
+    head = F.lit(bytes.fromhex("d0cf11e0a1b11ae1"))
+    stream = F.when(F.col("k") % 14 == 0, F.lit("EncryptionInfo".encode("utf-16-le"))).otherwise(F.lit(b""))
+    binary = F.concat(head, F.encode(F.repeat("file", 100), "UTF-8"), stream)
+    content = F.when(F.col("k") % 7 == 0, binary).otherwise(F.encode("said", "UTF-8"))
+    files = f.select(F.when(F.col("k") % 7 == 0, F.replace("file", F.lit(".csv"), F.lit(".xlsx"))).otherwise(F.col("file")).alias("path"), F.octet_length(content).cast("bigint").alias("length"), content.alias("content"))
+    found = tables.without_own_files(scratch.kept(tables.cells(files), "cells"))
+    return found.groupBy("file").agg(F.max("error").alias("error"), F.count("row").alias("cells"))

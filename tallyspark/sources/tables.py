@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import kept
+
 CELLS = "file string, sheet string, row int, col int, s string, n double, error string"
 
 
@@ -80,10 +82,22 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+#: How a compound file begins, and the stream that an encrypted workbook has in it.
+COMPOUND = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+ENCRYPTION = "EncryptionInfo".encode("utf-16-le")
+
+
+def locked(content: bytes) -> bool:
+    """A workbook behind a password is a compound file that says how it is encrypted."""
+    return len(content) >= 512 and content.startswith(COMPOUND) and ENCRYPTION in content
+
+
 def workbook(content: bytes, limits: Limits = Limits()) -> dict[str, list[list]]:
     """An XLSX workbook's sheets in order: shared and inline strings, booleans as text, numbers."""
-    if content[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-        raise Refused("locked, or of the old binary kind")
+    if locked(content):
+        raise Refused("locked with a password")
+    if content[:8] == COMPOUND:
+        raise Refused("the old binary spreadsheet kind isn't read")
     try:
         parts = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as e:
@@ -147,7 +161,9 @@ def read_one(path: str, content: bytes, limits: Limits) -> dict[str, list[list]]
         return workbook(content, limits)
     if end in ("htm", "html") or end == "xls" and re.match(rb"\s*(?:\xef\xbb\xbf)?\s*<", content):
         return html_tables(content)
-    if end == "xls" and content[:4] == b"\xd0\xcf\x11\xe0":
+    if locked(content):
+        raise Refused("locked with a password")
+    if end == "xls" and content.startswith(COMPOUND[:4]):
         raise Refused("the old binary spreadsheet kind isn't read")
     if end in ("csv", "txt", "tsv", "xls"):
         return delimited(content)
@@ -182,9 +198,24 @@ def cells(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return read.unionByName(large.select(F.col("path").alias("file"), *gap, too_large))
 
 
+def without_own_files(found: DataFrame) -> DataFrame:
+    """``cells`` with this tool's own outputs refused: such a file's cells become one row with the reason.
+
+    A review workbook holds lines that were held back, which must not come in again as a bank's.
+    """
+    from ..operators.pages import own_file_kind
+
+    kinds = own_file_kind(found.where("error is null").withColumn("text", F.coalesce("s", F.col("n").cast("string"))))
+    d = found.join(kinds, "file", "left")
+    gone = [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in CELLS.split(", ")[1:-1])]
+    refused = kinds.select("file", *gone, F.concat(F.lit("this tool's own file: "), "kind").alias("error"))
+    return d.where("kind is null").select(*found.columns).unionByName(refused)
+
+
 def read_tables(spark: SparkSession, path: str, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Cells and refusals of all files under ``path``."""
-    all_ = cells(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), limits)
+    read = kept(cells(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), limits), "cells")
+    all_ = without_own_files(read)
     return all_.where("error is null").drop("error"), all_.where("error is not null").select("file", "error")
 
 

@@ -2,10 +2,12 @@
 
 from datetime import date
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates
-from tallyspark.operators import chain, extract, lookups
+from tallyspark.operators import chain, extract, lookups, selection
+from tallyspark.sources import tables
 
 
 def test_legend_first_definition_counts_and_fills_blanks(spark):
@@ -70,7 +72,57 @@ def test_words_to_a_proved_statement(spark):
 
 
 def test_periods(spark):
-    cases = ["01/10/2568 - 30/09/2569", "Jan 2026 - Mar 2026", "Feb 2024", "31/02/2026 to 01/03/2026", "nothing", None]
-    d = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", dates.period(F.col("c")).alias("p")).orderBy("i")
-    got = [(r.p.period_from and str(r.p.period_from), r.p.period_to and str(r.p.period_to)) for r in d.collect()]
-    assert got == [("2025-10-01", "2026-09-30"), ("2026-01-01", "2026-03-31"), ("2024-02-01", "2024-02-29"), (None, "2026-03-01"), (None, None), (None, None)]
+    cases = {
+        "01/10/2568 - 30/09/2569": ("2025-10-01", "2026-09-30"), "Jan 2026 - Mar 2026": ("2026-01-01", "2026-03-31"), "Feb 2024": ("2024-02-01", "2024-02-29"),
+        "31/02/2026 to 01/03/2026": None, "nothing": None, None: None, "": None, "01/06/26 - 30/06/69": ("2026-06-01", "2026-06-30"), "01/06/2026": None,
+        "1/6/06 to 2/6/06": ("2006-06-01", "2006-06-02"), "1/6/05 to 2/6/2006": "refused", "01/06/30 - 30/06/30": "refused", "01/06/71": "refused", "1/6/27 - 1/7/27": ("2027-06-01", "2027-07-01"), "1/6/28 - 1/7/28": "refused",
+        "01 Sep 2026 - 3 October 2026": ("2026-09-01", "2026-10-03"), "01 sep 2026": None, "04/2026,05/2026,06/2026": ("2026-04-01", "2026-06-30"), "02/2568": ("2025-02-01", "2025-02-28"), "13/2026,01/2026": None,
+        "05/2026 and 01/06/2026 02/06/2026 03/06/2026": ("2026-06-01", "2026-06-02"), "02/06/2026 to 01 May 2026": ("2026-06-02", "2026-05-01"), "Foo 2026 - Mar 2026": None,
+    }
+    d = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", dates.period(F.col("c"), "2026-10-02").alias("p")).orderBy("i")
+    got = ["refused" if r.p.refused else (str(r.p.period_from), str(r.p.period_to)) if r.p.period_from else None for r in d.collect()]
+    assert got == list(cases.values())
+
+
+def test_runs_of_touching_words(spark):
+    # A heading in four pieces, a word too far, one too low, a flat piece beside a tall one, two words on one place.
+    said = [(0, 10, 0, 8, "ยอด"), (11, 14, 0, 8, "ค"), (15, 20, 5, 8, "ง"), (21, 40, 0, 8, "เหลือ"), (41, 50, 0, 8, "Paid"), (56, 60, 0, 8, "far"), (61, 70, 3, 11, "low"), (100, 110, 0, 8, "A"), (100, 110, 0, 8, "B"), (111, 120, 0, 8, "C D")]
+    d = spark.createDataFrame([("p", i, float(x0), float(y0), float(x1), float(y1), t) for i, (x0, x1, y0, y1, t) in enumerate(said)] + [("q", 0, 1.0, 1.0, 1.0, 1.0, None)], "page string, word int, x0 double, y0 double, x1 double, y1 double, text string")
+    got = {(r.page, r.word, r.n): r.text for r in lookups.heading_runs(d).collect()}
+    assert got[("p", 0, 1)] == "ยอด" and got[("p", 0, 2)] == "ยอดค" and got[("p", 1, 1)] == "ค" and ("p", 5, 2) not in got and got[("p", 7, 2)] == "AC D".replace(" ", "") and got[("p", 8, 2)] == "BCD"
+    assert got[("p", 3, 2)] == "เหลอPaid" and ("p", 3, 3) not in got and ("q", 0, 1) in got
+    assert len([k for k in got if k[0] == "p" and k[2] == 1]) == len(said) and lookups.heading_runs(d.limit(0)).collect() == []
+
+
+def brute_farthest(items, most):
+    units = []
+    for order, v in items:
+        a = np.array(v) - np.mean(v)
+        if np.linalg.norm(a) > 0:
+            units.append((order, a / np.linalg.norm(a)))
+    units.sort(key=lambda x: x[0])
+    kept = units[:1]
+    while units and len(kept) < min(most, len(units)):
+        rest = [u for u in units if all(u is not k for k in kept)]
+        kept.append(min(rest, key=lambda u: (round(max(float(u[1] @ k[1]) for k in kept), 12), u[0])))
+    return [u[0] for u in kept]
+
+
+def test_the_most_different_items(spark):
+    rng = np.random.default_rng(4)
+    groups = {"a": [(i, rng.normal(size=6).tolist()) for i in range(40)], "b": [(i, rng.normal(size=6).tolist()) for i in range(3)], "one": [(5, [1.0, 2.0, 3.0, 1.0, 1.0, 1.0])], "flat": [(1, [2.0] * 6)]}
+    rows = [(k, i, v) for k, items in groups.items() for i, v in items] + [("b", 9, None), ("b", 10, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (None, 1, [1.0, 2.0, 0.0, 0.0, 0.0, 0.0]), ("b", 11, [])]
+    got = selection.farthest_first(spark.createDataFrame(rows, "k string, i int, v array<double>"), "k", "i", "v", 5).collect()
+    assert {k: [r.i for r in sorted(got, key=lambda r: r.rank) if r.k == k] for k in groups} == {k: brute_farthest(items, 5) for k, items in groups.items()}
+    assert selection.farthest_first(spark.createDataFrame([], "k string, i int, v array<double>"), "k", "i", "v").collect() == []
+
+
+def test_own_and_locked_files_are_refused(spark):
+    shut = tables.COMPOUND + b"x" * 600 + tables.ENCRYPTION
+    files = {"own.csv": b"Date,Withdrawal,Deposit,Balance,Check\n1,2,3,4,OK", "bank.csv": b"Date,Withdrawal,Deposit,Balance,Check\n1,2,3,4,55", "shut.xlsx": shut, "shut.xls": shut, "short.xls": tables.COMPOUND + tables.ENCRYPTION, "none.csv": b"", "no.pdf": b"1"}
+    d = spark.createDataFrame([(k, len(v), bytearray(v)) for k, v in files.items()], "path string, length bigint, content binary")
+    found = tables.without_own_files(tables.cells(d))
+    assert {r.file: r.error for r in found.where("error is not null").collect()} == {
+        "own.csv": "this tool's own file: own-review-file", "shut.xlsx": "locked with a password", "shut.xls": "locked with a password", "short.xls": "the old binary spreadsheet kind isn't read", "no.pdf": "not a table file",
+    }
+    assert {r.file for r in found.where("error is null").collect()} == {"bank.csv"}
