@@ -190,13 +190,30 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+#: Words by which sites name their parts; the made pages draw class and id names from them.
+PART_NAMES = {
+    "menu": "nav menu navbar navigation breadcrumb breadcrumbs topnav mainmenu links toolbar pagination pager tabs skip",
+    "header": "header masthead top logo branding site title banner hero topbar",
+    "footer": "footer foot bottom copyright legal colophon imprint credits",
+    "aside": "sidebar side aside widget rail related more recommended popular trending teaser latest tags categories archive column secondary",
+    "notice": "notice cookie cookies consent gdpr alert popup modal overlay message warning paywall privacy disclaimer toast info",
+    "advert": "ad ads advert advertisement sponsor sponsored promo promotion banner outbrain taboola adsense commercial partner offer",
+    "form": "form search login signup subscribe newsletter contact register signin mailing feedback field input",
+    "comments": "comment comments reply replies discussion disqus respond thread reactions feedback user community",
+    "share": "share social sharing follow buttons facebook twitter print tools meta",
+    "content": "content article post entry story main body text page single blog news document container wrapper hentry primary",
+}
+#: A block with none of these words (or with a generated name only) is bare, which tells too.
+PARTS = frozenset(" ".join(PART_NAMES.values()).split()) | {"#hidden"}
+
+
 def marks_of(node: Node) -> list[str]:
     """What the node's own potential depends on."""
     if node.leaf:
         n = len(node.text)
         share = 4 * node.links // max(1, n)
         return [f"length {min(9, max(5, n.bit_length()))}", f"links {share}", f"sign {'©' in node.text}"]
-    return [f"word {w}" for w in node.words]
+    return [f"word {w}" for w in node.words] + ([] if PARTS.intersection(node.words) else [f"bare {node.tag}"])
 
 
 def edge_of(node: Node, parent: Node) -> str:
@@ -243,21 +260,6 @@ def main_text(page: str, model: Model) -> str:
     return "\n\n".join(n.text for n, c in zip(nodes, chance, strict=True) if n.leaf and c > 0.5)
 
 
-#: Words by which sites name their parts; the made pages draw class and id names from them.
-PART_NAMES = {
-    "menu": "nav menu navbar navigation breadcrumb breadcrumbs topnav mainmenu links toolbar pagination pager tabs skip",
-    "header": "header masthead top logo branding site title banner hero topbar",
-    "footer": "footer foot bottom copyright legal colophon imprint credits",
-    "aside": "sidebar side aside widget rail related more recommended popular trending teaser latest tags categories archive column secondary",
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay message warning paywall privacy disclaimer toast info",
-    "advert": "ad ads advert advertisement sponsor sponsored promo promotion banner outbrain taboola adsense commercial partner offer",
-    "form": "form search login signup subscribe newsletter contact register signin mailing feedback field input",
-    "comments": "comment comments reply replies discussion disqus respond thread reactions feedback user community",
-    "share": "share social sharing follow buttons facebook twitter print tools meta",
-    "content": "content article post entry story main body text page single blog news document container wrapper hentry primary",
-}
-
-
 def made_page(seed: int) -> tuple[str, set[str]]:
     """A labelled page: its HTML, and the texts of it that are main text (all its texts differ)."""
     r = random.Random(seed)
@@ -273,18 +275,21 @@ def made_page(seed: int) -> tuple[str, set[str]]:
 
     def named(tag: str, part: str, chance: float = 0.75) -> str:
         if r.random() > chance:
-            return f"<{tag}>"
+            # Without a name, or with one that a style sheet's compiler has made and that tells nothing.
+            return r.choice([f"<{tag}>", f'<{tag} class="{r.choice(["css", "sc", "jsx", "_"])}-{r.getrandbits(28):x}">'])
         name = r.choice(["-", " ", "_"]).join(r.sample(PART_NAMES[part].split(), r.randint(1, 2)))
         return f'<{tag} {r.choice(["class", "class", "id"])}="{name}">'
 
     def menu() -> str:
         items = "".join(f'<li><a href="/{k}">{words(1, 3)}</a></li>' for k in range(r.randint(3, 9)))
         tag = r.choice(["nav", "nav", "div", "header"])
-        return f"{named(tag, 'menu', 0.5 if tag == 'nav' else 1)}<ul>{items}</ul></{tag}>"
+        return f"{named(tag, 'menu', 0.5 if tag == 'nav' else 0.9)}<ul>{items}</ul></{tag}>"
 
     def small(part: str, tags: list[str], low: int, high: int) -> str:
         tag = r.choice(tags)
         inner = r.choice([words(low, high), f"<p>{words(low, high)}</p>", f"<span>{words(low, high)}</span>", f'<p><a href="#">{words(low, high)}</a></p>', f"<h3>{words(1, 4)}</h3><p>{words(low, high)}</p>"])
+        if part == "header" and r.random() < 0.4:
+            inner = f"<h1>{words(1, 5)}</h1>" + r.choice(["", f"<p>{words(1, 8)}</p>"])
         return f"{named(tag, part, 0.4 if tag == part or tag in ('aside', 'footer', 'form') else 1)}{inner}</{tag}>"
 
     def side() -> str:
@@ -317,11 +322,13 @@ def made_page(seed: int) -> tuple[str, set[str]]:
         return wanted[-1]
 
     def article() -> str:
-        parts = [f"<{(h := r.choice(['h1', 'h1', 'h2']))}>{own(2, 12)}</{h}>"]
+        head = f"<{(h := r.choice(['h1', 'h1', 'h2']))}>{own(2, 12)}</{h}>"
+        parts: list[str] = []
+        block = r.choice(["p"] * 7 + ["div"] * 3)
         for _ in range(r.randint(1, 14)):
             kind = r.random()
             if kind < 0.6:
-                parts.append(f"<p>{own(*r.choice([(1, 3), (4, 20), (20, 120), (20, 120)]))}" + r.choice(["</p>", "</p>", "</p>", ""]))
+                parts.append(f"<{block}>{own(*r.choice([(1, 3), (4, 20), (20, 120), (20, 120)]))}" + (r.choice(["</p>", "</p>", "</p>", ""]) if block == "p" else "</div>"))
             elif kind < 0.68:
                 parts.append(f"<p><b>{own(1, 30)}<br>")
             elif kind < 0.76:
@@ -343,8 +350,18 @@ def made_page(seed: int) -> tuple[str, set[str]]:
                 parts.append(small("share", ["div", "ul"], 1, 4))
             else:
                 parts.append(hidden())
-        tag = r.choice(["article", "article", "article", "div", "main", "section"])
-        return f"{named(tag, 'content', 0.4 if tag in ('article', 'main') else 1)}{''.join(parts)}</{tag}>"
+        # The heading in a header of its own, the text in a section; the whole in what a page may use, named or not, or in nothing.
+        if r.random() < 0.25:
+            head = f"{named('header', 'content', 0.3)}{head}{r.choice(['', f'<p>{own(2, 8)}</p>'])}</header>"
+        inside = "".join(parts)
+        if r.random() < 0.25:
+            tag = r.choice(["section", "div"])
+            inside = f"{named(tag, 'content', 0.3)}{inside}</{tag}>"
+        layers = r.choice([0, 0, 1, 1, 1, 1, 2, 3])
+        for _ in range(layers):
+            tag = r.choice(["article", "article", "div", "div", "div", "main", "section"])
+            head, inside = "", f"{named(tag, 'content', 0.4 if tag in ('article', 'main') else 0.6)}{head}{inside}</{tag}>"
+        return head + inside
 
     before = [x for x, p in ((small("header", ["header", "header", "div"], 1, 8), 0.5), (menu(), 0.85), (small("notice", ["div", "section", "aside"], 3, 30), 0.35), (small("advert", ["div", "aside", "section"], 2, 16), 0.6), (form(), 0.2)) if r.random() < p]
     after = [x for x, p in ((small("advert", ["div", "aside"], 2, 16), 0.3), (comments(), 0.4), (side(), 0.45), (form(), 0.25), (small("share", ["div"], 1, 6), 0.2), (small("notice", ["div"], 3, 25), 0.15)) if r.random() < p]
@@ -359,6 +376,9 @@ def made_page(seed: int) -> tuple[str, set[str]]:
     before += [hidden()] if r.random() < 0.3 else []
     after += [hidden()] if r.random() < 0.3 else []
     body = "".join([*before, inner, *after, *foot])
+    if r.random() < 0.3:  # all of a page in one or two blocks, as applications draw it
+        for _ in range(r.randint(1, 2)):
+            body = r.choice(['<div id="root">', '<div id="app">', named("div", "content", 0.3)]) + body + "</div>"
     return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title></head><body>{body}" + r.choice(["</body></html>", "", "</body></html>"]), {" ".join(w.split()) for w in wanted}
 
 
@@ -393,8 +413,11 @@ def train(spark: SparkSession, pages: int = 600) -> Model:
     for key, (no, yes) in n.items():
         if key.startswith("own "):
             mark = key[4:]
-            # Words and shapes come several to a node, so each counts less.
+            # Words and shapes come several to a node, so each counts less.  Without a name, a block is compared with those of its tag.
             all_no, all_yes = n["all" if mark.startswith("word ") else "all leaf"]
+            if mark.startswith("bare "):
+                of_tag = [n.get(f"edge {parent} {mark[5:]}", (0, 0)) for parent in (0, 1)]
+                all_no, all_yes = (sum(t[i] for t in of_tag) for i in (0, 1))
             marks[mark] = 0.7 * (log((yes + 0.5) / (all_yes + 1)) - log((no + 0.5) / (all_no + 1)))
 
     def table(kind: str) -> tuple[float, float, float, float]:

@@ -326,6 +326,39 @@ def test_html_cases(spark, html_model):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string"), html_model).collect() == []
 
 
+LONG = "Lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor invidunt ut labore et dolore magna aliquyam erat sed diam voluptua at vero."
+P = f"<p>{LONG}</p>"
+#: Pages written by hand (not by the rule that the model learns from), and their whole article.
+HAND_MADE = {
+    "no container": (f"<body><h1>T</h1>{P}{P}</body>", ["T", LONG, LONG]),
+    "generated names": (f"<body><div class=css-1ab2c><div><h1>T</h1><div>{LONG}</div><div>{LONG}</div></div></div></body>", ["T", LONG, LONG]),
+    "paragraphs and blocks": (f"<body><div class=css-1ab2c><div><h1>T</h1><div>{LONG}</div>{P}</div></div></body>", ["T", LONG, LONG]),
+    "header of the site": (f"<body><header><h1>Site</h1></header>{P}{P}</body>", [LONG, LONG]),
+    "header of the article": (f"<article><header><h1>T</h1></header><section>{P}{P}</section></article>", ["T", LONG, LONG]),
+    "application": (
+        f'<body><div id="root"><div class="sc-9f"><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></div><div class="x1y"><h1>The title of it</h1><p>Short.</p>{P}{P}</div><div class="sc-8">&copy; 2026 Firm</div></div></body>',
+        ["The title of it", "Short.", LONG, LONG],
+    ),
+    "no heading": (f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><div>{P}{P}{P}</div><footer>Imprint</footer></body>", [LONG] * 3),
+    "sections": (
+        f"<body><header><a href=/>Site</a></header><main><section><h2>Part one</h2>{P}</section><section><h2>Part two</h2>{P}<ul><li>One point</li><li>Another point</li></ul></section></main><aside><h3>More</h3><ul><li><a href=x>a link</a></li></ul></aside></body>",
+        ["Part one", LONG, "Part two", LONG, "One point", "Another point"],
+    ),
+    "layout by table": (f"<table><tr><td><ul><li><a href=x>Menu</a></li><li><a href=y>Other</a></li></ul></td><td><h1>Old page</h1>{P}{P}</td></tr></table>", ["Old page", LONG, LONG]),
+    "comments below": (f"<body><h1>Big news today</h1>{P}{P}<div id=comments><h3>2 comments</h3><div class=comment><b>Al</b><p>Nice one, thanks a lot for it.</p></div></div></body>", ["Big news today", LONG, LONG]),
+    "line breaks": (f"<body><div class=post><h2>Title here</h2>{LONG}<br><br>{LONG}</div></body>", ["Title here", f"{LONG} {LONG}"]),
+    "deep": (f"<div><div><div><article><div><h1>Deep title</h1><div>{P}</div><div>{P}</div></div></article></div></div></div>", ["Deep title", LONG, LONG]),
+    "only paragraphs": (P + P, [LONG, LONG]),
+    "consent": (f'<body><div class="cookie-banner"><p>We use cookies to improve your visit. Read our policy.</p><button>OK</button></div><h1>A fine day</h1>{P}<p>End.</p></body>', ["A fine day", LONG, "End."]),
+}
+
+
+@pytest.mark.parametrize("name", HAND_MADE)
+def test_html_whole_articles_of_pages_by_hand(html_model, name):
+    page, article = HAND_MADE[name]
+    assert html_text.main_text(page, html_model) == "\n\n".join(article)
+
+
 def test_html_parser_is_linear_and_keeps_references_apart():
     import time
 
