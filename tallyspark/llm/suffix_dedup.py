@@ -17,7 +17,7 @@ repeated string covers is removed.  Buckets hold the starts of strings that agre
 A bucket with more than ``crowd`` distinct runs isn't sent to one task: its strings are counted as rows by their
 128-bit digests, combined before the shuffle, which gives the same result.  Texts are cut into pieces of ``PIECE`` starts,
 which only ends runs early.  Texts are told apart by 128 bits of their SHA-256, and copies of a text are shuffled once, so
-a text that half of the rows hold makes no hot key.
+a text that half of the rows hold makes no hot key; runs of one bucket are dealt over several parts.
 
 Nulls: a null text is empty; a null id stays.  Empty texts and texts shorter than ``width``: nothing is removed.  Repeated
 rows: both lose all strings of ``width`` bytes, as each repeats in the other.  Matches never cross texts.  Very long texts: pieces.
@@ -39,6 +39,8 @@ from .common import keep, text_or_empty
 
 GRAM = 32
 PIECE = 1 << 20
+#: Parts that a bucket's runs are dealt over where they are joined with what is known of the bucket.
+SALTS = 16
 #: Contexts that a task refines together.
 BLOCK = 1000
 RUN = "k1 long, k2 long, start long, length int, gram long, d1 long, d2 long"
@@ -271,7 +273,10 @@ def remove_repeats(docs: DataFrame, *, width: int = 200, crowd: int = 20000) ->
     # A bucket's runs: one, several that are equal, or several of which some differ.
     least = [F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2")]
     buckets = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), *least).where("times > 1")
-    met = keep(runs.join(buckets.select("gram", (F.expr("a1 <> b1 or a2 <> b2")).alias("mixed")), "gram"), "runs")
+    # The runs of a bucket are dealt over SALTS parts, as one passage may be in a third of all texts.
+    salted = buckets.select("gram", F.expr("a1 <> b1 or a2 <> b2").alias("mixed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = runs.withColumn("salt", F.pmod(F.xxhash64("k1", "start"), F.lit(SALTS)).cast("int"))
+    met = keep(dealt.join(salted, ["gram", "salt"]).drop("salt"), "runs")
     mixed = met.where("mixed")
     spot = F.struct("k1", "k2", "start", "length", "gram")
     distinct = mixed.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(spot).alias("spot"))
