@@ -31,7 +31,7 @@ def mean_clusters(points: DataFrame, key: str, value: str, reach: float) -> Data
         at, cluster, n, total, low, high, begun = None, 0, 0, 0.0, 0.0, 0.0, False
 
         def rows_of(closed: list[tuple], keys: pa.DataType) -> pa.RecordBatch:
-            kinds = [keys, pa.int64(), pa.int64(), *[pa.float64()] * 3]
+            kinds = [keys, pa.int32(), pa.int64(), *[pa.float64()] * 3]
             return pa.RecordBatch.from_arrays([pa.array([c[i] for c in closed], t) for i, t in enumerate(kinds)], names)
 
         for batch in batches:
@@ -48,7 +48,7 @@ def mean_clusters(points: DataFrame, key: str, value: str, reach: float) -> Data
         if begun:
             yield rows_of([(at, cluster, n, total / n, low, high)], keys)
 
-    schema = StructType([values.schema[key], *StructType.fromDDL("cluster bigint, n bigint, mean double, low double, high double")])
+    schema = StructType([values.schema[key], *StructType.fromDDL("cluster int, n bigint, mean double, low double, high double")])
     return values.where("v is not null").repartition(key).sortWithinPartitions(key, "v").mapInArrow(fold, schema)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from ..functions.dates import date_cell
 from ..functions.money import let, money_cell
 from ..functions.text import squash
+from ..scratch import kept as written
 from .statements import lines_statement, table_zero_lines
 from .trust import newest_first
 
@@ -130,15 +131,15 @@ def table_statement(rows: DataFrame, today: str) -> DataFrame:
     Rows get their kinds, a file's own totals at its foot go, the first balance brought forward opens the statement, files that run newest
     first are turned round, lines that move nothing are left out, and the balance proves the rest.  Files follow one another by number.
     """
-    classified = table_rows(rows, today)
-    lines = table_lines(classified)
+    classified = written(table_rows(rows, today), "classified")
+    lines = written(table_lines(classified), "lines")
     lines = lines.join(foot_totals(lines).select("set_id", "file_no", "row"), ["set_id", "file_no", "row"], "left_anti")
     opened = classified.where("kind = 'brought_forward'").groupBy("set_id").agg(F.min_by("balance", F.struct("file_no", "row")).alias("stated_opening"))
     own = W.partitionBy("stmt_id")
     d = lines.join(opened, "set_id", "left").withColumnRenamed("set_id", "stmt_id").withColumn("seq", F.row_number().over(own.orderBy("file_no", "row")).cast("long"))
     turned = newest_first(d.select("stmt_id", "seq", "day", "amount", "balance")).select("stmt_id", "newest_first")
     place = F.when(F.col("newest_first"), -F.col("seq")).otherwise(F.col("seq"))
-    d = d.join(turned, "stmt_id").withColumn("seq", F.row_number().over(own.orderBy(place)).cast("long")).drop("newest_first")
+    d = written(d.join(turned, "stmt_id").withColumn("seq", F.row_number().over(own.orderBy(place)).cast("long")).drop("newest_first"), "ordered")
     undated = F.when(F.col("day").isNull(), "no date")
     idle = table_zero_lines(d.select("stmt_id", "seq", "day", "amount", "balance", F.col("stated_opening").alias("opening"), undated.alias("date_note")))
     return lines_statement(d.join(idle.select("stmt_id", "seq"), ["stmt_id", "seq"], "left_anti"))

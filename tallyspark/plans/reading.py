@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extract, reading
+from ..operators import daily, extract, reading, review
+from ..sinks import workbooks
+from ..sources import tables
 from . import unlisted
 from .ledger import LEDGER
 from .lookups import PRINTED, placed_words
-from .queries import query, table
+from .queries import DAILY, ORACLES, event_rows, query, table
 
 #: Thai words and months that pages are printed with: by a row's key, so that all lengths and marks come up.
 WORDS = ("ยอดคงเหลือ", "วันที่", "ถอนเงิน", "ฝาก", "ค่าธรรมเนียม", "ที่", "น้ำ")
@@ -80,3 +82,40 @@ def free_readings(spark, sf_dir):
     """The symbol that fits best, whatever the shape of a figure asks for."""
     symbols = F.array(*[F.lit(str(i)) for i in range(10)])
     return table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", reading.free_reading(F.slice("embedding", 1, 10), symbols).alias("symbol"))
+
+
+#: The review workbooks' cells in SQL: each sheet's lines numbered, each cell under its column.
+SERIAL = "CAST({0} - DATE '1899-12-30' AS DOUBLE)"
+BOOK = f"""{DAILY}, tv AS (SELECT *, event_type IN ('purchase', 'error') AS out, CASE WHEN seq % 4 <> 0 THEN seq * 100 END AS balance, row_number() OVER (PARTITION BY stmt_id ORDER BY seq) AS idx FROM v),
+ac AS (SELECT stmt_id, count(*) AS n, max(seq) * 100 AS closing, count(*) FILTER (seq % 9 <> 0) AS proved FROM v GROUP BY stmt_id),
+dd AS (SELECT *, row_number() OVER (PARTITION BY stmt_id ORDER BY day) AS idx FROM ({ORACLES["daily_densify"].replace("WITH " + DAILY + ", cal", "WITH cal", 1)})),
+ds AS (SELECT stmt_id, count(*) AS days, count(*) FILTER (n > 0) AS active, sum(n) AS n, sum(withdrawn) AS withdrawn, sum(deposited) AS deposited FROM dd GROUP BY stmt_id),
+cl AS (
+  SELECT stmt_id, 'Transactions' AS sheet, idx + 1 AS row, unnest([{SERIAL.format("day")}, NULL, CASE WHEN out THEN cents / 100.0::DOUBLE END, CASE WHEN NOT out THEN cents / 100.0::DOUBLE END, balance / 100.0::DOUBLE, NULL]) AS n,
+    unnest([NULL, event_type, NULL, NULL, NULL, CASE WHEN seq % 9 <> 0 THEN 'OK' ELSE 'no. ' || seq END]) AS s, unnest([0, 2, 3, 4, 5, 8]) AS col FROM tv
+  UNION ALL SELECT stmt_id, 'Transactions', 1, unnest([{SERIAL.format("DATE '2024-01-01'")}, NULL, 0]), unnest([NULL, 'Opening balance', NULL]), unnest([0, 2, 5]) FROM ac
+  UNION ALL SELECT stmt_id, 'Transactions', n + 2, unnest([{SERIAL.format("DATE '2024-01-31'")}, NULL, closing / 100.0::DOUBLE]), unnest([NULL, 'Closing balance', NULL]), unnest([0, 2, 5]) FROM ac
+  UNION ALL SELECT stmt_id, 'Daily', idx, unnest([{SERIAL.format("day")}, n, withdrawn / 100.0::DOUBLE, deposited / 100.0::DOUBLE, (deposited - withdrawn) / 100.0::DOUBLE, balance / 100.0::DOUBLE, NULL]),
+    unnest([NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN n > 0 AND flagged > 0 THEN flagged || ' row(s) flagged' WHEN n > 0 THEN 'OK' END]), unnest([0, 1, 2, 3, 4, 5, 6]) FROM dd
+  UNION ALL SELECT ds.stmt_id, 'Daily', ds.days + 1, unnest([NULL, ds.n, withdrawn / 100.0::DOUBLE, deposited / 100.0::DOUBLE, (deposited - withdrawn) / 100.0::DOUBLE, closing / 100.0::DOUBLE]), unnest([days || ' days, ' || active || ' active', NULL, NULL, NULL, NULL, NULL]), unnest([0, 1, 2, 3, 4, 5]) FROM ds JOIN ac USING (stmt_id)
+  UNION ALL SELECT stmt_id, 'Proof', unnest([1, 3, 4, 5, 6, 7, 8, 9, 12]), NULL, unnest(['How this file was checked', 'user' || stmt_id || '.pdf', 'Bank ' || stmt_id % 3, 'User ' || stmt_id, '(not read)', '(not read)', '01/01/2024 to 31/01/2024', CAST(n AS VARCHAR), proved || ' of ' || n || ' rows verified']), unnest([0, 2, 2, 2, 2, 2, 2, 2, 2]) FROM ac)"""
+
+
+@query(f"""WITH {BOOK}, r AS (SELECT stmt_id, CASE WHEN sheet = 'Proof' AND stmt_id % 3 <> 0 THEN row - 1 ELSE row END AS row, sheet, col, n, s FROM cl WHERE n IS NOT NULL OR s IS NOT NULL)
+SELECT stmt_id, sheet, row, col, n, s FROM r""")
+def review_cells(spark, sf_dir):
+    """All three sheets of each account's review workbook, made by Spark, written, read again: every figure of transactions and days, the facts and the checks of the proof."""
+    rows = event_rows(spark, sf_dir)
+    lines = rows.select("*", F.lit("").alias("time"), F.col("event_type").alias("description"), F.lit("").alias("channel"), F.lit("").alias("details"), F.concat(F.lit("no. "), F.col("seq").cast("string")).alias("note"))
+    accounts = rows.groupBy("stmt_id").agg((F.max("seq") * 100).alias("closing"), F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("verified"), 1)).alias("proved")).selectExpr(
+        "*", "cast(0 as bigint) as opening", "date '2024-01-01' as period_from", "date '2024-01-31' as period_to", "concat('in/user', stmt_id, '.pdf') as source", "concat('Bank ', stmt_id % 3) as bank",
+        "concat('User ', stmt_id) as account_name", "cast(null as string) as account_no", "'' as branch", "if(stmt_id % 3 = 0, 'compare by eye', null) as caveat",
+    )
+    days = daily.densify(daily.daily(rows), accounts)
+    checks = accounts.select("stmt_id", F.lit(1).alias("ord"), F.lit("Every row agrees with the running balance").alias("label"), (F.col("proved") == F.col("rows")).alias("passed"), F.concat(F.col("proved").cast("string"), F.lit(" of "), F.col("rows").cast("string"), F.lit(" rows verified")).alias("detail"))
+    found = tables.cells(workbooks.sheet_files(review.sheets(lines, days, accounts, checks), "stmt_id", review.SHEETS))
+    refused = F.raise_error(F.concat_ws(": ", "file", "error")).cast("boolean")
+    found = found.where(F.when(F.col("error").isNotNull(), refused).otherwise(True))
+    proof = F.col("sheet") == "Proof"
+    wanted = F.when(proof, ((F.col("col") == 2) & (F.col("s") != "Detail")) | (F.col("s") == review.CHECKED)).otherwise(F.col("row") > 0)
+    return found.where(wanted).select(F.regexp_extract("file", r"^(\d+)", 1).cast("long").alias("stmt_id"), "sheet", F.col("row").cast("long").alias("row"), "col", "n", "s")

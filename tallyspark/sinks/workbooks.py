@@ -101,3 +101,19 @@ def review_files(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
         return pd.DataFrame([(f"{k[0]}.xlsx", len(content), content)], columns=["path", "length", "content"])
 
     return rows.groupBy(key).applyInPandas(one, "path string, length bigint, content binary")
+
+
+def sheet_files(lines: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """One row per ``key``: ``path, length, content`` of a workbook with the sheets of ``order``.
+
+    Lines: ``key, sheet, part, place, cells`` (arrays of ``s`` and ``n``, see ``operators.review.sheets``); the same bytes whatever order they come in.
+    """
+
+    def one(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["part", "place"], kind="stable")
+        value = lambda c: c["s"] if c["s"] is not None else c["n"]
+        sheets = {name: [[value(c) for c in cells] for cells in group.loc[group["sheet"] == name, "cells"]] for name in order}
+        content = workbook(sheets, frozenset())
+        return pd.DataFrame([(f"{k[0]}.xlsx", len(content), content)], columns=["path", "length", "content"])
+
+    return lines.groupBy(key).applyInPandas(one, "path string, length bigint, content binary")

@@ -81,3 +81,32 @@ def test_anchors_stand_once_above_the_first_transaction(spark):
 def test_free_reading(spark):
     d = spark.createDataFrame([([0.1, 0.5, 0.5],), ([],), (None,)], "f array<double>")
     assert [r[0] for r in d.select(reading.free_reading(F.col("f"), F.array(*map(F.lit, "abc")))).collect()] == ["b", None, None]
+
+
+def test_review_sheets_of_quiet_days_failed_checks_and_unknowns(spark):
+    from tallyspark.operators import review
+    from tallyspark.sinks import workbooks
+    from tallyspark.sources import tables
+
+    rows = spark.createDataFrame(
+        [(1, 2, "2026-01-03", "10:00", "b", None, 50, None, "ATM", None, False, None), (1, 1, None, None, "a", 20, None, 980, None, "x", True, None)],
+        "stmt_id long, seq long, day string, time string, description string, withdrawal long, deposit long, balance long, channel string, details string, verified boolean, note string",
+    ).withColumn("day", F.to_date("day"))
+    days = spark.createDataFrame([(1, "2026-01-03", 1, 1, 0, 50, 1030), (1, "2026-01-02", 0, 0, 0, 0, 980)], "stmt_id long, day string, n long, flagged long, withdrawn long, deposited long, balance long").withColumn("day", F.to_date("day"))
+    accounts = spark.createDataFrame(
+        [(1, "C:\\in\\a.pdf", "B", None, "", "X", 1000, 1030, None, None, None), (2, "b.pdf", "B", "N", "9", "X", 0, 0, None, None, "look")],
+        "stmt_id long, source string, bank string, account_name string, account_no string, branch string, opening long, closing long, period_from date, period_to date, caveat string",
+    )
+    checks = spark.createDataFrame([(1, 2, "late", False, "no"), (1, 1, "first", True, "yes")], "stmt_id long, ord int, label string, passed boolean, detail string")
+    files = {r.path: r.content for r in workbooks.sheet_files(review.sheets(rows, days, accounts, checks), "stmt_id", review.SHEETS).collect()}
+    sheets = tables.workbook(bytes(files["1.xlsx"]))
+    assert list(sheets) == list(review.SHEETS) and sheets["Transactions"][0] == list(review.TRANSACTIONS)
+    assert sheets["Transactions"][1] == ["", "", "Opening balance", "", "", 10.0] and sheets["Transactions"][2] == ["", "", "a", 0.2, "", 9.8, "", "x", "OK"]
+    assert sheets["Transactions"][3] == [46025.0, "10:00", "b", "", 0.5, "", "ATM"] and sheets["Transactions"][4] == ["", "", "Closing balance", "", "", 10.3]
+    assert sheets["Daily"][1:] == [[46024.0, 0.0, 0.0, 0.0, 0.0, 9.8], [46025.0, 1.0, 0.0, 0.5, 0.5, 10.3, "1 row(s) flagged"], ["2 days, 1 active", 1.0, 0.0, 0.5, 0.5, 10.3]]
+    proof = sheets["Proof"]
+    assert proof[0] == ["How this file was checked"] and ["Source PDF", "", "a.pdf"] in proof and ["Account name", "", "(not read)"] in proof and ["Statement period", "", "None to None"] in proof
+    at = proof.index(["Check", "Result", "Detail"])
+    assert proof[at + 1 : at + 3] == [["first", "PASS", "yes"], ["late", "FAIL", "no"]] and proof[-1] == [review.RULE_TEXT]
+    other = tables.workbook(bytes(files["2.xlsx"]))
+    assert other["Proof"][0] == ["look"] and ["Transactions read", "", "0"] in other["Proof"] and len(other["Transactions"]) == 3
