@@ -39,7 +39,7 @@ from .common import keep, text_or_empty
 
 GRAM = 32
 PIECE = 1 << 20
-#: Parts that a bucket's runs are dealt over where they are joined with what is known of the bucket.
+#: Parts that runs of one bucket, or equal runs, are dealt over where they are joined with what is known of them.
 SALTS = 16
 #: Contexts that a task refines together.
 BLOCK = 1000
@@ -274,15 +274,15 @@ def remove_repeats(docs: DataFrame, *, width: int = 200, crowd: int = 20000) ->
     least = [F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2")]
     buckets = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), *least).where("times > 1")
     # The runs of a bucket are dealt over SALTS parts, as one passage may be in a third of all texts.
-    salted = buckets.select("gram", F.expr("a1 <> b1 or a2 <> b2").alias("mixed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = runs.withColumn("salt", F.pmod(F.xxhash64("k1", "start"), F.lit(SALTS)).cast("int"))
-    met = keep(dealt.join(salted, ["gram", "salt"]).drop("salt"), "runs")
+    salts, salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.pmod(F.xxhash64("k1", "start"), F.lit(SALTS)).cast("int")
+    salted = buckets.select("gram", F.expr("a1 <> b1 or a2 <> b2").alias("mixed"), salts)
+    met = keep(runs.withColumn("salt", salt).join(salted, ["gram", "salt"]).drop("salt"), "runs")
     mixed = met.where("mixed")
     spot = F.struct("k1", "k2", "start", "length", "gram")
     distinct = mixed.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(spot).alias("spot"))
     distinct = keep(distinct.select("d1", "d2", "copies", "spot.*"), "contexts")
     spans = met.where("not mixed").select(*key, F.col("start").alias("first"), (F.col("start") + F.col("length") - 1).alias("last"))
-    copied = mixed.join(distinct.where("copies > 1").select("d1", "d2"), ["d1", "d2"], "left_semi")
+    copied = mixed.withColumn("salt", salt).join(distinct.where("copies > 1").select("d1", "d2", salts), ["d1", "d2", "salt"], "left_semi")
     spans = spans.unionAll(copied.select(*key, F.col("start").alias("first"), (F.col("start") + F.col("length") - 1).alias("last")))
 
     once = keyed(texts.where(F.octet_length("text") >= width)).groupBy(key).agg(F.first("packed").alias("packed"))
