@@ -3,17 +3,17 @@
 1. Tasks tokenise whole texts, cut only what is longer than a sequence, and write a
    small row for each piece.
 2. The histogram of lengths (at most ``capacity`` rows, whatever the input) comes to
-   the driver.  Lengths are grouped in ``CLASSES`` of about equal total, named by their
-   longest (each is its own where there are no more).  The configuration program - how
-   often to use each multiset of classes that fits a sequence - is solved by
-   multiplicative weights: classes not yet covered weigh more.  Under the weights a
-   knapsack dynamic program over the capacity prices every configuration, and the best
-   ones through the classes that lag are used.  Its value also bounds the program from
-   below, so rounds end when solution and bound are within ``GAP``.
-3. The solution is rounded and its places are given to actual lengths; lengths that
-   remain go by best fit into the gaps and new sequences, still as counts.  Scaled-down
-   solutions are rounded too, to nothing at last, which is plain best fit; the fewest
-   sequences win.
+   the driver.  The configuration program - how often to use each multiset of lengths
+   that fits a sequence - is solved by multiplicative weights over the true lengths:
+   lengths not yet covered weigh more.  Under the weights a knapsack dynamic program over
+   the capacity prices every configuration, and the best ones through each length are
+   used.  The weights also bound the program from below.
+3. ``whole`` rounds along: uses are whole sequences, as many as what is left of each length
+   allows.  Of its stops (``STOPS``, shares of the ids left) what remains goes by best fit into
+   new sequences, still as counts.  Where that isn't at the bound, ``solve`` finds a fractional
+   solution too (lengths in ``CLASSES`` named by their longest, each its own where there are no
+   more), which is scaled and rounded.  The fewest sequences win; plain best fit is taken only if it
+   beats all of them.
 4. Spark numbers the pieces of each length (in salted parts of bounded size) and each
    task looks its pieces' places up in the plan, whose size doesn't grow with the input.
 
@@ -43,6 +43,8 @@ from .tokens import default_ranks, default_vocabulary, encode_ids
 PART, PARTS = 128, 4096
 #: Classes of lengths in the program, the gap to its bound that ends the rounds, and what a use covers of a class.
 CLASSES, GAP, STEP = 64, 0.01, 0.1
+#: Shares of the ids left at which best fit may take over, and a configuration's price, of the best one's, below which it waits.
+STOPS, NEAR = (0.5, 0.2, 0.05, 0.01, 0.0), 0.999
 
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, ranks: str, id_col: str, text_col: str) -> DataFrame:
@@ -96,6 +98,64 @@ def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
     return chosen(priced(value, capacity)[1], capacity)
 
 
+#: Groups of equal sequences: the lengths of one, and how many there are.
+Groups = list[tuple[tuple[int, ...], int]]
+
+
+def whole(counts: np.ndarray, capacity: int, rounds: int = 1200) -> tuple[list[tuple[np.ndarray, Groups]], float]:
+    """The program over true lengths, its uses rounded to whole sequences as they are priced: (left, groups) at each stop, and the lower bound.
+
+    A length's weight falls by multiplication with the share of its pieces that has a place.  All rounds cost the same,
+    whatever the counts; what they leave stays in ``left``.
+    """
+    left, groups, stops, bound = counts.copy(), {}, [], 0.0
+    size = np.arange(capacity + 1)
+    total = int(counts @ size)
+    due = list(STOPS)
+    for _ in range(rounds):
+        lengths = np.flatnonzero(left)
+        while due and left @ size <= due[0] * total:
+            stops.append((left.copy(), _listed(groups)))
+            due.pop(0)
+        if not len(lengths):
+            break
+        price = np.zeros(capacity + 1)
+        price[lengths] = lengths / capacity * np.exp(left[lengths] / counts[lengths] - 1)
+        best, choice = priced(price, capacity)
+        bound = max(bound, float(counts @ price) / best[capacity])
+        through = price[lengths] + best[capacity - lengths]
+        near = lengths[through >= NEAR * through.max()][::-1].tolist()
+        used = False
+        for length in [int(lengths[-1]), *near]:
+            found = chosen(choice, capacity - length)
+            found[length] = found.get(length, 0) + 1
+            n = min(int(left[m]) // k for m, k in found.items())
+            if n:
+                _use(found, n, left, groups)
+                used = True
+        if not used:
+            # No priced multiset is left whole: the longest piece with the longest that still fit beside it.
+            found, room = {}, capacity
+            for m in lengths[::-1].tolist():
+                k = min(room // m, int(left[m]))
+                if k:
+                    found[m], room = k, room - k * m
+            _use(found, 1, left, groups)
+    stops.append((left, _listed(groups)))
+    return stops, bound
+
+
+def _use(found: dict[int, int], n: int, left: np.ndarray, groups: dict[tuple, int]) -> None:
+    for length, k in found.items():
+        left[length] -= n * k
+    key = tuple(sorted(found.items(), reverse=True))
+    groups[key] = groups.get(key, 0) + n
+
+
+def _listed(groups: dict[tuple, int]) -> Groups:
+    return [(tuple(length for length, k in key for _ in range(k)), n) for key, n in groups.items()]
+
+
 @dataclass
 class Program:
     """The program's classes (longest lengths and the lengths' class numbers), its solution, value and lower bound."""
@@ -148,7 +208,7 @@ def solve(counts: np.ndarray, capacity: int, rounds: int = 400, rate: float = 0.
     return Program(longest, class_of, [(dict(k), x / least) for k, x in amounts.items()], value, bound)
 
 
-def rounded(program: Program, counts: np.ndarray, scale: float) -> tuple[np.ndarray, list[tuple[tuple[int, ...], int]]]:
+def rounded(program: Program, counts: np.ndarray, scale: float) -> tuple[np.ndarray, Groups]:
     """What is left of the counts, and the groups of sequences, after the solution times ``scale`` is rounded and places go to actual lengths."""
     left, groups = counts.copy(), []
     members = [list(np.flatnonzero(program.class_of == k)[::-1]) for k in range(len(program.longest))]
@@ -178,9 +238,9 @@ def rounded(program: Program, counts: np.ndarray, scale: float) -> tuple[np.ndar
     return left, groups
 
 
-def best_fit(counts: np.ndarray, capacity: int, groups: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
+def best_fit(counts: np.ndarray, capacity: int, groups: Groups) -> Groups:
     """Place what remains, longest first, each in the fullest sequence with room; equal sequences go as one group."""
-    room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    room: dict[int, Groups] = {}
     for items, n in groups:
         room.setdefault(capacity - sum(items), []).append((items, n))
     open_rooms = np.zeros(capacity + 1, bool)
@@ -210,19 +270,27 @@ def best_fit(counts: np.ndarray, capacity: int, groups: list[tuple[tuple[int, ..
     return [g for gs in room.values() for g in gs]
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 400) -> Groups:
     """Groups (lengths of a sequence, number of such sequences) that hold every piece of the histogram."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     if not counts.any():
         return []
-    program = solve(counts, capacity, rounds)
-    tries = [best_fit(*rounded_groups) for rounded_groups in ((left, capacity, groups) for left, groups in (rounded(program, counts, s) for s in (1.0, 0.97, 0.9, 0.7, 0.4, 0.0)))]
-    return sorted(min(tries, key=lambda done: sum(n for _, n in done)), key=lambda g: (-len(g[0]), g))
+    stops, bound = whole(counts, capacity, 3 * rounds)
+    tries = [best_fit(left, capacity, groups) for left, groups in reversed(stops)]
+    if min(map(sequences, tries)) > np.ceil(bound - 1e-6):
+        program = solve(counts, capacity, rounds)
+        tries += [best_fit(left, capacity, groups) for left, groups in (rounded(program, counts, scale) for scale in (1.0, 0.97, 0.9, 0.7, 0.4))]
+        tries.append(best_fit(counts, capacity, []))
+    return sorted(min(tries, key=sequences), key=lambda g: (-len(g[0]), g))
+
+
+def sequences(groups: Groups) -> int:
+    return sum(n for _, n in groups)
 
 
-def places(groups: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def places(groups: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted (length << 40 | first number) of runs of pieces, the runs' first sequences and their offsets."""
     runs: list[tuple[int, int, int, int]] = []
     base = 0

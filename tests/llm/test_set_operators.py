@@ -294,6 +294,25 @@ def test_program_is_solved_and_beats_best_fit():
     assert sum(n for _, n in packing.plan({int(k): int(hard[k]) for k in np.flatnonzero(hard)}, 1000)) < sum(n for _, n in packing.best_fit(hard, 1000, []))
 
 
+def test_true_lengths_come_from_the_program():
+    """Hundreds of lengths, few pieces of each: the program's own sequences reach its bound, nothing is left to best fit."""
+    rng = np.random.default_rng(7)
+    counts = np.bincount(np.minimum(rng.lognormal(5.2, 0.9, 6000).astype(int) + 1, 2048), minlength=2049)
+    assert np.count_nonzero(counts) > 600
+    stops, bound = packing.whole(counts, 2048)
+    left, groups = stops[-1]
+    held = np.zeros(2049, np.int64)
+    for items, n in groups:
+        assert sum(items) <= 2048
+        for length in items:
+            held[length] += n
+    assert (held + left == counts).all() and bound >= counts @ np.arange(2049) / 2048 - 1e-6
+    rest = packing.sequences(packing.best_fit(left, 2048, [])) if left.any() else 0
+    assert rest <= 0.01 * packing.sequences(groups)
+    fewest = packing.sequences(packing.plan({int(k): int(counts[k]) for k in np.flatnonzero(counts)}, 2048))
+    assert np.ceil(bound - 1e-6) <= fewest <= min(packing.sequences(packing.best_fit(counts, 2048, [])), np.ceil(bound) + 1)
+
+
 def test_best_configuration_is_optimal():
     value = np.zeros(31)
     value[[3, 5, 7, 11]] = [0.4, 0.8, 1.15, 1.7]
