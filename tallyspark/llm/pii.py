@@ -11,6 +11,11 @@ anew, dates move to another day of 1900 to 2099 (one without leading zeros may g
 them), and mail addresses and
 secret tokens keep their shape too (letters to letters, digits to digits).
 
+Secret tokens are long hexadecimal numbers, or a known head with its separator and a run of 16 letters and
+digits or more behind it, so that words and identifiers that merely begin alike (skyscraper-construction,
+pkg_configuration_helper) stay.  Dates may lack leading zeros or name their month in English.  Numbers of phones need a
+country code or the separators of a local form: ten plain digits (0812345678) are as often an order's number and stay.
+
 Values are written in ASCII digits: those of other scripts are no values, are left as they
 are and aren't reported.  There is no shuffle; memory is bounded by one Arrow batch, and long
 texts are read whole.  Nulls: a null text
@@ -36,16 +41,21 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "token", "iban", "card", "phone", "ip", "ssn", "date")
 
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_NAME = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + ")"
+#: A date with its month's name, whole or of three letters: before or after the day.
+NAMED = rf"{_NAME} [0-9]{{1,2}}, [0-9]{{4}}|[0-9]{{1,2}} {_NAME} [0-9]{{4}}"
+
 #: Shapes of the values looked for, in the order of KINDS: what may not stand before, the value, what may not follow.
 SHAPES = {
     "email": (r"(?<![\w.+-])", r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", ""),
-    "token": (r"(?<![\w])", r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:sk|pk|ghp|xoxb|AKIA)[-_A-Za-z0-9]{16,})", r"(?![\w])"),
+    "token": (r"(?<![\w])", r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16,}|ghp_[A-Za-z0-9]{16,}|xoxb-[-A-Za-z0-9]{16,}|(?:sk|pk)[-_](?:[a-z]{2,8}[-_]){0,2}[A-Za-z0-9]{16,}[-_A-Za-z0-9]*)", r"(?![\w])"),
     "iban": (r"(?<![\w])", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![\w])"),
     "card": (r"(?<![\w.+-])", r"[0-9](?:[ -]?[0-9]){12,18}", r"(?![\w]|[.-][0-9])"),
     "phone": (r"(?<![\w])", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}", r"(?![\w])"),
     "ip": (r"(?<![\w.])", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"(?![\w]|\.[0-9])"),
     "ssn": (r"(?<![\w-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![\w]|-[0-9])"),
-    "date": (r"(?<![\w./-])", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", r"(?![\w]|[./-][0-9])"),
+    "date": (r"(?<![\w./-])", r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|" + NAMED, r"(?![\w]|[./-][0-9])"),
 }
 PATTERN = re.compile("|".join(f"{before}(?P<{kind}>{value}){after}" for kind, (before, value, after) in SHAPES.items()))
 ALONE = {kind: re.compile(f"{before}(?:{value}){after}") for kind, (before, value, after) in SHAPES.items()}
@@ -184,7 +194,37 @@ def _ssn(value: str, f: Feistel, back: bool) -> str | None:
     return f"{areas[area_new]:03d}-{group_new + 1:02d}-{serial_new + 1:04d}"
 
 
+def _moved(day: date, f: Feistel, back: bool, allowed: Callable[[date], bool]) -> date:
+    """The day's place in the permutation of all days; walks on while the form can't show it."""
+    x, size = (day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1
+    while True:
+        x = f.permute(x, size, "date", back)
+        new = FIRST_DAY + timedelta(days=x)
+        if allowed(new):
+            return new
+
+
+def _named_date(value: str, f: Feistel, back: bool) -> str | None:
+    """A date with its month's name; whole names stay whole, names of three letters (May too) stay that."""
+    name = re.search("[A-Za-z]+", value).group()
+    d, y = map(int, re.findall("[0-9]+", value))
+    month = next(k for k, m in enumerate(MONTHS, 1) if m[:3] == name[:3])
+    try:
+        day = date(y, month, d)
+    except ValueError:
+        return None
+    if not FIRST_DAY <= day <= LAST_DAY:
+        return None
+    short = len(name) == 3
+    new = _moved(day, f, back, lambda d: short or len(MONTHS[d.month - 1]) > 3)
+    shown = MONTHS[new.month - 1][:3] if short else MONTHS[new.month - 1]
+    number = f"{new.day:02d}" if re.search(r"\b0[0-9]\b", value) else str(new.day)
+    return f"{shown} {number}, {new.year:04d}" if value.startswith(name) else f"{number} {shown} {new.year:04d}"
+
+
 def _date(value: str, f: Feistel, back: bool) -> str | None:
+    if re.search("[A-Za-z]", value):
+        return _named_date(value, f, back)
     parts = re.split(r"[-/.]", value)
     year_first = len(parts[0]) == 4
     y, m, d = map(int, parts if year_first else reversed(parts))
@@ -197,14 +237,10 @@ def _date(value: str, f: Feistel, back: bool) -> str | None:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    x, size = (day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1
-    while True:
-        x = f.permute(x, size, "date", back)
-        new = FIRST_DAY + timedelta(days=x)
-        if not month_first or new.day > 12:  # else it would be read as day first
-            break
+    # A date that is read month first must not be one that is read day first.
+    new = _moved(day, f, back, lambda d: not month_first or d.day > 12)
     mark = re.search(r"[-/.]", value).group()
-    wide = year_first or len(parts[0]) == 2 and len(parts[1]) == 2
+    wide = all(len(p) >= 2 for p in parts)
     pad = (lambda v: f"{v:02d}") if wide else str
     if year_first:
         return mark.join((f"{new.year:04d}", pad(new.month), pad(new.day)))
