@@ -14,10 +14,12 @@ whatever the number of blocks.
 Selection: a shard's documents stand in a seeded order on a ring of words; its
 quota is whole rounds of the ring and then a run of blocks from a seeded start.  A
 document is taken as often as its words are covered.  A shard holds about
-``shard_docs`` documents, so no window spans a large source.
+``shard_docs`` documents, so no window spans a large source; the quotients of a source's
+shards are ranked over ranges of a sort, not in one window.  A shard's quota lies within half a
+block of its share, so where a source is just below its cap a shard may lose up to half a block to its own cap.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in
-order; a null id takes part.  Empty texts and sources of size 0 take nothing.
+order; a null id takes part, and rows without id are dealt to shards by their place in the files.  Empty texts and sources of size 0 take nothing.
 Long texts: only their sizes
 go on.  Ties in quotients: the source earlier in order, the smaller shard.  Repeated rows:
 each is a document of its own with its own place (rows that are alike in id and
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORDS, keep, text_or_empty
+from .common import WORDS, free_name, keep, text_or_empty
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
@@ -68,26 +70,31 @@ def apportion(parties: DataFrame, within: list[str], order: str, votes: str, sea
     """Sainte-Lague: adds ``quota`` to each party; ``seats`` (a column) are dealt within each group.
 
     The seats that two divisors around votes / seats settle aren't ranked; the others are, by
-    quotient and then ``order``.
+    quotient and then ``order``.  A group may hold any number of parties: none is gathered in one task.
     """
-    group = W.partitionBy(*within)
-    d = parties.withColumn("_sum", F.sum(votes).over(group)).withColumn("_n", F.count(F.lit(1)).over(group))
+    sums = parties.groupBy(*within).agg(F.sum(votes).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    d = parties.join(sums, within)
     slack = F.col("_n") / 2 + 1
     high = F.when(F.col(seats) > slack, F.col("_sum") / (F.col(seats) - slack))
     low = F.col("_sum") / (F.col(seats) + slack)
     of = lambda divisor: F.floor(F.col(votes) / divisor + 0.5)
     d = d.withColumn("_sure", F.when((F.col(seats) > slack) & (F.col(votes) > 0), of(high)).otherwise(F.lit(0).cast("long")))
     d = d.withColumn("_last", F.when((F.col(seats) > 0) & (F.col(votes) > 0), of(low)).otherwise(F.lit(0).cast("long")))
-    d = d.withColumn("_left", F.col(seats) - F.sum("_sure").over(group))
-    ranked = (
-        d.where("_last > _sure").select(*within, order, votes, "_left", F.explode(F.sequence(F.col("_sure"), F.col("_last") - 1)).alias("_k"))
-        .withColumn("_rank", F.row_number().over(W.partitionBy(*within).orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), order, "_k")))
-        .where("_rank <= _left").groupBy(*within, order).agg(F.count(F.lit(1)).alias("_won"))
-    )
-    keys = [*within, order]
-    won = ranked.select(*[F.col(k).alias(f"_{k}_") for k in keys], "_won")
-    on = [d[k].eqNullSafe(won[f"_{k}_"]) for k in keys]
-    return d.join(won, on, "left").withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_sum", "_n", "_sure", "_last", "_left", "_won", *[f"_{k}_" for k in keys])
+    open_seats = d.groupBy(*within).agg(F.first(seats).alias("_seats"), F.sum("_sure").alias("_all")).select(*within, (F.col("_seats") - F.col("_all")).alias("_left"))
+    quotients = d.where("_last > _sure").select(*within, order, votes, F.explode(F.sequence(F.col("_sure"), F.col("_last") - 1)).alias("_k"))
+    quotients = quotients.withColumn("_q", -F.col(votes) / (2 * F.col("_k") + 1))
+    won = ranked(quotients, within, ["_q", order, "_k"]).join(open_seats, within).where("_rank <= _left").groupBy(*within, order).agg(F.count(F.lit(1)).alias("_won"))
+    return d.join(won, [*within, order], "left").withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_sum", "_n", "_sure", "_last", "_won")
+
+
+def ranked(rows: DataFrame, within: list[str], by: list[str]) -> DataFrame:
+    """Adds ``_rank`` (from 1) in each group by columns that tell its rows apart: a sort dealt by ranges, whose lengths are added up."""
+    dealt = keep(rows.repartitionByRange(*within, *by).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    lengths = dealt.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_length"))
+    before = F.sum("_length").over(W.partitionBy(*within).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    lengths = lengths.select(*within, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = W.partitionBy(*within, "_range").orderBy(*by)
+    return dealt.join(lengths, [*within, "_range"]).withColumn("_rank", F.col("_before") + F.row_number().over(own))
 
 
 def _unit(seed: int, salt: str, *columns: str):
@@ -113,7 +120,8 @@ def mix(
 
     ``carry``: columns of ``docs`` to return too, such as one that tells rows of one id apart; they come last in a shard's order.
     """
-    slim = keep(sized(docs, id_col, text_col, source_col, carry), "mix-sizes")
+    row = free_name(docs, "_row")
+    slim = keep(sized(docs, id_col, text_col, source_col, carry).withColumn(row, F.monotonically_increasing_id()), "mix-sizes")
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     seats = F.round(F.col("target") / block)
     goals = targets(per_source, weights, share, most).withColumn("group", F.lit(0))
@@ -123,15 +131,16 @@ def mix(
             "source", "place", "source_size", "target", F.col("quota").alias("blocks"), F.ceil(F.col("n") / shard_docs).alias("shards")
         ), "mix-goals",
     )
+    dealt = F.when(F.col("doc_id").isNull(), _unit(seed, "shard", row, "size")).otherwise(_unit(seed, "shard", "doc_id", "size"))
     placed = slim.join(goals, slim["source"].eqNullSafe(goals["source"])).select(
-        "doc_id", slim["source"], "size", "place", "source_size", "target", "blocks", (_unit(seed, "shard", "doc_id", "size") % F.col("shards")).alias("shard"), *carry
+        "doc_id", slim["source"], "size", "place", "source_size", "target", "blocks", (dealt % F.col("shards")).alias("shard"), row, *carry
     )
     placed = keep(placed, "mix-placed")
     shards = placed.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     quotas = keep(apportion(shards, ["place"], "shard", "shard_size", "blocks").select("place", "shard", "shard_size", "quota"), "mix-quotas")
     ring = W.partitionBy("place", "shard")
     seated = placed.join(quotas, ["place", "shard"]).withColumn("order", _unit(seed, "order", "doc_id"))
-    end = F.sum("size").over(ring.orderBy("order", "doc_id", "size", *carry).rowsBetween(W.unboundedPreceding, 0))
+    end = F.sum("size").over(ring.orderBy("order", "doc_id", "size", *carry, row).rowsBetween(W.unboundedPreceding, 0))
     cap = (most * F.col("shard_size")).cast("long")
     # A source that takes all it may takes that of each shard, so no seat over a shard's cap is lost.
     wanted = F.when(F.col("target") >= most * F.col("source_size"), cap).otherwise(F.least(F.col("quota") * block, cap))

@@ -37,6 +37,40 @@ def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
         capped |= above
 
 
+def test_apportion_equals_ranking_all_quotients(spark):
+    """Many parties of one group, equal ones among them: quotas as if every quotient were ranked; the sort is dealt over several ranges."""
+    rng = np.random.default_rng(5)
+    votes = {g: [int(v) for v in rng.integers(0, 40, 300)] for g in (0, 1)}
+    seats = {0: 700, 1: 55}
+    rows = [(g, k, v, seats[g]) for g, vs in votes.items() for k, v in enumerate(vs)]
+    parties = spark.createDataFrame(rows, "place long, shard long, size long, blocks long")
+    got = {(r.place, r.shard): r.quota for r in mixing.apportion(parties, ["place"], "shard", "size", "blocks").collect()}
+    for g, vs in votes.items():
+        all_of = sorted((-v / (2 * k + 1), i, k) for i, v in enumerate(vs) if v for k in range(seats[g]))[: seats[g]]
+        won = [0] * len(vs)
+        for _, i, _ in all_of:
+            won[i] += 1
+        assert [got[g, i] for i in range(len(vs))] == won
+    # Small ranges are put together by default.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = mixing.ranked(parties, ["place"], ["size", "shard"])
+        assert dealt.select("_range").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranks = {(r.place, r["_rank"]): (r["size"], r.shard) for r in dealt.collect()}
+    for g, vs in votes.items():
+        assert [ranks[g, n] for n in range(1, len(vs) + 1)] == sorted((v, i) for i, v in enumerate(vs))
+
+
+def test_mix_deals_rows_without_id_over_shards(spark):
+    docs = spark.range(6000).selectExpr("cast(null as long) as doc_id", "'one two three four' as text", "if(id % 3 = 0, 'b', 'a') as source")
+    got = mixing.mix(docs).groupBy("source", "shard").count().collect()
+    assert len(got) > 30 and max(r["count"] for r in got) < 250
+    totals = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 8 * 32 for r in totals)
+
+
 def test_mix_meets_targets_and_caps(spark):
     rng = np.random.default_rng(1)
     rows = [("w " * int(rng.integers(1, 80)), f"s{int(rng.choice([0] * 9 + [1, 2, 3, 4]))}") for _ in range(600)]
