@@ -2,22 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.words import bare
 from ..scratch import kept
-from . import layout, lookups
+from . import lookups
+
+#: How far from its place a heading may land; the turns that are tried, in degrees to either side, and how many.
+NEAR, MOST_DEG, TURNS = 4.0, 5.0, 201
 
-#: How far from its place a heading may land, and what turns are tried, in degrees to either side.
-NEAR, MOST_DEG = 4.0, 5.0
+
+def page_tilts(words: DataFrame, bin_size: float = 2.0) -> DataFrame:
+    """``page, tilt``: ``layout.deskew`` of the words' centres, a page at a time in the task that holds it.
+
+    Of each turn only the counts of one page's heights exist, so nothing is multiplied by the number of turns before a shuffle.
+    Words without a place are left out, pages without any give no row.
+    """
+    centres = words.select("page", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")).where("x is not null and y is not null")
+    turns = np.round((np.arange(TURNS) - (TURNS - 1) / 2) * (2 * MOST_DEG / (TURNS - 1)), 6)
+    cos, sin = np.cos(np.radians(turns)), np.sin(np.radians(turns))
+
+    def tilt(x: np.ndarray, y: np.ndarray) -> float:
+        score = np.empty(TURNS, np.int64)
+        for k in range(TURNS):
+            _, n = np.unique(np.floor((y * cos[k] - x * sin[k]) / bin_size), return_counts=True)
+            score[k] = n @ n
+        best = turns[score == score.max()]
+        return round((best[0] + best[-1]) / 2, 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            x, y = (np.concatenate([np.asarray(p.column(c)) for p in held]) for c in (1, 2))
+            return pa.RecordBatch.from_arrays([held[0].column(0).slice(0, 1), pa.array([tilt(x, y)])], ["page", "tilt"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            changes = pc.fill_null(pc.not_equal(batch.column(0).slice(1), batch.column(0).slice(0, batch.num_rows - 1)), False)
+            cuts = [0, *(np.flatnonzero(np.asarray(changes)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(start, stop - start)
+                if held and held[0].column(0)[0] != part.column(0)[0]:
+                    yield done()
+                    held = []
+                held.append(part)
+        if held:
+            yield done()
+
+    return centres.where("page is not null").repartition("page").sortWithinPartitions("page").mapInArrow(run, StructType([words.schema["page"], *StructType.fromDDL("tilt double")]))
 
 
 def straighten(words: DataFrame, bin_size: float = 2.0) -> DataFrame:
     """``words`` with their upper left corners turned back by the page's tilt; widths and heights stay.  Adds ``tilt``."""
-    centres = words.select("page", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")).where("x is not null and y is not null")
-    d = words.join(layout.deskew(centres, "page", MOST_DEG, bin_size=bin_size).select("page", F.col("angle").alias("tilt")), "page")
+    d = words.join(page_tilts(words, bin_size), "page")
     c, s = F.cos(F.radians("tilt")), F.sin(F.radians("tilt"))
     x, y = F.col("x0") * c + F.col("y0") * s, F.col("y0") * c - F.col("x0") * s
     wide, tall = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import alignment
+from tallyspark.operators import alignment, layout
 
 KIND = "page string, word int, x0 double, y0 double, x1 double, y1 double, text string, page_width double"
 ANCHORS = [("Date", 60.0, 40.0), ("Withdrawal", 180.0, 40.0), ("Deposit", 300.0, 44.0), ("Balance", 440.0, 40.0)]
@@ -77,3 +77,10 @@ def test_straighten_finds_the_tilt(spark, deg):
     rows, _ = page("p", deg=deg, scale=2.0)
     tilt = alignment.straighten(spark.createDataFrame(rows, KIND)).agg(F.max("tilt")).first()[0]
     assert abs(tilt - deg) <= 0.2
+
+
+def test_tilts_equal_the_aggregate_over_all_turns(spark):
+    rows = [r for k, deg in enumerate((-3.0, 0.0, 0.5, 2.2)) for r in page(f"p{k}", deg=deg, scale=1.0 + k / 4)[0]]
+    words = spark.createDataFrame(rows, KIND)
+    centres = words.select("page", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    assert {(r.page, r.tilt) for r in alignment.page_tilts(words).collect()} == {(r.page, r.angle) for r in layout.deskew(centres, "page").collect()}
