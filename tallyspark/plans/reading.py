@@ -21,7 +21,10 @@ UNION ALL SELECT c_nationkey * 1000 + c_custkey // 200, c_custkey * 100 + 50, lp
 UNION ALL SELECT c_nationkey * 1000 + c_custkey // 200, c_custkey * 100 + 90, c_mktsegment FROM customer""")
 def joined_letters(spark, sf_dir):
     """Lines of a Thai word, a Thai date and a Latin word that were cut into letters, whole again; marks stand above or below their letter."""
-    c = table(spark, sf_dir, "customer").select((F.col("c_nationkey") * 1000 + F.floor(F.col("c_custkey") / 200)).alias("page"), F.col("c_custkey").alias("k"), "c_mktsegment")
+    # The printed page number repeats between nations from key 200,000 on; letters meet on pages of one nation's block of keys only.
+    block = F.floor(F.col("c_custkey") / 200)
+    own = F.coalesce(F.concat(F.col("c_nationkey"), F.lit("|"), block, F.lit("|"), F.col("c_nationkey") * 1000 + block), F.lit(""))
+    c = table(spark, sf_dir, "customer").select(own.alias("page"), F.col("c_custkey").alias("k"), "c_mktsegment")
     y = F.col("k") % 200 * 20.0 + 10
     word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("k") % 7 + 1).cast("int"))
     month = F.element_at(F.array(*map(F.lit, reading.THAI_MONTHS)), (F.col("k") % 12 + 1).cast("int"))
@@ -44,7 +47,8 @@ def joined_letters(spark, sf_dir):
     whole = F.array(F.struct(F.lit(90).alias("i"), F.lit(400.0).alias("x0"), y.alias("y0"), F.lit(460.0).alias("x1"), (y + 9).alias("y1"), F.col("c_mktsegment").alias("text")))
     d = c.select("page", "k", F.explode(F.concat(letters(word, F.lit(10.0), F.lit(0)), pieces(date, F.lit(200.0), F.lit(50)), whole)).alias("w"))
     words = d.select("page", (F.col("k") * 100 + F.col("w.i")).alias("word"), "w.x0", "w.y0", "w.x1", "w.y1", "w.text")
-    return reading.join_thai(words, 4.0).select("page", "word", "text")
+    printed = F.element_at(F.split("page", r"\|"), -1).try_cast("bigint")
+    return reading.join_thai(words, 4.0).select(printed.alias("page"), "word", "text")
 
 
 @query(f"""WITH t AS ({PRINTED}), w AS (SELECT *, CASE WHEN (p_partkey + j) % 4 = 0 THEN 4.0 ELSE 8.0 END AS h, 20.0 * (p_partkey % 20) + CASE WHEN j % 2 = 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 3.0 ELSE 2.0 END ELSE 0.0 END AS yc FROM t),

@@ -110,3 +110,17 @@ def test_review_sheets_of_quiet_days_failed_checks_and_unknowns(spark):
     assert proof[at + 1 : at + 3] == [["first", "PASS", "yes"], ["late", "FAIL", "no"]] and proof[-1] == [review.RULE_TEXT]
     other = tables.workbook(bytes(files["2.xlsx"]))
     assert other["Proof"][0] == ["look"] and ["Transactions read", "", "0"] in other["Proof"] and len(other["Transactions"]) == 3
+
+
+def test_joined_letters_of_nations_whose_page_numbers_meet(spark, tmp_path):
+    import duckdb
+
+    from tallyspark.plans import reading as _  # noqa: F401  (adds its queries)
+    from tallyspark.plans.queries import ORACLES, QUERIES
+
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES (200005::BIGINT, 0::INTEGER, 'BUILDING'), (5::BIGINT, 1::INTEGER, 'MACHINERY'), (6::BIGINT, 1::INTEGER, 'FURNITURE')) t(c_custkey, c_nationkey, c_mktsegment)) TO '{tmp_path}/customer.parquet' (FORMAT PARQUET)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    expected = con.execute(ORACLES["joined_letters"]).fetchall()
+    found = [tuple(r) for r in QUERIES["joined_letters"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(expected) and len(found) == 9
