@@ -31,10 +31,15 @@ def page_tilts(words: DataFrame, bin_size: float = 2.0) -> DataFrame:
     cos, sin = np.cos(np.radians(turns)), np.sin(np.radians(turns))
 
     def tilt(x: np.ndarray, y: np.ndarray) -> float:
-        score = np.empty(TURNS, np.int64)
-        for k in range(TURNS):
-            _, n = np.unique(np.floor((y * cos[k] - x * sin[k]) / bin_size), return_counts=True)
-            score[k] = n @ n
+        score, n = np.empty(TURNS), len(x)
+        step = max(1, 2**18 // n)
+        for k in range(0, TURNS, step):
+            bins = np.sort(np.floor((y * cos[k : k + step, None] - x * sin[k : k + step, None]) / bin_size), axis=1)
+            new = np.ones(bins.shape, bool)
+            new[:, 1:] = (bins[:, 1:] != bins[:, :-1]) & ~(np.isnan(bins[:, 1:]) & np.isnan(bins[:, :-1]))
+            at = np.flatnonzero(new)
+            size = np.diff(at, append=bins.size).astype(float)
+            score[k : k + step] = np.bincount(at // n, size * size)
         best = turns[score == score.max()]
         return round((best[0] + best[-1]) / 2, 6)
 
@@ -74,8 +79,8 @@ def straighten(words: DataFrame, bin_size: float = 2.0) -> DataFrame:
 def headings_read(words: DataFrame, anchors: DataFrame) -> DataFrame:
     """``page, text, x, y, ax, ay``: headings found once on a page, whole or as a run of touching pieces, beside their places."""
     named = anchors.select(bare(F.col("text")).alias("text"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    runs = lookups.heading_runs(words).join(F.broadcast(named), "text").groupBy("page", "text", "ax", "ay").agg(F.min("word").alias("word"), F.count_distinct("word").alias("n"))
-    return runs.where("n = 1").join(words.select("page", "word", F.col("x0").alias("x"), F.col("y0").alias("y")), ["page", "word"]).select("page", "text", "x", "y", "ax", "ay")
+    runs = lookups.heading_runs(words).join(F.broadcast(named), "text").groupBy("page", "text", "ax", "ay").agg(F.count_distinct("word").alias("n"), F.first("x0").alias("x"), F.first("y0").alias("y"))
+    return runs.where("n = 1 and page is not null").select("page", "text", "x", "y", "ax", "ay")
 
 
 def _apart(dx: Column, dy: Column) -> Column:
@@ -120,7 +125,8 @@ def align_pages(words: DataFrame, anchors: DataFrame, width: float, summary_mark
     """
     # Written once: headings, marks and the words themselves are read from it, and the search for tilts is most of the work.
     straight = kept(straighten(words.withColumn("text", F.coalesce("text", F.lit(""))), bin_size), "straight-words")
-    fits = fit_places(headings_read(straight, anchors)).select("page", "scale", "dx", "dy", F.lit(False).alias("summary"))
+    read = kept(headings_read(straight, anchors), "headings-read")
+    fits = fit_places(read).select("page", "scale", "dx", "dy", F.lit(False).alias("summary"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda w: F.regexp_replace(w["text"], r"\s+", "")), "")
     marked = [F.contains(whole, F.lit("".join(m.split()))) for m in summary_marks]
     pages = straight.groupBy("page").agg(F.max("page_width").alias("_wide"), (F.greatest(*marked, F.lit(False)) if marked else F.lit(False)).alias("_marked"))

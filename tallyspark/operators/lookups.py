@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
-from ..functions.money import let
 from ..functions.words import bare
 
 
@@ -36,51 +41,124 @@ def after_mark(words: DataFrame, is_mark: Column, most_gap: float = 40.0) -> Dat
     return d.groupBy("page", "line").agg(F.array_join(ordered, " ").alias("value"))
 
 
+def _cells(v: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(np.nan_to_num(v / cell), -(2.0**52), 2.0**52)).astype(np.int64)
+
+
+def _touching(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a word and a word that touches it on its right, in order of the word, then from left to right.  ``page`` are running numbers, -1 for none."""
+    n, h, yc = len(page), y1 - y0, (y0 + y1) / 2
+    tall = np.full(page.max() + 2, 1.0)
+    np.maximum.at(tall, page, np.nan_to_num(h, nan=0.0))
+    cell = tall[page]
+    held = np.flatnonzero(np.isfinite(x0 + yc + h) & (page >= 0))
+    asked = np.flatnonzero(np.isfinite(x1 + yc + h) & (page >= 0))
+    mixed = lambda g, x, y: g * 0x9E3779B97F4A7 + y * 0x1000003 + x
+    hx, hy = _cells(x0, cell), _cells(yc, cell)
+    keys = mixed(page[held], hx[held], hy[held])
+    order = np.argsort(keys, kind="stable")
+    held, keys = held[order], keys[order]
+    left, right, low, high = _cells(x1 - 0.2 * cell, cell), _cells(x1 + 0.5 * cell, cell), _cells(yc - 0.3 * cell, cell), _cells(yc + 0.3 * cell, cell)
+    ones, others = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    # No range is wider than 0.7 cells, so two cells across and two down hold it.
+    for dx, dy in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        a = asked[(left[asked] + dx <= right[asked]) & (low[asked] + dy <= high[asked])]
+        cx, cy = left[a] + dx, low[a] + dy
+        at = mixed(page[a], cx, cy)
+        first = np.searchsorted(keys, at, "left")
+        many = np.searchsorted(keys, at, "right") - first
+        i = np.repeat(np.arange(len(a)), many)
+        j = held[np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(i))]
+        same = (page[a[i]] == page[j]) & (hx[j] == cx[i]) & (hy[j] == cy[i])
+        ones.append(a[i[same]])
+        others.append(j[same])
+    i, j = np.concatenate(ones), np.concatenate(others)
+    taller, gap = np.maximum(h[i], h[j]), x0[j] - x1[i]
+    near = (i != j) & (np.abs(yc[j] - yc[i]) < 0.3 * taller) & (gap > -0.2 * taller) & (gap < 0.5 * taller)
+    i, j = i[near], j[near]
+    order = np.lexsort((j, x0[j], i)) if n else np.empty(0, np.int64)
+    return i[order], j[order]
+
+
+def _grown(i: np.ndarray, j: np.ndarray, n: int, most: int) -> list[np.ndarray]:
+    """Runs of 1 to ``most`` words by length, a row each: every run goes on to the leftmost touching word that it doesn't hold yet."""
+    ends = np.searchsorted(i, np.arange(n), "right")
+    starts = np.searchsorted(i, np.arange(n), "left")
+    out = [np.arange(n).reshape(-1, 1)]
+    for _ in range(most - 1):
+        runs = out[-1]
+        at, end = starts[runs[:, -1]], ends[runs[:, -1]]
+        while True:
+            more = at < end
+            taken = np.zeros(len(runs), bool)
+            taken[more] = (runs[more] == j[at[more]].reshape(-1, 1)).any(axis=1)
+            if not taken.any():
+                break
+            at = at + taken
+        out.append(np.column_stack([runs[more], j[at[more]]]))
+    return out
+
+
 def heading_runs(words: DataFrame, most: int = 4) -> DataFrame:
-    """``page, word, n, text, x0``: every word, and runs of up to ``most`` touching words on its line, as bare text at the first word's place.
+    """``page, word, n, text, x0, y0``: every word, and runs of up to ``most`` touching words on its line, as bare text at the first word's place.
 
     Words: ``page, word`` (reading order), ``x0, y0, x1, y1, text``.  The next word's centre is less than 0.3 and its gap more than -0.2
     and less than 0.5 of the taller one's height away; of several the leftmost.  Neighbours are found by
-    cells of the page's tallest word, so that only near words meet.
+    cells of the page's tallest word, so that only near words meet.  Pages meet in one shuffle and stream past in order, many of them
+    in one step; a task holds a batch and the page that is open.
     """
-    w = words.withColumn("_h", F.col("y1") - F.col("y0")).withColumn("_yc", (F.col("y0") + F.col("y1")) / 2)
-    own = W.partitionBy("page")
-    w = w.withColumn("_cell", F.greatest(F.max("_h").over(own), F.lit(1.0))).withColumn("_i", F.row_number().over(own.orderBy("word")) - 1)
-    at = lambda c: F.floor(c / F.col("_cell"))
-    across = F.explode(F.sequence(at(F.col("x1") - 0.2 * F.col("_cell")), at(F.col("x1") + 0.5 * F.col("_cell"))))
-    down = F.explode(F.sequence(at(F.col("_yc") - 0.3 * F.col("_cell")), at(F.col("_yc") + 0.3 * F.col("_cell"))))
-    asked = w.select("page", "_i", "x1", "_yc", "_h", "_cell", across.alias("_x")).select("*", down.alias("_y"))
-    held = w.select("page", F.col("_i").alias("j"), F.col("x0").alias("nx"), F.col("_yc").alias("ny"), F.col("_h").alias("nh"), at(F.col("x0")).alias("_x"), at(F.col("_yc")).alias("_y"))
-    h, gap = F.greatest("_h", "nh"), F.col("nx") - F.col("x1")
-    touching = asked.join(held, ["page", "_x", "_y"]).where((F.col("_i") != F.col("j")) & (F.abs(F.col("ny") - F.col("_yc")) < 0.3 * h) & (gap > -0.2 * h) & (gap < 0.5 * h))
-    onward = touching.groupBy("page", "_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("nx", "j"))), lambda c: c["j"]).alias("next"))
-    each = w.join(onward, ["page", "_i"], "left").select("page", "_i", "word", "x0", bare(F.col("text")).alias("text"), F.coalesce("next", F.array().cast("array<int>")).alias("next"))
-    paged = each.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("_i", "word", "x0", "text", "next"))).alias("w"))
-
-    def grown(run: Column) -> Column:
-        free = F.filter(F.get("w", F.try_element_at(run, F.lit(-1)))["next"], lambda j: ~F.array_contains(run, j))
-        return let(free, lambda f: F.when(F.size(f) > 0, F.concat(run, F.slice(f, 1, 1))))
-
-    def runs(found: list[Column]) -> Column:
-        return let(grown(found[-1]), lambda longer: runs([*found, longer])) if len(found) < most else F.array_compact(F.array(*found))
-
-    text = lambda run: F.array_join(F.transform(run, lambda i: F.get("w", i)["text"]), "")
-    made = F.flatten(F.transform("w", lambda f: F.transform(runs([F.array(f["_i"])]), lambda r: F.struct(f["word"].alias("word"), F.size(r).alias("n"), text(r).alias("text"), f["x0"].alias("x0")))))
-    return paged.select("page", F.inline(made))
+    places = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    d = words.select("page", "word", *places, F.coalesce(bare(F.col("text")), F.lit("")).alias("text"))
+    schema = StructType([d.schema["page"], d.schema["word"], *StructType.fromDDL("n int, text string, x0 double, y0 double")])
+
+    def runs_of(held: list[pa.RecordBatch], pages: list) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        if not t.num_rows:
+            return
+        new = np.fromiter((a != b for a, b in zip(pages[1:], pages)), bool, len(pages) - 1)
+        page = np.concatenate([[0], np.cumsum(new)])
+        page[np.fromiter((p is None for p in pages), bool, len(pages))] = -1
+        x0, y0, x1, y1 = (t[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
+        for run in _grown(*_touching(page, x0, y0, x1, y1), len(page), most):
+            if len(run):
+                parts = [t["text"].take(pa.array(run[:, k])).combine_chunks() for k in range(run.shape[1])]
+                text = pc.binary_join_element_wise(*parts, "") if len(parts) > 1 else parts[0]
+                first = t.take(pa.array(run[:, 0])).combine_chunks()
+                yield from pa.table([first["page"], first["word"], pa.array(np.full(len(run), run.shape[1], np.int32)), text, first["x0"], first["y0"]], schema.names).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        pages: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_pylist()
+            cut = next((k for k in range(len(own) - 1, -1, -1) if own[k] != own[-1]), -1) + 1
+            if cut or (pages and pages[-1] != own[0]):
+                yield from runs_of([*held, batch.slice(0, cut)], pages + own[:cut])
+                held, pages = [], []
+            held.append(batch.slice(cut))
+            pages += own[cut:]
+        if held:
+            yield from runs_of(held, pages)
+
+    return d.repartition("page").sortWithinPartitions("page", "word").mapInArrow(run, schema)
 
 
 def fit_anchors(found: DataFrame, anchors: DataFrame, near: float, least: int = 3) -> DataFrame:
     """``doc_id, scale, shift, n``: each pair of found headings proposes a scale and shift; the one that most headings agree with.
 
     ``found``: doc_id, name, x (a page's few headings); ``anchors``: name, at (a fixed list, broadcast).  A tie
-    goes to the pair that stands widest apart.  Below ``least`` agreeing headings there is no fit.
+    goes to the pair that stands widest apart.  Below ``least`` agreeing headings there is no fit.  A page's headings meet in one row, where they
+    make their pairs and count who agrees.
     """
-    f = found.join(F.broadcast(anchors), "name")
-    a, b = f.select("doc_id", F.col("name").alias("an"), F.col("x").alias("ax"), F.col("at").alias("aa")), f.select("doc_id", F.col("name").alias("bn"), F.col("x").alias("bx"), F.col("at").alias("ba"))
-    pairs = a.join(b, "doc_id").where("aa < ba").withColumn("scale", F.try_divide(F.col("ba") - F.col("aa"), F.col("bx") - F.col("ax"))).where("scale is not null")
-    pairs = pairs.withColumn("shift", F.col("aa") - F.col("scale") * F.col("ax"))
-    votes = pairs.join(f.select("doc_id", "x", "at"), "doc_id").where(F.abs(F.col("scale") * F.col("x") + F.col("shift") - F.col("at")) <= near)
-    scored = votes.groupBy("doc_id", "an", "bn", "scale", "shift", (F.col("ba") - F.col("aa")).alias("span")).agg(F.count(F.lit(1)).alias("n"))
+    f = found.join(F.broadcast(anchors), "name").where("doc_id is not null")
+    held = f.groupBy("doc_id").agg(F.collect_list(F.struct("name", "x", "at")).alias("_f")).where(F.size("_f") >= 2)
+    pairs = held.select("doc_id", "_f", F.explode("_f").alias("a")).select("*", F.explode("_f").alias("b")).where("a.at < b.at")
+    pairs = pairs.withColumn("scale", F.try_divide(F.col("b.at") - F.col("a.at"), F.col("b.x") - F.col("a.x"))).where("scale is not null")
+    pairs = pairs.withColumn("shift", F.col("a.at") - F.col("scale") * F.col("a.x"))
+    agree = F.size(F.filter("_f", lambda h: F.abs(F.col("scale") * h["x"] + F.col("shift") - h["at"]) <= near))
+    scored = pairs.groupBy("doc_id", F.col("a.name").alias("an"), F.col("b.name").alias("bn"), "scale", "shift", (F.col("b.at") - F.col("a.at")).alias("span")).agg(F.sum(agree).alias("n"))
     best = W.partitionBy("doc_id").orderBy(F.col("n").desc(), F.col("span").desc(), "an", "bn")
     return scored.withColumn("r", F.row_number().over(best)).where((F.col("r") == 1) & (F.col("n") >= least)).select("doc_id", "scale", "shift", "n")
 
