@@ -21,9 +21,7 @@ BROUGHT_FORWARD = r"(?i)b/f|brought forward|ยอดยกมา"
 
 def lines_of(words: DataFrame, reach: float = 4.0) -> DataFrame:
     """Adds ``line``: words whose heights stay within ``reach`` of their line's running mean."""
-    paged = words.withColumn("_page", F.concat_ws("|", "doc", "page"))
-    lines = layout.mean_clusters(paged, "_page", "y", reach).select("_page", F.col("cluster").alias("line"), "low", "high")
-    return paged.join(lines, "_page").where("y between low and high").drop("_page", "low", "high")
+    return layout.mean_lines(words.withColumn("y", F.col("y").cast("double")).repartition("doc", "page"), ("doc", "page"), "y", reach)
 
 
 def without_summaries(words: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -33,8 +31,13 @@ def without_summaries(words: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def line_texts(words: DataFrame, reach: float = 4.0) -> DataFrame:
     """``doc, page, line, text``: each line's words from left to right."""
+    return texts_of(lines_of(words, reach))
+
+
+def texts_of(lines: DataFrame) -> DataFrame:
+    """The same of words whose ``line`` is known."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "word", "text"))), lambda w: w["text"]), " ")
-    return lines_of(words, reach).groupBy("doc", "page", "line").agg(text.alias("text"))
+    return lines.groupBy("doc", "page", "line").agg(text.alias("text"))
 
 
 FIELDS = ("date", "description", "amount", "balance")
@@ -46,14 +49,17 @@ def cells_of(lines: DataFrame, columns: list[layout.Range] | None, fields: tuple
     Without ``columns`` the words name their ``column`` themselves; ``carried`` are columns that a document has once.
     """
     placed = lines if columns is None else layout.to_columns(lines.withColumn("_x0", F.col("x0")), columns)
+    words = F.sort_array(F.collect_list(F.when(F.col("column").isNotNull(), F.struct("column", "x0", "word", "text")))).alias("_words")
+    # Whole documents meet once; what follows, pages and a document's rows, needs no further exchange.
+    d = placed.repartition("doc").groupBy("doc", "page", "line").agg(
+        F.avg("y").alias("y"), words, F.max(F.when(F.col("column") == "amount", F.col("x1"))).alias("x1"), *[F.first(c).alias(c) for c in carried]
+    )
 
     def joined(name: str):
-        own = F.collect_list(F.when(F.col("column") == name, F.struct("x0", "word", "text")))
-        return F.nullif(F.array_join(F.transform(F.sort_array(own), lambda w: w["text"]), " "), F.lit("")).alias(name)
+        own = F.filter("_words", lambda w: w["column"] == name)
+        return F.nullif(F.array_join(F.transform(own, lambda w: w["text"]), " "), F.lit("")).alias(name)
 
-    return placed.groupBy("doc", "page", "line").agg(
-        F.avg("y").alias("y"), *[joined(n) for n in fields], F.max(F.when(F.col("column") == "amount", F.col("x1"))).alias("x1"), *[F.first(c).alias(c) for c in carried]
-    )
+    return d.select("doc", "page", "line", "y", *[joined(n) for n in fields], "x1", *carried)
 
 
 def transactions(
@@ -71,16 +77,20 @@ def transactions(
     said = F.concat_ws(" ", "date", "description", "amount", "balance")
     typed = value.withColumn("brought", F.coalesce(F.col("description").rlike(brought), F.lit(False)))
     typed = typed.withColumn("is_row", F.col("day").isNotNull() & ~F.col("brought") & (F.col("_balance").isNotNull() | F.col("_amount").isNotNull()))
-    paged = typed.withColumn("is_footer", said.rlike(footer) if footer else F.lit(False)).withColumn("_doc_page", F.struct("doc", "page"))
-    paged = paged.withColumnRenamed("page", "page_no").withColumnRenamed("_doc_page", "page")
-    kept = layout.stop_at_footer(paged) if footer else paged
-    settled = settle(kept) if settle else layout.settle_wrapped(kept, reach)
-    order = F.struct("y", "line")
-    whole = settled.where("row_line is not null and not brought").groupBy("page", "row_line").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("description").isNotNull(), F.struct("y", "line", "description")))), lambda d: d["description"]), " ").alias("description")
+    page = ("doc", "page")
+    paged = typed.withColumn("is_footer", said.rlike(footer) if footer else F.lit(False))
+    kept = layout.stop_at_footer(paged, page) if footer else paged
+    settled = settle(kept) if settle else layout.settle_wrapped(kept, reach, page)
+    # A row and the lines that belong to it are one group, balances brought forward are groups of their own: one aggregate, no join.
+    row = F.when(F.col("is_row"), F.struct("line", "y", "day", F.col("_amount").alias("amount"), "x1", F.col("_balance").alias("balance"), *more))
+    text = F.when(~F.col("brought") & F.col("description").isNotNull(), F.struct("y", "line", "description"))
+    grouped = settled.where("brought or row_line is not null").groupBy("doc", "page", "brought", F.when(~F.col("brought"), F.col("row_line")).alias("row_line")).agg(
+        F.max(row).alias("r"), F.collect_list(text).alias("_said"), F.min(F.when(F.col("brought"), F.struct("y", "line", "_balance"))).alias("_b")
+    )
+    opening = F.min(F.when(F.col("brought"), F.struct("page", "_b"))).over(W.partitionBy("doc"))["_b"]["_balance"]
+    rows = grouped.withColumn("opening", opening).where("not brought and r is not null")
+    seq = F.row_number().over(W.partitionBy("doc").orderBy("page", "r.y", "r.line")).cast("bigint")
+    said = F.array_join(F.transform(F.sort_array("_said"), lambda d: d["description"]), " ")
+    return rows.select(
+        "doc", seq.alias("seq"), "page", "r.day", said.alias("description"), "r.amount", "r.x1", "r.balance", F.coalesce("opening", F.lit(0)).alias("opening"), *[f"r.{c}" for c in more]
     )
-    rows = settled.where("is_row").select("doc", "page", F.col("page_no"), "line", "y", "day", F.col("_amount").alias("amount"), "x1", F.col("_balance").alias("balance"), *more)
-    rows = rows.join(whole.withColumnRenamed("row_line", "line"), ["page", "line"])
-    opening = settled.where("brought").groupBy("doc").agg(F.min_by("_balance", F.struct("page_no", order)).alias("opening"))
-    seq = F.row_number().over(W.partitionBy("doc").orderBy("page_no", "y", "line")).cast("bigint")
-    return rows.join(opening, "doc", "left").select("doc", seq.alias("seq"), F.col("page_no").alias("page"), "day", "description", "amount", "x1", "balance", F.coalesce("opening", F.lit(0)).alias("opening"), *more)

@@ -52,6 +52,34 @@ def mean_clusters(points: DataFrame, key: str, value: str, reach: float) -> Data
     return values.where("v is not null").repartition(key).sortWithinPartitions(key, "v").mapInArrow(fold, schema)
 
 
+def mean_lines(points: DataFrame, keys: tuple[str, ...], value: str, reach: float) -> DataFrame:
+    """Adds ``line``: the place of a row's cluster, as ``mean_clusters`` forms them, among those of its keys.
+
+    Rows must lie in partitions by their keys; they stream past in order and leave with their cluster's number, so nothing is counted or joined.
+    Rows without a value are left out.
+    """
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, line, last, many, n, total = None, 0, 0.0, 0, 0, 0.0
+        for batch in batches:
+            lines = []
+            for *k, v in zip(*(batch.column(c).to_pylist() for c in (*keys, value))):
+                if k != at:
+                    at, line, last, many, n, total = k, 0, v, 1, 0, 0.0
+                elif v == last or v != v and last != last:
+                    many += 1
+                else:
+                    n, total = n + many, total + last * many
+                    if not abs(v - total / n) <= reach:
+                        line, n, total = line + 1, 0, 0.0
+                    last, many = v, 1
+                lines.append(line)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.int32())], [*batch.schema.names, "line"])
+
+    schema = StructType([*points.schema.fields, *StructType.fromDDL("line int")])
+    return points.where(F.col(value).isNotNull()).sortWithinPartitions(*keys, value).mapInArrow(numbered, schema)
+
+
 #: A column's name, lower end, upper end and place among overlapping ones.
 Range = tuple[str, float, float, int]
 
@@ -73,26 +101,26 @@ def to_own_columns(words: DataFrame, layouts: DataFrame, key: str) -> DataFrame:
     return words.join(layouts, key).withColumn("column", F.get(own, F.lit(0))["name"]).drop("columns")
 
 
-def wrap_within(lines: DataFrame, reach: str | float, ends: Column | None = None) -> DataFrame:
+def wrap_within(lines: DataFrame, reach: str | float, ends: Column | None = None, keys: tuple[str, ...] = ("page",)) -> DataFrame:
     """Lines that aren't rows -> the row above them on their page, while each line is within ``reach`` of the line before.
 
     ``reach`` is a number or a column; a NULL reach bounds nothing.  Lines for which ``ends`` holds are no text of the row above.  Adds ``row_line``.
     """
-    own = W.partitionBy("page").orderBy("y", "line")
+    own = W.partitionBy(*keys).orderBy("y", "line")
     limit = F.col(reach) if isinstance(reach, str) else F.lit(reach)
     apart = F.coalesce(F.col("y") - F.lag("y").over(own) > limit, F.lit(False))
     ended = F.lit(False) if ends is None else F.coalesce(ends, F.lit(False))
     d = lines.withColumn("_run", F.sum((F.col("is_row") | apart | ended).cast("int")).over(own))
-    first = F.first(F.when(F.col("is_row"), F.col("line"))).over(W.partitionBy("page", "_run").orderBy("y", "line"))
+    first = F.first(F.when(F.col("is_row"), F.col("line"))).over(W.partitionBy(*keys, "_run").orderBy("y", "line"))
     return d.withColumn("row_line", first).drop("_run")
 
 
-def settle_wrapped(lines: DataFrame, reach: float) -> DataFrame:
+def settle_wrapped(lines: DataFrame, reach: float, keys: tuple[str, ...] = ("page",)) -> DataFrame:
     """Lines that aren't rows -> the nearest row above or below within ``reach``, the upper one on a tie.
 
-    Lines: ``page, line, y, is_row``.  Adds ``row_line`` (NULL: none near enough; a row's own line).
+    Lines: ``keys`` (a page's), ``line, y, is_row``.  Adds ``row_line`` (NULL: none near enough; a row's own line).
     """
-    own = W.partitionBy("page").orderBy("y", "line")
+    own = W.partitionBy(*keys).orderBy("y", "line")
     at = F.when(F.col("is_row"), F.struct("y", "line"))
     d = lines.withColumn("_a", F.last(at, ignorenulls=True).over(own)).withColumn("_b", F.first(at, ignorenulls=True).over(own.rowsBetween(0, W.unboundedFollowing)))
     up, down = F.col("y") - F.col("_a.y"), F.col("_b.y") - F.col("y")
@@ -106,9 +134,9 @@ def wrap_to_previous(lines: DataFrame) -> DataFrame:
     return lines.withColumn("row_line", F.last(F.when(F.col("is_row"), F.col("line")), ignorenulls=True).over(own))
 
 
-def stop_at_footer(lines: DataFrame) -> DataFrame:
+def stop_at_footer(lines: DataFrame, keys: tuple[str, ...] = ("page",)) -> DataFrame:
     """Lines of each page before its first footer that isn't a row."""
-    own = W.partitionBy("page").orderBy("y", "line").rowsBetween(W.unboundedPreceding, 0)
+    own = W.partitionBy(*keys).orderBy("y", "line").rowsBetween(W.unboundedPreceding, 0)
     return lines.withColumn("_stop", F.max((F.col("is_footer") & ~F.col("is_row")).cast("int")).over(own)).where("_stop = 0").drop("_stop")
 
 
@@ -131,6 +159,13 @@ def upper_median(name: str) -> Column:
     return F.expr(f"percentile_disc(0.500000000001) WITHIN GROUP (ORDER BY `{name}`)")
 
 
+def with_upper_median(rows: DataFrame, keys: tuple[str, ...], name: str, value: str) -> DataFrame:
+    """Adds ``name``: the ``upper_median`` of ``value`` among rows of the same keys, by their places in a sort instead of a table of values in memory."""
+    own = W.partitionBy(*keys)
+    d = rows.withColumn("_nth", F.row_number().over(own.orderBy(F.col(value).asc_nulls_last()))).withColumn("_of", F.count(value).over(own))
+    return d.withColumn(name, F.max(F.when(F.col("_nth") == F.floor(F.col("_of") / 2) + 1, F.col(value))).over(own)).drop("_nth", "_of")
+
+
 def correlation(a: Column, b: Column) -> Column:
     """Normalised cross-correlation of two arrays of one length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)

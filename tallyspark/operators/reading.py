@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import dates, words as word_repairs
+from ..scratch import kept
 from . import layout
 
 #: How far a word's centre may lie from its line's, in heights; Thai text; a Thai date, whole and as it begins.
@@ -35,19 +36,22 @@ DATED_WORD = r"^\d{1,2}[-/]\d{1,2}[-/](?:\d{2}|\d{4})\z|^\d{1,2} [A-Z][a-z]{2}\z
 def reading_order(words: DataFrame) -> DataFrame:
     """Adds ``line`` and ``place``: lines by words' centres (within 0.6 of the page's median height), each from left to right."""
     own = W.partitionBy("page")
-    tall = words.withColumn("_h", F.col("y1") - F.col("y0"))
-    sized = tall.join(tall.groupBy("page").agg(layout.upper_median("_h").alias("_m")), "page").drop("_h")
-    sized = sized.withColumn("_v", (F.col("y0") + F.col("y1")) / 2 / F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0))
-    lines = layout.mean_clusters(sized, "page", "_v", LINE_HEIGHTS * (1 - 1e-12)).select("page", F.col("cluster").alias("line"), "low", "high")
-    placed = sized.join(lines, "page").where("_v between low and high").drop("_v", "_m", "low", "high")
-    return placed.withColumn("place", F.row_number().over(own.orderBy("line", "x0", "word")))
+    return _lined(words).withColumn("place", F.row_number().over(own.orderBy("line", "x0", "word")))
+
+
+def _lined(words: DataFrame) -> DataFrame:
+    """Adds ``line``; a page's words meet once for their median height and stream on to their lines."""
+    sized = layout.with_upper_median(words.where("page is not null").withColumn("_h", F.col("y1") - F.col("y0")).repartition("page"), ("page",), "_m", "_h").drop("_h")
+    sized = sized.withColumn("_v", ((F.col("y0") + F.col("y1")) / 2 / F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0)).cast("double")).drop("_m")
+    return layout.mean_lines(sized, ("page",), "_v", LINE_HEIGHTS * (1 - 1e-12)).drop("_v")
 
 
 def level_lines(words: DataFrame) -> DataFrame:
     """Every word of a line gets the line's middle top and bottom: ``page, word, line, x0, y0, x1, y1, text``."""
-    lines = reading_order(words)
-    middle = lines.groupBy("page", "line").agg(layout.upper_median("y0").alias("_top"), layout.upper_median("y1").alias("_bottom"))
-    return lines.join(middle, ["page", "line"]).select("page", "word", "line", "x0", F.col("_top").alias("y0"), "x1", F.col("_bottom").alias("y1"), "text")
+    lines = _lined(words).repartition("page")
+    for name, value in (("_top", "y0"), ("_bottom", "y1")):
+        lines = layout.with_upper_median(lines, ("page", "line"), name, value)
+    return lines.select("page", "word", "line", "x0", F.col("_top").alias("y0"), "x1", F.col("_bottom").alias("y1"), "text")
 
 
 def _follows(last: dict, w: dict) -> bool:
@@ -174,13 +178,17 @@ def anchor_words(lines: DataFrame, support: float = 0.5) -> DataFrame:
     Lines: words with ``bank, doc, page, line``.  A transaction is a line with a date and a figure; of each document the first page
     that has one counts.  The result is the dimension that ``lookups.fit_anchors`` takes.
     """
-    line = W.partitionBy("doc", "page", "line")
+    line, doc = W.partitionBy("doc", "page", "line"), W.partitionBy("doc")
     has = lambda p: F.max(F.col("text").rlike(p)).over(line)
-    d = lines.withColumn("_row", has(DATED_WORD) & has(MONEY_WORD)).withColumn("_ly", F.avg((F.col("y0") + F.col("y1")) / 2).over(line))
-    first = d.where("_row").groupBy("doc").agg(F.min(F.struct("page", "_ly", "line")).alias("f"))
-    tops = d.join(first.select("doc", "f.page", "f.line"), ["doc", "page", "line"]).groupBy("doc", "page").agg(F.min("y0").alias("_top"), F.first("_ly").alias("_at"))
-    head = d.join(tops, ["doc", "page"]).where((F.col("_ly") < F.col("_at")) & (F.col("y0") > F.col("_top") - HEADING_BAND))
-    once = head.groupBy("bank", "doc", "text").agg(F.count(F.lit(1)).alias("n"), F.first("x0").alias("x")).where("n = 1").where(F.col("text").rlike(HEADING_WORD))
-    docs = lines.groupBy("bank").agg(F.count_distinct("doc").alias("docs"))
+    d = lines.select("bank", "doc", "page", "line", "text", "x0", "y0", "y1").repartition("doc")
+    d = d.withColumn("_row", has(DATED_WORD) & has(MONEY_WORD)).withColumn("_ly", F.avg((F.col("y0") + F.col("y1")) / 2).over(line))
+    d = d.withColumn("_f", F.min(F.when(F.col("_row"), F.struct("page", "_ly", "line"))).over(doc))
+    d = d.withColumn("_top", F.min(F.when((F.col("page") == F.col("_f.page")) & (F.col("line") == F.col("_f.line")), F.col("y0"))).over(doc))
+    head = (F.col("page") == F.col("_f.page")) & (F.col("_ly") < F.col("_f._ly")) & (F.col("y0") > F.col("_top") - HEADING_BAND)
+    # A document's few heading words in one row, written once: both counts are taken from it.
+    each = kept(d.groupBy("bank", "doc").agg(F.collect_list(F.when(head, F.struct("text", "x0"))).alias("_words")), "headings")
+    words = each.select("bank", "doc", F.inline("_words")).where(F.col("text").rlike(HEADING_WORD))
+    once = words.groupBy("bank", "doc", "text").agg(F.count(F.lit(1)).alias("n"), F.first("x0").alias("x")).where("n = 1")
+    docs = each.groupBy("bank").agg(F.count_distinct("doc").alias("docs"))
     found = once.groupBy("bank", "text").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"))
     return found.join(docs, "bank").where(F.col("n") >= support * F.col("docs")).select("bank", "text", "n", "x")

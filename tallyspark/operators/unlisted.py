@@ -58,14 +58,18 @@ def _date_columns(data: DataFrame) -> tuple[DataFrame, DataFrame]:
     return columns, dated.select("doc", "page", "line")
 
 
+def _levelled(lines: DataFrame) -> DataFrame:
+    """Adds ``line_y``, the mean of the centres on a line."""
+    return lines.repartition("doc").withColumn("line_y", F.avg((F.col("y0") + F.col("y1")) / 2).over(W.partitionBy("doc", "page", "line")))
+
+
 def layouts(lines: DataFrame) -> DataFrame:
     """``doc, refusal, columns, reach, period_text``, one row per document of words with their ``line``.
 
     ``refusal`` says why there are no ``columns``: no headings, no dates, no balance that is full enough, no amounts left of it,
     columns that overlap, or no line that brings a balance forward.
     """
-    own = W.partitionBy("doc", "page", "line")
-    lines = kept(lines.withColumn("line_y", F.avg((F.col("y0") + F.col("y1")) / 2).over(own)), "lines")
+    lines = lines if "line_y" in lines.columns else kept(_levelled(lines), "lines")
     data, periods = _below_headings(lines)
     data = kept(data, "below")
     dates, dated = _date_columns(data)
@@ -111,9 +115,9 @@ def transactions(words: DataFrame, today: str) -> DataFrame:
     Columns come from ``layouts`` as data.  A page's lines above its headings hold no rows; text wraps from the
     row above while lines without a date or balance follow within the document's ``reach``.
     """
-    lines = kept(extract.lines_of(words, LINE_REACH), "words")
+    lines = kept(_levelled(extract.lines_of(words, LINE_REACH)), "words")
     found = layouts(lines).where("refusal is null").select("doc", "columns", "reach")
     placed = layout.to_own_columns(lines, found, "doc")
     cells = extract.cells_of(placed, None, (*extract.FIELDS, "channel"), carried=("reach",))
     brought = "|".join(m.replace("/", r"\/") for m in OPENINGS)
-    return extract.transactions(cells, None, 0.0, today, settle=lambda d: layout.wrap_within(d, "reach", F.expr("day is not null or _balance is not null")), brought=f"(?i){brought}", more=("channel",))
+    return extract.transactions(cells, None, 0.0, today, settle=lambda d: layout.wrap_within(d, "reach", F.expr("day is not null or _balance is not null"), ("doc", "page")), brought=f"(?i){brought}", more=("channel",))
