@@ -17,6 +17,7 @@ MONTHS = {
 }
 DAY_MONTH_YEAR = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})(?!\w)"
 YEAR_MONTH_DAY = r"^(\d{4})-(\d{1,2})-(\d{1,2})"
+WESTERN_ISO = r"^(?:19|20)\d{2}-\d{2}-\d{2}\z"
 NAMED_MONTH = r"(?i)^(\d{1,2})[ -]?([a-z]{3}|[ก-๎]{1,3}\.[ก-๎]{1,2}\.?)[a-z]*[ -]?(\d{4}|\d{2})\z"
 
 
@@ -86,18 +87,23 @@ def date_cell(c: Column, today: str) -> Column:
         serial = t.try_cast("double")
         is_serial = t.rlike(r"^\d+(?:\.\d+)?\z") & (serial > 20000) & (serial < 80000)
         iso, dmy, named = t.rlike(YEAR_MONTH_DAY), t.rlike(DAY_MONTH_YEAR), t.rlike(NAMED_MONTH)
-        a, b, y = part(t, DAY_MONTH_YEAR, 1), part(t, DAY_MONTH_YEAR, 2), full_year(part(t, DAY_MONTH_YEAR, 3))
         name = F.lower(F.regexp_extract(t, NAMED_MONTH, 2))
         months = F.create_map(*[F.lit(x) for m, i in MONTHS.items() for x in (m, i)])
-        month = F.coalesce(F.try_element_at(months, name), F.try_element_at(months, F.concat(name, F.lit("."))))
-        by_day, by_month = real_date(y, b, a), real_date(y, a, b)
-        value = (
-            F.when(is_serial, from_serial(serial))
-            .when(iso, real_date(full_year(part(t, YEAR_MONTH_DAY, 1)), part(t, YEAR_MONTH_DAY, 2), part(t, YEAR_MONTH_DAY, 3)))
-            .when(dmy, F.coalesce(by_day, by_month)).when(named, real_date(full_year(part(t, NAMED_MONTH, 3)), month, part(t, NAMED_MONTH, 1)))
-        )
-        shape = F.when(is_serial, "number").when(dmy & by_day.isNotNull(), "text").when(dmy & by_month.isNotNull(), "swapped").when(iso | dmy, "shaped").when(t == "", "blank").otherwise("other")
-        return let(F.struct(value.alias("date"), shape.alias("shape")), told)
+        month = lambda n: F.coalesce(F.try_element_at(months, n), F.try_element_at(months, F.concat(n, F.lit("."))))
+        figures = F.struct(*[part(t, DAY_MONTH_YEAR, k).alias(n) for k, n in enumerate("aby", 1)])
+        both = lambda f: let(full_year(f["y"]), lambda y: F.struct(real_date(y, f["b"], f["a"]).alias("by_day"), real_date(y, f["a"], f["b"]).alias("by_month")))
+        found = F.struct(is_serial.alias("serial"), iso.alias("iso"), dmy.alias("dmy"), F.when(dmy, let(figures, both)).alias("days"))
+
+        def value(f: Column) -> Column:
+            read_ = (
+                F.when(f["serial"], from_serial(serial))
+                .when(f["iso"], real_date(full_year(part(t, YEAR_MONTH_DAY, 1)), part(t, YEAR_MONTH_DAY, 2), part(t, YEAR_MONTH_DAY, 3)))
+                .when(f["dmy"], F.coalesce(f["days"]["by_day"], f["days"]["by_month"])).when(named, real_date(full_year(part(t, NAMED_MONTH, 3)), let(name, month), part(t, NAMED_MONTH, 1)))
+            )
+            shape = F.when(f["serial"], "number").when(f["dmy"] & f["days"]["by_day"].isNotNull(), "text").when(f["dmy"] & f["days"]["by_month"].isNotNull(), "swapped").when(f["iso"] | f["dmy"], "shaped").when(t == "", "blank").otherwise("other")
+            return F.struct(read_.alias("date"), shape.alias("shape"))
+
+        return let(let(found, value), told)
 
     def told(r: Column) -> Column:
         value, shape = r["date"], r["shape"]
@@ -111,6 +117,15 @@ def date_cell(c: Column, today: str) -> Column:
             value.alias("date"), note.alias("note"), F.when(ordered, shape).alias("kind"), (ordered & (d > 12)).alias("day_over_12"), (ordered & (d <= 12) & (m <= 12) & (d != m)).alias("either_way")
         )
 
+    # Most cells are empty or ISO dates of Western years: those are read without the other patterns.
+    iso = F.when(c.rlike(WESTERN_ISO), F.try_to_date(c, "yyyy-MM-dd"))
+    made = lambda value, note: F.struct(value.alias("date"), note.alias("note"), none.alias("kind"), F.lit(False).alias("day_over_12"), F.lit(False).alias("either_way"))
+    none = F.lit(None).cast("string")
+    unlikely = F.when((F.year(iso) < 2000) | (F.year(iso) > int(today[:4]) + 1), "an unlikely year")
+    return F.when(F.coalesce(c == "", F.lit(True)), made(F.lit(None).cast("date"), none)).when(iso.isNotNull(), made(iso, unlikely)).otherwise(_let_read(c, read))
+
+
+def _let_read(c: Column, read) -> Column:
     return let(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\A(?U:\s)+|(?U:\s)+\z", ""), r"(?U)\s+", " "), read)
 
 

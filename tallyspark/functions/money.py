@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 PRINTED = r"^(?:\d{1,3}(?:,\d{3})+|\d+)\.\d{2}\z"
 #: Fixed value: a cell's amount once units and brackets are off: sign, figure, trailing minus, side.
 SIGNED_CELL = r"(?i)^([+*-]?)((?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{1,2})?)(-?)(dr|cr|)\z"
+#: Fixed value: a cell's plain figure, with nothing that a unit, bracket, side or blank could add.
+PLAIN_CELL = r"^-?\d{1,15}(?:\.\d{2})?\z"
 #: Thai digits, and the units that stand beside amounts.
 THAI_DIGITS, WESTERN_DIGITS = "๐๑๒๓๔๕๖๗๘๙", "0123456789"
 UNITS = "(?i)฿|thb|บาท"
@@ -79,17 +81,30 @@ def money_cell(c: Column) -> Column:
     def read(plain: Column) -> Column:
         inner = plain.rlike(r"\d(?U:\s)+\d")
         t = F.translate(F.regexp_replace(plain, r"(?U)\s+", ""), THAI_DIGITS, WESTERN_DIGITS)
+        return let(F.struct(inner.alias("inner"), t.alias("t")), lambda a: let(F.regexp_replace(a["t"], r"^\((.*)\)\z", "$1"), lambda u: figure(a["inner"], a["t"], u)))
+
+    def figure(inner: Column, t: Column, u: Column) -> Column:
         blank = t.isin("", "-", "–") & ~inner
-        u = F.regexp_replace(t, r"^\((.*)\)\z", "$1")
-        part = lambda k: F.regexp_extract(u, SIGNED_CELL, k)
-        head, tail, side = part(1), part(3), F.lower(part(4))
-        sign = F.when(tail == "-", "-").when(head.isin("+", "-"), head).when(side == "dr", "-").when(side == "cr", "+").when(t.startswith("("), "-")
         good = u.rlike(SIGNED_CELL) & ~inner & ~blank
-        amount = F.split(F.regexp_replace(part(2), ",", ""), r"\.")
-        cents = amount[0].try_cast("bigint") * 100 + F.rpad(F.coalesce(F.get(amount, F.lit(1)), F.lit("")), 2, "0").try_cast("bigint")
+        parts = F.split(F.regexp_replace(u, SIGNED_CELL, "$1|$2|$3|$4"), r"\|")
+        return let(F.struct(blank.alias("blank"), good.alias("good"), parts.alias("parts")), lambda a: told(t, a["blank"], a["good"], a["parts"]))
+
+    def told(t: Column, blank: Column, good: Column, parts: Column) -> Column:
+        head, tail, side = F.get(parts, F.lit(0)), F.get(parts, F.lit(2)), F.lower(F.get(parts, F.lit(3)))
+        sign = F.when(tail == "-", "-").when(head.isin("+", "-"), head).when(side == "dr", "-").when(side == "cr", "+").when(t.startswith("("), "-")
+        whole = lambda a: a[0].try_cast("bigint") * 100 + F.rpad(F.coalesce(F.get(a, F.lit(1)), F.lit("")), 2, "0").try_cast("bigint")
+        cents = let(F.split(F.replace(F.get(parts, F.lit(1)), F.lit(","), F.lit("")), r"\."), whole)
         return F.struct(F.when(good, cents).alias("cents"), F.when(good, sign).alias("sign"), F.when(~good & ~blank, c).alias("bad"), blank.alias("blank"))
 
-    return let(trim(F.regexp_replace(trim(F.coalesce(c, F.lit(""))), UNITS, "")), read)
+    # Most cells are empty or plain figures: those are read without the patterns that the others need.
+    digits = F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit("-"), F.lit("")).try_cast("bigint")
+    none = F.lit(None).cast("string")
+    made = lambda cents, sign, blank: F.struct(cents.alias("cents"), sign.alias("sign"), none.alias("bad"), F.lit(blank).alias("blank"))
+    plain = made(F.when(F.contains(c, F.lit(".")), digits).otherwise(digits * 100), F.when(F.startswith(c, F.lit("-")), F.lit("-")), False)
+    return (
+        F.when(F.coalesce(c == "", F.lit(True)), made(F.lit(None).cast("bigint"), none, True)).when(c.rlike(PLAIN_CELL), plain)
+        .otherwise(let(trim(F.regexp_replace(trim(F.coalesce(c, F.lit(""))), UNITS, "")), read))
+    )
 
 
 def repair_money(c: Column) -> Column:

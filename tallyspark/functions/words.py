@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -38,9 +40,11 @@ def without_labels(c: Column, labels: list[str]) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-@F.pandas_udf(StringType())
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFC")
+@F.arrow_udf(StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    # In small parts, so that of a batch of long texts only Arrow's bytes are held, not a Python string for each (Arrow's own normaliser doesn't compose).
+    parts = [pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.slice(i, 256).to_pylist()], pa.string()) for i in range(0, len(texts), 256)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def bare(c: Column) -> Column:

@@ -141,3 +141,13 @@ def test_value_after_mark_rounds_to_the_nearest_second_as_its_sql_does(spark, tm
     expected = con.execute(ORACLES["value_after_mark"]).fetchall()
     found = [tuple(r) for r in QUERIES["value_after_mark"](spark, str(tmp_path)).select("page", "line", "value").collect()]
     assert sorted(found) == sorted(expected) and len(found) == 1
+
+
+def test_headings_are_fitted_without_a_join_of_words(spark):
+    words = spark.createDataFrame([(1, 0, 10.0, 0.0, 20.0, 8.0, "Da"), (1, 1, 21.0, 0.0, 30.0, 8.0, "te"), (1, 2, 60.0, 0.0, 90.0, 8.0, "Left"), (None, 3, 0.0, 0.0, 9.0, 8.0, "x"), (None, 4, 9.5, 0.0, 19.0, 8.0, "y")], "page long, word int, x0 double, y0 double, x1 double, y1 double, text string")
+    runs = lookups.heading_runs(words)
+    assert {(r.page, r.word, r.n, r.text) for r in runs.collect()} == {(1, 0, 1, "Da"), (1, 0, 2, "Date"), (1, 1, 1, "te"), (1, 2, 1, "Left"), (None, 3, 1, "x"), (None, 4, 1, "y")}
+    anchors = spark.createDataFrame([("Date", 10.0), ("Left", 60.0)], "name string, at double")
+    fits = lookups.fit_anchors(runs.select(F.col("page").alias("doc_id"), F.col("text").alias("name"), F.col("x0").alias("x")), anchors, 1.0, 2)
+    assert fits._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert [tuple(r) for r in fits.collect()] == [(1, 1.0, 0.0, 2)]

@@ -124,3 +124,10 @@ def test_joined_letters_of_nations_whose_page_numbers_meet(spark, tmp_path):
     expected = con.execute(ORACLES["joined_letters"]).fetchall()
     found = [tuple(r) for r in QUERIES["joined_letters"](spark, str(tmp_path)).collect()]
     assert sorted(found) == sorted(expected) and len(found) == 9
+
+
+def test_levelling_joins_nothing_and_holds_no_table_of_values(spark):
+    d = frame(spark, [(0, 9, 0, 8, "a"), (12, 20, 1, 9, "b"), (0, 9, 40, 48, None)])
+    plan = reading.level_lines(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "percentile" not in plan.lower()
+    assert sorted((r.word, r.y0, r.y1) for r in reading.level_lines(d).collect()) == [(0, 1.0, 9.0), (1, 1.0, 9.0), (2, 40.0, 48.0)]
