@@ -40,6 +40,8 @@ FEATURES = RAW + SHAPE + 2 * BINS
 UNIT, LENGTH = 1 << 12, 1 << 14
 #: Bytes of a text whose trigrams are counted at once.
 SLICE = 1 << 20
+#: Rows of the sample that are multiplied at once.
+SOME_ROWS = 256
 
 _byte = np.arange(256)
 _class = np.where((_byte >= 97) & (_byte <= 122) | (_byte >= 128), ord("a"), np.where((_byte >= 65) & (_byte <= 90), ord("A"), np.where((_byte >= 48) & (_byte <= 57), ord("0"), np.where((_byte == 32) | (_byte >= 9) & (_byte <= 13), 32, _byte)))).astype(np.uint8)
@@ -138,14 +140,26 @@ def fit(labelled: DataFrame, sample: int = 4096, dimensions: int = 64, neighbour
 
     # A row for each sampled id and label, however many texts they stand on.
     drawn = texts.select("draw", "id", "label", "text").mapInArrow(vectors, "draw long, id string, label int, vector binary")
-    rows = drawn.groupBy("draw", "id", "label").agg(F.min("vector").alias("vector")).collect()  # ``sample`` rows at most
-    rows = sorted((r["draw"], r["id"] or "", r["label"], bytes(r["vector"])) for r in rows)
-    x = np.stack([np.frombuffer(r[-1], np.float16).astype(np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
-    y = np.array([r[2] for r in rows], np.float64)
+    rows = drawn.groupBy("draw", "id", "label").agg(F.min("vector").alias("vector")).toArrow()  # ``sample`` rows at most
+    x, y = matrix(rows)
+    del rows
     if not len(y):
         return Model(np.zeros((FEATURES, 1)), np.zeros((0, 1)), y, 0.5, neighbours, sharpness)
     basis = np.rint(leading(x, min(dimensions, *x.shape)) * UNIT).astype(np.float64)
-    return Model(basis, units(np.rint(x * UNIT).astype(np.float64) @ basis), y, float(y.mean()), neighbours, sharpness)
+    # Products of whole numbers are exact, so slices of rows give what the whole sample would, in less memory.
+    z = np.concatenate([np.rint(x[at : at + SOME_ROWS] * UNIT).astype(np.float64) @ basis for at in range(0, len(x), SOME_ROWS)])
+    return Model(basis, units(z), y, float(y.mean()), neighbours, sharpness)
+
+
+def matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's features and labels in order of draw, id and label; the vectors are copied once, into the result."""
+    draw, ids, labels = (rows.column(c).to_pylist() for c in ("draw", "id", "label"))
+    vector = [v for chunk in rows.column("vector").chunks for v in chunk]
+    order = sorted(range(len(draw)), key=lambda i: (draw[i], ids[i] or "", labels[i]))
+    x = np.empty((len(order), FEATURES), np.float32)
+    for at, i in enumerate(order):
+        x[at] = np.frombuffer(vector[i].as_buffer(), np.float16)
+    return x, np.array([labels[i] for i in order], np.float64)
 
 
 def held_out(id_column: str | Column = "doc_id") -> Column:
