@@ -36,8 +36,12 @@ def _date(day: Column) -> Column:
     return _number(dates.excel_serial(day))
 
 
+def _line(sheet: str, part: int, order: Column, *cells: Column) -> Column:
+    return F.struct(F.lit(sheet).alias("sheet"), F.lit(part).alias("part"), order.cast("bigint").alias("place"), F.array(*cells).alias("cells"))
+
+
 def _sheet(rows: DataFrame, sheet: str, part: int, order: Column, *cells: Column) -> DataFrame:
-    return rows.select("stmt_id", F.lit(sheet).alias("sheet"), F.lit(part).alias("part"), order.cast("bigint").alias("place"), F.array(*cells).alias("cells"))
+    return rows.select("stmt_id", _line(sheet, part, order, *cells).alias("line")).select("stmt_id", "line.*")
 
 
 def sheets(rows: DataFrame, days: DataFrame, accounts: DataFrame, checks: DataFrame) -> DataFrame:
@@ -52,36 +56,36 @@ def sheets(rows: DataFrame, days: DataFrame, accounts: DataFrame, checks: DataFr
     bound = lambda label, day, figure: [_date(F.col(day)), none, _text(label), none, none, _money(F.col(figure)), none, none, none]
     said = F.when(F.col("verified"), "OK").otherwise(F.coalesce("note", F.lit("")))
     line = [_date(F.col("day")), *[_text(F.coalesce(c, F.lit(""))) for c in ("time", "description")], *[_money(F.col(c)) for c in ("withdrawal", "deposit", "balance")], *[_text(F.coalesce(c, F.lit(""))) for c in ("channel", "details")], _text(said)]
-    out = [
-        _sheet(accounts, SHEETS[0], 0, zero, *heads(TRANSACTIONS)), _sheet(accounts, SHEETS[0], 1, zero, *bound("Opening balance", "period_from", "opening")),
-        _sheet(rows, SHEETS[0], 2, F.col("seq"), *line), _sheet(accounts, SHEETS[0], 3, zero, *bound("Closing balance", "period_to", "closing")),
+    own = [
+        _line(SHEETS[0], 0, zero, *heads(TRANSACTIONS)), _line(SHEETS[0], 1, zero, *bound("Opening balance", "period_from", "opening")),
+        _line(SHEETS[0], 3, zero, *bound("Closing balance", "period_to", "closing")), _line(SHEETS[1], 0, zero, *heads(DAYS)),
     ]
     flagged = F.when(F.col("n") == 0, "").when(F.col("flagged") > 0, F.concat(F.col("flagged").cast("string"), F.lit(" row(s) flagged"))).otherwise("OK")
     net = F.col("deposited") - F.col("withdrawn")
     day = [_date(F.col("day")), _number(F.col("n")), *[_money(F.col(c)) for c in ("withdrawn", "deposited")], _money(net), _money(F.col("balance")), _text(flagged)]
     sums = days.groupBy("stmt_id").agg(
-        F.count(F.lit(1)).alias("days"), F.count(F.when(F.col("n") > 0, 1)).alias("active"), *[F.sum(c).alias(c) for c in ("n", "withdrawn", "deposited")]
-    ).join(accounts.select("stmt_id", "closing"), "stmt_id")
-    spans = _text(F.concat(F.col("days").cast("string"), F.lit(" days, "), F.col("active").cast("string"), F.lit(" active")))
-    out += [
-        _sheet(accounts, SHEETS[1], 0, zero, *heads(DAYS)), _sheet(days, SHEETS[1], 1, dates.excel_serial(F.col("day")), *day),
-        _sheet(sums, SHEETS[1], 2, zero, spans, _number(F.col("n")), _money(F.col("withdrawn")), _money(F.col("deposited")), _money(net), _money(F.col("closing")), none),
-    ]
-    counted = accounts.join(rows.groupBy("stmt_id").agg(F.count(F.lit(1)).alias("n")), "stmt_id", "left")
+        F.count(F.lit(1)).alias("_days"), F.count(F.when(F.col("n") > 0, 1)).alias("_active"), *[F.sum(c).alias(f"_{c}") for c in ("n", "withdrawn", "deposited")]
+    )
+    spans = _text(F.concat(F.col("_days").cast("string"), F.lit(" days, "), F.col("_active").cast("string"), F.lit(" active")))
+    summed = _line(SHEETS[1], 2, zero, spans, _number(F.col("_n")), _money(F.col("_withdrawn")), _money(F.col("_deposited")), _money(F.col("_deposited") - F.col("_withdrawn")), _money(F.col("closing")), none)
+    counted = rows.groupBy("stmt_id").agg(F.count(F.lit(1)).alias("_rows"))
     unread = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(not read)"))
     stamp = lambda c: F.coalesce(dates.printed(F.col(c)), F.lit("None"))
     facts = [
         ("Source PDF", F.regexp_extract("source", r"([^/\\]*)\z", 1)), ("Bank", F.col("bank")), ("Account name", unread("account_name")), ("Account number", unread("account_no")), ("Branch", unread("branch")),
-        ("Statement period", F.concat(stamp("period_from"), F.lit(" to "), stamp("period_to"))), ("Transactions read", F.coalesce("n", F.lit(0)).cast("string")),
+        ("Statement period", F.concat(stamp("period_from"), F.lit(" to "), stamp("period_to"))), ("Transactions read", F.coalesce("_rows", F.lit(0)).cast("string")),
     ]
     result = F.when(F.col("passed"), "PASS").otherwise("FAIL")
-    out += [
-        _sheet(accounts.where("caveat is not null"), SHEETS[2], 0, zero, _text(F.col("caveat"))), _sheet(accounts, SHEETS[2], 1, zero, _text(CHECKED)), _sheet(accounts, SHEETS[2], 2, zero, none),
-        *[_sheet(counted, SHEETS[2], 3, F.lit(i), _text(label), none, _text(value)) for i, (label, value) in enumerate(facts)], _sheet(accounts, SHEETS[2], 4, zero, none),
-        _sheet(accounts, SHEETS[2], 5, zero, *heads(("Check", "Result", "Detail"))), _sheet(checks, SHEETS[2], 6, F.col("ord"), _text(F.col("label")), _text(result), _text(F.col("detail"))),
-        _sheet(accounts, SHEETS[2], 7, zero, none), _sheet(accounts, SHEETS[2], 8, zero, _text(RULE)), _sheet(accounts, SHEETS[2], 9, zero, _text(RULE_TEXT)),
-    ]
-    whole = out[0]
-    for more in out[1:]:
+    own += [
+        F.when(F.col("_days").isNotNull(), summed), F.when(F.col("caveat").isNotNull(), _line(SHEETS[2], 0, zero, _text(F.col("caveat")))), _line(SHEETS[2], 1, zero, _text(CHECKED)), _line(SHEETS[2], 2, zero, none),
+        *[_line(SHEETS[2], 3, F.lit(i), _text(label), none, _text(value)) for i, (label, value) in enumerate(facts)], _line(SHEETS[2], 4, zero, none),
+        _line(SHEETS[2], 5, zero, *heads(("Check", "Result", "Detail"))), _line(SHEETS[2], 7, zero, none), _line(SHEETS[2], 8, zero, _text(RULE)), _line(SHEETS[2], 9, zero, _text(RULE_TEXT)),
+    ]
+    # An account's own lines are made from one row, so that accounts are read once and not once a line.
+    whole = accounts.join(counted, "stmt_id", "left").join(sums, "stmt_id", "left").select("stmt_id", F.explode(F.array_compact(F.array(*own))).alias("line")).select("stmt_id", "line.*")
+    for more in (
+        _sheet(rows, SHEETS[0], 2, F.col("seq"), *line), _sheet(days, SHEETS[1], 1, dates.excel_serial(F.col("day")), *day),
+        _sheet(checks, SHEETS[2], 6, F.col("ord"), _text(F.col("label")), _text(result), _text(F.col("detail"))),
+    ):
         whole = whole.unionAll(more)
     return whole

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import daily, extract, reading, review
+from ..scratch import kept
 from ..sinks import workbooks
 from ..sources import tables
 from . import unlisted
@@ -109,13 +110,14 @@ cl AS (
 SELECT stmt_id, sheet, row, col, n, s FROM r""")
 def review_cells(spark, sf_dir):
     """All three sheets of each account's review workbook, made by Spark, written, read again: every figure of transactions and days, the facts and the checks of the proof."""
-    rows = event_rows(spark, sf_dir)
+    rows = kept(event_rows(spark, sf_dir), "review-rows")
     lines = rows.select("*", F.lit("").alias("time"), F.col("event_type").alias("description"), F.lit("").alias("channel"), F.lit("").alias("details"), F.concat(F.lit("no. "), F.col("seq").cast("string")).alias("note"))
     accounts = rows.groupBy("stmt_id").agg((F.max("seq") * 100).alias("closing"), F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("verified"), 1)).alias("proved")).selectExpr(
         "*", "cast(0 as bigint) as opening", "date '2024-01-01' as period_from", "date '2024-01-31' as period_to", "concat('in/user', stmt_id, '.pdf') as source", "concat('Bank ', stmt_id % 3) as bank",
         "concat('User ', stmt_id) as account_name", "cast(null as string) as account_no", "'' as branch", "if(stmt_id % 3 = 0, 'compare by eye', null) as caveat",
     )
-    days = daily.densify(daily.daily(rows), accounts)
+    accounts = kept(accounts, "review-accounts")
+    days = kept(daily.densify(daily.daily(rows), accounts), "review-days")
     checks = accounts.select("stmt_id", F.lit(1).alias("ord"), F.lit("Every row agrees with the running balance").alias("label"), (F.col("proved") == F.col("rows")).alias("passed"), F.concat(F.col("proved").cast("string"), F.lit(" of "), F.col("rows").cast("string"), F.lit(" rows verified")).alias("detail"))
     found = tables.cells(workbooks.sheet_files(review.sheets(lines, days, accounts, checks), "stmt_id", review.SHEETS))
     refused = F.raise_error(F.concat_ws(": ", "file", "error")).cast("boolean")

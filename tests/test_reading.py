@@ -131,3 +131,21 @@ def test_levelling_joins_nothing_and_holds_no_table_of_values(spark):
     plan = reading.level_lines(d)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "percentile" not in plan.lower()
     assert sorted((r.word, r.y0, r.y1) for r in reading.level_lines(d).collect()) == [(0, 1.0, 9.0), (1, 1.0, 9.0), (2, 40.0, 48.0)]
+
+
+def test_review_sheets_read_each_table_a_few_times_at_most(spark, tmp_path):
+    """An account's own lines came from a reading of its table each: 25 scans in all."""
+    from tallyspark.operators import review
+
+    tables = {
+        "rows": "1L as stmt_id, 1L as seq, date '2024-01-01' as day, '' as time, 'x' as description, 5L as withdrawal, cast(null as bigint) as deposit, 9L as balance, '' as channel, '' as details, true as verified, '' as note",
+        "days": "1L as stmt_id, date '2024-01-01' as day, 1L as n, 0L as flagged, 5L as withdrawn, 0L as deposited, 9L as balance",
+        "accounts": "1L as stmt_id, 's' as source, 'b' as bank, 'a' as account_name, 'n' as account_no, '' as branch, 0L as opening, 9L as closing, date '2024-01-01' as period_from, date '2024-01-31' as period_to, 'eye' as caveat",
+        "checks": "1L as stmt_id, 1 as ord, 'first' as label, true as passed, 'yes' as detail",
+    }
+    for name, columns in tables.items():
+        spark.sql(f"select {columns}").write.parquet(f"{tmp_path}/{name}")
+    lines = review.sheets(*(spark.read.parquet(f"{tmp_path}/{name}") for name in tables))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 6
+    assert lines.count() == 23
