@@ -658,10 +658,10 @@ def statement_files(spark, sf_dir, kind: str) -> DataFrame:
 
 def read_back(files: DataFrame) -> DataFrame:
     """Rows of files that Spark has made; a refused one fails the query, as its rows would be missing."""
-    from ..sources.tables import cells
+    from ..sources.tables import made_cells
 
     refused = F.raise_error(F.concat_ws(": ", "file", "error")).cast("boolean")
-    found = cells(files).where(F.when(F.col("error").isNotNull(), refused).otherwise(F.col("row") > 0))
+    found = made_cells(files).where(F.when(F.col("error").isNotNull(), refused).otherwise(F.col("row") > 0))
     value = F.coalesce("s", F.regexp_replace(F.col("n").cast("decimal(20,2)").cast("string"), r"\.00\z", ""))
     return found.groupBy("file", "row").agg(*[F.max(F.when(F.col("col") == i, value)).alias(name) for i, name in enumerate(("key", "name", "balance"))]).drop("row")
 

@@ -119,7 +119,7 @@ def review_cells(spark, sf_dir):
     accounts = kept(accounts, "review-accounts")
     days = kept(daily.densify(daily.daily(rows), accounts), "review-days")
     checks = accounts.select("stmt_id", F.lit(1).alias("ord"), F.lit("Every row agrees with the running balance").alias("label"), (F.col("proved") == F.col("rows")).alias("passed"), F.concat(F.col("proved").cast("string"), F.lit(" of "), F.col("rows").cast("string"), F.lit(" rows verified")).alias("detail"))
-    found = tables.cells(workbooks.sheet_files(review.sheets(lines, days, accounts, checks), "stmt_id", review.SHEETS))
+    found = tables.made_cells(workbooks.sheet_files(review.sheets(lines, days, accounts, checks), "stmt_id", review.SHEETS))
     refused = F.raise_error(F.concat_ws(": ", "file", "error")).cast("boolean")
     found = found.where(F.when(F.col("error").isNotNull(), refused).otherwise(True))
     proof = F.col("sheet") == "Proof"

@@ -370,11 +370,12 @@ SELECT * FROM tx UNION ALL SELECT * FROM dy UNION ALL SELECT book, 'Proof', 3, c
 def review_workbooks(spark, sf_dir):
     """A workbook of three sheets for each hundred accounts - transactions, days, proof - written, read again and counted."""
     from ..sinks.workbooks import review_files
-    from ..sources.tables import cells
+    from ..sources.tables import made_cells
 
     d = proved(spark, sf_dir).select(F.floor(F.col("stmt_id") / 100).alias("book"), "stmt_id", "seq", F.date_format("day", "yyyy-MM-dd").alias("day"), "amount", "verified")
     refused = F.raise_error(F.concat_ws(": ", "file", "error")).cast("boolean")
-    found = cells(review_files(d, "book", ["stmt_id", "seq"])).where(F.when(F.col("error").isNotNull(), refused).otherwise(True))
+    found = made_cells(review_files(d, "book", ["stmt_id", "seq"])).where(F.when(F.col("error").isNotNull(), refused).otherwise(True))
     last = {"Transactions": 3, "Daily": 1, "Proof": 1}
     figure = F.coalesce(*[F.when((F.col("sheet") == s) & (F.col("col") == c), F.col("n")) for s, c in last.items()])
-    return found.groupBy(F.regexp_extract("file", r"^(\d+)", 1).cast("long").alias("book"), "sheet").agg((F.max("row") + 1).cast("long").alias("rows"), F.coalesce(F.sum(figure).cast("long"), F.lit(0)).alias("total"))
+    counted = found.groupBy("file", "sheet").agg((F.max("row") + 1).cast("long").alias("rows"), F.coalesce(F.sum(figure).cast("long"), F.lit(0)).alias("total"))
+    return counted.select(F.regexp_extract("file", r"^(\d+)", 1).cast("long").alias("book"), "sheet", "rows", "total")

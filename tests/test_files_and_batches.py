@@ -40,6 +40,29 @@ def test_limits(spark):
     assert {(r.file, r.error) for r in d.collect()} == {("big.csv", "too large"), ("long.csv", "too many rows or columns")}
 
 
+def test_a_file_that_a_job_makes_is_made_once(spark):
+    """A second look for files that are too large made every workbook again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def one(key, group):
+        made.add(1)
+        return group
+
+    d = files(spark, ("big.csv", b"x" * 11), ("short.csv", b"1\n2"))
+    d = tables.made_cells(d.groupBy("path").applyInPandas(one, d.schema), tables.Limits(file_bytes=10))
+    assert {(r.file, r.row, r.s, r.error) for r in d.collect()} == {("big.csv", None, None, "too large"), ("short.csv", 0, "1", None), ("short.csv", 1, "2", None)}
+    assert made.value == 2
+
+
+def test_review_workbooks_reads_the_orders_once(spark, tmp_path):
+    from tallyspark.plans import statements as plans
+
+    spark.sql("select 5L as o_orderkey, 3L as o_custkey, 'F' as o_orderstatus, 9.5D as o_totalprice, timestamp '1995-01-02' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    d = plans.review_workbooks(spark, str(tmp_path))
+    assert d._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(d.collect()) == [(0, "Daily", 2, 1), (0, "Proof", 3, 1), (0, "Transactions", 2, 950)]
+
+
 def statements(spark, *rows):
     kind = "account string, name string, period_from string, period_to string, opening long, closing long"
     return spark.createDataFrame(list(rows), kind).withColumn("period_from", F.to_date("period_from")).withColumn("period_to", F.to_date("period_to"))
