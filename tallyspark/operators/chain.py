@@ -40,24 +40,28 @@ def in_withdrawal_column(x1: Column, split: Column, deposit_first: bool = False)
     return x1 >= split if deposit_first else x1 < split
 
 
-def verify_chain(rows: DataFrame, split: float | None = None, deposit_first: bool = False) -> DataFrame:
+def verify_chain(rows: DataFrame, split: float | None = None, deposit_first: bool = False, keep: bool = False) -> DataFrame:
     """Adds ``running`` (balance before the row's group), ``grp, grp_size, verified, withdrawal, deposit, note, side_note``.
 
     Rows up to a printed balance are a group.  A single row is proved by the balance's change (less
     its tax); a larger group by its columns' net; rows after the last balance can't be.  Rows
-    without an amount take no part in the chain.
+    without an amount take no part in the chain; ``keep`` leaves them, and rows of no statement, among the others, unproved
+    and without a note.
     """
-    chained = rows.where("amount is not null")
+    there = F.col("amount").isNotNull() & F.col("stmt_id").isNotNull() if keep else F.lit(True)
+    chained = rows if keep else rows.where("amount is not null")
+    balance = F.when(there, F.col("balance")) if keep else F.col("balance")
     side = in_withdrawal_column(F.col("x1"), F.lit(split).cast("double"), deposit_first)
     signed = F.when(side, -F.col("amount")).when(~side, F.col("amount"))
     group = W.partitionBy("stmt_id", "grp")
     in_order = group.orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    known = F.max(F.when(signed.isNull(), F.col("seq"))).over(group).isNull()
+    gap = F.when(signed.isNull() & there, F.col("seq"))
+    known = F.max(gap).over(group).isNull()
     d = (
-        chained.withColumn("running", F.coalesce(F.last("balance", ignorenulls=True).over(above()), F.col("opening")))
-        .withColumn("grp", F.count("balance").over(above()))
-        .withColumn("grp_size", F.count(F.lit(1)).over(group)).withColumn("closing", F.max("balance").over(group))
-        .withColumn("first_gap", F.min(F.when(signed.isNull(), F.col("seq"))).over(group))
+        chained.withColumn("running", F.coalesce(F.last(balance, ignorenulls=True).over(above()), F.col("opening")))
+        .withColumn("grp", F.count(balance).over(above()))
+        .withColumn("grp_size", F.count("amount").over(group)).withColumn("closing", F.max(balance).over(group))
+        .withColumn("first_gap", F.min(gap).over(group))
         .withColumn("net", F.sum(signed).over(group)).withColumn("sides_known", known)
         .withColumn("net_told", F.sum(F.when(F.col("first_gap").isNull() | (F.col("seq") < F.col("first_gap")), signed)).over(group))
         .withColumn("terms", F.count(F.when(F.col("first_gap").isNull() | (F.col("seq") < F.col("first_gap")), signed)).over(in_order))
@@ -66,9 +70,9 @@ def verify_chain(rows: DataFrame, split: float | None = None, deposit_first: boo
     delta = F.col("closing") - F.col("running")
     moved = delta + F.coalesce("tax", F.lit(0))
     proved = single & ended & (moved != 0) & (F.abs(moved) == F.col("amount"))
-    grouped = ~single & ended & F.col("sides_known") & (F.col("net") == delta)
+    grouped = there & ~single & ended & F.col("sides_known") & (F.col("net") == delta)
     note = (
-        F.when(~ended, NO_BALANCE)
+        F.when(~there, F.lit(None).cast("string")).when(~ended, NO_BALANCE)
         .when(proved | grouped, F.lit(None).cast("string"))
         .when(single & (delta == 0), F.concat(F.lit("the balance did not change, so whether "), fmt_money(F.col("amount")), F.lit(" went in or out cannot be determined - check this row by hand")))
         .when(single, F.concat(F.lit("balance chain broken: "), fmt_money(F.col("running")), F.lit(" -> "), fmt_money(F.col("closing")), F.lit(" is a change of "), fmt_money(delta), F.lit(", but the amount printed is "), fmt_money(F.col("amount")), F.coalesce(F.concat(F.lit(" (tax "), fmt_money(F.nullif("tax", F.lit(0))), F.lit(")")), F.lit(""))))
@@ -78,7 +82,7 @@ def verify_chain(rows: DataFrame, split: float | None = None, deposit_first: boo
     deposit = F.when((proved & (moved > 0)) | (grouped & ~side), F.col("amount"))
     d = d.withColumn("verified", F.coalesce(proved | grouped, F.lit(False))).withColumn("withdrawal", withdrawal).withColumn("deposit", deposit).withColumn("note", note)
     actual_out = F.coalesce("withdrawal", F.lit(0)) != 0
-    told = single & ended & side.isNotNull() & (actual_out | (F.coalesce("deposit", F.lit(0)) != 0)) & (actual_out != side)
+    told = there & single & ended & side.isNotNull() & (actual_out | (F.coalesce("deposit", F.lit(0)) != 0)) & (actual_out != side)
     said = F.when(actual_out, SIDE.format("withdrawal", "deposit")).otherwise(SIDE.format("deposit", "withdrawal"))
     return d.withColumn("side_note", F.when(told, said)).drop("first_gap", "net_told", "terms", "sides_known")
 

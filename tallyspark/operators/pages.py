@@ -172,8 +172,9 @@ def passbook_lines(lines: DataFrame) -> DataFrame:
     """
     own = W.partitionBy("book").orderBy("page", "line")
     whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    cents = lambda c: let(money_cell(F.regexp_replace(c, r"^[*+-]+", "")), lambda r: r["cents"])
-    given = lines.select("book", "page", "line", "date", "margin", cents(F.col("amount")).alias("amount"), cents(F.col("balance")).alias("balance"), F.left("amount", F.lit(1)).alias("sign"))
+    bare = [F.ltrim(F.col(c), F.lit("*+-")).alias(c) for c in ("amount", "balance")]
+    read = [money_cell(F.col(c))["cents"].alias(c) for c in ("amount", "balance")]
+    given = lines.select("book", "page", "line", "date", "margin", *bare, F.left("amount", F.lit(1)).alias("sign")).select("book", "page", "line", "date", "margin", *read, "sign")
     opens = (F.col("_n") == 1) & F.col("amount").isNull() & F.col("balance").isNotNull()
     d = given.withColumn("_n", F.row_number().over(own)).withColumn("stated_opening", F.first(F.when(opens, F.col("balance"))).over(whole))
     day = passbook_date(F.col("date"))

@@ -36,10 +36,8 @@ def lines_statement(lines: DataFrame) -> DataFrame:
     Nothing but the balance tells directions; line 1 isn't proved by an opening worked back from it.  ``reading`` says
     what couldn't be read; ``sign_note`` where the source's own sign disagrees.  Lines without an amount stay, unproved.
     """
-    d = line_opening(lines).withColumn("tax", F.lit(None).cast("bigint")).withColumn("x1", F.lit(None).cast("double"))
-    proved = chain.verify_chain(d).select("stmt_id", "seq", "verified", "withdrawal", "deposit", "note")
-    own = F.row_number().over(statement())
-    joined = d.withColumn("_place", own).join(proved, ["stmt_id", "seq"], "left")
+    d = line_opening(lines).withColumn("tax", F.lit(None).cast("bigint")).withColumn("x1", F.lit(None).cast("double")).withColumn("_place", F.row_number().over(statement()))
+    proved = chain.verify_chain(d, keep=True).select("stmt_id", "seq", *[c for c in d.columns if c not in ("stmt_id", "seq")], "verified", "withdrawal", "deposit", "note")
     unproved = F.col("opening_derived") & (F.col("_place") == 1)
     reading = (
         F.when(F.col("amount").isNull() & F.col("balance").isNull(), "nothing on this line could be read").when(F.col("amount").isNull(), "the amount could not be read")
@@ -48,7 +46,7 @@ def lines_statement(lines: DataFrame) -> DataFrame:
     said, real = F.when(F.col("sign") == "-", "withdrawal").otherwise("deposit"), F.when(F.col("withdrawal").isNotNull(), "withdrawal").otherwise("deposit")
     verified = F.coalesce("verified", F.lit(False)) & ~unproved
     disagrees = verified & F.col("sign").isNotNull() & (said != real)
-    return joined.withColumn("verified", verified).withColumn("reading", reading).withColumn(
+    return proved.withColumn("verified", verified).withColumn("reading", reading).withColumn(
         "sign_note", F.when(disagrees, F.concat(F.lit("shown as a "), said, F.lit(" but the balance says "), real, F.lit(" - check this line")))
     ).drop("_place", "tax", "x1")
 

@@ -27,6 +27,26 @@ def test_line_one_is_not_proved_by_an_opening_worked_back_from_it(spark):
     assert got[1, 3].reading == "the amount could not be read" and got[3, 1].reading == "nothing on this line could be read" and not got[3, 1].verified
 
 
+def test_a_statement_of_lines_is_worked_out_once_and_lines_without_an_amount_stay(spark, tmp_path):
+    """Proved lines were joined with the lines they came from, which were read and sorted twice for it."""
+    lines = [
+        (1, 1, 100, 900, "-", 1000), (1, 2, None, 777, "-", 1000), (1, 3, 50, None, "+", 1000), (1, 4, None, None, None, 1000), (1, 5, 50, 800, "-", 1000), (1, 6, 25, 825, "-", 1000),
+        (2, 1, 10, 10, "+", None), (2, 2, None, 30, "+", None), (2, 3, 20, 30, "+", None), (2, 4, None, 99, "+", None), (None, 1, 10, 110, "+", 100),
+    ]
+    spark.createDataFrame(lines, LINE).write.parquet(f"{tmp_path}/lines")
+    d = statements.lines_statement(spark.read.parquet(f"{tmp_path}/lines"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {(r.stmt_id, r.seq): (r.verified, r.withdrawal, r.deposit, r.reading, r.sign_note is not None) for r in d.collect()}
+    amount, balance = "the amount could not be read", "the balance could not be read"
+    assert got == {
+        (1, 1): (True, 100, None, None, False), (1, 2): (False, None, None, amount, False), (1, 3): (False, None, None, balance, False),
+        (1, 4): (False, None, None, "nothing on this line could be read", False), (1, 5): (False, None, None, None, False), (1, 6): (True, None, 25, None, True),
+        (2, 1): (False, None, 10, None, False), (2, 2): (False, None, None, amount, False), (2, 3): (True, None, 20, None, False), (2, 4): (False, None, None, amount, False),
+        (None, 1): (False, None, None, None, False),
+    }
+
+
 def test_heading_fits(spark):
     rows = [("s", 1, "a|b|c", {"date": 0, "amount": 1, "balance": 2}), ("s", 2, "x", {"date": 0, "amount": 1, "balance": 2}), ("s", 3, "y", {"date": 0}), ("s", 4, "a|b|c", {"date": 5}), ("s", 5, "z", {"date": 0, "amount": 2, "balance": 2})]
     d = statements.heading_fits(spark.createDataFrame(rows, "set_id string, file_no int, text string, roles map<string,int>"))
